@@ -69,19 +69,19 @@ def drop(df: DataFrame) -> None:
     fs.delete(path, True)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
-    """(key, id, text) with a key that is unique even where ids repeat or are null.
+def keyed(docs: DataFrame, id_col: str, text_col: str, *carry: str) -> tuple[DataFrame, DataFrame | None]:
+    """(key, id, text, carried columns) with a key that is unique even where ids repeat or are null.
 
     Where ids are unique, the key is the id. Otherwise the rows are written once
     and numbered by their place in the written table, which does not change
     between reads. The second value is that table, if any.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *carry)
     odd = base.groupBy("id").count().where("count > 1 or id is null").limit(1).count()
     if not odd:
-        return base.select(F.col("id").alias("key"), "id", "text"), None
+        return base.select(F.col("id").alias("key"), "id", "text", *carry), None
     table = materialise(base)
-    return table.select(F.monotonically_increasing_id().alias("key"), "id", "text"), table
+    return table.select(F.monotonically_increasing_id().alias("key"), "id", "text", *carry), table
 
 
 # ------------------------------------------------------------- arrays over text

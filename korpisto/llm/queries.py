@@ -7,7 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from korpisto.llm import op01_packing, op08_pii, op09_token_counts, op10_quality
+from korpisto.llm import (
+    op01_packing,
+    op04_suffix_dedup,
+    op07_substring_dedup,
+    op08_pii,
+    op09_token_counts,
+    op10_quality,
+)
 from korpisto.llm.common import documents, labels
 
 
@@ -15,6 +22,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op01_packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op04_suffix_dedup.suffix_dedup(documents(spark, sf_dir))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op07_substring_dedup.substring_dedup(documents(spark, sf_dir))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_pii.detect(documents(spark, sf_dir))
 
@@ -29,6 +44,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op8_pii, op9_token_counts, op10_quality_rules)
+    f.__name__: f for f in (op1_packing, op4_suffix_dedup, op7_substring_dedup, op8_pii, op9_token_counts, op10_quality_rules)
 }
 ORACLES: dict[str, str] = {}
