@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from korpisto.llm import (
     op01_packing,
     op04_suffix_dedup,
+    op06_near_dedup,
     op07_substring_dedup,
     op08_pii,
     op09_token_counts,
@@ -26,6 +27,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_suffix_dedup.suffix_dedup(documents(spark, sf_dir))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op06_near_dedup.near_dedup(documents(spark, sf_dir))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op07_substring_dedup.substring_dedup(documents(spark, sf_dir))
 
@@ -44,6 +49,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op4_suffix_dedup, op7_substring_dedup, op8_pii, op9_token_counts, op10_quality_rules)
+    f.__name__: f for f in (op1_packing, op4_suffix_dedup, op6_near_dedup, op7_substring_dedup, op8_pii, op9_token_counts, op10_quality_rules)
 }
 ORACLES: dict[str, str] = {}
