@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from korpisto.llm import (
     op01_packing,
+    op02_sentencepiece,
+    op03_fingerprints,
     op04_suffix_dedup,
+    op05_lm_scoring,
     op06_near_dedup,
     op07_substring_dedup,
     op08_pii,
@@ -23,10 +26,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op01_packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op02_sentencepiece.encode_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03_fingerprints.edited_neighbours(documents(spark, sf_dir))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_suffix_dedup.suffix_dedup(documents(spark, sf_dir))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of good quality are the target; labels of every fifth id stay out of the models."""
+    target = labels(spark, sf_dir).where("quality = 1 and doc_id % 5 <> 0")
+    return op05_lm_scoring.cross_entropy_difference(documents(spark, sf_dir), target)
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_near_dedup.near_dedup(documents(spark, sf_dir))
 
@@ -49,6 +66,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op4_suffix_dedup, op6_near_dedup, op7_substring_dedup, op8_pii, op9_token_counts, op10_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_packing, op2_sentencepiece, op3_fingerprints, op4_suffix_dedup, op5_lm_scoring,
+        op6_near_dedup, op7_substring_dedup, op8_pii, op9_token_counts, op10_quality_rules,
+    )
 }
 ORACLES: dict[str, str] = {}
