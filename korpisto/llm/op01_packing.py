@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,34 +36,77 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Token ids of texts, remembered by word.
+    """Token ids of texts, remembered by word and by the letters of a word.
 
     Spaces and line feeds always end a token of the vocabulary used here, so a
-    text's ids are those of its space-separated parts. The memory is emptied at
-    ``keep`` words.
+    text's ids are those of its space-separated parts. Letters and a run of
+    marks behind them are tokens of their own too and case is folded, so most
+    new words are known letters with other marks. Both are checked on a sample
+    when the vocabulary is loaded. Each memory holds up to ``keep`` entries of
+    recent use and as many older ones.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    _CORE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+
+    def __init__(self, path: str, keep: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {"": b""}
-        sample = "Aa b'\n c1"
-        whole = self.tokenizer.encode(sample, add_special_tokens=False).ids
-        self.by_word = whole == sum((self.tokenizer.encode(w, add_special_tokens=False).ids for w in sample.replace("\n", " ").split(" ")), [])
+        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        self.words, self.old_words = {"": b""}, {}
+        self.cores, self.old_cores = {"": b""}, {}
+        sample = ["Aa", "bÉ,", "c1", "D.$", "it's"]
+        whole = self._ids([" ".join(sample), "\n".join(sample)])
+        self.by_word = whole == [b"".join(self._ids(sample))] * 2
+        self.model = self.tokenizer.model
+        self.by_core = self.by_word and self._ids(["bÉ,", "Aac"]) == [b"".join(self._ids(["bé", ","])), self._model_ids("aac")]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _model_ids(self, word: str) -> bytes:
+        """Ids of a word of a-z, which the normaliser and the pre-tokenizer leave as it is."""
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _core(self, core: str) -> bytes:
+        got = self.cores.get(core)
+        if got is None:
+            got = self.old_cores.get(core)
+            if got is None:
+                got = self._model_ids(core) if core.isascii() and core.isalpha() else self._ids([core])[0]
+            self.cores[core] = got
+        return got
+
+    def _learn(self, words: set[str]) -> None:
+        """Put words that are not remembered into the memory."""
+        if len(self.cores) > self.keep:
+            self.cores, self.old_cores = {"": b""}, self.cores
+        known, old, match, core = self.words, self.old_words, self._CORE.fullmatch, self._core
+        whole = []
+        for w in words:
+            got = old.get(w)
+            if got is None:
+                m = match(w) if self.by_core else None
+                if m is None:
+                    whole.append(w)
+                    continue
+                letters, marks = m.groups()
+                got = core(letters.lower()) + core(marks) if marks else core(letters.lower())
+            known[w] = got
+        if whole:
+            known.update(zip(whole, self._ids(whole)))
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for text in texts:
             parts = text.replace("\n", " ").split(" ") if self.by_word else [text]
-            missing = [w for w in set(parts) if w not in self.known]
+            missing = set(parts).difference(self.words)
             if missing:
-                if len(self.known) > self.keep:
-                    self.known = {"": b""}
-                    missing = list(set(parts) - {""})
-                for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                    self.known[w] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join(map(self.known.__getitem__, parts))
+                if len(self.words) > self.keep:
+                    self.words, self.old_words = {"": b""}, self.words
+                    missing = set(parts) - {""}
+                self._learn(missing)
+            yield b"".join(map(self.words.__getitem__, parts))
 
 
 def encoder(path: str) -> WordEncoder:
@@ -74,7 +119,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, id_col: str,
     """doc_id, start, length, ids_crc32, doc_tokens of every piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer), array("I", [end_id]).tobytes()
         for b in batches:
             rows: list[tuple] = []
             for doc, ids in zip(b.column(0).to_pylist(), encode(pc.fill_null(b.column(1), "").to_pylist())):
@@ -168,7 +213,7 @@ def pack(
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
     ranked = (
         rest.withColumn("row", F.row_number().over(within) - 1)
-        .join(bases.select("length", "bucket", "base"), ["length", "bucket"])
+        .join(bases.select("length", "bucket", "base").hint("merge"), ["length", "bucket"])  # grows with the buckets
         .withColumn("rank", F.col("base") + F.col("row"))
     )
     ranges: dict[int, list[tuple]] = {}
