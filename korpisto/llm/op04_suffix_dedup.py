@@ -29,7 +29,7 @@ def _bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return BYTE_CODE[data], offsets
 
 
-def suffix_dedup(docs: DataFrame, *, length: int = 200, gram: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, *, length: int = 200, gram: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def finish(text: bytes, first: np.ndarray, count: np.ndarray) -> tuple:
@@ -40,5 +40,5 @@ def suffix_dedup(docs: DataFrame, *, length: int = 200, gram: int = 32, id_col:
         kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
         return len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()
 
-    rows = rewrite(docs, Search(length, gram, False, _bytes), finish, "n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept_sha256:string", id_col=id_col, text_col=text_col)
+    rows = rewrite(docs, Search(length, gram, max(1, length // 12), False, _bytes), finish, "n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept_sha256:string", id_col=id_col, text_col=text_col)
     return rows.selectExpr("id as doc_id", "done.*")

@@ -41,7 +41,7 @@ def substring_dedup(docs: DataFrame, *, window: int = 50, gram: int = 10, id_col
             kept = words
         return len(words), gone, hashlib.sha256(b" ".join(kept)).hexdigest()
 
-    rows = rewrite(docs, Search(window, gram, True, _words), finish, "n_words:bigint,n_removed:bigint,kept_sha256:string", id_col=id_col, text_col=text_col)
+    rows = rewrite(docs, Search(window, gram, max(1, window // 12), True, _words), finish, "n_words:bigint,n_removed:bigint,kept_sha256:string", id_col=id_col, text_col=text_col)
     return rows.selectExpr("id as doc_id", "done.*")
 
 
@@ -65,7 +65,7 @@ def without_repeats(docs: DataFrame, *, window: int = 50, gram: int = 10, id_col
         np.add.at(drop, to[out], -1)
         return (data[np.cumsum(drop[:-1]) == 0].tobytes().decode(),)
 
-    rows = rewrite(docs, Search(window, gram, True, _words), finish, "text:string", id_col=id_col, text_col=text_col, carry=[*carry, text_col])
+    rows = rewrite(docs, Search(window, gram, max(1, window // 12), True, _words), finish, "text:string", id_col=id_col, text_col=text_col, carry=[*carry, text_col])
     given = F.col("rest").getField(text_col)
     fields = {id_col: F.col("id"), text_col: F.when(given.isNotNull(), F.col("done.text"))}
     return rows.select(*[fields.get(c, F.col("rest").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -9,15 +9,19 @@ have equal anchors. Consecutive windows of one anchor form a run.
 Level 1 sorts runs by (gram bucket, hash of the whole run). Equal neighbours
 decide all windows of a run at once; a run alone in its bucket holds no
 repeated window. Only runs that share their bucket with a different run stay
-open. Level 2 sorts the windows of open runs, and of one representative of each
-run they could meet, by the windows' own hashes. Each level first settles what
-it can inside a batch and sends one representative on, so a key's rows per task
-stay few however often it occurs; sorted rows stream with the state of one row.
+open. Level 2 cuts these into parts of ``part`` windows, at distances from the
+anchor that are the same wherever the windows occur, and sorts the parts in the
+same way: the bucket is now what all windows of such a part have in common,
+nearly a whole window, so few stay open. Level 3 sorts the windows of open
+parts, and of one representative of each part they could meet, by the windows'
+own hashes. Each level first settles what it can inside a batch and sends one
+representative on, so a key's rows per task stay few however often it occurs;
+sorted rows stream with the state of one row.
 
 At the edge of a range partition a run's neighbours are unknown. It then stays
-open, which costs work but never a result: level 2 is exact for what it gets.
+open, which costs work but never a result: level 3 is exact for what it gets.
 
-Symbols and windows are compared by 64-bit hashes (level 1 by two of them).
+Symbols and windows are compared by 64-bit hashes (levels 1 and 2 by two of them).
 """
 
 from __future__ import annotations
@@ -43,19 +47,20 @@ class Search:
 
     window: int
     gram: int
+    part: int
     first_stays: bool
     symbols: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def anchored_runs(search: Search, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, first window within it, windows, bucket, run hash) of all runs."""
+    """(text, first window within it, windows, bucket, run hash, anchor within the text) of all runs."""
     n, w, g = len(codes), search.window, search.gram
     empty = np.zeros(0, np.int64)
     if n < w:
-        return empty, empty, empty, empty.astype(U64), empty.astype(U64)
+        return empty, empty, empty, empty.astype(U64), empty.astype(U64), empty
     p = prefix(codes)
     at = np.arange(n - g + 1)
-    bits = U64(max(24, int(n).bit_length()))
+    bits = U64(32)  # the same for all texts, or equal windows might have different anchors
     low = ((spans(p, at, at + g) >> bits) << bits) | at.astype(U64)
     size, need = 1, w - g + 1  # sliding minimum over ``need`` grams by doubling
     while size * 2 <= need:
@@ -77,7 +82,7 @@ def anchored_runs(search: Search, codes: np.ndarray, offsets: np.ndarray) -> tup
     first, last = np.flatnonzero(new), np.flatnonzero(stop)
     text = np.searchsorted(offsets, first, "right") - 1
     a = anchor[first]
-    return text, first - offsets[text], last - first + 1, spans(p, a, a + g), spans(p, first, last + w)
+    return text, first - offsets[text], last - first + 1, spans(p, a, a + g), spans(p, first, last + w), a - offsets[text]
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -100,40 +105,87 @@ RUN = "a long, s long, ord long, key long, first int, n int, kind int"
 WINDOWS = "h long, ord long, key long, first int, kind int"
 
 
+def _sent(search: Search, key: np.ndarray, order: np.ndarray, found: list[tuple], witness: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows of level 1 or 2 from (text, first, n, a, s) of a batch, decided within the batch where possible.
+
+    kind: 0 to compare, 1 settled here, 2 known to repeat and sent on for others.
+    """
+    text, first, n, a, s = (np.concatenate(c) for c in zip(*found))
+    known = np.zeros(len(text), bool) if witness is None else witness
+    sort = np.lexsort((first, text, order[text], s, a))
+    text, first, n, a, s, known = (c[sort] for c in (text, first, n, a, s, known))
+    new = _groups(a, s)
+    kind = np.zeros(len(a), np.int32)
+    if search.first_stays:
+        kind[order[text] > order[text][_first_of(new)]] = 1
+    elif len(a):
+        group = np.cumsum(new) - 1
+        kind[~new] = 1
+        kind[new] = np.where((np.bincount(group) > 1) | (np.bincount(group, known) > 0), 2, 0)
+    spread = mix(key[text].astype(U64) * U64(0x9E3779B97F4A7C15) + first.astype(U64))
+    a = np.where(kind == 1, spread, a)
+    return _batch(["a", "s", "ord", "key", "first", "n", "kind"], a.view(np.int64), s.view(np.int64), order[text], key[text], first.astype(np.int32), n.astype(np.int32), kind)
+
+
 def _runs_of(search: Search) -> Callable:
-    """Level 1, map side. kind: 0 to compare, 1 settled here, 2 known to repeat and sent on for others."""
+    """Level 1, map side."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key, order = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             found = []
             for begin, _, data, offsets in text_chunks(b.column(2)):
-                text, *rest = anchored_runs(search, *search.symbols(data, offsets))
+                text, *rest = anchored_runs(search, *search.symbols(data, offsets))[:5]
                 found.append((text + begin, *rest))
-            if not found:
-                continue
-            text, first, n, a, s = (np.concatenate(c) for c in zip(*found))
-            sort = np.lexsort((first, text, order[text], s, a))
-            text, first, n, a, s = (c[sort] for c in (text, first, n, a, s))
-            new = _groups(a, s)
-            kind = np.zeros(len(a), np.int32)
-            if search.first_stays:
-                kind[order[text] > order[text][_first_of(new)]] = 1
-            else:
-                kind[~new] = 1
-                several = new.copy()
-                several[:-1] &= ~new[1:]
-                several[-1:] = False
-                kind[several] = 2
-            spread = mix(key[text].astype(U64) * U64(0x9E3779B97F4A7C15) + first.astype(U64))
-            a = np.where(kind == 1, spread, a)
-            yield _batch(["a", "s", "ord", "key", "first", "n", "kind"], a.view(np.int64), s.view(np.int64), order[text], key[text], first.astype(np.int32), n.astype(np.int32), kind)
+            if found:
+                yield _sent(search, key, order, found)
+
+    return scan
+
+
+def _parts_of(search: Search) -> Callable:
+    """Level 2, map side: the parts of open runs and of witnesses."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = search.part
+        for b in batches:
+            key, order = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            at, (first_of, _, state_of) = _lists(b.column(3))
+            owner = np.repeat(np.arange(len(b)), np.diff(at))
+            asked = np.flatnonzero(state_of != SETTLED)
+            place = (owner[asked].astype(np.int64) << 32) | first_of[asked]
+            asked = asked[np.argsort(place)]
+            place = np.sort(place)
+            found, witness = [], []
+            for begin, _, data, offsets in text_chunks(b.column(2)):
+                codes, starts = search.symbols(data, offsets)
+                text, first, n, _, _, x = anchored_runs(search, codes, starts)
+                mine = ((text + begin).astype(np.int64) << 32) | first
+                hit = np.minimum(np.searchsorted(place, mine), max(len(place) - 1, 0))
+                chosen = np.flatnonzero(place[hit] == mine) if len(place) else np.zeros(0, np.int64)
+                if not len(chosen):
+                    continue
+                state = state_of[asked[hit[chosen]]]
+                text, first, n, x = (c[chosen] for c in (text, first, n, x))
+                far, near = (x - first) // m, (x - first - n + 1) // m  # classes of distance from the anchor
+                count = far - near + 1
+                run = np.repeat(np.arange(len(text)), count)
+                k = far[run] - (np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count))
+                low = np.maximum(first[run], x[run] - (k + 1) * m + 1)
+                high = np.minimum(first[run] + n[run] - 1, x[run] - k * m)
+                base = starts[text[run]]
+                p = prefix(codes)
+                common = spans(p, base + x[run] - k * m, base + x[run] - (k + 1) * m + 1 + search.window) ^ mix(k.astype(U64) + U64(1))
+                found.append((text[run] + begin, low, high - low + 1, common, spans(p, base + low, base + high + search.window)))
+                witness.append(state[run] == WITNESS)
+            if found:
+                yield _sent(search, key, order, found, np.concatenate(witness))
 
     return scan
 
 
 def _settle(search: Search) -> Callable:
-    """Level 1, over runs sorted by (a, s, ord): key, first, n, state."""
+    """Levels 1 and 2, over rows sorted by (a, s, ord): key, first, n, state."""
     names = ["key", "first", "n", "state"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +262,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def _windows_of(search: Search) -> Callable:
-    """Level 2, map side. kind: 0 to compare, 1 repeated, 2 repeated and sent on for others, 3 only for others."""
+    """Level 3, map side. kind: 0 to compare, 1 repeated, 2 repeated and sent on for others, 3 only for others."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -251,7 +303,7 @@ def _windows_of(search: Search) -> Callable:
 
 
 def _decide(search: Search) -> Callable:
-    """Level 2, over windows sorted by (h, ord): key and first of the repeated ones."""
+    """Level 3, over windows sorted by (h, ord): key and first of the repeated ones."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row, whose successor is unknown: h, key, first, kind, repeated
@@ -313,8 +365,13 @@ def rewrite(
     parts = shuffle_partitions(spark)
     runs = base.select("key", "ord", "text").mapInArrow(_runs_of(search), RUN)
     order = ["a", "s", "ord", "key"]
-    settled = runs.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_settle(search), "key long, first int, n int, state int")
-    lists = settled.groupBy("key").agg(F.collect_list(F.struct("first", "n", "state")).alias("runs"))
+
+    def settled(rows: DataFrame, name: str) -> DataFrame:
+        """Decided rows as one list a key."""
+        done = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_settle(search), "key long, first int, n int, state int")
+        return done.groupBy("key").agg(F.collect_list(F.struct("first", "n", "state")).alias(name))
+
+    lists = settled(runs, "runs")
     joined = base.join(lists, "key", "left").select("key", "ord", "text", "runs", "id", "rest")
     rest_type = with_rest.schema["rest"].dataType.simpleString()
     out_type = f"struct<{result}>"
@@ -353,7 +410,9 @@ def rewrite(
 
     runs_type = "array<struct<first:int,n:int,state:int>>"
     table = materialise(joined.mapInArrow(first_pass, f"key long, ord long, text string, runs {runs_type}, id long, rest {rest_type}, done {out_type}, needed boolean, opened boolean"))
-    windows = table.where("needed").select("key", "ord", "text", "runs").mapInArrow(_windows_of(search), WINDOWS)
+    needed = table.where("needed").select("key", "ord", "text", "runs")
+    pieces = settled(needed.mapInArrow(_parts_of(search), RUN), "parts")
+    windows = needed.join(pieces, "key").where(F.exists("parts", lambda p: p.state != SETTLED)).select("key", "ord", "text", "parts").mapInArrow(_windows_of(search), WINDOWS)
     repeated = windows.repartition(parts, "h").sortWithinPartitions("h", "ord").mapInArrow(_decide(search), "key long, first int")
     places = repeated.groupBy("key").agg(F.collect_list("first").alias("places"))
 
@@ -362,17 +421,20 @@ def rewrite(
             at, fields = _lists(b.column(1))
             first, n, state = fields
             to, (place,) = _lists(b.column(4))
+            pat, got = _lists(b.column(5))
+            pfirst, pn, pstate = got if len(got) == 3 else (np.zeros(0, np.int64),) * 3
             firsts, counts = [], []
             for i in range(len(b)):
                 own = slice(at[i], at[i + 1])
                 known = state[own] != OPEN
-                single = place[to[i] : to[i + 1]]
-                firsts.append(np.concatenate([first[own][known], single]))
-                counts.append(np.concatenate([n[own][known], np.ones(len(single), np.int64)]))
+                single, piece = place[to[i] : to[i + 1]], slice(pat[i], pat[i + 1])
+                sure = pstate[piece] != OPEN
+                firsts.append(np.concatenate([first[own][known], pfirst[piece][sure], single]))
+                counts.append(np.concatenate([n[own][known], pn[piece][sure], np.ones(len(single), np.int64)]))
             rows = finished(b.column(0).to_pylist(), firsts, counts)
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), pa.array(rows, arrow_out)], names=["id", "rest", "done"])
 
-    late = table.where("opened").join(places, "key", "left").select("text", "runs", "id", "rest", "places").mapInArrow(second_pass, f"id long, rest {rest_type}, done {out_type}")
+    late = table.where("opened").join(pieces, "key", "left").join(places, "key", "left").select("text", "runs", "id", "rest", "places", "parts").mapInArrow(second_pass, f"id long, rest {rest_type}, done {out_type}")
     return table.where("not opened").select("id", "rest", "done").unionByName(late)
 
 
