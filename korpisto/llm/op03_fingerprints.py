@@ -3,10 +3,10 @@
 The lexicon is the terms whose document frequency lies between ``rarest`` and
 ``commonest`` of all documents, at most ``LEXICON`` of them: where there are
 more, the band's rare end moves up by eighths of an octave. It reaches the rows
-as a constant of that bounded size, a hash table in two arrays.
+as a constant of that bounded size, a hash table in an array.
 
 A document's distinct lexicon terms are sorted; each of ``SEEDS`` random lexicon
-subsets per level keeps a share of the lexicon (a quarter, a sixteenth, ...),
+subsets, on each of ``LEVELS`` levels, keeps a share of the lexicon (a quarter, a sixteenth, ...),
 and the kept terms are hashed together. The fingerprint is all these hashes, a
 row of marks for an empty subset. A document without lexicon terms is
 fingerprinted by all of its terms. Likeness is the share of equal hashes on the
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from korpisto.llm.common import materialise, shuffle_partitions
 
-LEXICON, BUCKETS, SEEDS, LEVELS = 65536, 65536, 24, 4
+LEXICON, SEEDS, LEVELS = 65536, 16, 4  # SEEDS * LEVELS / 2 bits of a term are used
 _WHITE = "[\\x20\\x09-\\x0D]+"
 _NONE = "......"
 
@@ -39,8 +39,8 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, text_col: str, rarest: float, commonest: float) -> tuple[Column, Column]:
-    """Constants (where each bucket starts, the terms by bucket)."""
+def lexicon(docs: DataFrame, text_col: str, rarest: float, commonest: float) -> tuple[Column, int]:
+    """The lexicon as a constant hash table, with its size."""
     total = docs.count()
     df = materialise(
         docs.select(F.explode(terms(F.col(text_col))).alias("term")).groupBy("term").count()
@@ -53,52 +53,61 @@ def lexicon(docs: DataFrame, text_col: str, rarest: float, commonest: float) ->
             break
         least, held = r.step, held + r.n
     kept = [r.term for r in df.where(F.floor(F.log2("count") * 8) >= least).select("term").collect()]  # at most LEXICON
-    kept.sort(key=lambda t: (t % BUCKETS, t))
-    starts = [0] * (BUCKETS + 1)
-    for t in kept:
-        starts[t % BUCKETS + 1] += 1
-    for k in range(BUCKETS):
-        starts[k + 1] += starts[k]
-    return _constant(starts, "array<int>"), _constant(kept, "array<bigint>")
+    return _table([t for t in kept if t])
 
 
-def _constant(values: list[int], kind: str) -> Column:
-    """An array that the optimizer folds into one constant."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(kind) if values else F.array().cast(kind)
+def _places(term: int, size: int) -> tuple[int, int]:
+    return term & (size - 1), (term >> 20) & (size - 1)
 
 
-def known(term: Column, table: tuple[Column, Column]) -> Column:
-    """Whether the term is in the lexicon: its bucket's stretch of the array holds it."""
-    starts, held = table
-    bucket = F.pmod(term, F.lit(BUCKETS)).cast("int")
-    first = F.element_at(starts, bucket + 1)
-    return F.array_contains(F.slice(held, first + 1, F.element_at(starts, bucket + 2) - first), term)
+def _table(terms_: list[int], size: int = 1 << 18) -> tuple[Column, int]:
+    """A cuckoo hash table: each term is at one of its two places, 0 elsewhere."""
+    table = [0] * size
+    for term in terms_:
+        at = _places(term, size)[0]
+        for _ in range(500):
+            term, table[at] = table[at], term
+            if not term:
+                break
+            first, second = _places(term, size)
+            at = second if at == first else first
+        else:
+            return _table(terms_, size * 2)
+    # the optimizer folds this into one constant array
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>"), size
 
 
-def _thinned(held: Column, seed: Column, shift: int) -> Column:
-    """The terms whose hash for this seed has two zero bits at ``shift``: a quarter."""
-    return F.filter(held, lambda t: F.shiftright(F.xxhash64(t, seed), shift).bitwiseAND(F.lit(3)) == 0)
+def known(term: Column, table: tuple[Column, int]) -> Column:
+    """Whether the term is in the lexicon."""
+    held, size = table
+    mask = F.lit(size - 1).cast("long")
+    first, second = term.bitwiseAND(mask), F.shiftright(term, 20).bitwiseAND(mask)
+    return (F.get(held, first.cast("int")) == term) | (F.get(held, second.cast("int")) == term)
 
 
-def _thinner(level: str, shift: int) -> Column:
-    return F.transform(level, lambda held, seed: _thinned(held, seed, shift))
+def _thinned(held: Column, subset: int, level: int) -> Column:
+    """A quarter of the terms: those with this subset's value in two bits, others for each group and level.
+
+    Terms are hashes, so their own bits are the random choice.
+    """
+    shift = 2 * ((level - 1) * (SEEDS // 4) + subset // 4)
+    return F.filter(held, lambda t: F.shiftright(t, shift).bitwiseAND(F.lit(3).cast("long")) == subset % 4)
 
 
-def hashes(text: Column, table: tuple[Column, Column]) -> list[tuple[str, Column]]:
+def hashes(text: Column, table: tuple[Column, int]) -> list[tuple[str, Column]]:
     """Steps (name, expression) from a text to the array ``out`` of SEEDS * LEVELS hashes."""
     steps = [("t_all", terms(text))]
     steps.append(("t_known", F.filter("t_all", lambda t: known(t, table))))
     steps.append(("t_0", F.array_sort(F.when(F.size("t_known") > 0, F.col("t_known")).otherwise(F.col("t_all")))))
-    seeds = F.sequence(F.lit(0), F.lit(SEEDS - 1))
-    steps.append(("t_1", F.transform(seeds, lambda i: _thinned(F.col("t_0"), i, 0))))
-    for level in range(2, LEVELS + 1):
-        steps.append((f"t_{level}", _thinner(f"t_{level - 1}", 2 * (level - 1))))
+    for level in range(1, LEVELS + 1):
+        whole = [F.col("t_0") if level == 1 else F.get(f"t_{level - 1}", k) for k in range(SEEDS)]
+        steps.append((f"t_{level}", F.array(*[_thinned(held, k, level) for k, held in enumerate(whole)])))
     named = [F.transform(f"t_{level}", lambda s: F.when(F.size(s) == 0, F.lit(_NONE)).otherwise(F.lower(F.lpad(F.hex(F.xxhash64(s).bitwiseAND(F.lit(0xFFFFFF))), 6, "0")))) for level in range(1, LEVELS + 1)]
     steps.append(("out", F.concat(*named)))
     return steps
 
 
-def with_hashes(df: DataFrame, text: str, table: tuple[Column, Column], name: str) -> DataFrame:
+def with_hashes(df: DataFrame, text: str, table: tuple[Column, int], name: str) -> DataFrame:
     keep = df.columns
     for step, expression in hashes(F.col(text), table):
         df = df.withColumn(step, expression)
