@@ -11,7 +11,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +19,7 @@ from korpisto.operators.evaluation import UPOS_OF_CLASS
 from korpisto.operators.readings import ATTRIBUTES, READING
 
 Reading = dict[str, str]
+_ARROW_READING = pa.struct([(a, pa.string()) for a in ATTRIBUTES])
 
 # Classes, the context rules in their order, and bigram weights.
 N, V, A, ADV, PRON, NUM, ADP, NA = "nimisana", "teonsana", "laatusana", "seikkasana", "asemosana", "lukusana", "suhdesana", "nimisana_laatusana"
@@ -202,17 +203,18 @@ def _weight(r: Reading) -> float:
 
 
 def _clean(sentence) -> list[list[Reading]]:
-    return [[{k: v for k, v in (r if isinstance(r, dict) else r.asDict()).items() if v is not None} for r in (readings if readings is not None else ())] for readings in sentence]
+    return [[{k: v for k, v in r.items() if v is not None} for r in (readings if readings is not None else ())] for readings in sentence]
 
 
 def disambiguate(df: DataFrame, words: str, readings: str, name: str = "best", tagger: Tagger | None = None) -> DataFrame:
     """The input with one reading (or null) a word, from an array of words and an array of their readings."""
     made = tagger or Tagger()
 
-    @F.pandas_udf(f"array<{READING}>")
-    def decode(ws: pd.Series, rs: pd.Series) -> pd.Series:
+    @F.arrow_udf(f"array<{READING}>")
+    def decode(ws: pa.Array, rs: pa.Array) -> pa.Array:
         full = lambda r: None if r is None else {a: r.get(a) for a in ATTRIBUTES}
-        return pd.Series([[full(r) for r in made.decode(list(w), _clean(s))] if w is not None and s is not None else None for w, s in zip(ws, rs)])
+        rows = [[full(r) for r in made.decode(w, _clean(s))] if w is not None and s is not None else None for w, s in zip(ws.to_pylist(), rs.to_pylist())]
+        return pa.array(rows, pa.list_(_ARROW_READING))
 
     return df.withColumn(name, decode(F.col(words), F.col(readings)))
 
@@ -220,10 +222,11 @@ def disambiguate(df: DataFrame, words: str, readings: str, name: str = "best", t
 def pruned(df: DataFrame, readings: str, name: str = "pruned", rules: tuple = RULES) -> DataFrame:
     """The input with the readings that the context rules leave."""
 
-    @F.pandas_udf(f"array<array<{READING}>>")
-    def cut(rs: pd.Series) -> pd.Series:
+    @F.arrow_udf(f"array<array<{READING}>>")
+    def cut(rs: pa.Array) -> pa.Array:
         full = lambda r: {a: r.get(a) for a in ATTRIBUTES}
-        return pd.Series([[[full(r) for r in x] for x in prune(_clean(s), rules)] if s is not None else None for s in rs])
+        rows = [[[full(r) for r in x] for x in prune(_clean(s), rules)] if s is not None else None for s in rs.to_pylist()]
+        return pa.array(rows, pa.list_(pa.list_(_ARROW_READING)))
 
     return df.withColumn(name, cut(F.col(readings)))
 

@@ -87,10 +87,8 @@ def words_with_context(token_array: Column, text: Column, readings: Column | Non
     words = F.filter(token_array, lambda t: t["type"] == "WORD")
 
     def build(ws: Column) -> Column:
-        before = F.concat(F.array(F.lit(None).cast("struct<type:string,text:string,len:int,pos:int,byte_start:int,byte_end:int>")), ws)
-
         def one(w: Column, i: Column) -> Column:
-            p = F.get(before, i)
+            p = F.get(ws, i - 1)
             from_ = F.coalesce(p.pos + p.len, F.lit(0))
             fields = [
                 w.text.alias("text"), F.lower(w.text).alias("low"), w.byte_start.alias("start"), w.byte_end.alias("end"),
@@ -256,15 +254,18 @@ def grammar_check(
     chosen = set(rules)
     body = F.coalesce(F.col(text), F.lit(""))
     known = F.col(readings) if readings else None
-    df = df.withColumn("_tokens", tokens(body))
-    df = df.withColumn("_words", words_with_context(F.col("_tokens"), body, known))
-    found = [_word_rules(F.col("_words"), chosen, readings is not None, cases), _token_rules(F.col("_tokens"), chosen)]
-    if "DOUBLE_NEGATION" in chosen:
-        found.append(_double_negation(F.col("_words")))
-    if "QUOTATION_MARK_ERROR" in chosen:
-        found.append(_quotes(F.col("_tokens")))
-    if "MISSING_MAIN_VERB" in chosen and readings:
-        found.append(_main_verbs(F.col("_words"), body))
     place = F.create_map(*[x for i, r in enumerate(RULES) for x in (F.lit(r), F.lit(i))])
-    order = F.transform(F.concat(*found), lambda f: F.struct(f.start.alias("start"), f.end.alias("end"), F.element_at(place, f.code).alias("rule"), f.alias("finding")))
-    return df.withColumn(name, F.transform(F.array_sort(order), lambda o: o.finding)).drop("_tokens", "_words")
+
+    def found(token_array: Column, words: Column) -> Column:
+        parts = [_word_rules(words, chosen, readings is not None, cases), _token_rules(token_array, chosen)]
+        if "DOUBLE_NEGATION" in chosen:
+            parts.append(_double_negation(words))
+        if "QUOTATION_MARK_ERROR" in chosen:
+            parts.append(_quotes(token_array))
+        if "MISSING_MAIN_VERB" in chosen and readings:
+            parts.append(_main_verbs(words, body))
+        order = F.transform(F.concat(*parts), lambda f: F.struct(f.start.alias("start"), f.end.alias("end"), F.element_at(place, f.code).alias("rule"), f.alias("finding")))
+        return F.transform(F.array_sort(order), lambda o: o.finding)
+
+    # Tokens and words are bound within the expression: a column of their own could be drawn into every use.
+    return df.withColumn(name, let(tokens(body), lambda t: let(words_with_context(t, body, known), lambda w: found(t, w))))

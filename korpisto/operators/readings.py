@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -481,17 +481,17 @@ def analyzer(data: bytes):
     ship(spark)
     shared, mark = spark.sparkContext.broadcast(data), uuid.uuid4().hex
 
-    @F.pandas_udf(f"array<{READING}>")
-    def readings(words: pd.Series) -> pd.Series:
+    @F.arrow_udf(f"array<{READING}>")
+    def readings(words: pa.Array) -> pa.Array:
         if mark not in _dictionaries:
             _dictionaries[mark] = Dictionary(shared.value)
         d, known = _dictionaries[mark], {}
         out = []
-        for w in words:
+        for w in words.to_pylist():
             if w not in known:
                 known[w] = [{a: r.get(a) for a in ATTRIBUTES} for r in analyze(d, w)] if w else []
             out.append(known[w])
-        return pd.Series(out)
+        return pa.array(out, pa.list_(pa.struct([(a, pa.string()) for a in ATTRIBUTES])))
 
     return readings
 
