@@ -7,6 +7,7 @@ of the input, whatever their names, can't clash with the columns it returns.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -46,6 +47,9 @@ def _shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_written: dict[int, tuple] = {}
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -59,14 +63,20 @@ def materialise(df: DataFrame) -> DataFrame:
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.deleteOnExit(jvm_path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._korpisto_path = (fs, jvm_path)
+    _written[id(out)] = (fs, jvm_path)
     return out
 
 
 def drop(df: DataFrame) -> None:
-    """Delete a table of ``materialise`` that no later step reads."""
-    fs, path = df._korpisto_path
+    """Delete a table of ``materialise`` that no later step reads.
+
+    Shuffle files go once the driver's objects for them are collected, which
+    long jobs of many steps ask for here.
+    """
+    fs, path = _written.pop(id(df))
     fs.delete(path, True)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, *carry: str) -> tuple[DataFrame, DataFrame | None]:

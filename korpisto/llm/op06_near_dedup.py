@@ -9,10 +9,12 @@ two sets about as often as the sets' likeness.
 
 1. Equal sets collapse to one representative each.
 2. Bands of registers are keys. Of each bucket only pairs with its lowest member
-   are made first. Buckets that then still hold several components are searched
-   again: small ones pair by pair across components, large ones from growing
-   numbers of pivots until every pair of different components is decided, so a
-   group of copies costs a few pairs a member and no bucket is cut short.
+   are made first, so a group of copies costs a pair a member. Of each bucket
+   that then still holds several components, the member whose shingles are the
+   most common ones is compared with the rest. For what is left open an exact
+   join follows: two sets as alike as the threshold share one of their rarest
+   shingles, the first ``n - overlap + 1`` by frequency, where the overlap follows from both
+   sizes, so only members of different components that share one are paired.
 3. The joint likelihood of two sketches, given the exact sizes, estimates the
    likeness; pairs far below the threshold end there.
 4. The rest is verified on the full sets of both texts.
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from korpisto.llm.common import BYTE_CODE, U64, drop, keyed, materialise, mix, prefix, shuffle_partitions, spans, text_chunks, words_of
@@ -37,7 +39,6 @@ from korpisto.llm.common import BYTE_CODE, U64, drop, keyed, materialise, mix, p
 BANDS, ROWS = 52, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65534
-SMALL = 32
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _FACTORS = (np.random.default_rng(11).integers(0, 1 << 31, REGISTERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -123,7 +124,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(percent: int):
-    """Sorted by (band, key): each member with the lowest of its bucket, where sizes allow a link."""
+    """Sorted by (band, key): each member with the lowest of its bucket, and whether sizes allow a link."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -138,8 +139,19 @@ def _stars(percent: int):
             a = np.where(lead >= 0, key[np.maximum(lead, 0)], held[1] if held else 0)
             na = np.where(lead >= 0, n[np.maximum(lead, 0)], held[2] if held else 0)
             held = (band[-1], a[-1], na[-1])
-            ok = ~new & (100 * np.minimum(n, na) >= percent * np.maximum(n, na))
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(key[ok])], names=["a", "b"])
+            fits = 100 * np.minimum(n, na) >= percent * np.maximum(n, na)
+            yield pa.RecordBatch.from_arrays([pa.array(a[~new]), pa.array(key[~new]), pa.array(fits[~new])], names=["a", "b", "fits"])
+
+    return scan
+
+
+def _shingle_rows(size: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b.column(0).to_numpy(zero_copy_only=False)
+            for first, _, data, offsets in text_chunks(b.column(1)):
+                owner, h = shingles(data, offsets, size)
+                yield pa.RecordBatch.from_arrays([pa.array(key[first + owner]), pa.array(h.view(np.int64))], names=["key", "h"])
 
     return scan
 
@@ -196,15 +208,25 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _wider(active: DataFrame, pivots: int, turn: int, percent: int) -> DataFrame:
-    """Pairs of different labels in buckets of several labels: all in small ones, from ``pivots`` members in large ones."""
-    kinds = active.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("members")).where("l0 < l1")
-    rows = active.join(kinds.select("band", "members"), "band")
-    order = F.pmod(F.xxhash64("key", F.lit(turn)), F.greatest(F.col("members"), F.lit(1)))  # about one member a value
-    heads = rows.where((F.col("members") <= SMALL) | (order < pivots)).select("band", F.col("key").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    pairs = rows.join(heads, "band").where("label <> la and (members > %d or a < key)" % SMALL)
-    pairs = pairs.where(f"100 * least(n, na) >= {percent} * greatest(n, na)")
-    return pairs.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
+def _several(rows: DataFrame) -> DataFrame:
+    """The rows of buckets with more than one label, with the bucket's members and least size."""
+    kinds = rows.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("members"), F.min("n").alias("least")).where("l0 < l1")
+    return rows.join(kinds.select("band", "members", "least"), "band")
+
+
+def _across(rows: DataFrame, heads: DataFrame, on: str, percent: int, once: bool = False) -> DataFrame:
+    """Pairs of different labels with one value of ``on`` whose sizes allow a link.
+
+    ``once``: both sides are the same rows, of shingles at a ``place`` in their
+    set's order; the first shingle that a pair shares has places low enough for
+    the overlap that its sizes ask for.
+    """
+    heads = heads.select(on, F.col("key").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), *([F.col("place").alias("pa")] if once else []))
+    fits = (F.col("label") != F.col("la")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na"))
+    if once:
+        common = F.ceil(percent * (F.col("n") + F.col("na")) / (100 + percent))  # the least overlap of such a pair
+        fits &= (F.col("a") < F.col("key")) & (F.col("place") <= F.col("n") - common + 1) & (F.col("pa") <= F.col("na") - common + 1)
+    return rows.join(heads, on).where(fits).select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
 
 
 def classes(base: DataFrame, *, size: int = 5, percent: int = 75) -> DataFrame:
@@ -213,49 +235,61 @@ def classes(base: DataFrame, *, size: int = 5, percent: int = 75) -> DataFrame:
     sketches = materialise(base.select("key", "text").mapInArrow(_sketch(size), "key long, n long, low long, high long, regs binary"))
     filled = sketches.where("n > 0")
     groups = filled.groupBy("low", "high").agg(F.min("key").alias("rep"))
-    members = materialise(sketches.select("key", "n", "low", "high").join(groups, ["low", "high"], "left").select("key", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("key")).alias("rep")))
+    members = materialise(sketches.select("key", "n", "low", "high").join(groups.hint("merge"), ["low", "high"], "left").select("key", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("key")).alias("rep")))
     chosen = members.where("n > 0 and key = rep").select("key")
-    reps = materialise(filled.select("key", "n", "regs").join(chosen, "key", "left_semi"))
+    reps = materialise(filled.select("key", "n", "regs").join(chosen.hint("merge"), "key", "left_semi"))
     drop(sketches)
 
-    # Pairs with the lowest member of each bucket.
-    band_rows = reps.withColumn("label", F.col("key")).select("key", "n", "regs", "label").mapInArrow(_bands, "band long, key long, n long, label long")
-    pairs = band_rows.select("band", "key", "n").repartition(parts, "band").sortWithinPartitions("band", "key").mapInArrow(_stars(percent), "a long, b long")
+    # Pairs with the lowest member of each bucket, and the texts of all who share one.
+    band_type = "band long, key long, n long, label long"
+    rows = reps.withColumn("label", F.col("key")).select("key", "n", "regs", "label").mapInArrow(_bands, band_type)
+    stars = materialise(rows.select("band", "key", "n").repartition(parts, "band").sortWithinPartitions("band", "key").mapInArrow(_stars(percent), "a long, b long, fits boolean").distinct())
+    sharing = stars.select(F.col("a").alias("key")).union(stars.select("b")).distinct()
+    texts = materialise(base.select("key", "text").join(sharing.hint("merge"), "key", "left_semi"))  # keys grow with the corpus
     least = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
-    texts = base.select("key", "text")
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = reps.select("key", "n", "regs")
         first = side.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
         second = side.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-        likely = materialise(pairs.distinct().join(first, "a").join(second, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimate(least), "a long, b long"))
-        needed = likely.select(F.col("a").alias("key")).union(likely.select("b")).distinct()
-        own = materialise(texts.join(needed, "key", "left_semi"))
-        with_b = likely.join(own.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-        with_both = with_b.join(own.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-        links = materialise(with_both.mapInArrow(_verify(size, percent), "a long, b long"))
-        drop(likely)
-        drop(own)
-        return links
-
-    links = verified(pairs)
+        likely = pairs.distinct().hint("merge").join(first, "a").hint("merge").join(second, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimate(least), "a long, b long")
+        with_b = likely.hint("merge").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+        with_both = with_b.hint("merge").join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+        return materialise(with_both.mapInArrow(_verify(size, percent), "a long, b long"))
+
+    links = verified(stars.where("fits").select("a", "b"))
     labels = components(links)
-    pivots, turn, tried = 8, 1, None
-    while True:
+    drop(stars)
+
+    # The most usual member of each open bucket, then all pairs that share a rare shingle.
+    def opened() -> DataFrame:
         known = reps.join(labels, "key", "left").select("key", "n", "regs", F.coalesce("label", "key").alias("label"))
-        active = known.mapInArrow(_bands, "band long, key long, n long, label long")
-        kinds = active.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("members")).where("l0 < l1")
-        open_ = materialise(active.join(kinds.select("band", "members"), "band"))
-        largest = open_.agg(F.max("members")).collect()[0][0] or 0
-        if not largest or (tried is not None and largest <= SMALL) or (tried is not None and tried >= largest):
-            drop(open_)
-            break
-        pairs = _wider(open_.drop("members"), pivots, turn, percent)
-        more = verified(pairs)
-        links = links.union(more)
-        labels = components(links)
-        drop(open_)
-        tried, pivots, turn = pivots, pivots * 8, turn + 1
+        return materialise(_several(known.mapInArrow(_bands, band_type)).select("band", "key", "n", "label"))
+
+    open_ = opened()
+    owners = texts.join(open_.select("key").distinct(), "key", "left_semi").mapInArrow(_shingle_rows(size), "key long, h long")
+    held = owners.groupBy("h").agg(F.count("*").alias("held"))
+    shared = owners.join(held, "h").select("key", "h", "held")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("held", "h"))
+    total = F.sum(F.log2("held")).over(Window.partitionBy("key"))
+    size_of = F.count("*").over(Window.partitionBy("key"))
+    ranked = shared.select("key", "h", place.alias("place"), size_of.alias("n"), total.alias("usual"))
+    rare = materialise(ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).withColumn("usual", F.col("usual") / F.col("n")))
+    usual = rare.where("place = 1").select("key", "usual")
+    best = open_.join(usual, "key").groupBy("band").agg(F.max_by("key", F.struct("usual", -F.col("key"))).alias("key"))
+    links = links.union(verified(_across(open_, open_.join(best, ["band", "key"], "left_semi"), "band", percent)))
+    labels = components(links)
+    drop(open_)
+    open_ = opened()
+    left = open_.select("key", "label").distinct()
+    posts = rare.select("h", "key", "n", "place").join(left, "key")
+    several = posts.groupBy("h").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("h")
+    posts = posts.join(several, "h", "left_semi")
+    pairs = _across(posts, posts, "h", percent, once=True)
+    links = links.union(verified(pairs))
+    labels = components(links)
+    for table in (open_, rare, texts):
+        drop(table)
     return members.join(labels.withColumnRenamed("key", "rep"), "rep", "left").select("key", "n", F.coalesce("label", "rep").alias("component"))
 
 
