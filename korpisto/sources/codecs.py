@@ -99,3 +99,68 @@ class TaggerModel:
         """(feature, class, weight) of non-zero weights."""
         rows = [(f, c, float(self.weights[k, i]) * self.scale) for f, i in self.features.items() for k, c in enumerate(self.classes) if self.weights[k, i]]
         return spark.createDataFrame(rows, "feature string, class string, weight double").where(F.col("weight") != 0)
+
+
+# ---------------------------------------------------------------- succinct tries
+TRIE_MAGIC = b"MCT1"
+
+
+def _bits(flags: list[bool]) -> bytes:
+    """Length, words of 64 bits from the lowest, and the ones before each word."""
+    packed = np.packbits(np.array(flags, np.uint8), bitorder="little") if flags else np.zeros(0, np.uint8)
+    words = np.frombuffer(packed.tobytes() + b"\0" * (-len(packed) % 8), "<u8")
+    ones = [bin(int(w)).count("1") for w in words]
+    ranks = np.concatenate([[0], np.cumsum(ones)]).astype("<u4")
+    return struct.pack("<QQ", len(flags), len(words)) + words.tobytes() + ranks.tobytes()
+
+
+def _read_bits(data: bytes, at: int) -> tuple[list[bool], int]:
+    n, words = struct.unpack_from("<QQ", data, at)
+    end = at + 16 + 8 * words
+    if end + 4 * (words + 1) > len(data) or n > 64 * words:
+        raise ModelError("truncated trie")
+    flags = np.unpackbits(np.frombuffer(data[at + 16 : end], np.uint8), bitorder="little")[:n]
+    return flags.astype(bool).tolist(), end + 4 * (words + 1)
+
+
+def trie_bytes(words: list[str]) -> bytes:
+    """A word list as a trie over bytes, level by level: a one for each child, a zero at a node's end."""
+    keys = sorted({w.encode() for w in words})
+    tree, labels, terminal = ([True, False], bytearray(), []) if keys else ([], bytearray(), [])
+    level = [keys] if keys else []
+    depth = 0
+    while level:
+        below = []
+        for group in level:
+            terminal.append(len(group[0]) == depth)
+            rest = [k for k in group if len(k) > depth]
+            for byte in dict.fromkeys(k[depth] for k in rest):
+                tree.append(True)
+                labels.append(byte)
+                below.append([k for k in rest if k[depth] == byte])
+            tree.append(False)
+        level, depth = below, depth + 1
+    return TRIE_MAGIC + struct.pack("<Q", len(labels)) + bytes(labels) + _bits(tree) + _bits(terminal)
+
+
+def read_trie(spark: SparkSession, data: bytes) -> DataFrame | None:
+    """(word), or None for malformed bytes."""
+    if data[:4] != TRIE_MAGIC or len(data) < 12:
+        return None
+    try:
+        (n,) = struct.unpack_from("<Q", data, 4)
+        labels = data[12 : 12 + n]
+        tree, at = _read_bits(data, 12 + n)
+        terminal, _ = _read_bits(data, at)
+    except (ModelError, struct.error):
+        return None
+    names, place, out = [b""], 0, []
+    for node, flag in enumerate(terminal):  # nodes come in the order in which their labels were read
+        if flag:
+            out.append((names[node].decode(errors="replace"),))
+        place = place + 2 if node == 0 else place
+        while tree[place]:
+            names.append(names[node] + labels[len(names) - 1 : len(names)])
+            place += 1
+        place += 1
+    return spark.createDataFrame(out, "word string")

@@ -174,3 +174,31 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_codecs(spark):
+    words = ["talo", "tallo", "kala", "", "öljy", "tal"]
+    assert sorted(r.word for r in codecs.read_trie(spark, codecs.trie_bytes(words)).collect()) == sorted(words)
+    assert codecs.read_trie(spark, b"MCT1") is None and codecs.read_trie(spark, codecs.trie_bytes(words)[:30]) is None
+    assert codecs.read_trie(spark, codecs.trie_bytes([])).count() == 0
+    counts = spark.createDataFrame([("talo", 3), ("öljy", 1)], "word string, count long")
+    data = codecs.frequency_bytes(counts)
+    assert {tuple(r) for r in codecs.read_frequency(spark, data).collect()} == {("talo", 3), ("öljy", 1)} and codecs.read_frequency(spark, data[:-1]) is None
+
+
+def test_sparse_scores():
+    from korpisto.operators import sparse
+
+    code = sparse.encode({"CLASS": "nimisana", "SIJAMUOTO": "omanto", "STRUCTURE": "=pppp", "BASEFORM": "talo"})
+    assert sparse.DIMENSIONS == 159 and code.sum() == 3.25
+    r = sparse.Recovery()
+    assert -4 < r.score({"CLASS": "nimisana", "BASEFORM": "talo"}) <= 0
+
+
+def test_suggestion_budget():
+    b = spelling.SuggestionBudget(2, 3)
+    b.add("a", 2), b.add("a", 1), b.add("b", 1), b.add("c", 1)
+    assert b.ordered() == ["b", "a"] and b.spent()
+    b = spelling.SuggestionBudget(2, 1)
+    b.charge()
+    assert not b.spent()
