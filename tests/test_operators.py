@@ -202,3 +202,22 @@ def test_suggestion_budget():
     b = spelling.SuggestionBudget(2, 1)
     b.charge()
     assert not b.spent()
+
+
+def test_whole_evaluations(spark, tmp_path):
+    from korpisto.operators.readings import READING
+    from korpisto.plans import evaluation as whole
+
+    path = tmp_path / "a.conllu"
+    path.write_text(TREEBANK)
+    gold = text_assets.read_conllu(spark, str(path))
+    reading = lambda **v: F.array(F.from_json(F.lit("{%s}" % ",".join(f'"{k}":"{x}"' for k, x in v.items())), READING))
+    none = F.array().cast(f"array<{READING}>")
+    analyze = lambda w: F.when(w == "Koira", reading(CLASS="nimisana", BASEFORM="koira")).when(w == "juoksee", reading(CLASS="teonsana", BASEFORM="juosta")).otherwise(none)
+    for results in (whole.evaluate_gold(gold, analyze), whole.evaluate_end_to_end(gold, analyze)):
+        assert sorted((r.gold_upos, r.pred_upos, r.pred_lemma) for r in results.collect()) == [("NOUN", "NOUN", "koira"), ("VERB", "VERB", "juosta")]
+    assert evaluation.summary(whole.evaluate_gold(gold, lambda w: none)).first().unknown == 0
+    assert evaluation.summary(whole.evaluate_end_to_end(gold, lambda w: none)).first().unknown == 2
+    verbs = spark.createDataFrame([("puhua",), ("xyz",)], "word string")
+    outcome = {r.outcome: r.n for r in whole.verify_generation(verbs, lambda w: F.when(w == "puhun", reading(BASEFORM="puhua")).when(w == "puhut", reading(BASEFORM="x")).otherwise(none)).groupBy("outcome").agg(F.count("*").alias("n")).collect()}
+    assert outcome == {"OK": 1, "WRONG_BASEFORM": 1, "NO_ANALYSIS": 22, "GENERATOR_REJECT": 1}
