@@ -72,4 +72,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_near_dedup, op7_substring_dedup, op8_pii, op9_token_counts, op10_quality_rules,
     )
 }
-ORACLES: dict[str, str] = {}
+_WORDS = "list_filter(regexp_split_to_array({}, '[ \\t-\\r]+'), lambda x: x <> '')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: SQL for the operators that it can express.
+ORACLES: dict[str, str] = {
+    "op6_near_dedup": f"""
+with recursive d as materialized (select doc_id, {_WORDS.format(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} as w from documents),
+i as (select doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) as i from d),
+s as materialized (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as g from i),
+n as materialized (select doc_id, count(*) as n from s group by 1),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+l as materialized (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+r as (select doc_id, doc_id as root from d union select l.b, r.root from r join l on l.a = r.doc_id),
+m as (select doc_id, min(root) as component_id from r group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, component_id, d.doc_id = component_id as kept from d left join n using (doc_id) join m using (doc_id)""",
+    "op7_substring_dedup": f"""
+with d as materialized (select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents),
+i as (select doc_id, w, unnest(range(1, greatest(len(w) - 49, 0) + 1)) as i from d),
+g as materialized (select doc_id, i, array_to_string(w[i : i + 49], ' ') as g from i),
+f as (select g, min(doc_id) as low from g group by 1),
+c as (select distinct doc_id, i + unnest(range(0, 50)) as k from g join f using (g) where low < doc_id),
+x as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as k from d),
+k as (select x.doc_id, count(c.k) as n_removed, string_agg(word, ' ' order by x.k) filter (c.k is null) as kept from x left join c on c.doc_id = x.doc_id and c.k = x.k group by 1)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)""",
+}
