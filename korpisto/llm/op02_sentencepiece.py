@@ -14,7 +14,7 @@ lattice whose arcs carry tropical weights; the ids are its shortest path.
 
 No piece continues over a space, so the path of a text is the paths of its
 space-led segments in a row; each worker remembers those of up to ``keep``
-segments. Null and empty texts have no ids. Rows that share an id are encoded
+recent segments and as many older ones. Null and empty texts have no ids. Rows that share an id are encoded
 each on its own.
 """
 
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _loaded: dict[str, Transducer] = {}
+_MARKED = re.compile(r"(.*\w)([^\w\s]+)", re.DOTALL)
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -108,7 +109,7 @@ class CharacterMap:
 
 
 class Transducer:
-    def __init__(self, model: bytes, keep: int = 300_000):
+    def __init__(self, model: bytes, keep: int = 400_000):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.types: list[int] = []
@@ -143,7 +144,9 @@ class Transducer:
         self.apart = "\n" not in inner  # a line feed is then a segment of its own
         self.by_space = self.escape and not any(SPACE in p.lstrip(SPACE) for p in self.lexicon)
         self.allowed: dict[tuple[str, str], bool] = {}
-        self.keep, self.known = keep, {}
+        self.beginnings = {p[:k] for p in self.lexicon for k in range(1, len(p))}
+        self.joined = {p[k : k + 2] for p in self.lexicon for k in range(len(p) - 1)}  # characters that stand together in a piece
+        self.keep, self.known, self.older = keep, {}, {}
 
     @classmethod
     def load(cls, path: str) -> Transducer:
@@ -186,30 +189,36 @@ class Transducer:
         return got
 
     def shortest(self, text: str) -> list[str]:
-        """The pieces and unknown characters on the shortest path through one stretch."""
-        n, lexicon, infinite = len(text), self.lexicon, float("inf")
+        """The pieces and unknown characters on the shortest path through one stretch.
+
+        Arcs leave each position in order of length, as far as some piece begins
+        with the text read. In a BPE lattice a position has one finite path, so
+        the first one found is kept.
+        """
+        n, lexicon, beginnings, scores = len(text), self.lexicon, self.beginnings, self.scores
+        infinite, bpe, allowed = float("inf"), self.bpe, self.allowed
         cost = [0.0] + [infinite] * n
         piece: list[str] = [""] * (n + 1)
-        for end in range(1, n + 1):
-            for begin in range(max(0, end - self.longest), end):
-                if cost[begin] == infinite:
-                    continue
+        for begin in range(n):
+            last, so_far = piece[begin], cost[begin]
+            if so_far == infinite:
+                continue
+            for end in range(begin + 1, n + 1):
                 arc = text[begin:end]
                 i = lexicon.get(arc)
-                if i is None and end - begin > 1:
-                    continue
-                if self.bpe:
-                    if begin == 0:
-                        fits = end == 1 or self.follows("", arc)
-                    else:
-                        fits = self.follows(piece[begin], arc)
-                    weight = 0.0 if fits else infinite
-                else:
-                    weight = -self.scores[i] if i is not None else -self.worst
-                if cost[begin] + weight < cost[end]:
-                    cost[end], piece[end] = cost[begin] + weight, arc
-                    if self.bpe:
-                        break
+                if i is not None or end == begin + 1:
+                    if not bpe:
+                        weight = so_far - (scores[i] if i is not None else self.worst)
+                        if weight < cost[end]:
+                            cost[end], piece[end] = weight, arc
+                    elif cost[end] == infinite:
+                        fits = allowed.get((last, arc))
+                        if fits is None:
+                            fits = self.follows(last, arc)
+                        if fits:
+                            cost[end], piece[end] = 0.0, arc
+                if arc not in beginnings:
+                    break
         out, at = [], n
         while at:
             out.append(piece[at])
@@ -253,12 +262,34 @@ class Transducer:
         for segment in self.segments(self.normalise(text)):
             ids = known.get(segment)
             if ids is None:
+                ids = self._recall(segment)
                 if len(known) >= self.keep:
-                    known.clear()
-                ids = known[segment] = self._ids(segment)
+                    self.known, self.older = {}, known
+                    known = self.known
+                known[segment] = ids
             out.append(ids)
         return b"".join(out)
 
+    def _recall(self, segment: str) -> bytes:
+        """Ids of a segment that is not among the recent ones.
+
+        Marks behind letters are a stretch of their own where no piece holds both
+        characters of the place between them, since no merge crosses it.
+        """
+        ids = self.older.get(segment)
+        if ids is None:
+            m = _MARKED.fullmatch(segment)
+            if m and self.bpe and m[1][-1] + m[2][0] not in self.joined:
+                parts = []
+                for part in m.groups():
+                    if part not in self.known:
+                        got = self.older.get(part)
+                        self.known[part] = self._ids(part) if got is None else got
+                    parts.append(self.known[part])
+                return b"".join(parts)
+            ids = self._ids(segment)
+        return ids
+
     # --------------------------------------------------------------- inverse
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that form no character become U+FFFD."""
