@@ -7,6 +7,7 @@ of the input, whatever their names, can't clash with the columns it returns.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -143,7 +144,7 @@ def spans(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((p[end] - p[start]) * _power_tables(len(p))[1][start] + (end - start).astype(U64))
 
 
-def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, UTF-8 bytes, row offsets) of about ``limit`` bytes.
 
     A longer text is a chunk of its own. Null texts count as empty.
@@ -162,6 +163,15 @@ def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, i
         last = min(max(last, first + 1), len(column))
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a worker lives on and runs other steps."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
