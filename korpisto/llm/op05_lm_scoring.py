@@ -6,10 +6,10 @@ corpus, all others being one unknown word, and one list of bigrams. Each text's
 score is its mean loss per word under the background model less that under the
 target model, in nats; high scores are target-like.
 
-Counts come from all documents. The target's are those of at most ``targets`` target
-ids, the lowest by a hash; that list is of bounded size and travels with the
-counting function, so no text is shuffled. Batches count their own words and bigrams
-before the shuffle. The driver takes only what the models keep: the vocabulary
+Counts come from all documents. Texts meet the ids of targets and of held-out texts
+in a shuffle join: every target counts as one, held-out texts in neither model, all
+others are background. Batches count their own words and bigrams before the
+shuffle. The driver takes only what the models keep: the vocabulary
 and at most ``bigrams`` bigrams, the commonest by a threshold found from the
 histogram of counts.
 
@@ -21,17 +21,17 @@ both models are the background's, and every score is 0.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korpisto.llm.common import BYTE_CODE, materialise, prefix, spans, text_chunks, words_of
 
 DISCOUNT, PRIOR = 0.75, 0.5
-_NO_ID = -(1 << 63)
+TARGET, HELD_OUT = 1, 2
 
 
 def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,16 +58,27 @@ def _ids(words: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     return np.where(first, len(words) + 1, previous), current, text
 
 
-def _count_bigrams(words: np.ndarray, targets: np.ndarray):
+def marked(base: DataFrame, target_ids: DataFrame, held_out_ids: DataFrame | None) -> DataFrame:
+    """(doc_id, text, mark): TARGET, HELD_OUT or 0. An id that is both is a target."""
+    lists = [(target_ids, TARGET), *([(held_out_ids, HELD_OUT)] if held_out_ids is not None else [])]
+    marks = [ids.select(F.col("doc_id").cast("long").alias("id"), F.lit(mark).alias("mark")) for ids, mark in lists]
+    slim = reduce(DataFrame.unionByName, marks).where("id is not null").groupBy("id").agg(F.min("mark").alias("mark")).withColumn("part", F.lit(0))
+    # null ids match nothing; their texts are dealt out by a hash instead of all to one task
+    part = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(1 << 20)).cast("int") + 1).otherwise(0)
+    keys = base.select("*", F.coalesce("doc_id", F.lit(0)).alias("id"), part.alias("part"))
+    return keys.join(slim.hint("shuffle_hash"), ["id", "part"], "left").select("doc_id", "text", F.coalesce("mark", F.lit(0)).alias("mark"))
+
+
+def _count_bigrams(words: np.ndarray):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = pc.fill_null(b.column(1), _NO_ID).to_numpy(zero_copy_only=False)
-            target = np.isin(ids, targets)
+            marks = b.column(1).to_numpy(zero_copy_only=False)
             for first, _, data, offsets in text_chunks(b.column(0)):
                 previous, current, text = _ids(words, data, offsets)
                 key, place = np.unique(previous * (len(words) + 2) + current, return_inverse=True)
-                own = np.bincount(place, target[first + text], minlength=len(key)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(place, minlength=len(key))), pa.array(own)], names=["bigram", "n", "n_target"])
+                mark = marks[first + text]
+                n, own = (np.bincount(place, m, minlength=len(key)).astype(np.int64) for m in (mark != HELD_OUT, mark == TARGET))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(own)], names=["bigram", "n", "n_target"])
 
     return scan
 
@@ -108,17 +119,17 @@ def _score(words: np.ndarray, target: Model, background: Model):
 def cross_entropy_difference(
     docs: DataFrame,
     target_ids: DataFrame,
+    held_out_ids: DataFrame | None = None,
     *,
     vocabulary: int = 32768,
     bigrams: int = 1 << 19,
-    targets: int = 1 << 16,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per input row: doc_id, n_words, target_loss, background_loss, score.
 
-    ``target_ids`` has a column doc_id of the target texts; all other texts are
-    background.
+    ``target_ids`` has a column doc_id of the target texts and ``held_out_ids`` one of
+    texts that are scored but not counted; all other texts are background.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -135,12 +146,7 @@ def cross_entropy_difference(
 
     word_counts = materialise(base.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     words = np.sort(np.array([r.word for r in commonest(word_counts, vocabulary).select("word").collect()], np.int64))
-    asked = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    total = asked.count()
-    rank = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
-    chosen = asked.where(rank < int(min(1.0, 1.5 * targets / max(1, total) + 0.01) * (1 << 30))).orderBy(rank, "doc_id").limit(targets)
-    marked_ids = np.sort(np.array([r.doc_id for r in chosen.collect()], np.int64))
-    counts = materialise(base.select("text", "doc_id").mapInArrow(_count_bigrams(words, marked_ids), "bigram long, n long, n_target long").groupBy("bigram").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
+    counts = materialise(marked(base, target_ids, held_out_ids).select("text", "mark").mapInArrow(_count_bigrams(words), "bigram long, n long, n_target long").groupBy("bigram").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
     size = len(words) + 2
     kept = commonest(counts, bigrams).orderBy("bigram").toPandas()
 

@@ -211,6 +211,26 @@ def test_lm_scoring(spark, docs, empty):
     assert all(r.score == 0 for r in op5.cross_entropy_difference(docs, good.where("false")).collect())
 
 
+def test_lm_scoring_counts_every_target(spark):
+    """More targets than the 65,536 that once were counted: nothing is left for the background, which is the target's model then."""
+    ship(spark)
+    frame = spark.range(70_000).selectExpr("id as doc_id", "concat('a b w', id % 7) as text")
+    assert {r.score for r in op5.cross_entropy_difference(frame, frame.select("doc_id")).collect()} == {0.0}
+
+
+def test_lm_scoring_leaves_held_out_texts_out(spark):
+    """A held-out text changes no other text's score."""
+    ship(spark)
+    rows = [(i, prose(40, i)) for i in range(20)]
+    good, held = (spark.createDataFrame([(i,) for i in ids], "doc_id long") for ids in (range(5), [20]))
+    without = op5.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), good)
+    held_out = op5.cross_entropy_difference(spark.createDataFrame([*rows, (20, rows[3][1] + " " + rows[12][1]), (None, "")], "doc_id long, text string"), good, held)
+    got = {r.doc_id: r.score for r in held_out.collect()}
+    assert len(got) == 22
+    for r in without.collect():
+        assert got[r.doc_id] == pytest.approx(r.score, abs=1e-9)
+
+
 def test_near_dedup(spark, docs, empty, odd):
     want = plain_components(plain())
     for r in op6.near_dedup(docs).collect():
