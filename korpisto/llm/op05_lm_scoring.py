@@ -1,17 +1,17 @@
 """Operator 5: language-model scoring by cross-entropy difference.
 
 Two interpolated bigram models, one of the target texts and one of the
-background, share one vocabulary: the ``vocabulary`` commonest words of the whole
-corpus, all others being one unknown word, and one list of bigrams. Each text's
-score is its mean loss per word under the background model less that under the
-target model, in nats; high scores are target-like.
+background. Words and bigrams that occur ``least`` times in both together are in the
+models, so the models grow with the corpus; all other words are one unknown word.
+Each text's score is its mean loss per word under the background model less that
+under the target model, in nats; high scores are target-like.
 
 Counts come from all documents. Texts meet the ids of targets and of held-out texts
 in a shuffle join: every target counts as one, held-out texts in neither model, all
-others are background. Batches count their own words and bigrams before the
-shuffle. The driver takes only what the models keep: the vocabulary
-and at most ``bigrams`` bigrams, the commonest by a threshold found from the
-histogram of counts.
+others are background. The marked texts are written once, in chunks of about
+``chunk`` bytes. The models stay a table of words and bigrams by their 64-bit
+hashes; a chunk asks for its own distinct ones by a join, and what the table holds
+of them meets the chunk's texts again. The driver takes only the models' totals.
 
 Null and empty texts have no words and score 0. Ids may repeat: rows are scored
 each by its own text, and a text is target if its id is. With no target texts
@@ -20,42 +20,32 @@ both models are the background's, and every score is 0.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpisto.llm.common import BYTE_CODE, materialise, prefix, spans, text_chunks, words_of
+from korpisto.llm.common import BYTE_CODE, U64, materialise, mix, prefix, spans, text_chunks, words_of
 
 DISCOUNT, PRIOR = 0.75, 0.5
 TARGET, HELD_OUT = 1, 2
+ALL, START = 0, 1  # keys of all words together and of a text's start
+_ODD = U64(0x9FB21C651E98DF25)
 
 
-def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of every word."""
+def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word before, word, bigram, text) of every word, all but the last as hashes."""
     starts, ends, text = words_of(data, offsets)
-    return spans(prefix(BYTE_CODE[data]), starts, ends).view(np.int64), text
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for _, _, data, offsets in text_chunks(b.column(0)):  # Spark adds up a task's chunks before the shuffle
-            word, n = np.unique(_hashes(data, offsets)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
-
-
-def _ids(words: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(previous, current, text) of every word; ids from 1 by place in ``words``, 0 unknown, len + 1 a text's start."""
-    h, text = _hashes(data, offsets)
-    at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
-    current = np.where(words[at] == h, at + 1, 0) if len(words) else np.zeros(len(h), np.int64)
-    previous = np.concatenate([[0], current[:-1]]) if len(current) else current
+    word = spans(prefix(BYTE_CODE[data]), starts, ends)
     first = np.ones(len(text), bool)
     first[1:] = text[1:] != text[:-1]
-    return np.where(first, len(words) + 1, previous), current, text
+    before = np.where(first, U64(START), np.roll(word, 1))
+    return before.view(np.int64), word.view(np.int64), mix(before * _ODD + word).view(np.int64), text
 
 
 def marked(base: DataFrame, target_ids: DataFrame, held_out_ids: DataFrame | None) -> DataFrame:
@@ -69,49 +59,88 @@ def marked(base: DataFrame, target_ids: DataFrame, held_out_ids: DataFrame | Non
     return keys.join(slim.hint("shuffle_hash"), ["id", "part"], "left").select("doc_id", "text", F.coalesce("mark", F.lit(0)).alias("mark"))
 
 
-def _count_bigrams(words: np.ndarray):
+def _cut(chunk: int):
+    """Adds the number of each row's chunk."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, done = TaskContext.get().partitionId() << 32, 0
         for b in batches:
-            marks = b.column(1).to_numpy(zero_copy_only=False)
-            for first, _, data, offsets in text_chunks(b.column(0)):
-                previous, current, text = _ids(words, data, offsets)
-                key, place = np.unique(previous * (len(words) + 2) + current, return_inverse=True)
-                mark = marks[first + text]
-                n, own = (np.bincount(place, m, minlength=len(key)).astype(np.int64) for m in (mark != HELD_OUT, mark == TARGET))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(own)], names=["bigram", "n", "n_target"])
+            ends = done + np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+            yield b.append_column("chunk", pa.array(task + np.concatenate([[done], ends[:-1]]).astype(np.int64) // chunk))
+            done = int(ends[-1]) if len(ends) else done
 
     return scan
 
 
-class Model:
-    """Interpolated absolute discounting over a shared list of bigrams."""
-
-    def __init__(self, size: int, keys: np.ndarray, counts: np.ndarray, unigrams: np.ndarray, contexts: np.ndarray):
-        self.size, self.keys = size, keys
-        self.unigram = (unigrams + PRIOR) / (unigrams.sum() + PRIOR * size)
-        kept = np.maximum(counts - DISCOUNT, 0)
-        before = keys // size
-        seen = np.maximum(contexts, 1)
-        self.bigram = kept / seen[before]
-        self.rest = 1 - np.bincount(before, kept, minlength=size) / seen
-
-    def losses(self, previous: np.ndarray, current: np.ndarray) -> np.ndarray:
-        p = self.rest[previous] * self.unigram[current]
-        if len(self.keys):
-            key = previous * self.size + current
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            p = p + np.where(self.keys[at] == key, self.bigram[at], 0)
-        return -np.log(p)
-
-
-def _score(words: np.ndarray, target: Model, background: Model):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, last, data, offsets in text_chunks(b.column(1)):
-                previous, current, text = _ids(words, data, offsets)
-                n = np.bincount(text, minlength=last - first)
-                t, g = (np.bincount(text, m.losses(previous, current), minlength=last - first) / np.maximum(n, 1) for m in (target, background))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), *map(pa.array, (n, t, g, g - t))], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
+def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(chunk, [word before, word, bigram, mark of the text]) of a batch's part of a chunk, and its texts' marks."""
+    for b in batches:
+        chunk, marks = (b.column(c).to_numpy(zero_copy_only=False) for c in ("chunk", "mark"))
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1), len(chunk)] if len(chunk) else []
+        for lo, hi in zip(cuts, cuts[1:]):
+            found = []
+            for first, _, data, offsets in text_chunks(b.column("text").slice(lo, hi - lo)):
+                before, word, gram, text = _grams(data, offsets)
+                found.append((before, word, gram, marks[lo + first + text]))
+            yield int(chunk[lo]), [np.concatenate(x) for x in zip(*found)]
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Target's and background's counts of a chunk's words, with 0 as the word before, and bigrams."""
+    for _, (before, word, gram, mark) in _by_chunk(batches):
+        in_target, in_background, starts = mark == TARGET, mark == 0, before == START
+        for values, previous in ((word, None), (gram, before)):
+            key, at, place = np.unique(values, return_index=True, return_inverse=True)
+            t, b = (np.bincount(place, m, minlength=len(key)).astype(np.int64) for m in (in_target, in_background))
+            previous = np.zeros(len(key), np.int64) if previous is None else previous[at]
+            some = (t + b) > 0
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key, previous, t, b)], names=["key", "before", "t", "b"])
+        sums = [[int(m.sum()), int((m & starts).sum())] for m in (in_target, in_background)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([ALL, START], [0, 0], *sums)], names=["key", "before", "t", "b"])
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for chunk, (_, word, gram, _) in _by_chunk(batches):
+        if len(word):
+            key = np.concatenate([np.unique(word), np.unique(gram), [START]])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), chunk))], names=["key", "chunk"])
+
+
+def _losses(counts: np.ndarray, kept: np.ndarray, words: float, known: float, size: int) -> Callable:
+    """Losses of words by interpolated absolute discounting; places are -1 where the model has no such key."""
+
+    def losses(before: np.ndarray, word: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        unigram = (np.where(word >= 0, counts[word], words - known) + PRIOR) / (words + PRIOR * size)
+        seen = np.maximum(np.where(before >= 0, counts[before], 0), 1)
+        rest = 1 - np.where(before >= 0, kept[before], 0) / seen
+        return -np.log(rest * unigram + np.where(gram >= 0, np.maximum(counts[gram] - DISCOUNT, 0), 0) / seen)
+
+    return losses
+
+
+def _score(sizes: list[tuple[float, float, int]]):
+    """``sizes``: all words, those of them in the model, and distinct words, of the target and of the background."""
+
+    def scan(texts: pa.Table, model: pa.Table) -> pa.Table:
+        keys = model["key"].to_numpy()
+        order = np.argsort(keys)
+        keys = np.concatenate([keys[order], [0]])  # not empty; no word or bigram is asked for by the last
+        models = [_losses(*(np.concatenate([pc.fill_null(model[c], 0).to_numpy()[order], [0]]).astype(np.float64) for c in columns), *size) for columns, size in zip((("t", "kept_t"), ("b", "kept_b")), sizes)]
+
+        def place(h: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(keys[:-1], h), len(keys) - 1)
+            return np.where(keys[at] == h, at, -1)
+
+        out = []
+        column = texts["text"].combine_chunks()
+        for first, last, data, offsets in text_chunks(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column):
+            before, word, gram, text = _grams(data, offsets)
+            n = np.bincount(text, minlength=last - first)
+            places = place(before), place(word), place(gram)
+            t, g = (np.bincount(text, m(*places), minlength=last - first) / np.maximum(n, 1) for m in models)
+            out.append((n, t, g, g - t))
+        columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), *[np.zeros(0)] * 3]
+        return pa.table([texts["doc_id"], *map(pa.array, columns)], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
 
     return scan
 
@@ -121,8 +150,8 @@ def cross_entropy_difference(
     target_ids: DataFrame,
     held_out_ids: DataFrame | None = None,
     *,
-    vocabulary: int = 32768,
-    bigrams: int = 1 << 19,
+    least: int = 2,
+    chunk: int = 1 << 22,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -132,41 +161,26 @@ def cross_entropy_difference(
     texts that are scored but not counted; all other texts are background.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-    def commonest(counts: DataFrame, limit: int) -> DataFrame:
-        """The rows with the highest n, at most ``limit``, all of an equal n or none."""
-        steps = counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().orderBy(F.desc("n")).collect()  # at most 65,536 rows
-        held, least = 0, 1 << 62
-        for r in steps:
-            held += r["count"]
-            if held > limit:
-                break
-            least = r.n
-        return counts.where(F.col("n") >= least)
-
-    word_counts = materialise(base.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    words = np.sort(np.array([r.word for r in commonest(word_counts, vocabulary).select("word").collect()], np.int64))
-    counts = materialise(marked(base, target_ids, held_out_ids).select("text", "mark").mapInArrow(_count_bigrams(words), "bigram long, n long, n_target long").groupBy("bigram").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
-    size = len(words) + 2
-    kept = commonest(counts, bigrams).orderBy("bigram").toPandas()
-
-    def totals(part: str) -> np.ndarray:  # ``size`` x 2 numbers
-        got = counts.groupBy(F.expr(part).alias("id")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("t")).collect()
-        out = np.zeros((2, size))
-        for r in got:
-            out[0, r.id], out[1, r.id] = r.t, r.n - r.t
-        return out
-
-    contexts, unigrams = totals(f"bigram div {size}"), totals(f"bigram % {size}")
-    keys = kept.bigram.to_numpy(np.int64)
-    n, t = kept.n.to_numpy(np.float64), kept.n_target.to_numpy(np.float64)
-    background = Model(size, keys, n - t, unigrams[1], contexts[1])
-    target = Model(size, keys, t, unigrams[0], contexts[0]) if unigrams[0].sum() else background
-    if not unigrams[1].sum():
-        background = target
-    shared = docs.sparkSession.sparkContext.broadcast((words, target, background))  # bounded by the two limits
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _score(*shared.value)(batches)
-
-    return base.mapInArrow(scan, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    texts = materialise(marked(base, target_ids, held_out_ids).mapInArrow(_cut(chunk), "doc_id long, text string, mark int, chunk long"))
+    counted = texts.select("text", "mark", "chunk").mapInArrow(_count, "key long, before long, t long, b long")
+    enough = (F.col("t") + F.col("b") >= least) | ((F.col("before") == 0) & F.col("key").isin(ALL, START))
+    counts = materialise(counted.groupBy("key", "before").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).where(enough))
+
+    total = counts.where(f"before = 0 and key = {ALL}").agg(F.sum("t"), F.sum("b")).first()
+    known = counts.where(f"before = 0 and key not in ({ALL}, {START})").agg(F.sum("t"), F.sum("b"), F.count("*")).first()
+    sizes = [(float(total[k] or 0), float(known[k] or 0), known[2] + 1) for k in (0, 1)]
+
+    kept = [F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).alias(f"kept_{c}") for c in "tb"]
+    rests = counts.where("before <> 0").groupBy(F.col("before").alias("key")).agg(*kept)
+    words = counts.where(f"before = 0 and key <> {ALL}").join(rests, "key", "left")
+    bigrams = counts.where("before <> 0").withColumns({f"kept_{c}": F.lit(None).cast("double") for c in "tb"})
+    model = words.unionByName(bigrams).drop("before")
+    if not sizes[0][0]:
+        model, sizes = model.withColumns({"t": F.col("b"), "kept_t": F.col("kept_b")}), [sizes[1]] * 2
+    elif not sizes[1][0]:
+        model, sizes = model.withColumns({"b": F.col("t"), "kept_b": F.col("kept_t")}), [sizes[0]] * 2
+
+    asked = texts.select("text", "mark", "chunk").mapInArrow(_ask, "key long, chunk long")
+    answers = asked.join(model.hint("shuffle_hash"), "key")
+    pairs = texts.select("doc_id", "text", "chunk").groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    return pairs.applyInArrow(_score(sizes), "doc_id long, n_words long, target_loss double, background_loss double, score double")

@@ -231,6 +231,42 @@ def test_lm_scoring_leaves_held_out_texts_out(spark):
         assert got[r.doc_id] == pytest.approx(r.score, abs=1e-9)
 
 
+def plain_losses(rows, ids):
+    """Mean losses by a model of the texts ``ids``, the words and bigrams that occur twice in all ``rows``."""
+    pairs = lambda t: list(zip(["", *t.split()], t.split()))
+    every, every_pair = (collections.Counter(x for t in rows.values() for x in f(t)) for f in (str.split, pairs))
+    n, pair = (collections.Counter(x for i in ids for x in f(rows[i])) for f in (str.split, pairs))
+    known = {w for w in every if every[w] > 1}
+    unknown, total = sum(c for w, c in n.items() if w not in known), sum(n.values())
+    kept = {p: max(c - 0.75, 0) for p, c in pair.items() if every_pair[p] > 1}
+    mass = collections.Counter()
+    for (a, _), k in kept.items():
+        mass[a] += k
+    seen = {**n, "": sum(bool(rows[i].split()) for i in ids)}
+
+    def loss(a, w):
+        c = max(1, seen.get(a, 0))
+        return -np.log((1 - mass[a] / c) * ((n[w] if w in known else unknown) + 0.5) / (total + 0.5 * (len(known) + 1)) + kept.get((a, w), 0) / c)
+
+    return {i: np.mean([loss(*p) for p in pairs(t)] or [0.0]) for i, t in rows.items()}
+
+
+def test_lm_scoring_keeps_all_words_and_bigrams(spark):
+    """More words than the 32,768 that once were kept, in chunks that share them: all scores are the plain models'."""
+    ship(spark)
+    rng = np.random.default_rng(9)
+    rows = {i: " ".join(f"w{k}" for k in rng.permutation(np.r_[i * 900 : i * 900 + 1800, :20])) for i in range(40)}
+    rows |= {i + 40: rows[i] + f" only{i}" for i in range(0, 40, 3)} | {99: " "}
+    assert len({w for t in rows.values() for w in t.split()}) > 32_768
+    good = spark.createDataFrame([(i,) for i in range(0, 10)], "doc_id long")
+    frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    target, background = plain_losses(rows, range(10)), plain_losses(rows, [i for i in rows if i >= 10])
+    got = op5.cross_entropy_difference(frame, good, chunk=50_000).collect()
+    assert sorted(r.doc_id for r in got) == sorted(rows)
+    for r in got:
+        assert (r.n_words, r.target_loss, r.background_loss) == (len(rows[r.doc_id].split()), pytest.approx(target[r.doc_id]), pytest.approx(background[r.doc_id]))
+
+
 def test_near_dedup(spark, docs, empty, odd):
     want = plain_components(plain())
     for r in op6.near_dedup(docs).collect():
