@@ -39,7 +39,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL_REST = re.compile(r"[^\s<>\"']+")
 _ACCOUNT = re.compile(r"(?:\s*(?:no\.?|number|nr\.?|#))?\s*[:=#]?\s*([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8}|[0-9](?:[\x20-]?[0-9]){5,18})", re.IGNORECASE)
-_SECRET = re.compile(r"\s*[=:]\s*(\"[^\"\n]{6,200}\"|'[^'\n]{6,200}'|[^\s,;\"']{6,200})")
+_SECRET = re.compile(r"\s*[=:]\s*(\"[^\"\n]{6,}\"|'[^'\n]{6,}'|[^\s,;\"']{6,})")
 _DIGIT = re.compile("[0-9]")
 _automata: dict[str, object] = {}
 

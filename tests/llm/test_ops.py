@@ -335,6 +335,15 @@ def test_pii_on_random_strings():
         assert got == [x[2] for x in plain_pii(t)], t
 
 
+@pytest.mark.parametrize("n", [6, 200, 201, 5000])
+@pytest.mark.parametrize("quote", ["", '"', "'"])
+def test_pii_secrets_of_any_length(n, quote):
+    value = quote + "aZ3._-" * (n // 6) + "x" * (n % 6) + quote
+    text = f"token={value} then more"
+    assert op8.find(text) == [(6, 6, "secret", 6 + len(value))]
+    assert op8.mask(text, op8.find(text)) == "token=[SECRET] then more"
+
+
 def test_token_counts(spark, docs, empty):
     import sentencepiece
 
