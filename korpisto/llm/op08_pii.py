@@ -38,9 +38,15 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL_REST = re.compile(r"[^\s<>\"']+")
-_ACCOUNT = re.compile(r"(?:\s*(?:no\.?|number|nr\.?|#))?\s*[:=#]?\s*([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8}|[0-9](?:[\x20-]?[0-9]){5,18})", re.IGNORECASE)
+_ACCOUNT = re.compile(r"(?:\s*(?:no\.?|number|nr\.?|#))?\s*[:=#]?\s*((?-i:[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30})|[0-9](?:[\x20-]?[0-9]){5,18})", re.IGNORECASE)
 _SECRET = re.compile(r"\s*[=:]\s*(\"[^\"\n]{6,}\"|'[^'\n]{6,}'|[^\s,;\"']{6,})")
 _DIGIT = re.compile("[0-9]")
+#: Characters of each country's IBAN.
+_IBAN_SIZE = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 "
+    "GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 "
+    "NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
 _automata: dict[str, object] = {}
 
 
@@ -69,6 +75,16 @@ def iban(value: str) -> bool:
     return 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int | None:
+    """Where the IBAN at ``start`` ends: at its country's length, else behind the last word up to ``end`` that passes."""
+    ends = [i + 1 for i in range(start, end) if text[i] != " "]
+    size = _IBAN_SIZE.get(text[start : start + 2].upper(), len(ends) + 1)
+    if size <= len(ends) and iban(text[start : ends[size - 1]]):
+        return ends[size - 1]
+    whole = (e for e in reversed(ends) if not (text[e : e + 1].isascii() and text[e : e + 1].isalnum()))
+    return next((e for e in whole if iban(text[start:e])), None)
+
+
 def email_at(text: str, at: int, least: int) -> tuple[int, int] | None:
     """The address around the at-sign at ``at`` that starts at ``least`` or later."""
     start = at
@@ -102,8 +118,8 @@ def find(text: str) -> list[tuple[int, int, str, int]]:
                     url_end = end
                     out.append((begin, 4, "url", end))
         elif anchor in ACCOUNT_CUES:
-            if begin >= account_end and (m := _ACCOUNT.match(text, last + 1)) and (m[1][0].isdigit() or iban(m[1])):
-                account_end = m.end(1)
+            if begin >= account_end and (m := _ACCOUNT.match(text, last + 1)) and (end := m.end(1) if m[1][0].isdigit() else iban_end(text, *m.span(1))):
+                account_end = end
                 out.append((m.start(1), 5, "account", account_end))
         elif begin >= secret_end and (m := _SECRET.match(text, last + 1)):
             secret_end = m.end(1)

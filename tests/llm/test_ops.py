@@ -344,6 +344,25 @@ def test_pii_secrets_of_any_length(n, quote):
     assert op8.mask(text, op8.find(text)) == "token=[SECRET] then more"
 
 
+IBANS = ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FI21 1234 5600 0007 85", "CH93 0076 2011 6238 5295 7", "fr14 2004 1010 0505 0001 3m02 606")
+
+
+@pytest.mark.parametrize("value", IBANS)
+@pytest.mark.parametrize("behind", ["", ".", "\n", " is the account", " and pay 20 EUR to me", " a", " ok?"])
+def test_pii_ibans_in_running_prose(value, behind):
+    text = f"Our IBAN: {value}{behind}"
+    assert [s for s in op8.find(text) if s[2] == "account"] == [(10, 5, "account", 10 + len(value))]
+    wrong = value[:-1] + str((int(value[-1]) + 1) % 10)
+    assert not [s for s in op8.find(f"Our IBAN: {wrong}.") if s[2] == "account"]
+
+
+def test_pii_ibans_of_other_countries():
+    body = "0001 0002 0003 0004"
+    check = next(n for n in range(2, 99) if op8.iban(f"ZZ{n:02d} {body}"))
+    text = f"iban ZZ{check:02d} {body}, and so on"
+    assert op8.find(text)[0] == (5, 5, "account", text.index(","))
+
+
 def test_token_counts(spark, docs, empty):
     import sentencepiece
 
