@@ -103,10 +103,11 @@ def sentence_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select lower(replace(p_name, ' ', '')) as word, count(*) as n from part group by 1")
 def hyphenation_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hyphenated names with the hyphens taken out again."""
+    """Hyphenated names with the added hyphens taken out again; a name's own hyphens stay."""
     name = F.lower(F.replace("p_name", F.lit(" "), F.lit("")))
-    back = F.replace(hyphenation.hyphenate(name), F.lit("-"), F.lit(""))
-    return table(spark, sf_dir, "part").where(~F.col("p_name").contains("-")).groupBy(back.alias("word")).agg(F.count("*").alias("n"))
+    pieces = F.transform(F.split(name, "-"), lambda p: F.replace(hyphenation.hyphenate(p), F.lit("-"), F.lit("")))
+    back = F.array_join(pieces, "-")
+    return table(spark, sf_dir, "part").groupBy(back.alias("word")).agg(F.count("*").alias("n"))
 
 
 @query()
@@ -151,12 +152,12 @@ def weak_gradation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def noun_paradigms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return morphology.noun_paradigm(spark.createDataFrame([(w,) for w in ("talo", "kukka", "ranta", "kaupunki", "tapa", "pöytä", "koira", "suomi")], "word string"))
+    return morphology.noun_paradigm(words(table(spark, sf_dir, "documents")).distinct())
 
 
 @query()
 def verb_paradigms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return morphology.verb_paradigm(spark.createDataFrame([(w,) for w in ("puhua", "antaa", "syödä", "ajatella", "tavata", "nousta", "lukea")], "word string"))
+    return morphology.verb_paradigm(words(table(spark, sf_dir, "documents")).distinct())
 
 
 # --------------------------------------------------------------- corpus statistics
@@ -281,6 +282,28 @@ def edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.edit_candidates(_misspelled(spark, sf_dir), 1).groupBy("query").agg(F.count("*").alias("n"))
 
 
+def _all_misspelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(table(spark, sf_dir, "benchmark")).select(F.expr("concat(substring(word, 1, 2), substring(word, 4))").alias("word")).distinct()
+
+
+@query()
+def fuzzy_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fuzzy_words`` for words of every length."""
+    return spelling.fuzzy_search(_all_misspelled(spark, sf_dir), lexicon(spark, sf_dir), 2).select("query", "candidate", F.col("distance").cast("long").alias("distance"))
+
+
+@query()
+def all_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``suggestions`` for words of every length."""
+    return spelling.suggest_unfiltered(_all_misspelled(spark, sf_dir), lexicon(spark, sf_dir), 2, 5).select("query", "candidate", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def all_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``edit_counts`` for words of every length."""
+    return spelling.edit_candidates(_all_misspelled(spark, sf_dir), 1).groupBy("query").agg(F.count("*").alias("n"))
+
+
 @query(f"""
 with l as (select word from {LEXICON_SQL}), w as (select distinct word from ({SQL_WORDS.format('documents')}) where length(word) > 1),
 c as (select word, unnest(range(1, length(word))) as i from w), p as (select word, substr(word, 1, i) as first, substr(word, i + 1) as second from c)
@@ -291,9 +314,7 @@ def two_part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def compound_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words_ = spark.createDataFrame([(w,) for w in ("rautatieasema", "kissanpentu", "talonmies", "tie-asema", "koira")], "word string")
-    lex = spark.createDataFrame([(w,) for w in ("rauta", "tie", "asema", "kissa", "pentu", "talo", "mies", "rautatie", "koira")], "word string")
-    made = compounds.compound_split(words_, lex).select("word", F.explode("splits").alias("s"))
+    made = compounds.compound_split(words(table(spark, sf_dir, "documents")).distinct(), lexicon(spark, sf_dir)).select("word", F.explode("splits").alias("s"))
     return made.select("word", F.array_join(F.transform("s.parts", lambda p: p.surface), "+").alias("parts"), F.col("s.penalty").alias("penalty"))
 
 
@@ -334,10 +355,9 @@ def _toy_dictionary() -> bytes:
 
 @query()
 def tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
-    texts = spark.createDataFrame([("koira juoksee",), ("juokse koira",), ("koira xyz",)], "text string")
+    texts = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     tagged = disambiguation.tag(texts, readings.analyzer(_toy_dictionary()))
-    return tagged.select("text", F.array_join(F.transform("tags", lambda r: F.coalesce(r.CLASS, F.lit("-"))), " ").alias("classes"))
+    return tagged.select("conv_id", "turn", "text", F.array_join(F.transform("tags", lambda r: F.coalesce(r.CLASS, F.lit("-"))), " ").alias("classes"))
 
 
 @query()
