@@ -267,6 +267,15 @@ def test_lm_scoring_keeps_all_words_and_bigrams(spark):
         assert (r.n_words, r.target_loss, r.background_loss) == (len(rows[r.doc_id].split()), pytest.approx(target[r.doc_id]), pytest.approx(background[r.doc_id]))
 
 
+def test_lm_scoring_where_every_count_is_high(spark):
+    """All words and bigrams above 65,536, where counts were once clamped into one step that was kept or dropped whole."""
+    ship(spark)
+    texts = ["a b " * 70_000, "c d " * 70_000, "a b a b", "c d c d", "a d"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in op5.cross_entropy_difference(frame, spark.createDataFrame([(0,)], "doc_id long")).collect()}
+    assert got[0] > 1 and got[2] > 1 and got[1] < -1 and got[3] < -1 and got[3] < got[4] < got[2]
+
+
 def test_near_dedup(spark, docs, empty, odd):
     want = plain_components(plain())
     for r in op6.near_dedup(docs).collect():
