@@ -1,11 +1,9 @@
-"""Operator 4: removal of repeated byte strings by bucket-pointer refinement.
-
-Suffixes start in buckets of their q-gram; a bucket is refined by sorting on the
-identifiers of what follows at later offsets, and a decision is reused for every
-suffix that it covers (``korpisto.llm.repeats``). A q-gram bucket of one suffix
-ends at once. Runs of suffixes with one anchor are sorted together on the
-identifier of the whole run, and what stays open is sorted on the identifiers of
-the full length. Only anchors, about one byte in eighty, are shuffled at first.
+"""Operator 4: removal of repeated byte strings by anchored window hashing.
+
+This replaces bucket-pointer refinement: no suffix has a bucket pointer. Runs of
+windows with one anchor are sorted together on hashes of the whole run, and what
+stays open on hashes of its parts and of single windows, as in operator 7
+(``korpisto.llm.repeats``). Only anchors, about one byte in eighty, are shuffled at first.
 
 Every byte covered by a string of ``length`` bytes that also starts anywhere
 else in the input goes, both occurrences included. Strings don't cross texts.
