@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -40,7 +41,9 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------- written tables
 def _shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:  # only where no cluster has set one, as in tests
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="korpisto-checkpoint")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         folder = f"file://{folder}"
@@ -74,6 +77,8 @@ def drop(df: DataFrame) -> None:
     Shuffle files go once the driver's objects for them are collected, which
     long jobs of many steps ask for here.
     """
+    if id(df) not in _written:
+        return
     fs, path = _written.pop(id(df))
     fs.delete(path, True)
     gc.collect()
@@ -97,7 +102,10 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *carry: str) -> tuple[Dat
 
 # ------------------------------------------------------------- arrays over text
 U64 = np.uint64
-_MULT, _SEED = 0x9E3779B97F4A7C15 | 1, 0x5DEECE66D
+#: Hashes are polynomials modulo this prime, so no pair of texts collides whatever the base.
+PRIME = (1 << 61) - 1
+_P, _LOW31, _LOW30 = U64(PRIME), U64((1 << 31) - 1), U64((1 << 30) - 1)
+_MULT = 0x15D1A3C94F2E7B6B
 
 
 def _splitmix(n: int, seed: int) -> np.ndarray:
@@ -108,20 +116,38 @@ def _splitmix(n: int, seed: int) -> np.ndarray:
     return z ^ (z >> U64(31))
 
 
-BYTE_CODE = _splitmix(256, _SEED)
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Numbers modulo PRIME."""
+    x = (x & _P) + (x >> U64(61))
+    return x - _P * (x >= _P)
+
+
+def product(a: np.ndarray, b: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    """Products modulo PRIME, of numbers below it, in blocks that stay in a core's cache."""
+    if len(a) > block and b.ndim:
+        out = np.empty(len(a), U64)
+        for k in range(0, len(a), block):
+            out[k : k + block] = product(a[k : k + block], b[k : k + block])
+        return out
+    ah, al, bh, bl = a >> U64(31), a & _LOW31, b >> U64(31), b & _LOW31
+    mid = ah * bl + al * bh
+    return reduced(U64(2) * (ah * bh) + (mid >> U64(30)) + ((mid & _LOW30) << U64(31)) + al * bl)
+
+
+BYTE_CODE = reduced(_splitmix(256, 0x5DEECE66D))
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 9, 10, 11, 12, 13]] = True
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
+    """Powers of a base and of its inverse, modulo PRIME."""
     if len(_powers[0]) < n:
-        m = 1 << max(16, (n - 1).bit_length())
-        for k, base in enumerate((_MULT, pow(_MULT, -1, 1 << 64))):
-            table = np.full(m, U64(base), U64)
-            table[0] = 1
-            _powers[k] = np.multiply.accumulate(table)
+        for k, base in enumerate((_MULT, pow(_MULT, -1, PRIME))):
+            table = _powers[k]
+            while len(table) < n:
+                table = np.concatenate([table, product(table, U64(pow(base, len(table), PRIME)))])
+            _powers[k] = table
     return _powers[0], _powers[1]
 
 
@@ -132,16 +158,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-def prefix(codes: np.ndarray) -> np.ndarray:
-    """Prefix sums of a Rabin-Karp polynomial over 64-bit symbol codes."""
-    out = np.zeros(len(codes) + 1, U64)
-    np.cumsum(codes * _power_tables(len(codes) + 1)[0][: len(codes)], out=out[1:])
+def prefix(codes: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    """Prefix sums of a Rabin-Karp polynomial over symbol codes, modulo PRIME."""
+    powers, out = _power_tables(len(codes) + 1)[0], np.zeros(len(codes) + 1, U64)
+    before = U64(0)
+    for k in range(0, len(codes), block):
+        terms = product(reduced(codes[k : k + block]), powers[k : k + len(codes[k : k + block])])
+        high, low = np.cumsum(terms >> U64(31)), np.cumsum(terms & _LOW31)  # exact: two halves of 31 bits
+        part = out[k + 1 : k + 1 + block]
+        part[:] = reduced(before + reduced((high >> U64(30)) + ((high & _LOW30) << U64(31)) + reduced(low)))
+        before = part[-1]
     return out
 
 
-def spans(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def spans(p: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 14) -> np.ndarray:
     """Hashes of the symbols in [start, end), from ``prefix``."""
-    return mix((p[end] - p[start]) * _power_tables(len(p))[1][start] + (end - start).astype(U64))
+    inverse, out = _power_tables(len(p))[1], np.empty(len(start), U64)
+    for k in range(0, len(start), block):
+        a, b = start[k : k + block], end[k : k + block]
+        out[k : k + block] = mix(product(reduced(p[b] + (_P - p[a])), inverse[a]) + (b - a).astype(U64))
+    return out
 
 
 def text_chunks(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
