@@ -2,13 +2,16 @@
 
 Arrow functions encode batches and return lengths only. Batches hold about
 ``batch_bytes`` of text whatever the row count, and texts longer than
-``split_bytes`` are cut at safe boundaries: a space after a character that is
-no space. No vocabulary piece continues over such a place (checked when the
-model is loaded), and the dummy prefix of the following segment stands for the
-space that is cut, so the sum of the segments' counts is the count of the text.
+``split_bytes`` are cut at safe boundaries: a space between two visible ASCII
+characters, which no normaliser drops or joins with the space. No vocabulary
+piece continues over such a place (checked when the model is loaded), and the
+dummy prefix of the following segment stands for the space that is cut, so the
+sum of the segments' counts is the count of the text. A text without such a
+place, however long, is encoded whole.
 
 Null and empty texts have 0 bytes and 0 tokens. Repeated rows are counted each
-time. Ids may be null or repeat; they are passed through.
+time. Ids may be null or repeat; they are passed through. An empty table gives no
+rows, and further columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _loaded: dict[str, tuple] = {}
-_BOUNDARY = re.compile("(?<=[^ ▁]) ")
+_BOUNDARY = re.compile(b"(?<=[!-~]) (?=[!-~])")
 
 
 def load(model: str):
@@ -38,13 +41,13 @@ def load(model: str):
     return _loaded[model]
 
 
-def cut(text: str, limit: int) -> list[str]:
-    """Segments of about ``limit`` characters; the space at each cut is left out."""
+def cut(text: bytes, limit: int) -> list[bytes]:
+    """Segments of about ``limit`` bytes; the space at each cut is left out."""
     if len(text) <= limit:
         return [text]
     out, at = [], 0
     while len(text) - at > limit:
-        found = _BOUNDARY.search(text, at + limit)
+        found = _BOUNDARY.search(text, at + limit - 1)
         if not found:
             break
         out.append(text[at : found.start()])
@@ -53,7 +56,7 @@ def cut(text: str, limit: int) -> list[str]:
     return out
 
 
-def lengths(texts: list[str], model: str, batch_bytes: int, split_bytes: int) -> list[int]:
+def lengths(texts: list[bytes], model: str, batch_bytes: int, split_bytes: int) -> list[int]:
     sp, safe = load(model)
     counts, batch, owner, held = [0] * len(texts), [], [], 0
 
@@ -89,7 +92,7 @@ def token_counts(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = pc.fill_null(b.column(1), "")
-            n = lengths(text.to_pylist(), model, batch_bytes, split_bytes)
+            n = lengths(text.cast(pa.binary()).to_pylist(), model, batch_bytes, split_bytes)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pc.binary_length(text).cast(pa.int64()), pa.array(n, pa.int64())],
                 names=["doc_id", "n_bytes", "n_tokens"],
