@@ -8,11 +8,15 @@ anchor string; a digit or a plus sign starts their parser.
 
 Base kinds are leftmost and not overlapping within their kind; a candidate that
 fails validation is dropped and the search goes on behind it. Kinds that the
-method adds are ``url``, ``account`` (an IBAN by its check digits, a card-like or
-national number after a cue) and ``secret`` (a value after a cue such as
-``password=``). Offsets are code points, ends exclusive.
-
-Null and empty texts have no spans. Repeated rows give repeated results.
+method adds are ``url``, ``account`` (an IBAN by its check digits, or after a cue a
+number of that cue's form: see ``account_number``) and ``secret`` (after a cue such
+as ``password=`` a value that is no plain prose: see ``is_secret``). Offsets are
+code points, ends exclusive.
+
+Null and empty texts have no spans; masked, they stay as they are. Very long texts
+are read whole. Repeated rows give repeated results, ids may be null or repeat,
+and an empty table gives no rows. Further columns are not read; ``masked``
+returns them unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,9 +42,12 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL_REST = re.compile(r"[^\s<>\"']+")
-_ACCOUNT = re.compile(r"(?:\s*(?:no\.?|number|nr\.?|#))?\s*[:=#]?\s*((?-i:[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30})|[0-9](?:[\x20-]?[0-9]){5,18})", re.IGNORECASE)
-_SECRET = re.compile(r"\s*[=:]\s*(\"[^\"\n]{6,}\"|'[^'\n]{6,}'|[^\s,;\"']{6,})")
+_ACCOUNT = re.compile(r"((?:\s*(?:no\.?|number|nr\.?|#))?\s*[:=#]?)\s*((?-i:[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30})|[0-9](?:[\x20-]?[0-9]){5,18})", re.IGNORECASE)
+_SECRET = re.compile(r"(\s*[=:])\s*(\"[^\"\n]{6,}\"|'[^'\n]{6,}'|[^\s,;\"']{6,})")
 _DIGIT = re.compile("[0-9]")
+_PROSE = re.compile(r"[^\W\d_]+(?:[\s'’,.;:!?()-]+[^\W\d_]+)*[\s'’,.;:!?()-]*")
+_DATE = re.compile(r"[12][0-9]{3}([ -])[01]?[0-9]\1[0-3]?[0-9]|[0-3]?[0-9]([ -])[01]?[0-9]\2[12][0-9]{3}")
+_SSN = re.compile(r"(?!000|666|9)[0-9]{3}([ -]?)(?!00)[0-9]{2}\1(?!0000)[0-9]{4}")
 #: Characters of each country's IBAN.
 _IBAN_SIZE = {x[:2]: int(x[2:]) for x in (
     "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 "
@@ -85,6 +92,29 @@ def iban_end(text: str, start: int, end: int) -> int | None:
     return next((e for e in whole if iban(text[start:e])), None)
 
 
+def account_number(cue: str, marked: bool, number: str, after: str) -> bool:
+    """Whether digits after a cue are a number of that cue's kind.
+
+    They end at a boundary. A social security number has its groups, of which none
+    is void; a passport number is 7 to 9 digits in one piece. An account number
+    has 8 to 17 digits and is no date; without a mark such as ``:`` or ``no`` between
+    cue and digits they stand in one piece.
+    """
+    if after[:1].isalnum() or re.match(r"[.,-][0-9]", after):
+        return False
+    if cue == "ssn":
+        return bool(_SSN.fullmatch(number))
+    if cue == "passport":
+        return number.isdigit() and 7 <= len(number) <= 9
+    count = sum(c.isdigit() for c in number)
+    return 8 <= count <= 17 and (marked or count == len(number)) and not _DATE.fullmatch(number)
+
+
+def is_secret(mark: str, value: str) -> bool:
+    """Whether a value after a cue is more than a phrase: words alone count only right behind ``=``."""
+    return mark == "=" or not _PROSE.fullmatch(value.strip("\"'"))
+
+
 def email_at(text: str, at: int, least: int) -> tuple[int, int] | None:
     """The address around the at-sign at ``at`` that starts at ``least`` or later."""
     start = at
@@ -118,12 +148,17 @@ def find(text: str) -> list[tuple[int, int, str, int]]:
                     url_end = end
                     out.append((begin, 4, "url", end))
         elif anchor in ACCOUNT_CUES:
-            if begin >= account_end and (m := _ACCOUNT.match(text, last + 1)) and (end := m.end(1) if m[1][0].isdigit() else iban_end(text, *m.span(1))):
-                account_end = end
-                out.append((m.start(1), 5, "account", account_end))
-        elif begin >= secret_end and (m := _SECRET.match(text, last + 1)):
-            secret_end = m.end(1)
-            out.append((m.start(1), 6, "secret", secret_end))
+            if begin >= account_end and (m := _ACCOUNT.match(text, last + 1)):
+                if not m[2][0].isdigit():
+                    end = iban_end(text, *m.span(2))
+                else:
+                    end = m.end() if account_number(anchor, bool(m[1].strip()), m[2], text[m.end() : m.end() + 2]) else None
+                if end:
+                    account_end = end
+                    out.append((m.start(2), 5, "account", end))
+        elif begin >= secret_end and (m := _SECRET.match(text, last + 1)) and is_secret(m[1], m[2]):
+            secret_end = m.end()
+            out.append((m.start(2), 6, "secret", secret_end))
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
             if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0")[:3] or "0") <= 255 for p in m[0].split(".")):
