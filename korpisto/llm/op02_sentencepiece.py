@@ -219,6 +219,8 @@ class Transducer:
                             cost[end], piece[end] = 0.0, arc
                 if arc not in beginnings:
                     break
+        if cost[n] == infinite:
+            raise ValueError("no finite path: the model's pieces can't be reached by merges")
         out, at = [], n
         while at:
             out.append(piece[at])

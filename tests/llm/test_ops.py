@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
+from korpisto.llm import common
 from korpisto.llm import op01_packing as op1
 from korpisto.llm import op02_sentencepiece as op2
 from korpisto.llm import op03_fingerprints as op3
@@ -372,6 +373,63 @@ def test_pii_ibans_of_other_countries():
     assert op8.find(text)[0] == (5, 5, "account", text.index(","))
 
 
+@pytest.mark.parametrize("text", ["The secret: everything changes here.", "my account 2024 05 01 was", "account: 2024-05-01", "account 12 34 56 78 90", "passport 123", "ssn 000-12-3456", "Token: \"all the same\"", "account 123456789.55", "my account 12345678x"])
+def test_pii_leaves_prose_alone(text):
+    assert not [s for s in op8.find(text) if s[1] > 3]
+
+
+@pytest.mark.parametrize("cue, value", [("ssn ", "123-45-6789"), ("account no. ", "1234 5678 9012"), ("acct ", "0012345678"), ("passport: ", "C1234567"[1:]), ("password=", "hunter"), ("secret: ", "h4nter-two"), ("token : ", '"a1b2c3d4"')])
+def test_pii_added_kinds(cue, value):
+    found = [s for s in op8.find(f"x {cue}{value} y") if s[1] > 3]
+    assert [(s[0], s[3]) for s in found] == [(2 + len(cue), 2 + len(cue) + len(value))]
+
+
+def test_pii_masks_from_offsets(spark):
+    rows = [(None, None, "a"), (1, "", "b"), (1, "to a@b.co, now", "c"), (2, "é" * 70_000 + " a@b.co", "d")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = {r.spans: r.text for r in op8.masked(frame).collect()}
+    assert got == {"a": None, "b": "", "c": "to [EMAIL], now", "d": "é" * 70_000 + " [EMAIL]"}
+    assert [r.spans for r in op8.detect(frame.where("doc_id = 2")).collect()] == ["email:70001:70007"]
+
+
+def test_token_counts_at_every_cut():
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng, parts = np.random.default_rng(4), [*"ab   .\n\t▁é中1<", "\u3000", "\u200b", "\u0301", "<s>", "\xa0"]
+    every = ["".join(rng.choice(parts, rng.integers(0, 90))) for _ in range(10_000)]
+    for split in (7, 16, 40):
+        assert op9.lengths([t.encode() for t in every], path, 1 << 12, split) == [len(x) for x in sp.encode(every)]
+    ends = ["w" * 2 + " " + "word " * 13107, "word " * 40_000, " " * 70_000, "é" * 70_000]
+    assert op9.lengths([t.encode() for t in ends], path, 1 << 20, 1 << 16) == [len(x) for x in sp.encode(ends)]
+
+
+def test_hashes_part_texts_that_agree_modulo_powers_of_two():
+    """Thue-Morse words of 1,024 letters collide for every base where the modulus is 2**64."""
+    word = [0]
+    while len(word) < 1024:
+        word += [1 - x for x in word]
+    one, other = ("".join("ab"[x ^ k] for x in word) for k in (0, 1))
+    data = np.frombuffer((one + other).encode(), np.uint8)
+    at = np.array([0, 1024])
+    hashes = common.spans(common.prefix(common.BYTE_CODE[data]), at, at + 1024)
+    assert hashes[0] != hashes[1]
+    text = f"{one}\n{other}\n".encode()
+    assert op10.statistics(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[3][0] == 0
+
+
+def test_hash_arithmetic():
+    rng = np.random.default_rng(2)
+    x, y = (rng.integers(0, common.PRIME, 500, dtype=np.uint64) for _ in range(2))
+    assert [int(a) * int(b) % common.PRIME for a, b in zip(x, y)] == common.product(x, y).tolist()
+    codes = rng.integers(0, 1 << 63, 40_000, dtype=np.uint64)
+    codes[30_000:30_300] = codes[7:307]
+    p = common.prefix(codes)
+    h = common.spans(p, np.array([7, 30_000, 8]), np.array([307, 30_300, 308]))
+    assert h[0] == h[1] != h[2]
+
+
 def test_token_counts(spark, docs, empty):
     import sentencepiece
 
@@ -402,6 +460,60 @@ def test_quality(spark, docs, empty):
     assert op10.keep(docs, labels).columns == docs.columns
 
 
+def plain_path(forest, root, row):
+    """Path length of a row by walking one tree."""
+    node = root
+    while forest["feature"][node] >= 0:
+        node = forest["left"][node] + int(row[forest["feature"][node]] > forest["split"][node])
+    return forest["path"][node]
+
+
+def test_isolation_forest_paths():
+    rng = np.random.default_rng(6)
+    good, bad = rng.normal(0, 1, (300, op10.FEATURES)), rng.normal(6, 1, (40, op10.FEATURES))
+    both = np.concatenate([good, bad])
+    forest = op10.grow(good, (both.min(0), both.max(0)), 40, 64, 3)
+    norm = 2 * (np.log(63) + np.euler_gamma) - 2 * 63 / 64
+    want = [2 ** (-np.mean([plain_path(forest, r, row) for r in forest["roots"]]) / norm) for row in both]
+    got = op10.anomaly(forest, both)
+    assert got == pytest.approx(want) and got.min() > 0 and got.max() <= 1
+    for root in forest["roots"]:  # every split lies in its node's box, leaves hold what their depth says
+        stack = [(root, 0, both.min(0), both.max(0))]
+        while stack:
+            node, depth, low, high = stack.pop()
+            f, at = forest["feature"][node], forest["split"][node]
+            if f < 0:
+                assert forest["path"][node] >= depth
+                continue
+            assert low[f] <= at <= high[f]
+            cut_high, cut_low = high.copy(), low.copy()
+            cut_high[f] = cut_low[f] = at
+            stack += [(forest["left"][node], depth + 1, low, cut_high), (forest["left"][node] + 1, depth + 1, cut_low, high)]
+    limit = op10.threshold_of(got[:300], got[300:], 0.01)
+    assert (got[:300] > limit).mean() <= 0.01 and (got[300:] > limit).mean() > 0.9
+
+
+def test_quality_verdicts_come_from_the_forest(spark):
+    """Bad rows that pass the base rules go, good ones stay, held-out ones too; kept is the forest's verdict."""
+    ship(spark)
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(w + ("###" if i % 10 == 0 else "") for w in rng.choice(VOCABULARY, rng.integers(40, 200)))) for i in range(1200)]
+    rows += [(5000, None), (5001, ""), (None, rows[1][1]), (1, rows[1][1]), (7000, prose(60_000, 5))]
+    frame = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, kept int").repartition(3)
+    marks = spark.createDataFrame([(i, int(i % 10 != 0)) for i in range(800)], "doc_id long, quality int")
+    got = op10.judge(frame, marks).collect()
+    assert len(got) == len(rows)
+    forest, limit = op10.fit(frame, marks, sample=8192, trees=128, points=256, spare=0.005, seed=7)
+    for r in got:
+        assert r.kept == (not r.base_failed and r.anomaly <= limit)
+    held_out = [r for r in got if r.doc_id and 800 <= r.doc_id < 1200]
+    assert all(r.kept != (r.doc_id % 10 == 0) for r in held_out if r.doc_id % 10 == 0)
+    assert sum(r.kept for r in held_out if r.doc_id % 10) >= 0.97 * sum(r.doc_id % 10 > 0 for r in held_out)
+    kept = op10.keep(frame, marks)
+    assert kept.count() == sum(r.kept for r in got) and kept.columns == frame.columns
+    assert [r.kept for r in got if r.doc_id in (5000, 5001)] == [False, False]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
