@@ -1,14 +1,16 @@
 """Operator 3: I-Match fingerprints from randomised lexicon subsets.
 
-The lexicon is the terms whose document frequency lies between ``rarest`` and
-``commonest`` of all documents, at most ``LEXICON`` of them: where there are
-more, the band's rare end moves up by eighths of an octave. It reaches the rows
-as a constant of that bounded size, a hash table in an array.
+The lexicon is all terms whose document frequency lies between ``rarest`` and
+``commonest`` of all documents, and at least 2. Its size has a bound that does not
+grow with the corpus: each term takes ``rarest`` of the documents, so there are at
+most (mean distinct terms of a document) / ``rarest`` of them, some hundred
+thousand. So it is broadcast to where the terms of the texts are, and only what
+a text holds of it is gathered by text, already one list where the text lies.
 
 A document's distinct lexicon terms are sorted; each of ``SEEDS`` random lexicon
 subsets, on each of ``LEVELS`` levels, keeps a share of the lexicon (a quarter, a sixteenth, ...),
 and the kept terms are hashed together. The fingerprint is all these hashes, a
-row of marks for an empty subset. A document without lexicon terms is
+row of marks for each empty subset. A document without lexicon terms is
 fingerprinted by all of its terms. Likeness is the share of equal hashes on the
 sparsest level where at least a third of the subsets hold a term of either
 document; two documents without terms are alike, one with and one without not.
@@ -18,19 +20,23 @@ document by descending id the rows are dealt out by ranges of ids, and each
 range is given the first document of the next one, so no task sees all rows.
 
 Null texts are empty; null ids come last. Rows that share an id are ordered by
-the hash of their text.
+the hash of their text. Very long texts are read whole; an empty table gives no
+rows; a table of one row is its own next document. Further columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from korpisto.llm.common import materialise, shuffle_partitions
+from korpisto.llm.common import keyed, materialise, shuffle_partitions
 
-LEXICON, SEEDS, LEVELS = 65536, 16, 4  # SEEDS * LEVELS / 2 bits of a term are used
+SEEDS, LEVELS = 16, 4  # SEEDS * LEVELS / 2 bits of a term are used
+DIGITS = 10  # hexadecimal digits of a subset's hash
 _WHITE = "[\\x20\\x09-\\x0D]+"
-_NONE = "......"
+_NONE = "." * DIGITS
 
 
 def terms(text: Column) -> Column:
@@ -39,50 +45,11 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, text_col: str, rarest: float, commonest: float) -> tuple[Column, int]:
-    """The lexicon as a constant hash table, with its size."""
+def lexicon(docs: DataFrame, text_col: str, rarest: float, commonest: float) -> DataFrame:
+    """The terms of the band, written once."""
     total = docs.count()
-    df = materialise(
-        docs.select(F.explode(terms(F.col(text_col))).alias("term")).groupBy("term").count()
-        .where((F.col("count") >= max(2, rarest * total)) & (F.col("count") <= max(2, commonest * total)))
-    )
-    steps = df.groupBy(F.floor(F.log2("count") * 8).alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()  # a few hundred rows at most
-    least, held = 0, 0
-    for r in steps:
-        if held + r.n > LEXICON:
-            break
-        least, held = r.step, held + r.n
-    kept = [r.term for r in df.where(F.floor(F.log2("count") * 8) >= least).select("term").collect()]  # at most LEXICON
-    return _table([t for t in kept if t])
-
-
-def _places(term: int, size: int) -> tuple[int, int]:
-    return term & (size - 1), (term >> 20) & (size - 1)
-
-
-def _table(terms_: list[int], size: int = 1 << 18) -> tuple[Column, int]:
-    """A cuckoo hash table: each term is at one of its two places, 0 elsewhere."""
-    table = [0] * size
-    for term in terms_:
-        at = _places(term, size)[0]
-        for _ in range(500):
-            term, table[at] = table[at], term
-            if not term:
-                break
-            first, second = _places(term, size)
-            at = second if at == first else first
-        else:
-            return _table(terms_, size * 2)
-    # the optimizer folds this into one constant array
-    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>"), size
-
-
-def known(term: Column, table: tuple[Column, int]) -> Column:
-    """Whether the term is in the lexicon."""
-    held, size = table
-    mask = F.lit(size - 1).cast("long")
-    first, second = term.bitwiseAND(mask), F.shiftright(term, 20).bitwiseAND(mask)
-    return (F.get(held, first.cast("int")) == term) | (F.get(held, second.cast("int")) == term)
+    counts = docs.select(F.explode(terms(F.col(text_col))).alias("term")).groupBy("term").count()
+    return materialise(counts.where((F.col("count") >= max(2, rarest * total)) & (F.col("count") <= max(2, commonest * total))).select("term"))
 
 
 def _thinned(held: Column, subset: int, level: int) -> Column:
@@ -94,43 +61,48 @@ def _thinned(held: Column, subset: int, level: int) -> Column:
     return F.filter(held, lambda t: F.shiftright(t, shift).bitwiseAND(F.lit(3).cast("long")) == subset % 4)
 
 
-def hashes(text: Column, table: tuple[Column, int]) -> list[tuple[str, Column]]:
-    """Steps (name, expression) from a text to the array ``out`` of SEEDS * LEVELS hashes."""
-    steps = [("t_all", terms(text))]
-    steps.append(("t_known", F.filter("t_all", lambda t: known(t, table))))
-    steps.append(("t_0", F.array_sort(F.when(F.size("t_known") > 0, F.col("t_known")).otherwise(F.col("t_all")))))
+def with_hashes(df: DataFrame, held: str, text: str, name: str) -> DataFrame:
+    """SEEDS * LEVELS hashes, null for empty subsets, of the lexicon terms ``held`` of ``text``, or where there are none of all its terms."""
+    keep = df.columns
+    df = df.withColumn("t_0", F.array_sort(F.when(F.size(held) > 0, F.col(held)).otherwise(terms(F.col(text)))))
     for level in range(1, LEVELS + 1):
         whole = [F.col("t_0") if level == 1 else F.get(f"t_{level - 1}", k) for k in range(SEEDS)]
-        steps.append((f"t_{level}", F.array(*[_thinned(held, k, level) for k, held in enumerate(whole)])))
-    named = [F.transform(f"t_{level}", lambda s: F.when(F.size(s) == 0, F.lit(_NONE)).otherwise(F.lower(F.lpad(F.hex(F.xxhash64(s).bitwiseAND(F.lit(0xFFFFFF))), 6, "0")))) for level in range(1, LEVELS + 1)]
-    steps.append(("out", F.concat(*named)))
-    return steps
+        df = df.withColumn(f"t_{level}", F.array(*[_thinned(x, k, level) for k, x in enumerate(whole)]))
+    every = F.concat(*[f"t_{level}" for level in range(1, LEVELS + 1)])
+    mask = F.lit((1 << 4 * DIGITS) - 1)
+    return df.select(*keep, F.transform(every, lambda s: F.when(F.size(s) > 0, F.xxhash64(s).bitwiseAND(mask))).alias(name))
 
 
-def with_hashes(df: DataFrame, text: str, table: tuple[Column, int], name: str) -> DataFrame:
-    keep = df.columns
-    for step, expression in hashes(F.col(text), table):
-        df = df.withColumn(step, expression)
-    return df.select(*keep, F.col("out").alias(name))
+def held_terms(rows: DataFrame, texts: list[str], words: DataFrame) -> DataFrame:
+    """(row, one list ``held_<text>`` for each of ``texts``) of the lexicon terms of the rows that have any."""
+    sides = [rows.select("row", F.lit(t).alias("side"), F.explode(terms(F.col(t))).alias("term")) for t in texts]
+    found = reduce(DataFrame.unionByName, sides).join(F.broadcast(words), "term")  # bounded, see above
+    return found.groupBy("row").agg(*[F.collect_list(F.when(F.col("side") == t, F.col("term"))).alias(f"held_{t}") for t in texts])
+
+
+def written(h: str) -> Column:
+    """Hashes as a string."""
+    return F.array_join(F.transform(h, lambda x: F.coalesce(F.lower(F.lpad(F.hex(x), DIGITS, "0")), F.lit(_NONE))), "")
 
 
 def likeness(a: str, b: str) -> Column:
     """0 to 1, from two arrays of hashes."""
     both = F.arrays_zip(F.col(a).alias("x"), F.col(b).alias("y"))
-    result = F.when(F.array_join(a, "") == F.array_join(b, ""), F.lit(1.0)).otherwise(F.lit(0.0))
+    result = F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(F.lit(0.0))
     for level in range(1, LEVELS + 1):  # sparser levels take precedence
         part = F.slice(both, (level - 1) * SEEDS + 1, SEEDS)
-        used = F.size(F.filter(part, lambda z: (z.x != _NONE) | (z.y != _NONE)))
-        same = F.size(F.filter(part, lambda z: (z.x == z.y) & (z.x != _NONE)))
+        used = F.size(F.filter(part, lambda z: z.x.isNotNull() | z.y.isNotNull()))
+        same = F.size(F.filter(part, lambda z: z.x == z.y))
         result = F.when(used * 3 >= SEEDS, same / used).otherwise(result)
     return result
 
 
 def fingerprints(docs: DataFrame, *, rarest: float = 0.0005, commonest: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    table = lexicon(base, "text", rarest, commonest)
-    return with_hashes(base, "text", table, "h").select("doc_id", F.array_join("h", "").alias("fingerprint"))
+    base, _ = keyed(docs, id_col, text_col)
+    rows = base.select(F.col("key").alias("row"), F.col("id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    held = held_terms(rows, ["text"], lexicon(rows, "text", rarest, commonest))
+    return with_hashes(rows.join(held, "row", "left"), "held_text", "text", "h").select("doc_id", written("h").alias("fingerprint"))
 
 
 def edited_neighbours(docs: DataFrame, *, rarest: float = 0.0005, commonest: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,7 +113,7 @@ def edited_neighbours(docs: DataFrame, *, rarest: float = 0.0005, commonest: flo
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    table = lexicon(base, "text", rarest, commonest)
+    words = lexicon(base, "text", rarest, commonest)
     ranges = 3 * shuffle_partitions(spark)
     cuts = base.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 20 * ranges)).collect()[0][0] or []  # ``ranges`` values
     cuts = sorted(set(cuts))
@@ -160,12 +132,15 @@ def edited_neighbours(docs: DataFrame, *, rarest: float = 0.0005, commonest: flo
     dealt = rows.select("doc_id", "text", "range", "rank", F.lit(0).alias("guest")).unionByName(given)
     order = Window.partitionBy("range").orderBy("guest", F.desc("rank"))
     cut = F.floor(F.length("text") / 3).cast("int")
-    paired = dealt.withColumn("next", F.lead("text").over(order))
-    edited = paired.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut))).drop("next")
-    hashed = with_hashes(with_hashes(edited, "text", table, "h"), "edited", table, "h_edited")
-    slim = hashed.select("doc_id", "range", "rank", "guest", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "h", "h_edited")
-    out = slim.withColumn("h_next", F.lead("h").over(order)).where("guest = 0")
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring(F.coalesce(F.lead("text").over(order), F.lit("")), F.lit(1), cut))
+    number = F.row_number().over(order) + F.col("range").cast("long") * (1 << 40)
+    # written once: rows are numbered, and the texts' shuffle is over
+    paired = materialise(dealt.select("doc_id", "range", "guest", "text", number.alias("row"), edited.alias("edited")))
+    hashed = paired.join(held_terms(paired, ["text", "edited"], words), "row", "left")
+    hashed = with_hashes(with_hashes(hashed, "held_text", "text", "h"), "held_edited", "edited", "h_edited")
+    slim = hashed.select("doc_id", "range", "row", "guest", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "h", "h_edited")
+    out = slim.withColumn("h_next", F.lead("h").over(Window.partitionBy("range").orderBy("row"))).where("guest = 0")
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", F.array_join("h", "").alias("fingerprint"), F.array_join("h_edited", "").alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", written("h").alias("fingerprint"), written("h_edited").alias("edited_fingerprint"),
         likeness("h", "h_edited").alias("near_edited"), likeness("h", "h_next").alias("near_next"),
     )
