@@ -72,17 +72,18 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def drop(df: DataFrame) -> None:
-    """Delete a table of ``materialise`` that no later step reads.
-
-    Shuffle files go once the driver's objects for them are collected, which
-    long jobs of many steps ask for here.
-    """
+    """Delete a table of ``materialise`` that no later step reads."""
     if id(df) not in _written:
         return
     fs, path = _written.pop(id(df))
     fs.delete(path, True)
+    free_shuffles(df.sparkSession)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the files of shuffles that no later step reads removed."""
     gc.collect()
-    df.sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, *carry: str) -> tuple[DataFrame, DataFrame | None]:

@@ -1,11 +1,17 @@
 """Operator 5: language-model scoring by cross-entropy difference.
 
-Two interpolated bigram models, one of the target texts and one of the
-background. Words and bigrams that occur ``least`` times in both together are in the
-models, so the models grow with the corpus; all other words are one unknown word.
-Each text's score is its mean loss per word under the background model less that
+Two bigram models, one of the target texts and one of the background, share one
+vocabulary and one smoothing: a bigram's share of its first word's bigrams is
+interpolated with the word's own share, with the weight of ``prior`` occurrences
+(a Dirichlet prior). They are matched in size too: the counts of the
+larger one weigh less, by the ratio of their words, and all of them are used. A
+text's score is its mean loss per word under the background model less that
 under the target model, in nats; high scores are target-like.
 
+A text is scored without its own counts. So a word or bigram that occurs once in
+all texts changes nothing but its own unigram mass, which the unknown word holds,
+and the models keep all that occur ``least`` times, so they grow with the corpus.
+
 Counts come from all documents. Texts meet the ids of targets and of held-out texts
 in a shuffle join: every target counts as one, held-out texts in neither model, all
 others are background. The marked texts are written once, in chunks of about
@@ -13,14 +19,17 @@ others are background. The marked texts are written once, in chunks of about
 hashes; a chunk asks for its own distinct ones by a join, and what the table holds
 of them meets the chunk's texts again. The driver takes only the models' totals.
 
-Null and empty texts have no words and score 0. Ids may repeat: rows are scored
-each by its own text, and a text is target if its id is. With no target texts
-both models are the background's, and every score is 0.
+Null and empty texts have no words and score 0; very long texts are a chunk of
+their own, read whole. Ids may be null or repeat: rows are scored each by its own
+text, and a text is target if its id is. With no target texts, or no others, both
+models are the same, and every score is 0. An empty table gives no rows. Further
+columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -30,11 +39,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpisto.llm.common import BYTE_CODE, U64, materialise, mix, prefix, spans, text_chunks, words_of
+from korpisto.llm.common import BYTE_CODE, U64, free_shuffles, materialise, mix, prefix, spans, text_chunks, words_of
 
-DISCOUNT, PRIOR = 0.75, 0.5
+PRIOR = 0.5
 TARGET, HELD_OUT = 1, 2
-ALL, START = 0, 1  # keys of all words together and of a text's start
+ALL, START = 0, 2  # keys of all words together and of a text's start; the lowest bit of a key says bigram
 _ODD = U64(0x9FB21C651E98DF25)
 
 
@@ -44,8 +53,9 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     word = spans(prefix(BYTE_CODE[data]), starts, ends)
     first = np.ones(len(text), bool)
     first[1:] = text[1:] != text[:-1]
+    word &= ~U64(1)
     before = np.where(first, U64(START), np.roll(word, 1))
-    return before.view(np.int64), word.view(np.int64), mix(before * _ODD + word).view(np.int64), text
+    return before.view(np.int64), word.view(np.int64), (mix(before * _ODD + word) | U64(1)).view(np.int64), text
 
 
 def marked(base: DataFrame, target_ids: DataFrame, held_out_ids: DataFrame | None) -> DataFrame:
@@ -73,7 +83,7 @@ def _cut(chunk: int):
 
 
 def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(chunk, [word before, word, bigram, mark of the text]) of a batch's part of a chunk, and its texts' marks."""
+    """(chunk, [word before, word, bigram, mark of the text]) of a batch's part of a chunk."""
     for b in batches:
         chunk, marks = (b.column(c).to_numpy(zero_copy_only=False) for c in ("chunk", "mark"))
         cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1), len(chunk)] if len(chunk) else []
@@ -86,17 +96,16 @@ def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Target's and background's counts of a chunk's words, with 0 as the word before, and bigrams."""
+    """Target's and background's counts of a chunk's words and bigrams."""
     for _, (before, word, gram, mark) in _by_chunk(batches):
         in_target, in_background, starts = mark == TARGET, mark == 0, before == START
-        for values, previous in ((word, None), (gram, before)):
-            key, at, place = np.unique(values, return_index=True, return_inverse=True)
+        for values in (word, gram):
+            key, place = np.unique(values, return_inverse=True)
             t, b = (np.bincount(place, m, minlength=len(key)).astype(np.int64) for m in (in_target, in_background))
-            previous = np.zeros(len(key), np.int64) if previous is None else previous[at]
             some = (t + b) > 0
-            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key, previous, t, b)], names=["key", "before", "t", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key, t, b)], names=["key", "t", "b"])
         sums = [[int(m.sum()), int((m & starts).sum())] for m in (in_target, in_background)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([ALL, START], [0, 0], *sums)], names=["key", "before", "t", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([ALL, START], *sums)], names=["key", "t", "b"])
 
 
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,38 +115,58 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), chunk))], names=["key", "chunk"])
 
 
-def _losses(counts: np.ndarray, kept: np.ndarray, words: float, known: float, size: int) -> Callable:
-    """Losses of words by interpolated absolute discounting; places are -1 where the model has no such key."""
-
-    def losses(before: np.ndarray, word: np.ndarray, gram: np.ndarray) -> np.ndarray:
-        unigram = (np.where(word >= 0, counts[word], words - known) + PRIOR) / (words + PRIOR * size)
-        seen = np.maximum(np.where(before >= 0, counts[before], 0), 1)
-        rest = 1 - np.where(before >= 0, kept[before], 0) / seen
-        return -np.log(rest * unigram + np.where(gram >= 0, np.maximum(counts[gram] - DISCOUNT, 0), 0) / seen)
-
-    return losses
-
-
-def _score(sizes: list[tuple[float, float, int]]):
-    """``sizes``: all words, those of them in the model, and distinct words, of the target and of the background."""
-
+def _own(values: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """How often each value occurs in its own text."""
+    if not len(values):
+        return np.zeros(0)
+    order = np.lexsort((values, text))
+    v, t = values[order], text[order]
+    new = np.ones(len(v), bool)
+    new[1:] = (v[1:] != v[:-1]) | (t[1:] != t[:-1])
+    group = np.cumsum(new) - 1
+    out = np.empty(len(v))
+    out[order] = np.bincount(group)[group]
+    return out
+
+
+@dataclass(frozen=True)
+class Size:
+    """Of one model: all its words, those in the vocabulary, the vocabulary's size, what a count weighs, whose texts it counts, the prior's weight."""
+
+    words: float
+    known: float
+    size: int
+    weight: float
+    mark: int
+    prior: float
+
+    def losses(self, counts: np.ndarray, places: tuple[np.ndarray, ...], own: tuple[np.ndarray, ...], total: np.ndarray) -> np.ndarray:
+        """Losses of words. Places are -1 where the model has no such key; ``own`` and ``total`` are the text's own counts, if they are in the model."""
+        before, word, gram = (np.where(p >= 0, np.maximum(counts[p] - o, 0), 0) * self.weight for p, o in zip(places, own))
+        word = np.where(places[1] >= 0, word, (self.words - self.known) * self.weight)
+        unigram = (word + PRIOR) / ((self.words - total) * self.weight + PRIOR * self.size)
+        return -np.log((gram + self.prior * unigram) / (before + self.prior))
+
+
+def _score(sizes: tuple[Size, Size]):
     def scan(texts: pa.Table, model: pa.Table) -> pa.Table:
         keys = model["key"].to_numpy()
         order = np.argsort(keys)
         keys = np.concatenate([keys[order], [0]])  # not empty; no word or bigram is asked for by the last
-        models = [_losses(*(np.concatenate([pc.fill_null(model[c], 0).to_numpy()[order], [0]]).astype(np.float64) for c in columns), *size) for columns, size in zip((("t", "kept_t"), ("b", "kept_b")), sizes)]
+        counts = [np.concatenate([model[c].to_numpy()[order], [0]]).astype(np.float64) for c in "tb"]
 
         def place(h: np.ndarray) -> np.ndarray:
             at = np.minimum(np.searchsorted(keys[:-1], h), len(keys) - 1)
             return np.where(keys[at] == h, at, -1)
 
         out = []
-        column = texts["text"].combine_chunks()
+        column, marks = texts["text"].combine_chunks(), texts["mark"].to_numpy()
         for first, last, data, offsets in text_chunks(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column):
-            before, word, gram, text = _grams(data, offsets)
+            *grams, text = _grams(data, offsets)
             n = np.bincount(text, minlength=last - first)
-            places = place(before), place(word), place(gram)
-            t, g = (np.bincount(text, m(*places), minlength=last - first) / np.maximum(n, 1) for m in models)
+            places, own, mark, total = tuple(map(place, grams)), tuple(_own(g, text) for g in grams), marks[first + text], n[text]
+            losses = [s.losses(c, places, tuple(np.where(mark == s.mark, o, 0) for o in own), np.where(mark == s.mark, total, 0)) for s, c in zip(sizes, counts)]
+            t, g = (np.bincount(text, x, minlength=last - first) / np.maximum(n, 1) for x in losses)
             out.append((n, t, g, g - t))
         columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), *[np.zeros(0)] * 3]
         return pa.table([texts["doc_id"], *map(pa.array, columns)], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
@@ -151,7 +180,8 @@ def cross_entropy_difference(
     held_out_ids: DataFrame | None = None,
     *,
     least: int = 2,
-    chunk: int = 1 << 22,
+    prior: float = 4.0,
+    chunk: int = 1 << 23,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -162,25 +192,21 @@ def cross_entropy_difference(
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = materialise(marked(base, target_ids, held_out_ids).mapInArrow(_cut(chunk), "doc_id long, text string, mark int, chunk long"))
-    counted = texts.select("text", "mark", "chunk").mapInArrow(_count, "key long, before long, t long, b long")
-    enough = (F.col("t") + F.col("b") >= least) | ((F.col("before") == 0) & F.col("key").isin(ALL, START))
-    counts = materialise(counted.groupBy("key", "before").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).where(enough))
-
-    total = counts.where(f"before = 0 and key = {ALL}").agg(F.sum("t"), F.sum("b")).first()
-    known = counts.where(f"before = 0 and key not in ({ALL}, {START})").agg(F.sum("t"), F.sum("b"), F.count("*")).first()
-    sizes = [(float(total[k] or 0), float(known[k] or 0), known[2] + 1) for k in (0, 1)]
-
-    kept = [F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).alias(f"kept_{c}") for c in "tb"]
-    rests = counts.where("before <> 0").groupBy(F.col("before").alias("key")).agg(*kept)
-    words = counts.where(f"before = 0 and key <> {ALL}").join(rests, "key", "left")
-    bigrams = counts.where("before <> 0").withColumns({f"kept_{c}": F.lit(None).cast("double") for c in "tb"})
-    model = words.unionByName(bigrams).drop("before")
-    if not sizes[0][0]:
-        model, sizes = model.withColumns({"t": F.col("b"), "kept_t": F.col("kept_b")}), [sizes[1]] * 2
-    elif not sizes[1][0]:
-        model, sizes = model.withColumns({"b": F.col("t"), "kept_b": F.col("kept_t")}), [sizes[0]] * 2
+    counted = texts.select("text", "mark", "chunk").mapInArrow(_count, "key long, t long, b long")
+    enough = (F.col("t") + F.col("b") >= least) | F.col("key").isin(ALL, START)
+    model = materialise(counted.groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).where(enough))
+    free_shuffles(docs.sparkSession)
+
+    total = model.where(f"key = {ALL}").agg(F.sum("t"), F.sum("b")).first()
+    is_word = (F.col("key").bitwiseAND(F.lit(1).cast("long")) == 0) & ~F.col("key").isin(ALL, START)
+    known = model.where(is_word).agg(F.sum("t"), F.sum("b"), F.count("*")).first()
+    words, held = ([float(x[k] or 0) for k in (0, 1)] for x in (total, known))
+    sizes = tuple(Size(words[k], held[k], known[2] + 1, min(words) / words[k] if words[k] else 1.0, mark, prior) for k, mark in enumerate((TARGET, 0)))
+    if not min(words):  # one side has no texts: both models are the other's
+        k = int(not words[0])
+        model, sizes = model.withColumns({c: F.col("tb"[k]) for c in "tb"}), (replace(sizes[k], weight=1.0),) * 2
 
     asked = texts.select("text", "mark", "chunk").mapInArrow(_ask, "key long, chunk long")
     answers = asked.join(model.hint("shuffle_hash"), "key")
-    pairs = texts.select("doc_id", "text", "chunk").groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    pairs = texts.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return pairs.applyInArrow(_score(sizes), "doc_id long, n_words long, target_loss double, background_loss double, score double")
