@@ -158,19 +158,79 @@ def test_sentencepiece(spark, docs, empty):
     assert op2.encode_decode(empty, path).count() == 0
 
 
+def plain_hashes(text, band):
+    """The fingerprint's hashes of a text, by the plain algorithm."""
+    import struct
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    words = {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in WORD.findall(text.lower())}
+    held = sorted(words & band) or sorted(words)
+    out = []
+    for level in range(1, op3.LEVELS + 1):
+        for k in range(op3.SEEDS):
+            kept = held
+            for step in range(level):
+                shift = 2 * (step * (op3.SEEDS // 4) + k // 4)
+                kept = [t for t in kept if t >> shift & 3 == k % 4]
+            h = 42
+            for t in kept:
+                h = xxhash.xxh64_intdigest(struct.pack("<q", t), h)
+            out.append(h % (1 << 4 * op3.DIGITS) if kept else None)
+    return out
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    for level in reversed(range(op3.LEVELS)):
+        pairs = list(zip(a, b))[level * op3.SEEDS : (level + 1) * op3.SEEDS]
+        used = sum(x is not None or y is not None for x, y in pairs)
+        if used * 3 >= op3.SEEDS:
+            return sum(x == y is not None for x, y in pairs) / used
+    return 0.0
+
+
+def plain_band(every, rarest=0.0005, commonest=0.05):
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = collections.Counter(w for t in every for w in set(WORD.findall(t.lower())))
+    low, high = max(2, rarest * len(every)), max(2, commonest * len(every))
+    return {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w, n in df.items() if low <= n <= high}
+
+
+def plain_written(h):
+    return "".join("." * op3.DIGITS if x is None else f"{x:0{op3.DIGITS}x}" for x in h)
+
+
 def test_fingerprints(spark, docs, empty, odd):
     rows = {r.doc_id: r for r in op3.edited_neighbours(docs).collect()}
-    ids = sorted(rows, reverse=True)
+    ids, band = sorted(rows, reverse=True), plain_band([t or "" for t in texts()])
+    assert band
     for k, i in enumerate(ids):
         t, after = plain()[i], plain()[ids[(k + 1) % len(ids)]]
         n = len(t) // 3
-        assert rows[i].n_chars == len(t)
-        assert rows[i].edited_sha256 == hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()
-        assert 0 <= rows[i].near_edited <= 1 and 0 <= rows[i].near_next <= 1
+        edited = t[: len(t) - n] + after[:n]
+        own, changed, other = (plain_hashes(x, band) for x in (t, edited, after))
+        assert (rows[i].n_chars, rows[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (rows[i].fingerprint, rows[i].edited_fingerprint) == (plain_written(own), plain_written(changed))
+        assert (rows[i].near_edited, rows[i].near_next) == (pytest.approx(plain_likeness(own, changed)), pytest.approx(plain_likeness(own, other)))
+    assert {r.doc_id: r.fingerprint for r in op3.fingerprints(docs).collect()} == {i: rows[i].fingerprint for i in rows}
     assert rows[0].fingerprint == rows[3].fingerprint != rows[36].fingerprint
-    assert rows[3].near_next in (1.0, rows[3].near_next)
-    assert op3.edited_neighbours(empty).count() == 0
-    assert op3.edited_neighbours(odd).count() == 5
+    assert op3.edited_neighbours(empty).count() == 0 == op3.fingerprints(empty).count()
+    assert op3.edited_neighbours(odd).count() == 5 == op3.fingerprints(odd).count()
+
+
+def test_fingerprints_use_the_whole_band(spark):
+    """More terms in the band than the 65,536 that once were kept: all of them are in the lexicon."""
+    ship(spark)
+    rows = [(i, " ".join(f"w{k}" for k in range((i // 2) * 1000, (i // 2) * 1000 + 1000))) for i in range(140)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert op3.lexicon(frame, "text", 0.0005, 0.05).count() == 70_000
+    got = {r.doc_id: r.fingerprint for r in op3.fingerprints(frame).collect()}
+    assert all(got[i] == got[i + 1] for i in range(0, 140, 2)) and len(set(got.values())) == 70
 
 
 def test_suffix_dedup(spark, docs, empty, odd):
@@ -207,7 +267,7 @@ def test_lm_scoring(spark, docs, empty):
     good = spark.createDataFrame([(0,), (3,), (36,), (None,)], "doc_id long")
     rows = {r.doc_id: r for r in op5.cross_entropy_difference(docs, good).collect()}
     assert len(rows) == len(texts()) and rows[9].n_words == 0 and rows[9].score == 0
-    assert rows[36].score > rows[33].score
+    assert rows[0].score == rows[3].score > rows[33].score  # equal texts, each scored by the other
     assert op5.cross_entropy_difference(empty, good).count() == 0
     assert all(r.score == 0 for r in op5.cross_entropy_difference(docs, good.where("false")).collect())
 
@@ -232,24 +292,30 @@ def test_lm_scoring_leaves_held_out_texts_out(spark):
         assert got[r.doc_id] == pytest.approx(r.score, abs=1e-9)
 
 
-def plain_losses(rows, ids):
-    """Mean losses by a model of the texts ``ids``, the words and bigrams that occur twice in all ``rows``."""
+def plain_losses(rows, ids, others):
+    """Mean losses by a model of the texts ``ids``, without a text's own counts, matched with one of ``others``."""
     pairs = lambda t: list(zip(["", *t.split()], t.split()))
-    every, every_pair = (collections.Counter(x for t in rows.values() for x in f(t)) for f in (str.split, pairs))
-    n, pair = (collections.Counter(x for i in ids for x in f(rows[i])) for f in (str.split, pairs))
+    tokens = lambda t: [*t.split(), *[""] * bool(t.split())]
+    every = collections.Counter(w for i in [*ids, *others] for w in rows[i].split())
+    every_pair = collections.Counter(p for i in [*ids, *others] for p in pairs(rows[i]))
     known = {w for w in every if every[w] > 1}
-    unknown, total = sum(c for w, c in n.items() if w not in known), sum(n.values())
-    kept = {p: max(c - 0.75, 0) for p, c in pair.items() if every_pair[p] > 1}
-    mass = collections.Counter()
-    for (a, _), k in kept.items():
-        mass[a] += k
-    seen = {**n, "": sum(bool(rows[i].split()) for i in ids)}
+    n, pair = (collections.Counter(x for i in ids for x in f(rows[i])) for f in (tokens, pairs))
+    size, other = (sum(len(rows[i].split()) for i in x) for x in (ids, others))
+    weight = min(size, other) / size
+    unknown = sum(n[w] for w in every if w not in known)
+    out = {}
+    for i, t in rows.items():
+        own, own_pair = (collections.Counter(f(t) if i in ids else []) for f in (tokens, pairs))
+        total = size - (len(t.split()) if i in ids else 0)
 
-    def loss(a, w):
-        c = max(1, seen.get(a, 0))
-        return -np.log((1 - mass[a] / c) * ((n[w] if w in known else unknown) + 0.5) / (total + 0.5 * (len(known) + 1)) + kept.get((a, w), 0) / c)
+        def loss(a, w):
+            unigram = (((n[w] - own[w]) if w in known else unknown) * weight + 0.5) / (total * weight + 0.5 * (len(known) + 1))
+            seen = (n[a] - own[a]) * weight if a in known or a == "" else 0
+            both = (pair[a, w] - own_pair[a, w]) * weight if every_pair[a, w] > 1 else 0
+            return -np.log((both + 4 * unigram) / (seen + 4))
 
-    return {i: np.mean([loss(*p) for p in pairs(t)] or [0.0]) for i, t in rows.items()}
+        out[i] = np.mean([loss(*p) for p in pairs(t)] or [0.0])
+    return out
 
 
 def test_lm_scoring_keeps_all_words_and_bigrams(spark):
@@ -261,8 +327,10 @@ def test_lm_scoring_keeps_all_words_and_bigrams(spark):
     assert len({w for t in rows.values() for w in t.split()}) > 32_768
     good = spark.createDataFrame([(i,) for i in range(0, 10)], "doc_id long")
     frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
-    target, background = plain_losses(rows, range(10)), plain_losses(rows, [i for i in rows if i >= 10])
-    got = op5.cross_entropy_difference(frame, good, chunk=50_000).collect()
+    rest = [i for i in rows if i >= 10 and i != 39]
+    held_out = spark.createDataFrame([(39,)], "doc_id long")
+    target, background = plain_losses(rows, range(10), rest), plain_losses(rows, rest, range(10))
+    got = op5.cross_entropy_difference(frame, good, held_out, chunk=50_000).collect()
     assert sorted(r.doc_id for r in got) == sorted(rows)
     for r in got:
         assert (r.n_words, r.target_loss, r.background_loss) == (len(rows[r.doc_id].split()), pytest.approx(target[r.doc_id]), pytest.approx(background[r.doc_id]))
@@ -271,10 +339,23 @@ def test_lm_scoring_keeps_all_words_and_bigrams(spark):
 def test_lm_scoring_where_every_count_is_high(spark):
     """All words and bigrams above 65,536, where counts were once clamped into one step that was kept or dropped whole."""
     ship(spark)
-    texts = ["a b " * 70_000, "c d " * 70_000, "a b a b", "c d c d", "a d"]
+    texts = ["a b " * 70_000, "c d " * 70_000, "a b a b", "c d c d", "a d", "a b " * 70_000]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.score for r in op5.cross_entropy_difference(frame, spark.createDataFrame([(0,)], "doc_id long")).collect()}
-    assert got[0] > 1 and got[2] > 1 and got[1] < -1 and got[3] < -1 and got[3] < got[4] < got[2]
+    got = {r.doc_id: r.score for r in op5.cross_entropy_difference(frame, spark.createDataFrame([(0,), (5,)], "doc_id long")).collect()}
+    assert got[0] > 1 and got[2] > 1 and got[3] < -1 and got[3] < got[4] < got[2]
+    assert got[1] < 0  # without its own counts little of the background is left
+
+
+def test_lm_scoring_parts_good_from_bad(spark):
+    """Held-out accuracy: no text's own counts are in the models, so labelled rows measure it."""
+    ship(spark)
+    marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = op5.cross_entropy_difference(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), marks.where("quality = 1")).where("n_words >= 20")
+    rows = got.join(marks, "doc_id").toPandas()
+    good, bad = (rows[rows.quality == q].score.to_numpy() for q in (1, 0))
+    area = np.mean(good[:, None] > bad[None, :]) + np.mean(good[:, None] == bad[None, :]) / 2
+    print("area under the curve", area)
+    assert area > 0.9
 
 
 def test_near_dedup(spark, docs, empty, odd):
