@@ -7,9 +7,12 @@ SetSketch registers: minima of exponential variates on a scale of powers of
 ``BASE``, truncated to whole exponents. Registers merge by maximum and agree for
 two sets about as often as the sets' likeness.
 
-1. Equal sets collapse to one representative each.
+1. Equal sets collapse to one representative each: first within a block of rows, then
+   the blocks' representatives, so a set that a third of all rows holds is a row a
+   block to any one task. Empty sets take no part.
 2. Bands of registers are keys. Of each bucket only pairs with its lowest member
-   are made first, so a group of copies costs a pair a member. Of each bucket
+   are made first, within a batch and then between the batches' lowest ones, so a
+   group of copies costs a pair a member and sends a row a batch. Of each bucket
    that then still holds several components, the member whose shingles are the
    most common ones is compared with the rest. For what is left open an exact
    join follows: two sets as alike as the threshold share one of their rarest
@@ -22,15 +25,19 @@ two sets about as often as the sets' likeness.
 
 Pairs at the threshold itself are missed by all bands with a chance below one
 in a million; likelier pairs far more rarely. Rows that share an id are rows of
-their own with one component each by their text. Null texts are empty.
+their own with one component each by their text. Null texts are empty, very long ones
+are read whole; an empty table gives no rows. Further columns are not read;
+``one_of_each`` returns them unchanged, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +102,7 @@ def likeness(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 def _sketch(size: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId()
         for b in batches:
             key = b.column(0).to_numpy(zero_copy_only=False)
             for first, last, data, offsets in text_chunks(b.column(1)):
@@ -104,8 +112,8 @@ def _sketch(size: int):
                 low, high = (np.concatenate([np.zeros(1, U64), np.cumsum(mix(h ^ U64(salt)), dtype=np.uint64)]) for salt in (1, 2))
                 regs = [registers(h[at[i] : at[i + 1]]).tobytes() if n[i] else None for i in range(last - first)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[first:last]), pa.array(n), *(pa.array((c[at[1:]] - c[at[:-1]]).view(np.int64)) for c in (low, high)), pa.array(regs, pa.binary())],
-                    names=["key", "n", "low", "high", "regs"],
+                    [pa.array(key[first:last]), pa.array(n), *(pa.array((c[at[1:]] - c[at[:-1]]).view(np.int64)) for c in (low, high)), pa.array(np.full(last - first, block, np.int64)), pa.array(regs, pa.binary())],
+                    names=["key", "n", "low", "high", "block", "regs"],
                 )
 
     return scan
@@ -123,13 +131,35 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *rest], names=["band", "key", "n", "label"])
 
 
+def _own_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each member of a bucket with the batch's lowest one, which stands for itself."""
+    for b in batches:
+        if len(b):
+            key, n = (np.repeat(b.column(c).to_numpy(zero_copy_only=False), BANDS) for c in ("key", "n"))
+            band = band_keys(_matrix(b.column("regs"))).reshape(-1).view(np.int64)
+            order = np.lexsort((key, band))
+            band, key, n = band[order], key[order], n[order]
+            new = np.ones(len(band), bool)
+            new[1:] = band[1:] != band[:-1]
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(band)), 0))
+            # a member that is not the lowest needs no bucket: its pair is made
+            spread = np.where(new, band, mix(key.astype(U64) ^ band.view(U64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (spread, key, n, key[lead], n[lead])], names=["band", "key", "n", "a", "na"])
+
+
 def _stars(percent: int):
-    """Sorted by (band, key): each member with the lowest of its bucket, and whether sizes allow a link."""
+    """Sorted by (band, key): each batch's lowest member with the lowest of its bucket, and the pairs made before; whether sizes allow a link."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
-            band, key, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("band", "key", "n"))
+            band, key, n, own, n_own = (b.column(c).to_numpy(zero_copy_only=False) for c in ("band", "key", "n", "a", "na"))
+            if not len(band):
+                continue
+            made = own != key
+            fits = 100 * np.minimum(n, n_own) >= percent * np.maximum(n, n_own)
+            yield pa.RecordBatch.from_arrays([pa.array(own[made]), pa.array(key[made]), pa.array(fits[made])], names=["a", "b", "fits"])
+            band, key, n = band[~made], key[~made], n[~made]
             if not len(band):
                 continue
             new = np.ones(len(band), bool)
@@ -232,18 +262,21 @@ def _across(rows: DataFrame, heads: DataFrame, on: str, percent: int, once: bool
 def classes(base: DataFrame, *, size: int = 5, percent: int = 75) -> DataFrame:
     """(key, n, component): set size and the lowest key reachable, for ``base`` with unique key, and text."""
     parts = shuffle_partitions(base.sparkSession)
-    sketches = materialise(base.select("key", "text").mapInArrow(_sketch(size), "key long, n long, low long, high long, regs binary"))
+    sketches = materialise(base.select("key", "text").mapInArrow(_sketch(size), "key long, n long, low long, high long, block long, regs binary"))
     filled = sketches.where("n > 0")
-    groups = filled.groupBy("low", "high").agg(F.min("key").alias("rep"))
-    members = materialise(sketches.select("key", "n", "low", "high").join(groups.hint("merge"), ["low", "high"], "left").select("key", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("key")).alias("rep")))
+    by_block = filled.groupBy("low", "high", "block").agg(F.min("key").alias("first"))
+    whole = by_block.groupBy("low", "high").agg(F.min("first").alias("rep"))
+    told = by_block.join(whole.hint("merge"), ["low", "high"]).select("low", "high", "block", "rep")
+    equal = filled.select("key", "n", "low", "high", "block").join(told.hint("merge"), ["low", "high", "block"]).select("key", "n", "rep")
+    members = materialise(equal.unionByName(sketches.where("n = 0").select("key", "n", F.col("key").alias("rep"))))
     chosen = members.where("n > 0 and key = rep").select("key")
     reps = materialise(filled.select("key", "n", "regs").join(chosen.hint("merge"), "key", "left_semi"))
     drop(sketches)
 
     # Pairs with the lowest member of each bucket, and the texts of all who share one.
     band_type = "band long, key long, n long, label long"
-    rows = reps.withColumn("label", F.col("key")).select("key", "n", "regs", "label").mapInArrow(_bands, band_type)
-    stars = materialise(rows.select("band", "key", "n").repartition(parts, "band").sortWithinPartitions("band", "key").mapInArrow(_stars(percent), "a long, b long, fits boolean").distinct())
+    rows = reps.select("key", "n", "regs").mapInArrow(_own_stars, "band long, key long, n long, a long, na long")
+    stars = materialise(rows.repartition(parts, "band").sortWithinPartitions("band", "key").mapInArrow(_stars(percent), "a long, b long, fits boolean").distinct())
     sharing = stars.select(F.col("a").alias("key")).union(stars.select("b")).distinct()
     texts = materialise(base.select("key", "text").join(sharing.hint("merge"), "key", "left_semi"))  # keys grow with the corpus
     least = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
@@ -257,8 +290,8 @@ def classes(base: DataFrame, *, size: int = 5, percent: int = 75) -> DataFrame:
         with_both = with_b.hint("merge").join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
         return materialise(with_both.mapInArrow(_verify(size, percent), "a long, b long"))
 
-    links = verified(stars.where("fits").select("a", "b"))
-    labels = components(links)
+    found = [verified(stars.where("fits").select("a", "b"))]
+    labels = components(found[0])
     drop(stars)
 
     # The most usual member of each open bucket, then all pairs that share a rare shingle.
@@ -277,8 +310,9 @@ def classes(base: DataFrame, *, size: int = 5, percent: int = 75) -> DataFrame:
     rare = materialise(ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).withColumn("usual", F.col("usual") / F.col("n")))
     usual = rare.where("place = 1").select("key", "usual")
     best = open_.join(usual, "key").groupBy("band").agg(F.max_by("key", F.struct("usual", -F.col("key"))).alias("key"))
-    links = links.union(verified(_across(open_, open_.join(best, ["band", "key"], "left_semi"), "band", percent)))
-    labels = components(links)
+    found.append(verified(_across(open_, open_.join(best, ["band", "key"], "left_semi"), "band", percent)))
+    drop(labels)
+    labels = components(reduce(DataFrame.union, found))
     drop(open_)
     open_ = opened()
     left = open_.select("key", "label").distinct()
@@ -286,9 +320,10 @@ def classes(base: DataFrame, *, size: int = 5, percent: int = 75) -> DataFrame:
     several = posts.groupBy("h").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("h")
     posts = posts.join(several, "h", "left_semi")
     pairs = _across(posts, posts, "h", percent, once=True)
-    links = links.union(verified(pairs))
-    labels = components(links)
-    for table in (open_, rare, texts):
+    found.append(verified(pairs))
+    drop(labels)
+    labels = components(reduce(DataFrame.union, found))
+    for table in (open_, rare, texts, reps, *found):
         drop(table)
     return members.join(labels.withColumnRenamed("key", "rep"), "rep", "left").select("key", "n", F.coalesce("label", "rep").alias("component"))
 
