@@ -180,7 +180,7 @@ def cross_entropy_difference(
     held_out_ids: DataFrame | None = None,
     *,
     least: int = 2,
-    prior: float = 4.0,
+    prior: float = 32.0,
     chunk: int = 1 << 23,
     id_col: str = "doc_id",
     text_col: str = "text",
