@@ -11,7 +11,7 @@ A document's distinct lexicon terms are sorted; each of ``SEEDS`` random lexicon
 subsets, on each of ``LEVELS`` levels, keeps a share of the lexicon (a quarter, a sixteenth, ...),
 and the kept terms are hashed together. The fingerprint is all these hashes, a
 row of marks for each empty subset. A document without lexicon terms is
-fingerprinted by all of its terms. Likeness is the share of equal hashes on the
+fingerprinted by one hash of all its terms, from which the others follow. Likeness is the share of equal hashes on the
 sparsest level where at least a third of the subsets hold a term of either
 document; two documents without terms are alike, one with and one without not.
 
@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from korpisto.llm.common import keyed, materialise, shuffle_partitions
+from korpisto.llm.common import free_shuffles, keyed, materialise, shuffle_partitions
 
 SEEDS, LEVELS = 16, 4  # SEEDS * LEVELS / 2 bits of a term are used
 DIGITS = 10  # hexadecimal digits of a subset's hash
@@ -61,21 +61,28 @@ def _thinned(held: Column, subset: int, level: int) -> Column:
     return F.filter(held, lambda t: F.shiftright(t, shift).bitwiseAND(F.lit(3).cast("long")) == subset % 4)
 
 
-def with_hashes(df: DataFrame, held: str, text: str, name: str) -> DataFrame:
-    """SEEDS * LEVELS hashes, null for empty subsets, of the lexicon terms ``held`` of ``text``, or where there are none of all its terms."""
-    keep = df.columns
-    df = df.withColumn("t_0", F.array_sort(F.when(F.size(held) > 0, F.col(held)).otherwise(terms(F.col(text)))))
+def of_all(text: Column) -> Column:
+    """One hash of all of a text's terms, null without any."""
+    every = terms(text)
+    return F.when(F.size(every) > 0, F.xxhash64(F.array_sort(every)))
+
+
+def with_hashes(df: DataFrame, held: str, whole: str, name: str) -> DataFrame:
+    """SEEDS * LEVELS hashes, null for empty subsets, of the lexicon terms ``held``, or where there are none of the hash ``whole`` of all terms."""
+    keep, mask = df.columns, F.lit((1 << 4 * DIGITS) - 1)
+    df = df.withColumn("t_0", F.array_sort(F.coalesce(held, F.array().cast("array<bigint>"))))
     for level in range(1, LEVELS + 1):
-        whole = [F.col("t_0") if level == 1 else F.get(f"t_{level - 1}", k) for k in range(SEEDS)]
-        df = df.withColumn(f"t_{level}", F.array(*[_thinned(x, k, level) for k, x in enumerate(whole)]))
+        given = [F.col("t_0") if level == 1 else F.get(f"t_{level - 1}", k) for k in range(SEEDS)]
+        df = df.withColumn(f"t_{level}", F.array(*[_thinned(x, k, level) for k, x in enumerate(given)]))
     every = F.concat(*[f"t_{level}" for level in range(1, LEVELS + 1)])
-    mask = F.lit((1 << 4 * DIGITS) - 1)
-    return df.select(*keep, F.transform(every, lambda s: F.when(F.size(s) > 0, F.xxhash64(s).bitwiseAND(mask))).alias(name))
+    hashes = F.transform(every, lambda s: F.when(F.size(s) > 0, F.xxhash64(s).bitwiseAND(mask)))
+    rest = F.transform(F.sequence(F.lit(1), F.lit(SEEDS * LEVELS)), lambda k: F.when(F.col(whole).isNotNull(), F.xxhash64(whole, k).bitwiseAND(mask)))
+    return df.select(*keep, F.when(F.size("t_0") > 0, hashes).otherwise(rest).alias(name))
 
 
-def held_terms(rows: DataFrame, texts: list[str], words: DataFrame) -> DataFrame:
+def held_terms(rows: DataFrame, texts: dict[str, Column], words: DataFrame) -> DataFrame:
     """(row, one list ``held_<text>`` for each of ``texts``) of the lexicon terms of the rows that have any."""
-    sides = [rows.select("row", F.lit(t).alias("side"), F.explode(terms(F.col(t))).alias("term")) for t in texts]
+    sides = [rows.select("row", F.lit(t).alias("side"), F.explode(terms(text)).alias("term")) for t, text in texts.items()]
     found = reduce(DataFrame.unionByName, sides).join(F.broadcast(words), "term")  # bounded, see above
     return found.groupBy("row").agg(*[F.collect_list(F.when(F.col("side") == t, F.col("term"))).alias(f"held_{t}") for t in texts])
 
@@ -101,8 +108,9 @@ def fingerprints(docs: DataFrame, *, rarest: float = 0.0005, commonest: float =
     """One row per input row: doc_id, fingerprint."""
     base, _ = keyed(docs, id_col, text_col)
     rows = base.select(F.col("key").alias("row"), F.col("id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    held = held_terms(rows, ["text"], lexicon(rows, "text", rarest, commonest))
-    return with_hashes(rows.join(held, "row", "left"), "held_text", "text", "h").select("doc_id", written("h").alias("fingerprint"))
+    held = held_terms(rows, {"text": F.col("text")}, lexicon(rows, "text", rarest, commonest))
+    slim = rows.select("row", "doc_id", of_all(F.col("text")).alias("whole"))
+    return with_hashes(slim.join(held, "row", "left"), "held_text", "whole", "h").select("doc_id", written("h").alias("fingerprint"))
 
 
 def edited_neighbours(docs: DataFrame, *, rarest: float = 0.0005, commonest: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,13 +140,18 @@ def edited_neighbours(docs: DataFrame, *, rarest: float = 0.0005, commonest: flo
     dealt = rows.select("doc_id", "text", "range", "rank", F.lit(0).alias("guest")).unionByName(given)
     order = Window.partitionBy("range").orderBy("guest", F.desc("rank"))
     cut = F.floor(F.length("text") / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring(F.coalesce(F.lead("text").over(order), F.lit("")), F.lit(1), cut))
+    tail = F.substring(F.coalesce(F.lead("text").over(order), F.lit("")), F.lit(1), cut)
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.col("tail"))
     number = F.row_number().over(order) + F.col("range").cast("long") * (1 << 40)
-    # written once: rows are numbered, and the texts' shuffle is over
-    paired = materialise(dealt.select("doc_id", "range", "guest", "text", number.alias("row"), edited.alias("edited")))
-    hashed = paired.join(held_terms(paired, ["text", "edited"], words), "row", "left")
-    hashed = with_hashes(with_hashes(hashed, "held_text", "text", "h"), "held_edited", "edited", "h_edited")
-    slim = hashed.select("doc_id", "range", "row", "guest", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "h", "h_edited")
+    dealt = dealt.select("doc_id", "range", "guest", "text", number.alias("row"), tail.alias("tail"))
+    facts = {"n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2(F.encode(edited, "UTF-8"), 256), "whole": of_all(F.col("text")), "whole_edited": of_all(edited)}
+    # written once: rows are numbered, and what is shuffled after this is no text
+    paired = materialise(dealt.withColumns(facts))
+    free_shuffles(spark)
+    held = held_terms(paired, {"text": F.col("text"), "edited": edited}, words)
+    hashed = paired.drop("text", "tail").join(held, "row", "left")
+    hashed = with_hashes(with_hashes(hashed, "held_text", "whole", "h"), "held_edited", "whole_edited", "h_edited")
+    slim = hashed.select("doc_id", "range", "row", "guest", "n_chars", "edited_sha256", "h", "h_edited")
     out = slim.withColumn("h_next", F.lead("h").over(Window.partitionBy("range").orderBy("row"))).where("guest = 0")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", written("h").alias("fingerprint"), written("h_edited").alias("edited_fingerprint"),
