@@ -15,9 +15,11 @@ and the models keep all that occur ``least`` times, so they grow with the corpus
 Counts come from all documents. Texts meet the ids of targets and of held-out texts
 in a shuffle join: every target counts as one, held-out texts in neither model, all
 others are background. The marked texts are written once, in chunks of about
-``chunk`` bytes. The models stay a table of words and bigrams by their 64-bit
-hashes; a chunk asks for its own distinct ones by a join, and what the table holds
-of them meets the chunk's texts again. The driver takes only the models' totals.
+``chunk`` bytes. A chunk sends its distinct words and bigrams, as sorted 64-bit hashes
+with their counts, to the parts of the models that their first bits name; there
+are as many parts as the corpus needs. A part adds the counts up and sends each chunk
+what the models hold of its own keys, which meets the chunk's texts again. So keys
+travel once, and nothing but the models' totals reaches the driver.
 
 Null and empty texts have no words and score 0; very long texts are a chunk of
 their own, read whole. Ids may be null or repeat: rows are scored each by its own
@@ -39,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpisto.llm.common import BYTE_CODE, U64, free_shuffles, materialise, mix, prefix, spans, text_chunks, words_of
+from korpisto.llm.common import BYTE_CODE, U64, free_shuffles, materialise, mix, prefix, shuffle_partitions, spans, text_chunks, words_of
 
 PRIOR = 0.5
 TARGET, HELD_OUT = 1, 2
@@ -95,24 +97,66 @@ def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.
             yield int(chunk[lo]), [np.concatenate(x) for x in zip(*found)]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Target's and background's counts of a chunk's words and bigrams."""
-    for _, (before, word, gram, mark) in _by_chunk(batches):
-        in_target, in_background, starts = mark == TARGET, mark == 0, before == START
-        for values in (word, gram):
-            key, place = np.unique(values, return_inverse=True)
-            t, b = (np.bincount(place, m, minlength=len(key)).astype(np.int64) for m in (in_target, in_background))
-            some = (t + b) > 0
-            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key, t, b)], names=["key", "t", "b"])
-        sums = [[int(m.sum()), int((m & starts).sum())] for m in (in_target, in_background)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([ALL, START], *sums)], names=["key", "t", "b"])
+def _coded(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as the first one and the differences, in as many bytes as the largest takes."""
+    if not len(keys):
+        return b""
+    steps = np.diff(keys)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk, (_, word, gram, _) in _by_chunk(batches):
-        if len(word):
-            key = np.concatenate([np.unique(word), np.unique(gram), [START]])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), chunk))], names=["key", "chunk"])
+def _decoded(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, U64)
+    width = data[0]
+    steps = np.zeros(((len(data) - 9) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(np.concatenate([np.frombuffer(data, "<u8", 1, 1), steps.view("<u8").reshape(-1)]), dtype=U64)
+
+
+KEYS = "part int, chunk long, keys binary, t binary, b binary"
+FOUND = "chunk long, keys binary, t binary, b binary, total_t long, total_b long, known_t long, known_b long, known_n long"
+
+
+def _count(bits: int):
+    """Target's and background's counts of a chunk's words and bigrams, by part."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, (before, word, gram, mark) in _by_chunk(batches):
+            starts = before == START
+            marks = np.concatenate([mark, mark, mark[starts], mark])
+            key, place = np.unique(np.concatenate([word, gram, before[starts], np.zeros_like(word)]).view(U64), return_inverse=True)
+            t, b = (np.bincount(place, marks == m, minlength=len(key)).astype("<i4") for m in (TARGET, 0))
+            part = (key >> U64(64 - bits)).astype(np.int32)
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)] if len(part) else []
+            spans_ = list(zip(cuts, cuts[1:]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part[cuts[:-1]]), pa.array(np.full(len(spans_), chunk)), pa.array([_coded(key[i:j]) for i, j in spans_], pa.binary()), *(pa.array([x[i:j].tobytes() for i, j in spans_], pa.binary()) for x in (t, b))],
+                names=["part", "chunk", "keys", "t", "b"],
+            )
+
+    return scan
+
+
+def _add(least: int):
+    """One part of the models: a row for each chunk that asks, and one with the part's totals."""
+
+    def merge(rows: pa.Table) -> pa.Table:
+        chunks, lists = rows["chunk"].to_numpy(), [_decoded(x) for x in rows["keys"].to_pylist()]
+        key, place = np.unique(np.concatenate(lists), return_inverse=True)
+        t, b = (np.bincount(place, np.frombuffer(b"".join(rows[c].to_pylist()), "<i4"), minlength=len(key)).astype("<i8") for c in "tb")
+        special = (key == ALL) | (key == START)
+        kept = (t + b >= least) | (key == START)
+        kept[key == ALL] = False
+        known = kept & ~special & (key & U64(1) == 0)
+        ends = np.cumsum([len(x) for x in lists])
+        places = [p[kept[p]] for p in np.split(place, ends[:-1])]
+        sums = [int(x[key == ALL].sum()) for x in (t, b)] + [int(x[known].sum()) for x in (t, b)] + [int(known.sum())]
+        columns = [[*chunks.tolist(), None], [*(_coded(key[p]) for p in places), None], *([*(x[p].tobytes() for p in places), None] for x in (t, b)), *([*[None] * len(places), x] for x in sums)]
+        return pa.table([pa.array(x, pa.int64() if k not in (1, 2, 3) else pa.binary()) for k, x in enumerate(columns)], names=[c.split()[0] for c in FOUND.split(", ")])
+
+    return merge
 
 
 def _own(values: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -148,14 +192,17 @@ class Size:
         return -np.log((gram + self.prior * unigram) / (before + self.prior))
 
 
-def _score(sizes: tuple[Size, Size]):
+def _score(sizes: tuple[Size, Size], columns: str):
+    """Texts of a chunk with what the models hold of them; ``columns`` are the counts of the two models."""
+
     def scan(texts: pa.Table, model: pa.Table) -> pa.Table:
-        keys = model["key"].to_numpy()
-        order = np.argsort(keys)
-        keys = np.concatenate([keys[order], [0]])  # not empty; no word or bigram is asked for by the last
-        counts = [np.concatenate([model[c].to_numpy()[order], [0]]).astype(np.float64) for c in "tb"]
+        lists = [_decoded(x) for x in model["keys"].to_pylist()]
+        keys, order = np.unique(np.concatenate([np.zeros(0, U64), *lists]), return_index=True)
+        keys = np.concatenate([keys, [U64(0)]])  # not empty; no word or bigram is asked for by the last
+        counts = [np.append(np.frombuffer(b"".join(model[c].to_pylist()), "<i8")[order], 0).astype(np.float64) for c in columns]
 
         def place(h: np.ndarray) -> np.ndarray:
+            h = h.view(U64)
             at = np.minimum(np.searchsorted(keys[:-1], h), len(keys) - 1)
             return np.where(keys[at] == h, at, -1)
 
@@ -168,8 +215,8 @@ def _score(sizes: tuple[Size, Size]):
             losses = [s.losses(c, places, tuple(np.where(mark == s.mark, o, 0) for o in own), np.where(mark == s.mark, total, 0)) for s, c in zip(sizes, counts)]
             t, g = (np.bincount(text, x, minlength=last - first) / np.maximum(n, 1) for x in losses)
             out.append((n, t, g, g - t))
-        columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), *[np.zeros(0)] * 3]
-        return pa.table([texts["doc_id"], *map(pa.array, columns)], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
+        found = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), *[np.zeros(0)] * 3]
+        return pa.table([texts["doc_id"], *map(pa.array, found)], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
 
     return scan
 
@@ -182,6 +229,7 @@ def cross_entropy_difference(
     least: int = 2,
     prior: float = 32.0,
     chunk: int = 1 << 23,
+    part_bytes: int = 1 << 25,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -192,21 +240,20 @@ def cross_entropy_difference(
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = materialise(marked(base, target_ids, held_out_ids).mapInArrow(_cut(chunk), "doc_id long, text string, mark int, chunk long"))
-    counted = texts.select("text", "mark", "chunk").mapInArrow(_count, "key long, t long, b long")
-    enough = (F.col("t") + F.col("b") >= least) | F.col("key").isin(ALL, START)
-    model = materialise(counted.groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).where(enough))
+    free_shuffles(docs.sparkSession)
+    volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(4, (max(shuffle_partitions(docs.sparkSession), volume // part_bytes) - 1).bit_length())
+    counted = texts.select("text", "mark", "chunk").mapInArrow(_count(bits), KEYS)
+    found = materialise(counted.groupBy("part").applyInArrow(_add(least), FOUND))
     free_shuffles(docs.sparkSession)
 
-    total = model.where(f"key = {ALL}").agg(F.sum("t"), F.sum("b")).first()
-    is_word = (F.col("key").bitwiseAND(F.lit(1).cast("long")) == 0) & ~F.col("key").isin(ALL, START)
-    known = model.where(is_word).agg(F.sum("t"), F.sum("b"), F.count("*")).first()
-    words, held = ([float(x[k] or 0) for k in (0, 1)] for x in (total, known))
-    sizes = tuple(Size(words[k], held[k], known[2] + 1, min(words) / words[k] if words[k] else 1.0, mark, prior) for k, mark in enumerate((TARGET, 0)))
+    sums = found.where("chunk is null").agg(*[F.sum(c) for c in ("total_t", "total_b", "known_t", "known_b", "known_n")]).first()
+    words, known, size = ([float(x or 0) for x in sums[k : k + 2]] for k in (0, 2, 4))
+    sizes, columns = tuple(Size(words[k], known[k], size[0] + 1, min(words) / words[k] if words[k] else 1.0, mark, prior) for k, mark in enumerate((TARGET, 0))), "tb"
     if not min(words):  # one side has no texts: both models are the other's
         k = int(not words[0])
-        model, sizes = model.withColumns({c: F.col("tb"[k]) for c in "tb"}), (replace(sizes[k], weight=1.0),) * 2
+        sizes, columns = (replace(sizes[k], weight=1.0),) * 2, "tb"[k] * 2
 
-    asked = texts.select("text", "mark", "chunk").mapInArrow(_ask, "key long, chunk long")
-    answers = asked.join(model.hint("shuffle_hash"), "key")
+    answers = found.where("chunk is not null").select("chunk", "keys", "t", "b")
     pairs = texts.groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    return pairs.applyInArrow(_score(sizes), "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    return pairs.applyInArrow(_score(sizes, columns), "doc_id long, n_words long, target_loss double, background_loss double, score double")

@@ -1,6 +1,7 @@
 """Each operator against a plain version on small rows: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
 import collections
+import functools
 import hashlib
 import re
 import zlib
@@ -166,18 +167,19 @@ def plain_hashes(text, band):
 
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     words = {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in WORD.findall(text.lower())}
-    held = sorted(words & band) or sorted(words)
-    out = []
+    fold = lambda values, h=42: functools.reduce(lambda h, t: xxhash.xxh64_intdigest(struct.pack("<q", t), h), values, h)
+    limit, held, out = 1 << 4 * op3.DIGITS, sorted(words & band), []
+    if not held:
+        whole = signed(fold(sorted(words)))
+        of = lambda k: xxhash.xxh64_intdigest(struct.pack("<i", k), fold([whole]))
+        return [of(k) % limit if words else None for k in range(1, op3.SEEDS * op3.LEVELS + 1)]
     for level in range(1, op3.LEVELS + 1):
         for k in range(op3.SEEDS):
             kept = held
             for step in range(level):
                 shift = 2 * (step * (op3.SEEDS // 4) + k // 4)
                 kept = [t for t in kept if t >> shift & 3 == k % 4]
-            h = 42
-            for t in kept:
-                h = xxhash.xxh64_intdigest(struct.pack("<q", t), h)
-            out.append(h % (1 << 4 * op3.DIGITS) if kept else None)
+            out.append(fold(kept) % limit if kept else None)
     return out
 
 
