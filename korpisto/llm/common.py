@@ -181,6 +181,24 @@ def spans(p: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 1
     return out
 
 
+def coded(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as the first one and the differences, in as many bytes as the largest takes."""
+    if not len(keys):
+        return b""
+    steps = np.diff(keys)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def decoded(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, U64)
+    width = data[0]
+    steps = np.zeros(((len(data) - 9) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(np.concatenate([np.frombuffer(data, "<u8", 1, 1), steps.view("<u8").reshape(-1)]), dtype=U64)
+
+
 def text_chunks(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, UTF-8 bytes, row offsets) of about ``limit`` bytes.
 

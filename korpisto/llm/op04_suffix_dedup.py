@@ -1,15 +1,16 @@
-"""Operator 4: removal of repeated byte strings by anchored window hashing.
-
-This replaces bucket-pointer refinement: no suffix has a bucket pointer. Runs of
-windows with one anchor are sorted together on hashes of the whole run, and what
-stays open on hashes of its parts and of single windows, as in operator 7
-(``korpisto.llm.repeats``). Only anchors, about one byte in eighty, are shuffled at first.
-
-Every byte covered by a string of ``length`` bytes that also starts anywhere
-else in the input goes, both occurrences included. Strings don't cross texts.
-Null texts are empty; texts shorter than ``length`` stay. Rows that share an id
-are different texts, so repeated rows remove each other. An empty table gives
-no rows.
+"""Operator 4: removal of repeated byte strings by bucket-pointer refinement.
+
+Every byte covered by a string of ``length`` bytes that also starts anywhere else in
+the input goes, both occurrences included. Suffixes are sorted into buckets by their
+first bytes, and buckets are refined by the bucket identifiers of suffixes at later
+offsets until they hold ``length`` bytes (``korpisto.llm.repeats``); suffixes alone in
+their bucket leave at once. Only the suffixes that anchors can't part from others
+are refined, one for each group of equal stretches of text.
+
+Strings don't cross texts. Null texts are empty; texts shorter than ``length`` stay;
+very long texts are read whole. Rows that share an id, or have none, are different
+texts, so repeated rows remove each other. An empty table gives no rows. Further
+columns are not read.
 """
 
 from __future__ import annotations
@@ -19,12 +20,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from korpisto.llm.common import BYTE_CODE
-from korpisto.llm.repeats import Search, covered, rewrite
-
-
-def _bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return BYTE_CODE[data], offsets
+from korpisto.llm.repeats import covered, rewrite
 
 
 def suffix_dedup(docs: DataFrame, *, length: int = 200, gram: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,5 +34,5 @@ def suffix_dedup(docs: DataFrame, *, length: int = 200, gram: int = 64, id_col:
         kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
         return len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()
 
-    rows = rewrite(docs, Search(length, gram, max(1, length // 12), False, _bytes), finish, "n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept_sha256:string", id_col=id_col, text_col=text_col)
+    rows = rewrite(docs, length, min(gram, length), finish, "n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept_sha256:string", id_col=id_col, text_col=text_col)
     return rows.selectExpr("id as doc_id", "done.*")

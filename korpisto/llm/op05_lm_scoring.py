@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpisto.llm.common import BYTE_CODE, U64, free_shuffles, materialise, mix, prefix, shuffle_partitions, spans, text_chunks, words_of
+from korpisto.llm.common import BYTE_CODE, U64, coded, decoded, free_shuffles, materialise, mix, prefix, shuffle_partitions, spans, text_chunks, words_of
 
 PRIOR = 0.5
 TARGET, HELD_OUT = 1, 2
@@ -97,24 +97,6 @@ def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.
             yield int(chunk[lo]), [np.concatenate(x) for x in zip(*found)]
 
 
-def _coded(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as the first one and the differences, in as many bytes as the largest takes."""
-    if not len(keys):
-        return b""
-    steps = np.diff(keys)
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    return bytes([width]) + keys[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def _decoded(data: bytes) -> np.ndarray:
-    if not data:
-        return np.zeros(0, U64)
-    width = data[0]
-    steps = np.zeros(((len(data) - 9) // width, 8), np.uint8)
-    steps[:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
-    return np.cumsum(np.concatenate([np.frombuffer(data, "<u8", 1, 1), steps.view("<u8").reshape(-1)]), dtype=U64)
-
-
 KEYS = "part int, chunk long, keys binary, t binary, b binary"
 FOUND = "chunk long, keys binary, t binary, b binary, total_t long, total_b long, known_t long, known_b long, known_n long"
 
@@ -132,7 +114,7 @@ def _count(bits: int):
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)] if len(part) else []
             spans_ = list(zip(cuts, cuts[1:]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part[cuts[:-1]]), pa.array(np.full(len(spans_), chunk)), pa.array([_coded(key[i:j]) for i, j in spans_], pa.binary()), *(pa.array([x[i:j].tobytes() for i, j in spans_], pa.binary()) for x in (t, b))],
+                [pa.array(part[cuts[:-1]]), pa.array(np.full(len(spans_), chunk)), pa.array([coded(key[i:j]) for i, j in spans_], pa.binary()), *(pa.array([x[i:j].tobytes() for i, j in spans_], pa.binary()) for x in (t, b))],
                 names=["part", "chunk", "keys", "t", "b"],
             )
 
@@ -143,7 +125,7 @@ def _add(least: int):
     """One part of the models: a row for each chunk that asks, and one with the part's totals."""
 
     def merge(rows: pa.Table) -> pa.Table:
-        chunks, lists = rows["chunk"].to_numpy(), [_decoded(x) for x in rows["keys"].to_pylist()]
+        chunks, lists = rows["chunk"].to_numpy(), [decoded(x) for x in rows["keys"].to_pylist()]
         key, place = np.unique(np.concatenate(lists), return_inverse=True)
         t, b = (np.bincount(place, np.frombuffer(b"".join(rows[c].to_pylist()), "<i4"), minlength=len(key)).astype("<i8") for c in "tb")
         special = (key == ALL) | (key == START)
@@ -153,7 +135,7 @@ def _add(least: int):
         ends = np.cumsum([len(x) for x in lists])
         places = [p[kept[p]] for p in np.split(place, ends[:-1])]
         sums = [int(x[key == ALL].sum()) for x in (t, b)] + [int(x[known].sum()) for x in (t, b)] + [int(known.sum())]
-        columns = [[*chunks.tolist(), None], [*(_coded(key[p]) for p in places), None], *([*(x[p].tobytes() for p in places), None] for x in (t, b)), *([*[None] * len(places), x] for x in sums)]
+        columns = [[*chunks.tolist(), None], [*(coded(key[p]) for p in places), None], *([*(x[p].tobytes() for p in places), None] for x in (t, b)), *([*[None] * len(places), x] for x in sums)]
         return pa.table([pa.array(x, pa.int64() if k not in (1, 2, 3) else pa.binary()) for k, x in enumerate(columns)], names=[c.split()[0] for c in FOUND.split(", ")])
 
     return merge
@@ -196,7 +178,7 @@ def _score(sizes: tuple[Size, Size], columns: str):
     """Texts of a chunk with what the models hold of them; ``columns`` are the counts of the two models."""
 
     def scan(texts: pa.Table, model: pa.Table) -> pa.Table:
-        lists = [_decoded(x) for x in model["keys"].to_pylist()]
+        lists = [decoded(x) for x in model["keys"].to_pylist()]
         keys, order = np.unique(np.concatenate([np.zeros(0, U64), *lists]), return_index=True)
         keys = np.concatenate([keys, [U64(0)]])  # not empty; no word or bigram is asked for by the last
         counts = [np.append(np.frombuffer(b"".join(model[c].to_pylist()), "<i8")[order], 0).astype(np.float64) for c in columns]

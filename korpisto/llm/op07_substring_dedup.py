@@ -1,71 +1,134 @@
 """Operator 7: removal of repeated token windows by Rabin-Karp hashes.
 
-Each window of ``window`` words has a rolling hash; windows that also start in a
-document of lower id are repeated, and they merge into maximal removal
-intervals. Windows of a common anchor travel and are counted as one run, and
-only those that this leaves undecided one by one (``korpisto.llm.repeats``), so
-the shuffle carries a few per cent of the windows while every one is decided.
-
-A null id counts as the highest. Rows that share an id don't remove each
-other's windows, as neither id is lower. Null and empty texts have no words.
+Each window of ``window`` words has a rolling hash, a polynomial modulo a prime of 61
+bits. All windows of all texts are counted in Spark by their hash: those that also
+start in a document of lower id are repeated, and they merge into maximal removal
+intervals.
+
+Of the windows with one hash in a batch of texts only those of the lowest id have to
+be counted; the others are known to be repeated. So a window that a third of all
+texts hold is a row a batch to any one task, and the others are dealt out by a hash
+of their place.
+
+A null id counts as the highest. Rows that share an id don't remove each other's
+windows, as neither id is lower. Null and empty texts have no words, texts of fewer
+words than ``window`` stay, and very long texts are read whole. An empty table gives
+no rows. Further columns are not read; ``without_repeats`` returns them unchanged,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from korpisto.llm.common import BYTE_CODE, prefix, spans, words_of
-from korpisto.llm.repeats import Search, covered, rewrite
-
-
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts, ends, text = words_of(data, offsets)
-    return spans(prefix(BYTE_CODE[data]), starts, ends), np.searchsorted(text, np.arange(len(offsets)))
-
-
-def substring_dedup(docs: DataFrame, *, window: int = 50, gram: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+from korpisto.llm.common import BYTE_CODE, U64, free_shuffles, keyed, materialise, mix, prefix, spans, text_chunks, words_of
+from korpisto.llm.repeats import covered
+
+_LAST = (1 << 63) - 1
+
+
+def _windows(window: int) -> Callable:
+    """(h, key, ord, first) of all windows; where the batch itself shows a lower order, ``ord`` is null and ``h`` spreads the rows."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, order, found = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), []
+            for begin, _, data, offsets in text_chunks(b.column(2)):
+                starts, ends, text = words_of(data, offsets)
+                p = prefix(spans(prefix(BYTE_CODE[data]), starts, ends))
+                at = np.arange(max(0, len(starts) - window + 1))
+                at = at[text[at] == text[at + window - 1]] if len(at) else at
+                begins = np.searchsorted(text, np.arange(len(offsets)))
+                found.append((spans(p, at, at + window), text[at] + begin, at - begins[text[at]] if len(at) else at))
+            if not found:
+                continue
+            h, text, first = (np.concatenate(c) for c in zip(*found))
+            sort = np.lexsort((order[text], h))
+            new = np.ones(len(h), bool)
+            new[1:] = h[sort][1:] != h[sort][:-1]
+            lowest = order[text[sort]][np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+            later = np.empty(len(h), bool)
+            later[sort] = order[text[sort]] > lowest
+            spread = mix(key[text].astype(U64) * U64(0x9E3779B97F4A7C15) + first.astype(U64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.where(later, spread, h).view(np.int64)), pa.array(key[text]), pa.array(order[text], mask=later), pa.array(first.astype(np.int32))], names=["h", "key", "ord", "first"]
+            )
+
+    return scan
+
+
+def repeated(base: DataFrame, window: int) -> DataFrame:
+    """(key, places) of the windows that also start in a text of lower order. ``base`` has key, id, ord, text."""
+    rows = base.select("key", "ord", "text").mapInArrow(_windows(window), "h long, key long, ord long, first int")
+    low = F.min("ord").over(Window.partitionBy("h"))
+    found = rows.withColumn("low", low).where("ord is null or ord > low")
+    return found.groupBy("key").agg(F.collect_list("first").alias("places"))
+
+
+def _rewritten(docs: DataFrame, window: int, finish: Callable[[bytes, np.ndarray], object], arrow: pa.DataType, ddl: str, id_col: str, text_col: str, *carry: str) -> DataFrame:
+    """``finish(text, first windows)`` as ``done`` of every text, with its id and carried columns."""
+    base, _ = keyed(docs, id_col, text_col, *carry)
+    base = base.withColumn("ord", F.coalesce("id", F.lit(_LAST)))
+    places = materialise(repeated(base, window))
+    free_shuffles(docs.sparkSession)
+    joined = base.drop("ord").join(places, "key", "left").drop("key")
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column("places")
+            cuts = np.concatenate([[0], np.cumsum(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64))])
+            place = column.flatten().to_numpy(zero_copy_only=False)
+            done = [None if t is None and carry else finish((t or "").encode(), place[i:j]) for t, i, j in zip(b.column("text").to_pylist(), cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(c) for c in carry), pa.array(done, arrow)], names=["id", *carry, "done"])
+
+    return joined.mapInArrow(scan, f"id long, {fields}{', ' * bool(carry)}done {ddl}")
+
+
+def substring_dedup(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256."""
 
-    def finish(text: bytes, first: np.ndarray, count: np.ndarray) -> tuple:
-        words = text.split()
-        gone = 0
+    def finish(text: bytes, first: np.ndarray) -> dict:
+        words, gone = text.split(), 0
+        kept = words
         if len(first):
-            out = covered(len(words), first, count, window)
+            out = covered(len(words), first, np.ones(len(first), np.int64), window)
             gone = int(out.sum())
             kept = [w for w, g in zip(words, out.tolist()) if not g]
-        else:
-            kept = words
-        return len(words), gone, hashlib.sha256(b" ".join(kept)).hexdigest()
+        return {"n_words": len(words), "n_removed": gone, "kept_sha256": hashlib.sha256(b" ".join(kept)).hexdigest()}
 
-    rows = rewrite(docs, Search(window, gram, max(1, window // 12), True, _words), finish, "n_words:bigint,n_removed:bigint,kept_sha256:string", id_col=id_col, text_col=text_col)
+    arrow = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
+    rows = _rewritten(docs, window, finish, arrow, "struct<n_words:bigint,n_removed:bigint,kept_sha256:string>", id_col, text_col)
     return rows.selectExpr("id as doc_id", "done.*")
 
 
-def without_repeats(docs: DataFrame, *, window: int = 50, gram: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input with repeated windows cut from its text; null texts stay null.
 
     A removed run of words goes with the white space after it; all else keeps
     its bytes.
     """
-    carry = [c for c in docs.columns if c not in (id_col, text_col)]
 
-    def finish(text: bytes, first: np.ndarray, count: np.ndarray) -> tuple:
+    def finish(text: bytes, first: np.ndarray) -> str:
         if not len(first):
-            return (text.decode(),)
+            return text.decode()
         data = np.frombuffer(text, np.uint8)
         starts, _, _ = words_of(data, np.array([0, len(data)]))
-        out = covered(len(starts), first, count, window)
+        out = covered(len(starts), first, np.ones(len(first), np.int64), window)
         drop = np.zeros(len(data) + 1, np.int64)
         to = np.append(starts[1:], len(data))
         np.add.at(drop, starts[out], 1)
         np.add.at(drop, to[out], -1)
-        return (data[np.cumsum(drop[:-1]) == 0].tobytes().decode(),)
+        return data[np.cumsum(drop[:-1]) == 0].tobytes().decode()
 
-    rows = rewrite(docs, Search(window, gram, max(1, window // 12), True, _words), finish, "text:string", id_col=id_col, text_col=text_col, carry=[*carry, text_col])
-    given = F.col("rest").getField(text_col)
-    fields = {id_col: F.col("id"), text_col: F.when(given.isNotNull(), F.col("done.text"))}
-    return rows.select(*[fields.get(c, F.col("rest").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    packed = docs.select(F.col(id_col), F.col(text_col), F.struct(*[F.col(c) for c in others] or [F.lit(0).alias("none")]).alias("rest of the row"))
+    rows = _rewritten(packed, window, finish, pa.string(), "string", id_col, text_col, "rest of the row")
+    fields = {id_col: F.col("id"), text_col: F.col("done")}
+    return rows.select(*[fields.get(c, F.col("rest of the row").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

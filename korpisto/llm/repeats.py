@@ -1,66 +1,63 @@
-"""Exact search for repeated windows, shared by operators 4 and 7.
-
-A text is a sequence of symbols (bytes or words); a window is ``window``
-consecutive symbols of one text. Every window holds an anchor: of its grams of
-``gram`` symbols the one with the lowest hash, the first of equals. The anchor's
-place within a window depends on the window's symbols only, so equal windows
-have equal anchors. Consecutive windows of one anchor form a run.
-
-Level 1 sorts runs by (gram bucket, hash of the whole run). Equal neighbours
-decide all windows of a run at once; a run alone in its bucket holds no
-repeated window. Only runs that share their bucket with a different run stay
-open. Level 2 cuts these into parts of ``part`` windows, at distances from the
-anchor that are the same wherever the windows occur, and sorts the parts in the
-same way: the bucket is now what all windows of such a part have in common,
-nearly a whole window, so few stay open. Level 3 sorts the windows of open
-parts, and of one representative of each part they could meet, by the windows'
-own hashes. Each level first settles what it can inside a batch and sends one
-representative on, so a key's rows per task stay few however often it occurs;
-sorted rows stream with the state of one row.
-
-At the edge of a range partition a run's neighbours are unknown. It then stays
-open, which costs work but never a result: level 3 is exact for what it gets.
-
-Symbols and windows are compared by 64-bit hashes (levels 1 and 2 by two of them).
+"""Bucket-pointer refinement over the strings of all texts: the search of operator 4.
+
+A suffix is looked at by its first ``length`` bytes only, so two suffixes that stay
+in one bucket to the end are a repeated string. Suffixes that are alone in their
+bucket leave at once; what is sent about the others is a bucket identifier each.
+
+Which suffixes can share a bucket at all, anchors say beforehand. Of its grams of
+``gram`` bytes the string of a suffix has its anchor at the one with the lowest hash,
+the first of equals; so equal strings have equal anchors at equal places.
+Consecutive suffixes of one anchor are a run. Runs are sorted by (gram, whole
+content). Equal runs hold equal suffixes: one of them stands for all, and all their
+strings are repeated. A run whose gram no other run has holds suffixes of buckets of
+one, and leaves. All others are open: none that may repeat is lost. At the edge
+of a range partition a run's neighbours are unknown; it then stays open.
+
+Of open runs and of those that stand for several, the suffixes are refined:
+
+1. The initial buckets are the grams of ``INITIAL`` bytes, identified by their value.
+2. A bucket of longer strings is identified by the buckets of its suffix and of
+   those at later offsets, ``wide`` bytes in all. Chunks of suffixes send their
+   distinct identifiers, sorted, to the parts of the order that their first bits
+   name; a part sorts them together and answers which ones other suffixes share.
+3. The same again, with the identifiers of step 2 at later offsets, makes ``length``
+   bytes. Only suffixes whose buckets of step 2 are all shared take part.
+
+Identifiers are polynomials modulo a prime of 61 bits over the identifiers that they
+refine, so they need not be sent back. A chunk sends an identifier once however
+often it holds it, so a frequent one is a number a chunk to any one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from korpisto.llm.common import U64, keyed, materialise, mix, prefix, shuffle_partitions, spans, text_chunks
+from korpisto.llm.common import BYTE_CODE, U64, coded, decoded, free_shuffles, keyed, materialise, mix, prefix, product, reduced, shuffle_partitions, spans, text_chunks
 
-SETTLED, OPEN, WITNESS = 1, 2, 3  # WITNESS: settled, and compared with open runs
-_LAST = (1 << 63) - 1
+SETTLED, OPEN, WITNESS = 1, 2, 3  # repeated; undecided; repeated, and others may equal it
+INITIAL, FACTOR = 5, 5
+_BASE = U64(0x0B3F9C5D71E8A64F)
 
 
-@dataclass(frozen=True)
-class Search:
-    """``symbols`` gives codes and text offsets of a chunk; ``first_stays``: a
-    window counts as repeated only if it also starts in a text of lower order."""
-
-    window: int
-    gram: int
-    part: int
-    first_stays: bool
-    symbols: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-
-
-def anchored_runs(search: Search, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, first window within it, windows, bucket, run hash, anchor within the text) of all runs."""
-    n, w, g = len(codes), search.window, search.gram
+# ---------------------------------------------------------------- runs of anchors
+def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, first suffix within it, suffixes, gram's hash, run's hash) of all runs."""
+    codes = BYTE_CODE[data]
+    n, w, g = len(codes), length, gram
     empty = np.zeros(0, np.int64)
     if n < w:
-        return empty, empty, empty, empty.astype(U64), empty.astype(U64), empty
+        return empty, empty, empty, empty.astype(U64), empty.astype(U64)
     p = prefix(codes)
     at = np.arange(n - g + 1)
-    bits = U64(32)  # the same for all texts, or equal windows might have different anchors
+    bits = U64(32)  # the same for all texts, or equal strings might have different anchors
     low = ((spans(p, at, at + g) >> bits) << bits) | at.astype(U64)
     size, need = 1, w - g + 1  # sliding minimum over ``need`` grams by doubling
     while size * 2 <= need:
@@ -69,11 +66,11 @@ def anchored_runs(search: Search, codes: np.ndarray, offsets: np.ndarray) -> tup
     if size < need:
         low = np.minimum(low[: len(low) - (need - size)], low[need - size :])
     anchor = (low & ((U64(1) << bits) - U64(1))).astype(np.int64)
-    length = np.diff(offsets)
-    long = np.flatnonzero(length >= w)
+    lengths = np.diff(offsets)
+    long = np.flatnonzero(lengths >= w)
     change = np.zeros(len(anchor) + 1, np.int64)
     change[offsets[long]] += 1
-    np.add.at(change, offsets[long] + length[long] - w + 1, -1)
+    np.add.at(change, offsets[long] + lengths[long] - w + 1, -1)
     valid = np.cumsum(change[:-1]) > 0
     new = valid.copy()
     new[1:] &= ~valid[:-1] | (anchor[1:] != anchor[:-1])
@@ -82,7 +79,7 @@ def anchored_runs(search: Search, codes: np.ndarray, offsets: np.ndarray) -> tup
     first, last = np.flatnonzero(new), np.flatnonzero(stop)
     text = np.searchsorted(offsets, first, "right") - 1
     a = anchor[first]
-    return text, first - offsets[text], last - first + 1, spans(p, a, a + g), spans(p, first, last + w), a - offsets[text]
+    return text, first - offsets[text], last - first + 1, spans(p, a, a + g), spans(p, first, last + w)
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -93,354 +90,335 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _first_of(new: np.ndarray) -> np.ndarray:
-    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-
-
 def _batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
 
-RUN = "a long, s long, ord long, key long, first int, n int, kind int"
-WINDOWS = "h long, ord long, key long, first int, kind int"
-
+RUN = "a long, s long, key long, first int, n int, kind int"
 
-def _sent(search: Search, key: np.ndarray, order: np.ndarray, found: list[tuple], witness: np.ndarray | None = None) -> pa.RecordBatch:
-    """Rows of level 1 or 2 from (text, first, n, a, s) of a batch, decided within the batch where possible.
 
-    kind: 0 to compare, 1 settled here, 2 known to repeat and sent on for others.
-    """
-    text, first, n, a, s = (np.concatenate(c) for c in zip(*found))
-    known = np.zeros(len(text), bool) if witness is None else witness
-    sort = np.lexsort((first, text, order[text], s, a))
-    text, first, n, a, s, known = (c[sort] for c in (text, first, n, a, s, known))
-    new = _groups(a, s)
-    kind = np.zeros(len(a), np.int32)
-    if search.first_stays:
-        kind[order[text] > order[text][_first_of(new)]] = 1
-    elif len(a):
-        group = np.cumsum(new) - 1
-        kind[~new] = 1
-        kind[new] = np.where((np.bincount(group) > 1) | (np.bincount(group, known) > 0), 2, 0)
-    spread = mix(key[text].astype(U64) * U64(0x9E3779B97F4A7C15) + first.astype(U64))
-    a = np.where(kind == 1, spread, a)
-    return _batch(["a", "s", "ord", "key", "first", "n", "kind"], a.view(np.int64), s.view(np.int64), order[text], key[text], first.astype(np.int32), n.astype(np.int32), kind)
-
-
-def _runs_of(search: Search) -> Callable:
-    """Level 1, map side."""
+def _runs_of(length: int, gram: int) -> Callable:
+    """Runs. Of equal ones in a batch one goes on for all. kind: 0 to compare, 1 settled here, 2 known to repeat and sent on for others."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, order = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            found = []
-            for begin, _, data, offsets in text_chunks(b.column(2)):
-                text, *rest = anchored_runs(search, *search.symbols(data, offsets))[:5]
+            key, found = b.column(0).to_numpy(zero_copy_only=False), []
+            for begin, _, data, offsets in text_chunks(b.column(1)):
+                text, *rest = anchored_runs(data, offsets, length, gram)
                 found.append((text + begin, *rest))
-            if found:
-                yield _sent(search, key, order, found)
+            if not found:
+                continue
+            text, first, n, a, s = (np.concatenate(c) for c in zip(*found))
+            sort = np.lexsort((first, text, s, a))
+            text, first, n, a, s = (c[sort] for c in (text, first, n, a, s))
+            new = _groups(a, s)
+            kind = np.where(new, 0, 1).astype(np.int32)
+            if len(a):
+                kind[new] = np.where(np.bincount(np.cumsum(new) - 1) > 1, 2, 0)
+            spread = mix(key[text].astype(U64) * U64(0x9E3779B97F4A7C15) + first.astype(U64))
+            a = np.where(kind == 1, spread, a)
+            yield _batch(["a", "s", "key", "first", "n", "kind"], a.view(np.int64), s.view(np.int64), key[text], first.astype(np.int32), n.astype(np.int32), kind)
 
     return scan
 
 
-def _parts_of(search: Search) -> Callable:
-    """Level 2, map side: the parts of open runs and of witnesses."""
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over runs sorted by (a, s): key, first, n, state of those that are not alone in their bucket."""
+    names = ["key", "first", "n", "state"]
+    held = None  # first run of the last group: a, s, key, first, n, shared bucket so far, several
+    last_a = None
+
+    def state_of(shared, several):
+        return np.where(several, np.where(shared, WITNESS, SETTLED), np.where(shared, OPEN, 0)).astype(np.int32)
+
+    def close(after: bool) -> pa.RecordBatch:
+        state = state_of(held[5] or after, held[6])
+        keep = pa.array([bool(state)])
+        return _batch(names, *(np.array([held[k]], t) for k, t in ((2, np.int64), (3, np.int32), (4, np.int32))), state.reshape(1)).filter(keep)
+
+    for b in batches:
+        a, s, key, first, n, kind = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        done = kind == 1
+        if done.any():
+            yield _batch(names, key[done], first[done], n[done], np.full(done.sum(), SETTLED, np.int32))
+            a, s, key, first, n, kind = (c[~done] for c in (a, s, key, first, n, kind))
+        if not len(a):
+            continue
+        new = _groups(a, s)
+        if held is not None and (a[0], s[0]) == held[:2]:
+            new[0] = False
+        heads = np.flatnonzero(new)
+        if not new[0]:
+            held = (*held[:6], True)
+        state = np.full(len(a), SETTLED, np.int32)
+        if len(heads):
+            if held is not None:
+                yield close(bool(a[heads[0]] == held[0]))
+            before = np.empty(len(heads), bool)
+            before[0] = last_a is None or a[heads[0]] == (a[heads[0] - 1] if heads[0] else last_a)
+            before[1:] = a[heads[1:]] == a[heads[1:] - 1]
+            after = np.append(a[heads[1:]] == a[heads[:-1]], False)
+            several = (np.diff(np.append(heads, len(a))) > 1) | (kind[heads] == 2)
+            state[heads] = state_of(before | after, several)
+            k = heads[-1]
+            state[k] = 0  # held until its bucket's next run is known
+            held = (a[k], s[k], key[k], first[k], n[k], bool(before[-1]), bool(several[-1]))
+        last_a = a[-1]
+        told = state > 0
+        yield _batch(names, key[told], first[told], n[told], state[told])
+    if held is not None:
+        yield close(True)
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets and fields of a list<struct> column, null lists as empty."""
+    flat = column.flatten()
+    lengths = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(flat.type.num_fields)] if pa.types.is_struct(flat.type) else []
+    return np.concatenate([[0], np.cumsum(lengths)]), fields
+
+
+# -------------------------------------------------------------------- refinement
+PIECES = "chunk long, data binary, state binary, place binary"
+KEYS = "part int, chunk long, keys binary, several binary"
+
+
+def _pieces(length: int, chunk_bytes: int) -> Callable:
+    """Chunks of the stretches of text that undecided runs and witnesses take.
+
+    ``state`` says of each byte whether a suffix of an open run (OPEN) or of a
+    witness starts there, ``place`` holds key, start and end of each stretch.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = search.part
+        number = TaskContext.get().partitionId() << 32
+        data, state, place, held = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            row = [number], [b"".join(data)], [np.concatenate(state).tobytes()], [np.array(place, "<i8").tobytes()]
+            return _batch(["chunk", "data", "state", "place"], *(pa.array(c, t) for c, t in zip(row, (pa.int64(), *[pa.binary()] * 3))))
+
         for b in batches:
-            key, order = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            at, (first_of, _, state_of) = _lists(b.column(3))
-            owner = np.repeat(np.arange(len(b)), np.diff(at))
-            asked = np.flatnonzero(state_of != SETTLED)
-            place = (owner[asked].astype(np.int64) << 32) | first_of[asked]
-            asked = asked[np.argsort(place)]
-            place = np.sort(place)
-            found, witness = [], []
-            for begin, _, data, offsets in text_chunks(b.column(2)):
-                codes, starts = search.symbols(data, offsets)
-                text, first, n, _, _, x = anchored_runs(search, codes, starts)
-                mine = ((text + begin).astype(np.int64) << 32) | first
-                hit = np.minimum(np.searchsorted(place, mine), max(len(place) - 1, 0))
-                chosen = np.flatnonzero(place[hit] == mine) if len(place) else np.zeros(0, np.int64)
-                if not len(chosen):
+            at, fields = _lists(b.column("runs"))
+            for i, (key, text) in enumerate(zip(b.column("key").to_pylist(), b.column("text").to_pylist())):
+                first, n, kind = (f[at[i] : at[i + 1]] for f in fields)
+                pick = np.flatnonzero(kind != SETTLED)
+                if not len(pick):
                     continue
-                state = state_of[asked[hit[chosen]]]
-                text, first, n, x = (c[chosen] for c in (text, first, n, x))
-                far, near = (x - first) // m, (x - first - n + 1) // m  # classes of distance from the anchor
-                count = far - near + 1
-                run = np.repeat(np.arange(len(text)), count)
-                k = far[run] - (np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count))
-                low = np.maximum(first[run], x[run] - (k + 1) * m + 1)
-                high = np.minimum(first[run] + n[run] - 1, x[run] - k * m)
-                base = starts[text[run]]
-                p = prefix(codes)
-                common = spans(p, base + x[run] - k * m, base + x[run] - (k + 1) * m + 1 + search.window) ^ mix(k.astype(U64) + U64(1))
-                found.append((text[run] + begin, low, high - low + 1, common, spans(p, base + low, base + high + search.window)))
-                witness.append(state[run] == WITNESS)
-            if found:
-                yield _sent(search, key, order, found, np.concatenate(witness))
+                raw = text.encode()
+                marks = np.zeros(len(raw), np.uint8)
+                change = np.zeros(len(raw) + 1, np.int64)
+                for k in pick:
+                    marks[first[k] : first[k] + n[k]] = kind[k]
+                    change[first[k]] += 1
+                    change[first[k] + n[k] - 1 + length] -= 1
+                inside = np.concatenate([[False], np.cumsum(change[:-1]) > 0, [False]])
+                edges = np.flatnonzero(inside[1:] != inside[:-1])
+                for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                    data.append(raw[lo:hi])
+                    state.append(marks[lo:hi])
+                    place.append((key, lo, hi))
+                    held += hi - lo
+                if held >= chunk_bytes:
+                    yield out()
+                    number += 1
+                    data, state, place, held = [], [], [], 0
+        if data:
+            yield out()
 
     return scan
 
 
-def _settle(search: Search) -> Callable:
-    """Levels 1 and 2, over rows sorted by (a, s, ord): key, first, n, state."""
-    names = ["key", "first", "n", "state"]
+def initial(data: np.ndarray) -> np.ndarray:
+    """Identifiers of the buckets of ``INITIAL`` bytes: their value."""
+    n = max(0, len(data) - INITIAL + 1)
+    return sum((data[k : k + n].astype(U64) << U64(8 * k) for k in range(INITIAL)), np.zeros(n, U64))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # first row of the last group: a, s, ord, key, first, n, before, several
-        last_a = None
-
-        def close(after: bool) -> list[tuple]:
-            """The held row's state, once the bucket's next run is known."""
-            *_, key, first, n, before, several = held
-            shared = before or after
-            if search.first_stays:
-                state = OPEN if shared else 0
-            elif several:
-                state = WITNESS if shared else SETTLED
-            else:
-                state = OPEN if shared else 0
-            return [(key, first, n, state)] if state else []
 
-        for b in batches:
-            a, s, order, key, first, n, kind = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            done = kind == 1
-            if done.any():
-                yield _batch(names, key[done], first[done], n[done], np.full(done.sum(), SETTLED, np.int32))
-                a, s, order, key, first, n, kind = (c[~done] for c in (a, s, order, key, first, n, kind))
-            if not len(a):
-                continue
-            new = _groups(a, s)
-            if held is not None and (a[0], s[0]) == held[:2]:
-                new[0] = False
-            heads = np.flatnonzero(new)
-            lead = int(heads[0]) if len(heads) else len(a)  # rows of the held group
-            state = np.zeros(len(a), np.int32)
-            lowest = order[_first_of(new)]
-            if lead:
-                lowest[:lead] = held[2]
-                held = (*held[:7], True)
-            state[~new] = np.where(order[~new] > lowest[~new], SETTLED, OPEN) if search.first_stays else SETTLED
-            extra: list[tuple] = []
-            if len(heads):
-                if held is not None:
-                    extra += close(bool(a[heads[0]] == held[0]))
-                before = np.zeros(len(heads), bool)
-                before[0] = last_a is None or a[heads[0]] == (a[heads[0] - 1] if heads[0] else last_a)
-                before[1:] = a[heads[1:]] == a[heads[1:] - 1]
-                after = np.append(a[heads[1:]] == a[heads[:-1]], False)
-                sizes = np.diff(np.append(heads, len(a)))
-                several = (sizes > 1) | (kind[heads] == 2)
-                shared = before | after
-                if search.first_stays:
-                    decided = np.where(shared, OPEN, 0)
-                else:
-                    decided = np.where(several, np.where(shared, WITNESS, SETTLED), np.where(shared, OPEN, 0))
-                state[heads] = decided
-                k = heads[-1]
-                state[k] = 0  # held until its bucket's next run is known
-                held = (a[k], s[k], order[k], key[k], first[k], n[k], bool(before[-1]), bool(several[-1]))
-            last_a = a[-1]
-            told = state > 0
-            yield _batch(names, key[told], first[told], n[told], state[told])
-            if extra:
-                yield _batch(names, *(np.array(c, t) for c, t in zip(zip(*extra), (np.int64, np.int32, np.int32, np.int32))))
-        if held is not None and (rest := close(True)):
-            yield _batch(names, *(np.array(c, t) for c, t in zip(zip(*rest), (np.int64, np.int32, np.int32, np.int32))))
+def refined(bucket: np.ndarray, width: int, wide: int) -> np.ndarray:
+    """Identifiers of buckets of ``wide`` bytes from those of ``width`` bytes at the same and at later offsets."""
+    n = max(0, len(bucket) - (wide - width))
+    out = bucket[:n]
+    for offset in [*range(width, wide - width, width), wide - width] if wide > width else []:
+        out = reduced(product(out, np.full(len(out), _BASE)) + bucket[offset : offset + n])
+    return out
 
-    return scan
 
+def _widths(length: int) -> tuple[int, int]:
+    return min(INITIAL, length), max(min(INITIAL, length), -(-length // FACTOR))
+
+
+def _first_round(data: bytes, place: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Identifiers of the first refinement, and how far each byte's stretch reaches."""
+    raw = np.frombuffer(data, np.uint8)
+    _, lo, hi = np.frombuffer(place, "<i8").reshape(-1, 3).T
+    ends = np.cumsum(hi - lo)
+    room = np.repeat(ends, hi - lo) - np.arange(len(raw))
+    narrow, wide = _widths(length)
+    return refined(initial(raw), narrow, wide), room
+
+
+def _send(chunk: int, ids: np.ndarray, bits: int) -> pa.RecordBatch:
+    """The distinct identifiers of a chunk, by part of the order, with a mark on those that it holds several times."""
+    key, count = np.unique(mix(ids), return_counts=True)
+    part = (key >> U64(64 - bits)).astype(np.int32)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)] if len(part) else [0]
+    pairs = list(zip(cuts, cuts[1:]))
+    return _batch(["part", "chunk", "keys", "several"], part[cuts[:-1]], np.full(len(pairs), chunk), pa.array([coded(key[i:j]) for i, j in pairs], pa.binary()), pa.array([np.packbits(count[i:j] > 1).tobytes() for i, j in pairs], pa.binary()))
+
+
+def _shared(rows: pa.Table) -> pa.Table:
+    """One part of the order: for each chunk, which of its identifiers another suffix has too."""
+    lists = [decoded(x) for x in rows["keys"].to_pylist()]
+    key, place = np.unique(np.concatenate(lists), return_inverse=True)
+    marks = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)) for x, k in zip(rows["several"].to_pylist(), lists)]
+    several = np.bincount(place, 1 + np.concatenate(marks), minlength=len(key)) > 1
+    ends = np.cumsum([len(x) for x in lists])
+    told = pa.array([np.packbits(several[p]).tobytes() for p in np.split(place, ends[:-1])], pa.binary())
+    return pa.table([rows["chunk"], rows["part"], told], names=["chunk", "part", "shared"])
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Offsets and fields of a list<struct> column, null lists as empty."""
-    flat = column.flatten()
-    lengths = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
-    fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(flat.type.num_fields)] if pa.types.is_struct(flat.type) else [flat.to_numpy(zero_copy_only=False)]
-    return np.concatenate([[0], np.cumsum(lengths)]), fields
 
+def _known(ids: np.ndarray, answers: list[dict], bits: int) -> np.ndarray:
+    """Which of the identifiers that were sent other suffixes have too."""
+    key, place = np.unique(mix(ids), return_inverse=True)
+    part = key >> U64(64 - bits)
+    out = np.zeros(len(key), bool)
+    for a in answers:
+        lo, hi = np.searchsorted(part, [U64(a["part"]), U64(a["part"] + 1)])
+        out[lo:hi] = np.unpackbits(np.frombuffer(a["shared"], np.uint8), count=hi - lo)
+    return out[place]
 
-def _windows_of(search: Search) -> Callable:
-    """Level 3, map side. kind: 0 to compare, 1 repeated, 2 repeated and sent on for others, 3 only for others."""
+
+def _round_one(length: int, bits: int) -> Callable:
+    wide = _widths(length)[1]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, order = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            at, (first, n, state) = _lists(b.column(3))
-            found = []
-            for begin, end, data, offsets in text_chunks(b.column(2)):
-                codes, starts = search.symbols(data, offsets)
-                p = prefix(codes)
-                rows = np.arange(at[begin], at[end])
-                rows = rows[state[rows] != SETTLED]
-                text = np.searchsorted(at, rows, "right") - 1
-                text_of = np.repeat(text, n[rows])
-                step = np.arange(len(text_of)) - np.repeat(np.cumsum(n[rows]) - n[rows], n[rows])
-                where = np.repeat(first[rows], n[rows]) + step
-                absolute = starts[text_of - begin] + where
-                found.append((text_of, where, np.repeat(state[rows] == WITNESS, n[rows]), spans(p, absolute, absolute + search.window)))
-            if not found:
-                continue
-            text, where, witness, h = (np.concatenate(c) for c in zip(*found))
-            sort = np.lexsort((where, text, order[text], h))
-            text, where, witness, h = (c[sort] for c in (text, where, witness, h))
-            new = _groups(h)
-            kind = np.zeros(len(h), np.int32)
-            if search.first_stays:
-                kind[order[text] > order[text][_first_of(new)]] = 1
-            else:
-                group = np.cumsum(new) - 1
-                repeated = (np.bincount(group) > 1) | (np.bincount(group, witness) > 0) if len(group) else np.zeros(0, bool)
-                kind[~new] = np.where(witness[~new], -1, 1)
-                kind[new] = np.where(repeated, np.where(witness[new], 3, 2), 0)
-            spread = mix(key[text].astype(U64) * U64(0x9E3779B97F4A7C15) + where.astype(U64))
-            h = np.where(kind == 1, spread, h).view(np.int64)
-            t = kind >= 0
-            yield _batch(["h", "ord", "key", "first", "kind"], h[t], order[text][t], key[text][t], where[t].astype(np.int32), kind[t])
+            for row in b.to_pylist():
+                ids, room = _first_round(row["data"], row["place"], length)
+                yield _send(row["chunk"], ids[room[: len(ids)] >= wide], bits)
 
     return scan
 
 
-def _decide(search: Search) -> Callable:
-    """Level 3, over windows sorted by (h, ord): key and first of the repeated ones."""
+def _survivors(row: dict, length: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of a chunk whose buckets of the first round are all shared, and their final identifiers."""
+    wide = _widths(length)[1]
+    ids, room = _first_round(row["data"], row["place"], length)
+    valid = room[: len(ids)] >= wide
+    alive = np.zeros(len(ids), bool)
+    alive[valid] = _known(ids[valid], row["first_round"] or [], bits)
+    last = refined(ids, wide, length)
+    state = np.frombuffer(row["state"], np.uint8)[: len(last)]
+    stays = (state > 0) & (room[: len(last)] >= length)
+    for offset in [*range(0, length - wide, wide), length - wide]:
+        stays &= alive[offset : offset + len(last)]
+    at = np.flatnonzero(stays)
+    return at, last[at]
+
 
+def _round_two(length: int, bits: int) -> Callable:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row, whose successor is unknown: h, key, first, kind, repeated
-        low = None  # h and lowest ord of the last group
         for b in batches:
-            h, order, key, first, kind = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            out = kind == 1
-            keep = ~out
-            done = [(key[out], first[out])]
-            h, order, key, first, kind = (c[keep] for c in (h, order, key, first, kind))
-            if len(h):
-                new = _groups(h)
-                if search.first_stays:
-                    lowest = order[_first_of(new)]
-                    if low is not None and h[0] == low[0]:
-                        lowest[: int(np.argmax(new[1:])) + 1 if new[1:].any() else len(h)] = low[1]
-                    low = (h[-1], lowest[-1])
-                    dup = order > lowest
-                else:
-                    near = np.zeros(len(h), bool)
-                    near[1:] |= ~new[1:]
-                    near[:-1] |= ~new[1:]
-                    if held is not None:
-                        touches = held[0] == h[0]
-                        near[0] |= touches
-                        if (held[4] or touches) and held[3] != 3:
-                            done.append((np.array([held[1]]), np.array([held[2]])))
-                    dup = (near | (kind == 2)) & (kind != 3)
-                    held = (h[-1], key[-1], first[-1], kind[-1], near[-1] or kind[-1] == 2)
-                    dup[-1] = False
-                done.append((key[dup], first[dup]))
-            k, f = (np.concatenate(c) for c in zip(*done))
-            yield _batch(["key", "first"], k.astype(np.int64), f.astype(np.int32))
-        if held is not None and held[4] and held[3] != 3:
-            yield _batch(["key", "first"], np.array([held[1]], np.int64), np.array([held[2]], np.int32))
+            for row in b.to_pylist():
+                yield _send(row["chunk"], _survivors(row, length, bits)[1], bits)
 
     return scan
 
 
-def rewrite(
-    docs: DataFrame,
-    search: Search,
-    finish: Callable[[bytes, np.ndarray, np.ndarray], tuple],
-    result: str,
-    *,
-    id_col: str,
-    text_col: str,
-    carry: list[str] = (),
-) -> DataFrame:
-    """``finish(text, first windows, counts)`` of every text, with id and carried columns.
+def _decided(length: int, bits: int) -> Callable:
+    """Runs of suffixes that are repeated: key, first, n."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                at, ids = _survivors(row, length, bits)
+                at = at[_known(ids, row["second_round"] or [], bits)]
+                at = at[np.frombuffer(row["state"], np.uint8)[at] == OPEN]
+                key, lo, hi = np.frombuffer(row["place"], "<i8").reshape(-1, 3).T
+                begin = np.cumsum(hi - lo) - (hi - lo)
+                piece = np.searchsorted(begin, at, "right") - 1
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(piece) != 0)])) if len(at) else np.zeros(0, np.int64)
+                count = np.diff(np.append(first, len(at)))
+                piece = piece[first]
+                yield _batch(["key", "first", "n"], key[piece], (at[first] - begin[piece] + lo[piece]).astype(np.int32), count.astype(np.int32))
+
+    return scan
+
 
-    The repeated windows of a text are ``count`` windows from each ``first``;
+def _repeated(needed: DataFrame, length: int, chunk_bytes: int) -> DataFrame:
+    """(key, list of runs of suffixes) of what refinement finds repeated in open runs."""
+    spark = needed.sparkSession
+    pieces = materialise(needed.mapInArrow(_pieces(length, chunk_bytes), PIECES))
+    volume = pieces.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    bits = max(4, (max(shuffle_partitions(spark), volume >> 22) - 1).bit_length())
+    rounds = {"first_round": _round_one, "second_round": _round_two}
+    table = pieces
+    for name, step in rounds.items():
+        sent = table.mapInArrow(step(length, bits), KEYS)
+        told = sent.groupBy("part").applyInArrow(_shared, "chunk long, part int, shared binary")
+        answers = told.groupBy("chunk").agg(F.collect_list(F.struct("part", "shared")).alias(name))
+        table = materialise(table.join(answers, "chunk", "left"))
+        free_shuffles(spark)
+    found = table.mapInArrow(_decided(length, bits), "key long, first int, n int")
+    return found.groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("late"))
+
+
+# ------------------------------------------------------------------- whole search
+def rewrite(docs: DataFrame, length: int, gram: int, finish: Callable[[bytes, np.ndarray, np.ndarray], tuple], result: str, *, id_col: str, text_col: str, chunk_bytes: int = 1 << 23) -> DataFrame:
+    """``finish(text, first suffixes, counts)`` of every text, with its id.
+
+    The repeated strings of a text start at ``count`` suffixes from each ``first``;
     entries may overlap. ``result`` is the schema of what ``finish`` returns.
     """
     spark = docs.sparkSession
-    with_rest = docs.select(F.col(id_col), F.col(text_col), F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")]).alias("rest"))
-    base, _ = keyed(with_rest, id_col, text_col, "rest")
-    base = base.withColumn("ord", F.coalesce("id", F.lit(_LAST)))
-    parts = shuffle_partitions(spark)
-    runs = base.select("key", "ord", "text").mapInArrow(_runs_of(search), RUN)
-    order = ["a", "s", "ord", "key"]
-
-    def settled(rows: DataFrame, name: str) -> DataFrame:
-        """Decided rows as one list a key."""
-        done = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_settle(search), "key long, first int, n int, state int")
-        return done.groupBy("key").agg(F.collect_list(F.struct("first", "n", "state")).alias(name))
-
-    lists = settled(runs, "runs")
-    joined = base.join(lists, "key", "left").select("key", "ord", "text", "runs", "id", "rest")
-    rest_type = with_rest.schema["rest"].dataType.simpleString()
-    out_type = f"struct<{result}>"
-    import pyspark.sql.types as T
-
-    result_type = T._parse_datatype_string(out_type)
+    base, _ = keyed(docs, id_col, text_col)
+    runs = base.select("key", "text").mapInArrow(_runs_of(length, gram), RUN)
+    order = ["a", "s", "key", "first"]
+    settled = runs.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_settle, "key long, first int, n int, state int")
+    lists = settled.groupBy("key").agg(F.collect_list(F.struct("first", "n", "state")).alias("runs"))
+    result_type = T._parse_datatype_string(f"struct<{result}>")
+    arrow_out = to_arrow_type(result_type)
 
     def finished(texts: list, firsts: list[np.ndarray], counts: list[np.ndarray]) -> list[dict]:
-        names = result_type.names
-        return [dict(zip(names, finish((t or "").encode(), f, c))) for t, f, c in zip(texts, firsts, counts)]
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow_out = to_arrow_type(result_type)
+        return [dict(zip(result_type.names, finish((t or "").encode(), f, c))) for t, f, c in zip(texts, firsts, counts)]
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, fields = _lists(b.column(3))
-            first, n, state = fields if len(fields) == 3 else (np.zeros(0, np.int64),) * 3
-            opened = np.add.reduceat(np.append(state == OPEN, False), at[:-1]) if len(at) > 1 else np.zeros(0)
-            opened = (opened > 0) & (np.diff(at) > 0)
-            # a text with a witness is needed for others to be compared with
-            wit = np.add.reduceat(np.append(state == WITNESS, False), at[:-1]) if len(at) > 1 else np.zeros(0)
-            needed = opened | ((wit > 0) & (np.diff(at) > 0))
-            texts = b.column(2).to_pylist()
+            at, fields = _lists(b.column("runs"))
+            first, n, state = fields if fields else (np.zeros(0, np.int64),) * 3
+            has = [np.add.reduceat(np.append(state == s, False), at[:-1]) * (np.diff(at) > 0) > 0 if len(b) else np.zeros(0, bool) for s in (OPEN, WITNESS)]
+            texts, ready = b.column("text").to_pylist(), np.flatnonzero(~has[0])
             rows: list[dict | None] = [None] * len(texts)
-            ready = np.flatnonzero(~opened)
-            got = finished([texts[i] for i in ready], [first[at[i] : at[i + 1]] for i in ready], [n[at[i] : at[i + 1]] for i in ready])
-            for i, r in zip(ready, got):
+            for i, r in zip(ready, finished([texts[i] for i in ready], [first[at[i] : at[i + 1]] for i in ready], [n[at[i] : at[i + 1]] for i in ready])):
                 rows[i] = r
-            kept = pa.array([t if k else None for t, k in zip(texts, needed)], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), kept, b.column(3), b.column(4), b.column(5), pa.array(rows, arrow_out), pa.array(needed), pa.array(opened)],
-                names=["key", "ord", "text", "runs", "id", "rest", "done", "needed", "opened"],
-            )
-
-    runs_type = "array<struct<first:int,n:int,state:int>>"
-    table = materialise(joined.mapInArrow(first_pass, f"key long, ord long, text string, runs {runs_type}, id long, rest {rest_type}, done {out_type}, needed boolean, opened boolean"))
-    needed = table.where("needed").select("key", "ord", "text", "runs")
-    pieces = settled(needed.mapInArrow(_parts_of(search), RUN), "parts")
-    windows = needed.join(pieces, "key").where(F.exists("parts", lambda p: p.state != SETTLED)).select("key", "ord", "text", "parts").mapInArrow(_windows_of(search), WINDOWS)
-    repeated = windows.repartition(parts, "h").sortWithinPartitions("h", "ord").mapInArrow(_decide(search), "key long, first int")
-    places = repeated.groupBy("key").agg(F.collect_list("first").alias("places"))
+            kept = pa.array([t if k else None for t, k in zip(texts, has[0] | has[1])], pa.string())
+            yield _batch(["key", "id", "text", "runs", "done", "needed", "opened"], b.column("key"), b.column("id"), kept, b.column("runs"), pa.array(rows, arrow_out), has[0] | has[1], has[0])
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, fields = _lists(b.column(1))
-            first, n, state = fields
-            to, (place,) = _lists(b.column(4))
-            pat, got = _lists(b.column(5))
-            pfirst, pn, pstate = got if len(got) == 3 else (np.zeros(0, np.int64),) * 3
+            at, (first, n, state) = _lists(b.column("runs"))
+            to, late = _lists(b.column("late"))
+            first_late, n_late = late if late else (np.zeros(0, np.int64),) * 2
             firsts, counts = [], []
             for i in range(len(b)):
-                own = slice(at[i], at[i + 1])
+                own, more = slice(at[i], at[i + 1]), slice(to[i], to[i + 1])
                 known = state[own] != OPEN
-                single, piece = place[to[i] : to[i + 1]], slice(pat[i], pat[i + 1])
-                sure = pstate[piece] != OPEN
-                firsts.append(np.concatenate([first[own][known], pfirst[piece][sure], single]))
-                counts.append(np.concatenate([n[own][known], pn[piece][sure], np.ones(len(single), np.int64)]))
-            rows = finished(b.column(0).to_pylist(), firsts, counts)
-            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), pa.array(rows, arrow_out)], names=["id", "rest", "done"])
+                firsts.append(np.concatenate([first[own][known], first_late[more]]))
+                counts.append(np.concatenate([n[own][known], n_late[more]]))
+            yield _batch(["id", "done"], b.column("id"), pa.array(finished(b.column("text").to_pylist(), firsts, counts), arrow_out))
 
-    late = table.where("opened").join(pieces, "key", "left").join(places, "key", "left").select("text", "runs", "id", "rest", "places", "parts").mapInArrow(second_pass, f"id long, rest {rest_type}, done {out_type}")
-    return table.where("not opened").select("id", "rest", "done").unionByName(late)
+    joined = base.join(lists, "key", "left").select("key", "id", "text", "runs")
+    table = materialise(joined.mapInArrow(first_pass, f"key long, id long, text string, runs array<struct<first:int,n:int,state:int>>, done struct<{result}>, needed boolean, opened boolean"))
+    free_shuffles(spark)
+    late = _repeated(table.where("needed").select("key", "text", "runs"), length, chunk_bytes)
+    rest = table.where("opened").join(late, "key", "left").select("id", "text", "runs", "late").mapInArrow(second_pass, f"id long, done struct<{result}>")
+    return table.where("not opened").select("id", "done").unionByName(rest)
 
 
-def covered(size: int, first: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
-    """Which of ``size`` symbols lie in a repeated window."""
+def covered(size: int, first: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
+    """Which of ``size`` symbols lie in one of the strings of ``length`` symbols."""
     change = np.zeros(size + 1, np.int64)
     np.add.at(change, first, 1)
-    np.add.at(change, first + count - 1 + window, -1)
+    np.add.at(change, first + count - 1 + length, -1)
     return np.cumsum(change[:-1]) > 0
