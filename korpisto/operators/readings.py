@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,271 +81,296 @@ def simple_lower(text: str) -> str:
     return "".join(c.lower()[:1] for c in text)
 
 
+def _tag(p: Item, start: str) -> bool:
+    return p.kind == "tag" and p.value.startswith(start)
+
+
+def _is(p: Item, char: str) -> bool:
+    return p.kind == "char" and p.value == char
+
+
 # --------------------------------------------------------------------- validity
+@dataclass(frozen=True)
+class Joint:
+    """A letter behind a boundary [Bh], with what lies between it and the letters before."""
+
+    before: str  # the two letters before, if any
+    letter: str
+    hyphen: bool
+    eased: bool  # by [Icu] behind the joint before
+    freed: bool  # by [Isf] behind the joint before
+
+
+def _joints(parts: list[Item]) -> tuple[list[Joint], str]:
+    """The joints of a compound, and the order of what requires hyphens: U [Icu], A [Ica], b a bare boundary, h a joint with a hyphen."""
+    joints: list[Joint] = []
+    order: list[str] = []
+    letters, gap, since = "", "", ""  # gap: tags since the last letter, since: those since the last joint
+    for k, p in enumerate(parts):
+        hyphenated = k > 0 and _is(parts[k - 1], "-")
+        if p.kind == "char" and p.value != "-":
+            bare, joined, eased = (gap.rfind(x) for x in "bHU")
+            if max(bare, joined) > eased:
+                joints.append(Joint(letters[-2:], p.value, joined > bare, "U" in since, "S" in since))
+                order += "h" * (joined > bare)
+                since = ""
+                if not joints[-1].hyphen or not _excused(joints):
+                    letters = letters[:-1] + letters[-1:].lower()
+            letters, gap = letters + p.value, ""
+            continue
+        mark = ""
+        if p == Item("tag", "Bh", at=p.at):
+            mark = "H" if hyphenated and k + 1 < len(parts) else "b"
+        elif p.kind == "tag":
+            mark = {"Icu": "U", "Ica": "A", "Isf": "S"}.get(p.value, "")
+        gap, since = gap + mark, since + mark
+        order += mark if mark in ("U", "A", "b") else ""
+    return joints, "".join(order)
+
+
+def _excused(joints: list[Joint]) -> bool:
+    """Whether the last joint may have its hyphen anyway: at a word's start, behind "is", or by a tag; [Isf] holds for two joints."""
+    here = joints[-1]
+    return not here.before or here.before == "is" or here.eased or any(j.freed for j in joints[-2:])
+
+
+def _sound(joints: list[Joint]) -> bool:
+    """A hyphen stands just where two equal vowels meet or a digit ends a part."""
+    here = joints[-1]
+    last, first = here.before[-1:].lower(), here.letter.lower()[:1]
+    needed = last.isascii() and last.isdigit() or (last == first and last != "" and last in VOWELS)
+    return needed == here.hyphen or here.hyphen and _excused(joints)
+
+
+#: A part that asks for a hyphen, then a boundary without one that no [Ica] makes good before the next.
+_WITHOUT = re.compile("U[^h]*b[^Ab]*(?:b|$)")
+
+
+def _name_before_noun(parts: list[Item]) -> bool:
+    """Whether a name is joined without a hyphen to a common noun."""
+    cut = max((k for k, p in enumerate(parts) if _is(p, "-")), default=-1) + 1
+    tags = [p.value[:2] if p.value[:2] in ("Le", "Ln", "Dg") else p.value for p in parts[cut:] if p.kind == "tag"]
+
+    def open_to(what: str, ends: tuple[str, ...]) -> bool:
+        return what in tags and not set(ends) & set(tags[len(tags) - tags[::-1].index(what) :])
+
+    return open_to("Le", ("Dg",)) and open_to("Ln", ("Le", "Ica"))
+
+
 def valid(parts: list[Item]) -> bool:
     """Whether the hyphens of a compound are where they must be, and names are not joined to common nouns."""
-    before = last = ""
-    crossed = hyphen = free = just_free = wanted = missing = name_first = noun_last = False
-    k = 0
-    while k < len(parts):
-        p = parts[k]
-        if p.kind == "tag":
-            if p.value == "Isf":
-                free = just_free = True
-            elif p.value == "Icu":
-                crossed, free, wanted = False, True, True
-            elif p.value == "Ica":
-                missing = noun_last = False
-            elif p.value.startswith("Le"):
-                name_first, noun_last = True, False
-            elif p.value.startswith("Ln"):
-                noun_last = True
-            elif p.value.startswith("Dg"):
-                name_first = False
-            elif p.value == "Bh":
-                crossed, hyphen = True, False
-                if missing:
-                    return False
-                missing = wanted
-        elif p.kind == "char" and p.value == "-":
-            name_first = noun_last = False
-            if k + 2 < len(parts) and parts[k + 1] == Item("tag", "Bh", at=p.at + 1):
-                crossed = hyphen = True
-                k += 1
-        elif p.kind == "char":
-            if crossed:
-                if not last or (before, last) == ("i", "s"):
-                    free = True
-                if wanted and hyphen:
-                    wanted = False
-                if not (free and hyphen):
-                    last = last.lower()
-                    must = (last == p.value.lower()[:1] and last in VOWELS and last != "") or ("0" <= last <= "9")
-                    if must != hyphen:
-                        return False
-                crossed = False
-                free, just_free = free and just_free, False
-            before, last = last, p.value
-        k += 1
-    return not missing and not (name_first and noun_last)
+    joints, order = _joints(parts)
+    return not _WITHOUT.search(order) and not _name_before_noun(parts) and all(_sound(joints[: k + 1]) for k in range(len(joints)))
 
 
 # -------------------------------------------------------------------- structure
-class _Structure:
-    """Letters of a structure: = boundary, i and p for a name's first and other letters, j and q in abbreviations."""
-
-    def __init__(self, size: int):
-        self.out, self.left, self.seen, self.given = ["="], size, 0, 0
-        self.title = self.short = False
-
-    def plain(self, n: int) -> None:
-        for _ in range(n):
-            self.out.append(("j" if self.short else "i") if self.title else ("q" if self.short else "p"))
-            self.title = False
-
-    def flush(self) -> bool:
-        if self.seen <= self.given:
-            return False
-        self.plain(self.seen - self.given)
-        self.left = max(0, self.left - (self.seen - self.given))
-        self.seen = self.given = 0
+@dataclass
+class Stretch:
+    """Letters up to a boundary, a hyphen or a colon."""
+
+    letters: int = 0
+    given: str = ""  # structure that the dictionary states
+    short: bool = False  # an abbreviation or a numeral in digits
+
+
+def _shape(n: int, name: bool, short: bool) -> str:
+    """Case letters of ``n`` letters: i and p for a name's first and other letters, j and q in abbreviations."""
+    first, other = ("j", "q") if short else ("i", "p")
+    return (first + other * (n - 1) if name else other * n) if n > 0 else ""
+
+
+def _shortens(p: Item, parts: list[Item], total: int) -> bool:
+    """Whether a class tag begins an abbreviation, or a numeral written in digits."""
+    if _tag(p, "La"):
         return True
+    digits = p.value == "Lu" and any(q.kind == "char" and q.at == p.at + 4 and q.value in "0123456789" for q in parts)
+    return (digits or p.value == "Lur") and p.at + 5 < total
 
 
 def structure(parts: list[Item], size: int, total: int) -> str:
-    """The expected case of each letter of a word of ``size`` letters; ``total`` is the output's length."""
-    s = _Structure(size)
+    """The expected case of each letter of a word of ``size`` letters, = at boundaries; ``total`` is the output's length."""
+    out, room, name = "=", size, False
+    here = Stretch()
+
+    def told() -> str:
+        """The rest of the stretch; a name's capital is for the first letter that is told."""
+        nonlocal name, room
+        n = here.letters - len(here.given.replace("=", ""))
+        text = _shape(n, name, here.short)
+        name &= not text
+        room = max(0, room - max(n, 0))
+        return text
+
     for p in parts:
-        if p.kind == "mark":
-            if p.value == "r":
-                s.title = False
-                for c in p.inner:
-                    if s.left <= 0:
-                        break
-                    s.out.append(c)
-                    s.given += c != "="
-                    s.left -= c not in "=-"
-        elif p.kind == "tag" and re.fullmatch("B[^h]", p.value):
-            if p.at == 1:
-                s.out.append("=")
-            s.flush()
-            if p.at != 1 and p.at + 5 < total and s.out[-1] != "=":
-                s.out.append("=")
-            s.seen = s.given = 0
-        elif p.kind == "tag" and p.value.startswith("L"):
-            if p.value.startswith("Le"):
-                s.title = True
-            numeral = p.value == "Lur" or (p.value == "Lu" and any(q.at == p.at + 4 and "0" <= q.value <= "9" for q in parts if q.kind == "char"))
-            s.short = p.value.startswith("La") or (numeral and p.at + 5 < total)
-        elif p.kind == "char" and p.value == "-":
-            if s.flush() or (p.at != 0 and s.seen == s.given):
-                s.out.append("-")
-            elif p.at != 0:
-                s.seen += 1
-            s.left = max(0, s.left - 1)
-            if len(s.out) == 1:
-                s.out[0] = "-"
-        elif p.kind == "char" and p.value == ":":
-            if s.short:
-                s.flush()
-                s.short = False
-            s.out.append(":")
-            s.left = max(0, s.left - 1)
+        covers = len(here.given.replace("=", "")) - here.letters  # letters that the stated structure has still to cover
+        if p.kind == "mark" and p.value == "r":
+            name, taken = False, ""
+            for c in p.inner:
+                if room <= 0:
+                    break
+                taken, room = taken + c, room - (c not in "=-")
+            out, here.given = out + taken, here.given + taken
+        elif _tag(p, "B") and len(p.value) == 2 and p.value != "Bh":
+            out += "=" * (p.at == 1) + told()
+            out += "=" * (p.at != 1 and p.at + 5 < total and not out.endswith("="))
+            here = Stretch(short=here.short)
+        elif _tag(p, "L"):
+            name |= _tag(p, "Le")
+            here.short = _shortens(p, parts, total)
+        elif _is(p, "-"):
+            if covers < 0:
+                out += told() + "-"
+                here = Stretch(short=here.short)
+            elif p.at:
+                out += "-" * (covers == 0)
+                here.letters += covers > 0
+            room = max(0, room - 1)
+            out = "-" if len(out) == 1 else out
+        elif _is(p, ":"):
+            if here.short:
+                if covers < 0:
+                    out += told()
+                    here = Stretch()
+                here.short = False
+            out, room = out + ":", max(0, room - 1)
         elif p.kind == "char":
-            s.seen += 1
-    s.plain(s.left)
-    return "".join(s.out)
+            here.letters += 1
+    return out + _shape(room, name, here.short)
 
 
 def mend_structure(text: str, parts: list[Item]) -> str:
     """Lower case after derivations from names, a capital before a place name."""
-    out, hyphens, derived = list(text), 0, False
-    last = parts[-1] if parts else None
+    turn = None  # the hyphen behind a derivation that a place name follows, or that ends the word
     for k, p in enumerate(parts):
-        if p.kind == "tag" and p.value.startswith("Dg"):
-            part = 0
-            for i, c in enumerate(out):
-                if c == "-":
-                    part += 1
-                elif c == "i" and part == hyphens:
-                    out[i] = "p"
-        elif p.kind == "tag" and p.value.startswith("De"):
-            derived = True
-        elif p.kind == "tag" and p.value == "Ln":
-            derived = False
-        elif p.kind == "char" and p.value == "-":
-            hyphens += 1
-            if derived and (p is last or any(q.kind == "tag" and q.value == "Lep" for q in parts[k + 1 :])):
-                for i, c in enumerate(out):
-                    if c in "ip":
-                        out[i] = "i"
-                        return "".join(out)
-    return "".join(out)
+        if _is(p, "-") and turn is None:
+            told = [q.value[:2] for q in parts[:k] if _tag(q, "De") or q == Item("tag", "Ln", at=q.at)]
+            if told[-1:] == ["De"] and (k == len(parts) - 1 or any(q.kind == "tag" and q.value == "Lep" for q in parts[k:])):
+                turn = k
+    words = text.split("-")
+    for k, p in enumerate(parts[:turn]):
+        place = sum(_is(q, "-") for q in parts[:k])
+        if _tag(p, "Dg") and place < len(words):
+            words[place] = words[place].replace("i", "p")
+    mended = "-".join(words)
+    return mended if turn is None else re.sub("[ip]", "i", mended, count=1)
 
 
 # ------------------------------------------------------------------- base forms
+_NOUNS = ("Ln", "Ll", "Lnl")
+
+
 def _numeral(parts: list[Item], head: str) -> str | None:
-    """A numeral's base form: each part's marked base, digits and hyphens as they are."""
-    out, passed = [head], False
-    digits = bool(parts) and parts[0].kind == "char" and (parts[0].value in "-0123456789")
-    for k, p in enumerate(parts):
-        if p.kind != "char" and digits:
-            digits, passed = False, True
-        if p.kind == "mark":
-            if p.value in "pj":
-                out.append(p.inner)
-                passed = True
+    """A numeral's base form: of each part the letters up to its marked base and that base, digits and hyphens as they are."""
+    if any(p.kind == "tag" and p.value in _NOUNS for p in parts) or (parts and parts[-1] == Item("tag", "Bc", at=parts[-1].at)):
+        return None
+    lead = next((k for k, p in enumerate(parts) if p.kind != "char"), len(parts))
+    if not (parts and parts[0].kind == "char" and parts[0].value in "-0123456789"):
+        lead = 0
+    out, done = head + "".join(p.value for p in parts[:lead]), lead > 0
+    for p in parts[lead:]:
+        if p.kind == "mark" and p.value in "pj":
+            out, done = out + p.inner, True
         elif p.kind == "tag":
-            if p.value == "Bc":
-                if k == len(parts) - 1:
-                    return None
-                passed = False
-            elif p.value in ("Ln", "Ll", "Lnl"):
-                return None
-        elif digits or not passed or p.value == "-":
-            out.append(p.value)
-    return "".join(out)
+            done &= p.value != "Bc"
+        elif p.kind == "char" and (not done or p.value == "-"):
+            out += p.value
+    return out
+
+
+def _written(parts: list[Item], shape: str) -> dict[int, str]:
+    """The characters by their item, with the structure's capitals."""
+    cases = [c for c in shape if c != "="]
+    chars = [k for k, p in enumerate(parts) if p.kind == "char"]
+    return {k: parts[k].value.upper()[:1] if n < len(cases) and cases[n] in "ij" else parts[k].value for n, k in enumerate(chars)}
 
 
 def base_form(parts: list[Item], shape: str) -> str | None:
     """The word with the last part's marked base and the structure's capitals."""
-    out: list[str] = []
-    marked: tuple[int, Item] | None = None  # where the last marked base begins
-    spare = 0  # hyphens of the marked base that the surface repeats
-    letters = iter(shape)
-    classed = derived = ignore = False
-    for k, p in enumerate(parts):
-        if p.kind == "mark":
-            if p.value in "pj":
-                marked, spare = (len(out), p), p.inner.count("-")
-            continue
-        if p.kind == "tag":
-            if p.value == "Lu" and not classed:
-                classed = True
-                found = _numeral(parts[k + 1 :], "".join(out))
-                if found is not None:
-                    return found
-            elif p.value == "De":
-                derived = not ignore
-            elif p.value.startswith("L"):
-                classed, derived = True, False
-                ignore = not p.value.startswith(("Ll", "Lnl"))
-            continue
-        c = p.value
-        if c == "-":
-            if spare:
-                spare -= 1
-            else:
-                ends_is = k >= 2 and [q.value for q in parts[k - 2 : k]] == ["i", "s"]
-                if derived and marked and not ends_is and any(q.kind == "tag" and q.value == "Lep" for q in parts[k + 1 :]):
-                    name = marked[1].inner.replace("=", "")
-                    out[marked[0] :] = list(name[:1].upper()[:1] + name[1:])
-                marked = None
-            derived = False
-        for want in letters:
-            if want != "=":
-                if want in "ij":
-                    c = c.upper()[:1]
-                break
-        out.append(c)
-    if marked:
-        out[marked[0] :] = list(marked[1].inner.replace("=", ""))
-    return "".join(out) or None
+    chars = _written(parts, shape)
+    classes = [k for k, p in enumerate(parts) if _tag(p, "L")]
+    if classes and parts[classes[0]].value == "Lu":
+        numeral = _numeral(parts[classes[0] + 1 :], _based(parts[: classes[0]], parts, chars, False))
+        if numeral is not None:
+            return numeral
+    return _based(parts, parts, chars, True) or None
+
+
+def _derives(parts: list[Item], k: int) -> bool:
+    """Whether the word that ends before item ``k`` is derived: [De] behind its last hyphen and class, and that class takes it."""
+    tags = [(i, p) for i, p in enumerate(parts[:k]) if p.kind == "tag" and (p.value == "De" or p.value.startswith("L"))]
+    if not tags or tags[-1][1].value != "De" or any(_is(p, "-") for p in parts[tags[-1][0] : k]):
+        return False
+    last = next((p for _, p in reversed(tags) if p.value.startswith("L")), None)
+    return last is None or last.value.startswith(("Ll", "Lnl"))
+
+
+def _based(some: list[Item], parts: list[Item], chars: dict[int, str], whole: bool) -> str:
+    """``some``, the first items of ``parts``, word by word between hyphens, each with the base that counts."""
+    out, at, base, inside = "", 0, None, 0  # at: where the marked base begins, inside: hyphens of its own
+    for k, p in enumerate(some):
+        if p.kind == "mark" and p.value in "pj":
+            at, base, inside = len(out), p.inner, p.inner.count("-")
+        elif _is(p, "-") and inside:
+            inside -= 1
+            out += chars[k]
+        elif _is(p, "-"):
+            follows = any(q.kind == "tag" and q.value == "Lep" for q in parts[k + 1 :])
+            if base is not None and follows and _derives(parts, k) and [q.value for q in parts[max(0, k - 2) : k]] != ["i", "s"]:
+                plain = base.replace("=", "")
+                out = out[:at] + plain[:1].upper()[:1] + plain[1:]
+            out, base = out + chars[k], None
+        elif p.kind == "char":
+            out += chars[k]
+    return out[:at] + base.replace("=", "") if whole and base is not None else out
+
+
+@dataclass
+class Word:
+    """One part of a compound: what is written, the base and the identifier that the dictionary gives."""
+
+    text: str = ""
+    base: str = ""
+    ident: str = ""
 
 
 def word_bases(parts: list[Item]) -> tuple[str, str | None]:
     """(WORDBASES, WORDIDS): parts joined by +, each with its base and its identifier in brackets."""
-    bases: list[str] = []
-    ids: list[str] = []
-    base = ident = ""
-    named = inside = False
-    start_b = start_i = 0
-
-    def close() -> None:
-        nonlocal base, ident
-        if ident:
-            ids.append(f"(w{ident})")
-        if base:
-            bases.append(f"({base})")
-        base = ident = ""
+    bases = ids = ""
+    cut = 0, 0  # where the last word begins that letters or a suffix opened
+    word, opened = Word(), False
+
+    def closed() -> None:
+        nonlocal bases, ids, word
+        bases, ids, word = bases + f"({word.base})" * bool(word.base), ids + f"(w{word.ident})" * bool(word.ident), Word()
 
     for k, p in enumerate(parts):
-        if p.kind == "tag" and p.value.startswith("L"):
-            inside = False
-            close()
-        elif p.kind == "char" and p.value == "-" and k + 1 < len(parts) and parts[k + 1].kind == "tag" and parts[k + 1].value.startswith("B"):
-            inside = False
-            close()
-            bases.append("+-")
-            ids.append("+-")
-        elif p.kind == "mark":
-            if p.value == "s":
-                named, ident = True, p.inner
-            elif p.value == "p":
-                base = p.inner
-            elif p.value == "j":
-                if inside:
-                    close()
-                    start_b, start_i = len(bases), len(ids)
-                base = "+" + p.inner if p.inner else ""
+        hyphen = _is(p, "-") and k + 1 < len(parts) and _tag(parts[k + 1], "B")
+        if hyphen or _tag(p, "L"):
+            closed()
+            opened = False
+            bases, ids = bases + "+-" * hyphen, ids + "+-" * hyphen
+        elif p.kind == "mark" and p.value == "s":
+            word.ident = p.inner
+        elif p.kind == "mark" and p.value == "p":
+            word.base = p.inner
+        elif p.kind == "mark" and p.value == "j":
+            if opened:
+                closed()
+                cut = len(bases), len(ids)
+            word.base = p.inner and "+" + p.inner
         elif p.kind == "char":
-            if not inside:
-                bases.append("+")
-                ids.append("+")
-                start_b, start_i, inside = len(bases), len(ids), True
-            bases.append(p.value)
-            ids.append(p.value)
-    if base:
-        del bases[start_b:], ids[start_i:]
-        if base[0] == "+" and bases and bases[-1] == "+":
-            bases.pop()
-            ids.pop()
-        plain = base.replace("=", "")
-        bases += [plain, f"({base})"]
-        ids.append(plain)
-    if ident:
-        ids.append(f"(w{ident})")
-    return "".join(bases), "".join(ids) if named else None
+            if not opened:
+                bases, ids, opened = bases + "+", ids + "+", True
+                cut = len(bases), len(ids)
+            bases, ids = bases + p.value, ids + p.value
+    if word.base:  # the last word is written as its base
+        bases, ids = bases[: cut[0]], ids[: cut[1]]
+        if word.base.startswith("+"):
+            bases, ids = (bases[:-1], ids[:-1]) if bases.endswith("+") else (bases, ids)
+        plain = word.base.replace("=", "")
+        bases, ids = bases + plain + f"({word.base})", ids + plain
+    ids += f"(w{word.ident})" * bool(word.ident)
+    return bases, ids if any(p.kind == "mark" and p.value == "s" for p in parts) else None
 
 
 # ------------------------------------------------------------------- attributes
@@ -472,27 +498,37 @@ def analyze(dictionary: Dictionary, word: str, full: bool = True) -> list[dict[s
 
 
 # ------------------------------------------------------------------ data frames
-_dictionaries: dict[str, Dictionary] = {}
+_dictionaries: dict[str, Callable[[str], list[dict]]] = {}
+
 
+def analyzer(data: bytes, remembered: int = 200_000):
+    """A column function word -> array of readings; ``of_lists`` is the same for arrays of words.
 
-def analyzer(data: bytes):
-    """A column function word -> array of readings. The dictionary travels once, as a broadcast."""
+    The dictionary travels once, as a broadcast of the size of its file. A worker
+    remembers the readings of the words it saw last.
+    """
     spark = SparkSession.getActiveSession()
     ship(spark)
     shared, mark = spark.sparkContext.broadcast(data), uuid.uuid4().hex
+    reading = pa.struct([(a, pa.string()) for a in ATTRIBUTES])
+
+    def known() -> Callable[[str], list[dict]]:
+        if mark not in _dictionaries:
+            d = Dictionary(shared.value)
+            _dictionaries[mark] = lru_cache(remembered)(lambda w: [{a: r.get(a) for a in ATTRIBUTES} for r in analyze(d, w)] if w else [])
+        return _dictionaries[mark]
 
     @F.arrow_udf(f"array<{READING}>")
     def readings(words: pa.Array) -> pa.Array:
-        if mark not in _dictionaries:
-            _dictionaries[mark] = Dictionary(shared.value)
-        d, known = _dictionaries[mark], {}
-        out = []
-        for w in words.to_pylist():
-            if w not in known:
-                known[w] = [{a: r.get(a) for a in ATTRIBUTES} for r in analyze(d, w)] if w else []
-            out.append(known[w])
-        return pa.array(out, pa.list_(pa.struct([(a, pa.string()) for a in ATTRIBUTES])))
+        of = known()
+        return pa.array([of(w) for w in words.to_pylist()], pa.list_(reading))
+
+    @F.arrow_udf(f"array<array<{READING}>>")
+    def of_lists(lists: pa.Array) -> pa.Array:
+        of = known()
+        return pa.array([None if ws is None else [of(w) for w in ws] for ws in lists.to_pylist()], pa.list_(pa.list_(reading)))
 
+    readings.of_lists = of_lists
     return readings
 
 
