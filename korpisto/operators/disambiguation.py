@@ -234,15 +234,12 @@ def pruned(df: DataFrame, readings: str, name: str = "pruned", rules: tuple = RU
 def tag(df: DataFrame, analyze: Callable[[Column], Column], text: str = "text", name: str = "tags", tagger: Tagger | None = None) -> DataFrame:
     """Tokenizes, analyses and decodes each text as one sentence: array of readings beside ``words``.
 
-    ``analyze`` maps a column of words to readings. Distinct words are analysed
-    once; each text's words come back in their order.
+    ``analyze`` maps a column of words to readings. Words stay in their row, so there is
+    no shuffle and no row number; a dictionary's analyzer remembers words it has seen.
     """
     from korpisto.operators.tokens import token_texts, token_type
 
-    key = df.withColumn("_key", F.monotonically_increasing_id())
-    listed = key.withColumn("words", F.filter(token_texts(F.coalesce(F.col(text), F.lit(""))), lambda t: token_type(t) == "WORD"))
-    each = listed.select("_key", F.posexplode("words").alias("_at", "_word"))
-    known = each.select("_word").distinct().withColumn("_readings", analyze(F.col("_word")))
-    back = each.join(known, "_word").groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_readings"))), lambda s: s["_readings"]).alias("_sentence"))
-    joined = listed.join(back, "_key", "left")
-    return disambiguate(joined, "words", "_sentence", name, tagger).drop("_key", "_sentence")
+    listed = df.withColumn("words", F.filter(token_texts(F.coalesce(F.col(text), F.lit(""))), lambda t: token_type(t) == "WORD"))
+    of_lists = getattr(analyze, "of_lists", None)
+    found = of_lists(F.col("words")) if of_lists else F.transform("words", analyze)
+    return disambiguate(listed.withColumn("_sentence", found), "words", "_sentence", name, tagger).drop("_sentence")

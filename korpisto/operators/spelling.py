@@ -166,27 +166,3 @@ def user_add(user: DataFrame, words: DataFrame) -> DataFrame:
 
 def user_remove(user: DataFrame, words: DataFrame) -> DataFrame:
     return user.join(words.select("word"), "word", "left_anti")
-
-
-# ------------------------------------------------------------------ cost budgets
-class SuggestionBudget:
-    """Suggestions gathered under a cost limit: distinct words, at most ``most``, each priority times its place plus five."""
-
-    def __init__(self, most: int, cost_limit: int = 0):
-        self.most, self.cost_limit, self.cost = most, cost_limit, 0
-        self.found: dict[str, int] = {}
-
-    def charge(self) -> None:
-        self.cost += 1
-
-    def spent(self) -> bool:
-        """Whether to stop: enough found, or the limit reached, twice the limit where nothing is found yet."""
-        allowed = self.cost_limit if self.found else 2 * self.cost_limit
-        return len(self.found) >= self.most or self.cost >= allowed
-
-    def add(self, word: str, priority: int) -> None:
-        if len(self.found) < self.most and word not in self.found:
-            self.found[word] = priority * (len(self.found) + 5)
-
-    def ordered(self) -> list[str]:
-        return sorted(self.found, key=self.found.__getitem__)

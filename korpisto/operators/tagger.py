@@ -7,10 +7,13 @@ sentences, of rows of a small matrix. A character pair counts as often as it occ
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,20 +43,22 @@ def shape(word: str) -> str:
     return out
 
 
-def _context(side: str, word: str | None, edge: str) -> list[str]:
+@lru_cache(200_000)
+def _context(side: str, word: str | None, edge: str) -> tuple[str, ...]:
+    """The features that a word gives the one beside it."""
     if word is None:
-        return [f"{side}_{edge}=True"]
+        return (f"{side}_{edge}=True",)
     low = word.lower()
     out = [f"{side}_suf3={low[-3:]}"] if len(low) >= 3 else []
     if not side.endswith("2"):
         out.append(f"{side}_shape={shape(word)}")
         out += [f"{side}_is_upper=True"] * word[:1].isupper() + [f"{side}_is_punct=True"] * (len(word.encode()) == 1 and word in MORE_MARKS)
-    return out + [f"{side}_form={low}"] * (len(low) <= SHORT_CONTEXT)
+    return (*out, *[f"{side}_form={low}"] * (len(low) <= SHORT_CONTEXT))
 
 
-def features(words: list[str], i: int) -> list[str]:
-    """The features of word i in its sentence, repeated pairs included."""
-    word, n = words[i], len(words)
+@lru_cache(100_000)
+def _own(word: str) -> tuple[str, ...]:
+    """The features of a word wherever it stands, repeated pairs included."""
     low, size = word.lower(), len(word.encode())
     letters = [c for c in word if c.isalpha()]
     out = [f"suf{k}={low[-k:]}" for k in range(1, min(SUFFIX, len(low)) + 1)] + [f"pre{k}={low[:k]}" for k in range(1, min(PREFIX, len(low)) + 1)]
@@ -63,22 +68,36 @@ def features(words: list[str], i: int) -> list[str]:
         "all_upper=True": all(c.isupper() for c in letters) and any(c.isupper() for c in word),
         "all_lower=True": all(c.islower() for c in letters) and any(c.islower() for c in word),
         "has_digit=True": any("0" <= c <= "9" for c in word), "has_hyphen=True": "-" in word,
-        "is_digit=True": bool(word) and all("0" <= c <= "9" for c in word), "is_first=True": i == 0, "is_last=True": i == n - 1,
+        "is_digit=True": bool(word) and all("0" <= c <= "9" for c in word),
     }
     out += [name for name, there in flags.items() if there]
-    place = Decimal(str(i / (n - 1) * 100)).quantize(Decimal(1), ROUND_HALF_UP) / 100 if n > 1 else Decimal(0)
-    out.append(f"rel_pos={place:.2f}")
     if size == 1 and word in MARKS:
         out += ["is_punct=True", f"punct_type={word}"]
     out += [f"{name}=True" for name, pattern in _ENDINGS if pattern.search(low)]
     out += [f"bi={low[k : k + 2]}" for k in range(min(len(low), 11) - 1)] if len(low) >= 2 else []
-    at = lambda k: words[k] if 0 <= k < n else None
-    out += _context("prev", at(i - 1), "BOS") + _context("next", at(i + 1), "EOS") + _context("prev2", at(i - 2), "BOS") + _context("next2", at(i + 2), "EOS")
     if len(low) <= FORM:
         out.append(f"word_form={low}")
     elif len(low) <= LONG_FORM:
         out.append(f"word_form_ext={low}")
-    return out
+    return tuple(out)
+
+
+@lru_cache(100_000)
+def _place(i: int, n: int) -> tuple[str, ...]:
+    """The features of place i among n words."""
+    share = Decimal(str(i / (n - 1) * 100)).quantize(Decimal(1), ROUND_HALF_UP) / 100 if n > 1 else Decimal(0)
+    return (*["is_first=True"] * (i == 0), *["is_last=True"] * (i == n - 1), f"rel_pos={share:.2f}")
+
+
+#: Where the features of a context come from, and their name where the sentence ends first.
+SIDES = (("prev", -1, "BOS"), ("next", 1, "EOS"), ("prev2", -2, "BOS"), ("next2", 2, "EOS"))
+
+
+def features(words: list[str], i: int) -> list[str]:
+    """The features of word i in its sentence, repeated pairs included."""
+    n = len(words)
+    sides = [_context(side, words[i + step] if 0 <= i + step < n else None, edge) for side, step, edge in SIDES]
+    return [*_own(words[i]), *_place(i, n), *(f for side in sides for f in side)]
 
 
 def log_probabilities(model: TaggerModel, words: list[str]) -> np.ndarray:
@@ -119,6 +138,42 @@ def feature_rows(df: DataFrame, words: str = "words") -> DataFrame:
     return cells.select(*df.columns, "position", F.explode("_fs").alias("feature"))
 
 
+def feature_counts(df: DataFrame, words: str = "words") -> DataFrame:
+    """(feature, n): how often each feature occurs, as ``feature_rows`` would count it.
+
+    Features depend on one word or on a place alone. So words and places are counted
+    first, with the sides on which a word is another's context, and the features of
+    each distinct word are made once.
+    """
+    cells = df.select(F.size(words).alias("n"), F.posexplode(words).alias("i", "word"))
+    beside = {side: F.sum(((F.col("i") - step >= 0) & (F.col("i") - step < F.col("n"))).cast("long")).alias(side) for side, step, _ in SIDES}
+    each = cells.groupBy("word").agg(F.count("*").alias("own"), *beside.values())
+    places = cells.groupBy("i", "n").agg(F.count("*").alias("count"))
+
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: dict[str, int] = {}
+            for word, own, *counts in zip(*(c.to_pylist() for c in b.columns)):
+                for f in _own(word):
+                    out[f] = out.get(f, 0) + own
+                for (side, _, edge), count in zip(SIDES, counts):
+                    for f in _context(side, word, edge) if count else ():
+                        out[f] = out.get(f, 0) + count
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["feature", "n"])
+
+    def of_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: dict[str, int] = {}
+            for i, n, count in zip(*(c.to_pylist() for c in b.columns)):
+                edges = [f for side, step, edge in SIDES if not 0 <= i + step < n for f in _context(side, None, edge)]
+                for f in (*_place(i, n), *edges):
+                    out[f] = out.get(f, 0) + count
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["feature", "n"])
+
+    made = each.mapInArrow(of_words, "feature string, n long").unionByName(places.mapInArrow(of_places, "feature string, n long"))
+    return made.groupBy("feature").agg(F.sum("n").alias("n"))
+
+
 def train(sentences: DataFrame, *, words: str = "words", tags: str = "tags", least: int = 2, iterations: int = 50, regularisation: float = 1e-4) -> TaggerModel:
     """A multinomial logistic model over one-hot features, quantised to 8 bits.
 

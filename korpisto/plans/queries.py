@@ -363,4 +363,4 @@ def tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tagger_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "conversations").select(F.split("text", " ").alias("words"))
-    return tagger.feature_rows(texts).groupBy("feature").agg(F.count("*").alias("n"))
+    return tagger.feature_counts(texts)

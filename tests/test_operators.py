@@ -86,6 +86,32 @@ def test_readings():
     assert readings.items("[Ln") is None
 
 
+@pytest.mark.parametrize("output, sound", [
+    ("[Ln]koira[Bh][Ln]talo", True), ("[Ln]koira[Bh][Ln]auto", False), ("[Ln]koira-[Bh][Ln]auto", True), ("[Ln]koira-[Bh][Ln]talo", False),  # equal vowels need a hyphen, others refuse it
+    ("[Lu]5[Bh][Ln]vuotias", False), ("[Lu]5-[Bh][Ln]vuotias", True), ("[Ln]kis[Bh][Ln]talo", True), ("[Ln]kis-[Bh][Ln]talo", True), ("[Isf][Ln]koe-[Bh][Ln]talo", True),
+    ("[Ln]a[Icu]b[Bh][Ln]talo", False), ("[Ln]a[Icu]b[Bh][Ln]talo[Ica]", True), ("[Ln]a[Icu]b-[Bh][Ln]talo", True), ("[Ln]a[Icu]b[Bh][Ln]o[Bh][Ica][Ln]t", False),
+    ("[Lep]turku[Bh][Ln]talo", False), ("[Lep]turku-[Bh][Ln]talo", False), ("[Lep]turku[Dg]lainen", True), ("[Lep]turku[Bh][Ln]talo[Ica]", True), ("[Lep]turku[Bh][Dg][Ln]talo", True),
+])
+def test_hyphens_of_compounds(output, sound):
+    assert readings.valid(readings.items(output)) is sound
+
+
+@pytest.mark.parametrize("output, size, shape, base, bases", [
+    ("[Lep][Xp]Turku[X]turu[Sn][Ny]", 4, "=ippp", "Turku", "+Turku(Turku)"),
+    ("[La]eu[Bc]:n", 4, "=qq=:p", "eu:n", "+eu:n"),
+    ("[Ln][Xp]tie[X]tie[Bh][Ln][Xp]talo[X]talo", 7, "=ppppppp", "tietalo", "+tie(tie)+talo(talo)"),
+    ("[Ln]koira[Bc][Ln][Xp]talo[X]talo", 9, "=ppppp=pppp", "koiratalo", "+koira+talo(talo)"),
+    ("[Xr]=ipp-pp[X][Ln]ab-cd", 5, "==ipp-pp", "Ab-cd", "+ab-cd"),
+    ("[Lu][Xp]kaksi[X]kahde[Bc][Xp]sata[X]sada", 9, "=ppppp=pppp", "kaksisata", "+sata(sata)"),
+    ("", 0, "=", None, ""),
+])
+def test_structures_and_bases(output, size, shape, base, bases):
+    parts = readings.items(output)
+    assert readings.structure(parts, size, len(output)) == shape
+    assert readings.base_form(parts, shape) == base
+    assert readings.word_bases(parts)[0] == bases
+
+
 def test_context_rules_and_viterbi():
     noun, verb = {"CLASS": "nimisana"}, {"CLASS": "teonsana"}
     assert disambiguation.prune([[{"CLASS": "kieltosana", "BASEFORM": "ei"}], [noun, verb]])[1] == [verb]
@@ -98,6 +124,13 @@ def test_context_rules_and_viterbi():
     assert t.decode(["a", "b"], [[noun], []]) == [None, None]
 
 
+def test_feature_counts_are_those_of_all_rows(spark):
+    rows = [(["Koira", "juoksee", "."],), (["ei"],), ([],), (["Koira", "Koira", "3-osainen", "Koira", "!"],), (None,)]
+    frame = spark.createDataFrame(rows, "words array<string>")
+    want = {r.feature: r.n for r in tagger.feature_rows(frame).groupBy("feature").agg(F.count("*").alias("n")).collect()}
+    assert {r.feature: r.n for r in tagger.feature_counts(frame).collect()} == want
+
+
 def test_tagger(spark):
     rows = [(["koira", "juoksee"], ["NOUN", "VERB"]), (["kissa", "nukkuu"], ["NOUN", "VERB"]), (["talo", "seisoo"], ["NOUN", "VERB"])]
     frame = spark.createDataFrame(rows, "words array<string>, tags array<string>")
@@ -195,15 +228,6 @@ def test_sparse_scores():
     assert -4 < r.score({"CLASS": "nimisana", "BASEFORM": "talo"}) <= 0
 
 
-def test_suggestion_budget():
-    b = spelling.SuggestionBudget(2, 3)
-    b.add("a", 2), b.add("a", 1), b.add("b", 1), b.add("c", 1)
-    assert b.ordered() == ["b", "a"] and b.spent()
-    b = spelling.SuggestionBudget(2, 1)
-    b.charge()
-    assert not b.spent()
-
-
 def test_whole_evaluations(spark, tmp_path):
     from korpisto.operators.readings import READING
     from korpisto.plans import evaluation as whole
