@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import korpisto
 from korpisto.functions import hyphenation, morphology
-from korpisto.operators import compounds, disambiguation, grammar, readings, spelling, tagger, tokens
+from korpisto.operators import compounds, disambiguation, evaluation, grammar, readings, spelling, tagger, tokens
 from korpisto.session import ship
 from korpisto.sources.codecs import TaggerModel
 from korpisto.sources.text_assets import read_words
@@ -85,9 +85,26 @@ class Engine:
             def extra(ws: list[str]) -> list[dict[str, float]]:
                 return [dict(zip(model.classes, row)) for row in tagger.log_probabilities(model, ws).tolist()]
 
-        return disambiguation.tag(df, self.analyze, text, name, disambiguation.Tagger(rules=self.rules, extra=extra, oov=oov))
+        return disambiguation.tag(df, readings.analyzer(self._need()), text, name, disambiguation.Tagger(rules=self.rules, extra=extra, oov=oov))
 
-    disambiguate_sentence = analyze_sentence
+    def disambiguate_sentence(self, df: DataFrame, text: str = "text", name: str = "tokens", *, oov: str = "null_all") -> DataFrame:
+        """All tokens of each text but white space: (text, type, upos, baseform, reading); other tokens than words have no reading."""
+        known = self.analyze_sentence(df.withColumn("_tokens", tokens.token_texts(F.coalesce(F.col(text), F.lit("")))), text, "_best", oov=oov)
+        typed = F.transform("_tokens", lambda t: F.struct(t.alias("text"), tokens.token_type(t).alias("type")))
+        typed = F.filter(typed, lambda t: t["type"] != "WHITESPACE")
+        empty = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<text:string,type:string,at:int>>").alias("out"))
+
+        def number(s: Column, t: Column) -> Column:
+            word = t["type"] == "WORD"
+            return F.struct((s.n + word.cast("int")).alias("n"), F.array_append(s.out, F.struct(t["text"].alias("text"), t["type"].alias("type"), F.when(word, s.n).alias("at"))).alias("out"))
+
+        def cell(t: Column) -> Column:
+            best = F.get("_best", t["at"])
+            upos = F.when(t["type"] == "PUNCTUATION", "PUNCT").when(best.isNotNull(), evaluation.upos_of_reading(best, t["text"]))
+            return F.struct(t["text"].alias("text"), t["type"].alias("type"), upos.alias("upos"), F.when(t["type"] == "WORD", F.coalesce(best["BASEFORM"], t["text"])).alias("baseform"), best.alias("reading"))
+
+        numbered = known.withColumn("_numbered", F.aggregate(typed, empty, number, lambda s: s.out))
+        return numbered.withColumn(name, F.transform("_numbered", cell)).drop("_tokens", "_best", "_numbered", "words")
 
     # --------------------------------------------------------------- spelling
     def _lexicon(self) -> DataFrame:
@@ -96,12 +113,28 @@ class Engine:
         return self.words
 
     def spell_check(self, df: DataFrame, word: str = "word", name: str = "verdict") -> DataFrame:
-        splits = compounds.compound_split(df.select(F.col(word).alias("word")), self._lexicon(), rebuild=False)
+        """Only what neither the word list nor the user's words hold is split into compound parts."""
+        known = self._lexicon().select("word") if self.user is None else self._lexicon().select("word").union(self.user.select("word"))
+        unknown = df.select(F.col(word).alias("word")).distinct().join(known.distinct(), "word", "left_anti")
+        splits = compounds.compound_split(unknown, self._lexicon(), rebuild=False)
         marks = splits.select("word", F.coalesce(compounds.is_compound(F.col("splits")), F.lit(False)).alias("is_compound")).distinct()
         return spelling.check(df, self._lexicon(), self.user, marks, word, name)
 
     def suggest(self, df: DataFrame, word: str = "word", k: int = 1, n: int = 10) -> DataFrame:
-        return spelling.suggest_escalating(df, self._lexicon(), k, n, word)
+        """Near words of the word list for words that the dictionary, where one is loaded, doesn't know; without a word list edit candidates that it knows."""
+        if self.words is None:
+            found = spelling.edit_candidates(self._unknown(df, word), k, word)
+            known = found.select("candidate").distinct().where(readings.is_valid_word(self.analyze(F.col("candidate"))))
+            return spelling.suggest_by_edits(self._unknown(df, word), known.withColumnRenamed("candidate", "word"), k, n, word)
+        return spelling.suggest_escalating(df if self.dictionary is None else self._unknown(df, word), self._lexicon(), k, n, word)
+
+    def _unknown(self, df: DataFrame, word: str) -> DataFrame:
+        """The distinct words without a reading."""
+        return df.select(word).distinct().where(~readings.is_valid_word(self.analyze(F.col(word))))
+
+    def suggest_ranked(self, df: DataFrame, frequencies: DataFrame, word: str = "word", k: int = 2, n: int = 5) -> DataFrame:
+        """Near words of the word list by distance and frequency; ``frequencies`` has word and count."""
+        return spelling.suggest_ranked(df, self._lexicon(), k, n, frequencies=frequencies, word=word)
 
     def suggest_with_context(self, df: DataFrame, word: str = "word", previous_class: str = "prev_class", k: int = 1, n: int = 5) -> DataFrame:
         """Edit candidates that the dictionary knows, by distance and the bigram with the class before."""
@@ -115,11 +148,14 @@ class Engine:
     def compound_split(self, df: DataFrame, word: str = "word", name: str = "splits") -> DataFrame:
         return compounds.compound_split(df, self._lexicon(), word, name, rebuild=False)
 
-    # -------------------------------------------------- without any asset
-    @staticmethod
-    def grammar_check(df: DataFrame, text: str = "text", name: str = "findings", **options) -> DataFrame:
-        return grammar.grammar_check(df, text, name, **options)
+    def grammar_check(self, df: DataFrame, text: str = "text", name: str = "findings", **options) -> DataFrame:
+        """Findings of all rules; with a dictionary the words are analysed and decoded first, without one the surface rules remain."""
+        if self.dictionary is None or "readings" in options:
+            return grammar.grammar_check(df, text, name, **options)
+        tagged = self.analyze_sentence(df, text, "_best", oov="fallback")
+        return grammar.grammar_check(tagged, text, name, readings="_best", **options).drop("_best", "words")
 
+    # -------------------------------------------------- without any asset
     @staticmethod
     def hyphenate(word: Column) -> Column:
         return hyphenation.hyphenate(word)

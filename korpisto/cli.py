@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from korpisto.api import Engine
 from korpisto.operators import evaluation
+from korpisto.plans.evaluation import evaluate_end_to_end, evaluate_gold
 from korpisto.sources.text_assets import read_conllu
 
 
@@ -29,7 +30,10 @@ def main(args: list[str] | None = None) -> int:
             s.add_argument("--verb", action="store_true")
     c.add_parser("info")
     c.add_parser("benchmark").add_argument("texts", help="a Parquet table with a column text")
-    c.add_parser("eval").add_argument("treebank")
+    e = c.add_parser("eval")
+    e.add_argument("treebank")
+    e.add_argument("--json", action="store_true")
+    e.add_argument("--end-to-end", action="store_true")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("korpisto").getOrCreate()
     engine = Engine(spark)
@@ -41,16 +45,17 @@ def main(args: list[str] | None = None) -> int:
         return 0
     if a.command == "benchmark":
         df = spark.read.parquet(a.texts)
+        done = engine.analyze_sentence(df).select(F.size("tags").alias("n")) if engine.dictionary else engine.tokenize(df).select(F.size("tokens").alias("n"))
         start = time.time()
-        n = engine.tokenize(df).select(F.sum(F.size("tokens"))).first()[0]
-        print(json.dumps({"tokens": n, "seconds": round(time.time() - start, 3)}))
+        n = done.select(F.sum("n")).first()[0] or 0
+        took = time.time() - start
+        print(json.dumps({"tokens": n, "seconds": round(took, 3), "tokens_a_second": round(n / took)}))
         return 0
     if a.command == "eval":
-        gold = read_conllu(spark, a.treebank).where("upos not in ('PUNCT', 'SYM')")
-        known = gold.withColumn("r", F.get(engine.analyze(F.col("form")), 0))
-        results = known.select(F.col("upos").alias("gold_upos"), F.col("lemma").alias("gold_lemma"), evaluation.upos_of_reading(F.col("r"), F.col("form")).alias("pred_upos"), F.coalesce("r.BASEFORM", F.lit("")).alias("pred_lemma"))
-        for part in (evaluation.summary(results), evaluation.per_tag(results).orderBy("tag"), evaluation.confusions(results, 15)):
-            print("\n".join(r[0] for r in part.select(F.to_json(F.struct("*"))).collect()))
+        gold = read_conllu(spark, a.treebank)
+        results = (evaluate_end_to_end if a.end_to_end else evaluate_gold)(gold, engine.analyze, **({} if a.end_to_end else {"model": engine.model}))
+        for r in (evaluation.report_json(results) if a.json else evaluation.report(results)).collect():
+            print(r[0])
         return 0
     words = spark.createDataFrame([(t,) for t in a.text], "word string")
     texts = words.withColumnRenamed("word", "text")

@@ -122,3 +122,22 @@ def align_greedy(predicted: Column, gold: Column) -> Column:
 
     taken = F.aggregate(predicted, start, step, lambda s: s.out)
     return F.transform(gold, lambda g, i: F.get(taken, i))
+
+
+# ---------------------------------------------------------------------- reports
+def report(results: DataFrame, most: int = 15) -> DataFrame:
+    """(line): accuracies, metrics by tag and the ``most`` frequent confusions as lines of text, in order."""
+    share = lambda c: F.format_number(F.coalesce(F.col(c), F.lit(0.0)) * 100, 2)
+    head = summary(results).select(F.lit(0).alias("part"), F.lit("").alias("key"), F.concat(F.lit("UPOS accuracy "), share("upos_accuracy"), F.lit(" % of "), F.col("total").cast("string")).alias("line"))
+    tags = per_tag(results).select(F.lit(1).alias("part"), F.col("tag").alias("key"), F.concat_ws("\t", "tag", share("precision"), share("recall"), share("f1"), F.col("support").cast("string")).alias("line"))
+    wrong = confusions(results, most).select(F.lit(2).alias("part"), F.lpad((F.lit(10**12) - F.col("count")).cast("string"), 13, "0").alias("key"), F.concat_ws("\t", "gold_upos", "pred_upos", F.col("count").cast("string")).alias("line"))
+    return head.union(tags).union(wrong).orderBy("part", "key", "line").select("line")
+
+
+def report_json(results: DataFrame, most: int = 15) -> DataFrame:
+    """(json): the same as one JSON object."""
+    objects = [summary(results).select(F.struct("*").alias("summary")), per_tag(results).agg(F.array_sort(F.collect_list(F.struct("*"))).alias("tags")), confusions(results, most).agg(F.array_sort(F.collect_list(F.struct("*"))).alias("confusions"))]
+    whole = objects[0].withColumn("one", F.lit(1))
+    for o in objects[1:]:  # one row each
+        whole = whole.join(o.withColumn("one", F.lit(1)), "one")
+    return whole.select(F.to_json(F.struct("summary", "tags", "confusions")).alias("json"))

@@ -68,6 +68,44 @@ def case_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(table(spark, sf_dir, "documents")).groupBy(chars.case_type(F.col("word")).alias("case_type")).agg(F.count("*").alias("n"))
 
 
+_WORDS_OF = "(select distinct word from ({}) where word <> '')"
+
+
+@query(f"select word, cast(length(regexp_replace(lower(word), '[^aeiouyäö]', '', 'g')) as bigint) as vowels from {_WORDS_OF.format(SQL_WORDS.format('documents'))}")
+def vowel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    distinct = words(table(spark, sf_dir, "documents")).distinct()
+    return distinct.select("word", F.size(F.filter(F.split("word", ""), chars.is_vowel)).cast("long").alias("vowels"))
+
+
+@query(f"""
+with w as (select word, replace(word, 'ß', 'S') as u from {_WORDS_OF.format(SQL_WORDS.format('documents'))})
+select word, lower(word) as all_lower, upper(u) as all_upper, upper(substr(u, 1, 1)) || lower(substr(word, 2)) as first_upper, word as complex from w""")
+def changed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    distinct = words(table(spark, sf_dir, "documents")).distinct()
+    return distinct.select("word", *[chars.set_case(F.col("word"), F.lit(c)).alias(c.lower()) for c in ("ALL_LOWER", "ALL_UPPER", "FIRST_UPPER", "COMPLEX")])
+
+
+@query(f"""
+with w as (select word, substr(word, 1, 20) as s from {_WORDS_OF.format(SQL_WORDS.format('documents'))}),
+c as (select word, unnest(range(1, length(s) + 1)) as i, regexp_replace(regexp_replace(regexp_replace(s, '\\p{{Lu}}', 'X', 'g'), '\\p{{Ll}}', 'x', 'g'), '[0-9]', 'd', 'g') as m from w),
+d as (select word, i, substr(m, i, 1) as c, case when i > 1 then substr(m, i - 1, 1) else '' end as p from c)
+select word, string_agg(c, '' order by i) as shape from d where c <> p group by word""")
+def word_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    distinct = words(table(spark, sf_dir, "documents")).distinct()
+    return distinct.select("word", chars.compressed_shape(F.col("word")).alias("shape"))
+
+
+@query(f"""
+with w as (select doc_id, unnest(string_split_regex(text, ' |\n')) as word, generate_subscripts(string_split_regex(text, ' |\n'), 1) as i from documents),
+p as (select doc_id, word, lag(word) over (partition by doc_id order by i) as previous from w)
+select doc_id, count(*) filter (lower(word) = lower(previous)) as same, count(*) filter (word = previous) as equal from p group by doc_id""")
+def repeated_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w") - 1).alias("b"))
+    split = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split("text", " |\n").alias("w"))
+    count = lambda f: F.size(F.filter("pairs", f)).cast("long")
+    return split.withColumn("pairs", pairs).select("doc_id", count(lambda z: chars.equals_ignore_case(z.a, z.b)).alias("same"), count(lambda z: z.a == z.b).alias("equal"))
+
+
 @query()
 def token_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = tokens.explode_tokens(table(spark, sf_dir, "documents").select("lang", "text"))
@@ -282,6 +320,36 @@ def edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.edit_candidates(_misspelled(spark, sf_dir), 1).groupBy("query").agg(F.count("*").alias("n"))
 
 
+_NEAR = f"(select q.word as query, l.word as candidate, levenshtein(q.word, l.word) as d from {_MISSPELLED} q join {LEXICON_SQL} l on abs(strlen(q.word) - strlen(l.word)) <= 2 and levenshtein(q.word, l.word) <= 2)"
+
+
+@query(f"""
+with f as (select word, count(*) as n from ({SQL_WORDS.format('documents')}) where word <> '' group by 1)
+select query, candidate, cast(rank as bigint) as rank from (select query, candidate, row_number() over (partition by query order by d, n desc, encode(candidate)) as rank from {_NEAR} p join f on f.word = p.candidate) where rank <= 5""")
+def frequent_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = words(table(spark, sf_dir, "documents")).groupBy("word").count()
+    return spelling.suggest_ranked(_misspelled(spark, sf_dir), lexicon(spark, sf_dir), 2, 5, frequencies=counts).select("query", "candidate", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""
+with p as (select * from {_NEAR} where query not in (select word from {LEXICON_SQL})), l as (select query, greatest(min(d), 1) as level from p group by 1)
+select query, candidate, cast(rank as bigint) as rank from (select query, candidate, row_number() over (partition by query order by d, encode(candidate)) as rank from p join l using (query) where d <= level) where rank <= 10""")
+def nearest_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Within one edit, or where there is nothing within two."""
+    return spelling.suggest_escalating(_misspelled(spark, sf_dir), lexicon(spark, sf_dir), 1, 10).select("query", "candidate", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""
+with m as (select word as candidate from {LEXICON_SQL} where length(word) % 2 = 0), u as (select word as candidate from {LEXICON_SQL} where length(word) = 5),
+v as (select p.*, 0 as own from {_NEAR} p where candidate in (select candidate from m union all select candidate from u))
+select query, candidate, cast(rank as bigint) as rank from (select query, candidate, row_number() over (partition by query order by d, encode(candidate)) as rank from v) where rank <= 10""")
+def valid_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words that a list of valid words or the user's words hold: here those of even length, or of five letters."""
+    lex = lexicon(spark, sf_dir)
+    found = spelling.suggest(_misspelled(spark, sf_dir), lex, 2, 10, valid=lex.where("length(word) % 2 = 0"), user=lex.where("length(word) = 5"))
+    return found.select("query", "candidate", F.col("rank").cast("long").alias("rank"))
+
+
 def _all_misspelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(table(spark, sf_dir, "benchmark")).select(F.expr("concat(substring(word, 1, 2), substring(word, 4))").alias("word")).distinct()
 
@@ -360,6 +428,48 @@ def tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("conv_id", "turn", "text", F.array_join(F.transform("tags", lambda r: F.coalesce(r.CLASS, F.lit("-"))), " ").alias("classes"))
 
 
+_CELLS = "(select lower(word) as w, word, strlen(word) as bytes from (select unnest(string_split(text, ' ')) as word from conversations))"
+
+
+@query(f"""
+with c as {_CELLS}, f as (
+select 'suf' || k || '=' || substr(w, length(w) - k + 1) as feature from (select w, unnest(range(1, least(8, length(w)) + 1)) as k from c)
+union all select 'pre' || k || '=' || substr(w, 1, k) from (select w, unnest(range(1, least(5, length(w)) + 1)) as k from c)
+union all select 'bi=' || substr(w, k, 2) from (select w, unnest(range(1, least(length(w), 11))) as k from c)
+union all select 'len=' || least(bytes, 20) from c
+union all select 'word_form=' || w from c where length(w) <= 6
+union all select 'word_form_ext=' || w from c where length(w) between 7 and 8
+union all select 'has_hyphen=True' from c where contains(word, '-')
+union all select 'has_digit=True' from c where regexp_matches(word, '[0-9]')
+union all select 'fi_case_iness=True' from c where regexp_matches(w, 'ss[aä]$') union all select 'fi_adv_sti=True' from c where w like '%sti'
+union all select 'fi_comp=True' from c where w like '%mpi' union all select 'fi_vend_en=True' from c where w like '%en')
+select feature, count(*) as n from f group by 1""")
+def tagger_word_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of words that plain SQL can state."""
+    kinds = "^((suf|pre)[0-9]|bi|len|word_form|word_form_ext)=|^(has_hyphen|has_digit|fi_case_iness|fi_adv_sti|fi_comp|fi_vend_en)=True$"
+    return tagger_features(spark, sf_dir).where(F.col("feature").rlike(kinds))
+
+
+@query("""
+with s as (select string_split(text, ' ') as w from conversations), c as (select unnest(w) as word, generate_subscripts(w, 1) as i, len(w) as n, w from s),
+x as (select w[i - 1] as p, w[i + 1] as q, w[i - 2] as p2, w[i + 2] as q2, i, n from c),
+f as (
+select case when i = 1 then 'prev_BOS=True' end as feature from x union all select case when i = n then 'next_EOS=True' end from x
+union all select case when i <= 2 then 'prev2_BOS=True' end from x union all select case when i >= n - 1 then 'next2_EOS=True' end from x
+union all select case when i = 1 then 'is_first=True' end from x union all select case when i = n then 'is_last=True' end from x
+union all select case when i > 1 and length(p) >= 3 then 'prev_suf3=' || lower(substr(p, length(p) - 2)) end from x
+union all select case when i < n and length(q) >= 3 then 'next_suf3=' || lower(substr(q, length(q) - 2)) end from x
+union all select case when i > 2 and length(p2) >= 3 then 'prev2_suf3=' || lower(substr(p2, length(p2) - 2)) end from x
+union all select case when i < n - 1 and length(q2) >= 3 then 'next2_suf3=' || lower(substr(q2, length(q2) - 2)) end from x
+union all select case when i > 1 and length(p) <= 4 then 'prev_form=' || lower(p) end from x
+union all select case when i < n and length(q) <= 4 then 'next_form=' || lower(q) end from x)
+select feature, count(*) as n from f where feature is not null group by 1""")
+def tagger_context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of neighbours and of a sentence's ends that plain SQL can state."""
+    kinds = "^(prev|next)2?_suf3=|^(prev|next)_form=|^(prev2?_BOS|next2?_EOS|is_first|is_last)=True$"
+    return tagger_features(spark, sf_dir).where(F.col("feature").rlike(kinds))
+
+
 @query()
 def tagger_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "conversations").select(F.split("text", " ").alias("words"))

@@ -202,6 +202,38 @@ def test_engine_and_stream(spark, tmp_path):
     assert {r.word: r["count"] for r in spark.sql("select * from counts").collect()} == {"koira": 2, "ja": 1}
 
 
+def test_engine_with_dictionary(spark, tmp_path):
+    (tmp_path / "d.vfst").write_bytes(toy())
+    e = Engine(spark).load(str(tmp_path / "d.vfst"))
+    texts = spark.createDataFrame([("Kissa, xyz kissa kissa.",), (None,)], "text string")
+    rows = {r.text: r.tokens for r in e.disambiguate_sentence(texts, oov="fallback").collect()}
+    assert [(t.text, t.type, t.upos) for t in rows["Kissa, xyz kissa kissa."]][1::4] == [(",", "PUNCTUATION", "PUNCT"), (".", "PUNCTUATION", "PUNCT")]
+    assert [t.text for t in rows["Kissa, xyz kissa kissa."]] == ["Kissa", ",", "xyz", "kissa", "kissa", "."] and rows[None] == []
+    assert all(t.reading is not None and t.baseform for t in rows["Kissa, xyz kissa kissa."] if t.type == "WORD")
+    found = {r.text: [f.code for f in r.findings] for r in e.grammar_check(texts).collect()}
+    assert "REPEATED_WORD" in found["Kissa, xyz kissa kissa."] and found[None] == []
+    assert {r.candidate for r in e.suggest(spark.createDataFrame([("kisa",), ("kissa",)], "word string")).collect()} == {"kissa"}
+
+
+def test_treebanks_with_either_line_end(spark, tmp_path):
+    path = tmp_path / "crlf.conllu"
+    path.write_bytes(TREEBANK.replace("\n", "\r\n").encode())
+    plain = tmp_path / "lf.conllu"
+    plain.write_text(TREEBANK)
+    a, b = (text_assets.read_conllu(spark, str(x)) for x in (path, plain))
+    assert a.select("sentence").distinct().count() == b.select("sentence").distinct().count()
+    rows = [[tuple(r)[1:] for r in x.orderBy("sentence", "id").collect()] for x in (a, b)]
+    assert rows[0] == rows[1]
+
+
+def test_reports(spark):
+    rows = [("NOUN", "NOUN", "a", "a"), ("VERB", "NOUN", "c", "c"), ("VERB", "NOUN", "c", "c")]
+    results = spark.createDataFrame(rows, "gold_upos string, pred_upos string, gold_lemma string, pred_lemma string")
+    lines = [r.line for r in evaluation.report(results).collect()]
+    assert lines[0] == "UPOS accuracy 33.33 % of 3" and lines[-1] == "VERB\tNOUN\t2" and len(lines) == 4
+    assert '"total":3' in evaluation.report_json(results).first().json
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
