@@ -15,7 +15,7 @@ and the models keep all that occur ``least`` times, so they grow with the corpus
 Counts come from all documents. Texts meet the ids of targets and of held-out texts
 in a shuffle join: every target counts as one, held-out texts in neither model, all
 others are background. The marked texts are written once, in chunks of about
-``chunk`` bytes. A chunk sends its distinct words and bigrams, as sorted 64-bit hashes
+``chunk`` bytes. A chunk sends its distinct words and bigrams, as sorted 56-bit hashes
 with their counts, to the parts of the models that their first bits name; there
 are as many parts as the corpus needs. A part adds the counts up and sends each chunk
 what the models hold of its own keys, which meets the chunk's texts again. So keys
@@ -46,18 +46,23 @@ from korpisto.llm.common import BYTE_CODE, U64, coded, decoded, free_shuffles, m
 PRIOR = 0.5
 TARGET, HELD_OUT = 1, 2
 ALL, START = 0, 2  # keys of all words together and of a text's start; the lowest bit of a key says bigram
+BITS = 56  # of a key
 _ODD = U64(0x9FB21C651E98DF25)
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word before, word, bigram, text) of every word, all but the last as hashes."""
+    """(word before, word, bigram, text) of every word, all but the last as keys."""
     starts, ends, text = words_of(data, offsets)
     word = spans(prefix(BYTE_CODE[data]), starts, ends)
     first = np.ones(len(text), bool)
     first[1:] = text[1:] != text[:-1]
-    word &= ~U64(1)
+    word = _key(word)
     before = np.where(first, U64(START), np.roll(word, 1))
-    return before.view(np.int64), word.view(np.int64), (mix(before * _ODD + word) | U64(1)).view(np.int64), text
+    return before, word, _key(mix(before * _ODD + word)) | U64(1), text
+
+
+def _key(h: np.ndarray) -> np.ndarray:
+    return (h >> U64(65 - BITS)) << U64(1)
 
 
 def marked(base: DataFrame, target_ids: DataFrame, held_out_ids: DataFrame | None) -> DataFrame:
@@ -97,6 +102,15 @@ def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.
             yield int(chunk[lo]), [np.concatenate(x) for x in zip(*found)]
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return pa.compress(counts.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: list[bytes], sizes: list[int], kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(pa.decompress(x, n * width, "zstd", asbytes=True) for x, n in zip(data, sizes)), kind)
+
+
 KEYS = "part int, chunk long, keys binary, t binary, b binary"
 FOUND = "chunk long, keys binary, t binary, b binary, total_t long, total_b long, known_t long, known_b long, known_n long"
 
@@ -108,13 +122,13 @@ def _count(bits: int):
         for chunk, (before, word, gram, mark) in _by_chunk(batches):
             starts = before == START
             marks = np.concatenate([mark, mark, mark[starts], mark])
-            key, place = np.unique(np.concatenate([word, gram, before[starts], np.zeros_like(word)]).view(U64), return_inverse=True)
+            key, place = np.unique(np.concatenate([word, gram, before[starts], np.zeros_like(word)]), return_inverse=True)
             t, b = (np.bincount(place, marks == m, minlength=len(key)).astype("<i4") for m in (TARGET, 0))
-            part = (key >> U64(64 - bits)).astype(np.int32)
+            part = (key >> U64(BITS - bits)).astype(np.int32)
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)] if len(part) else []
             spans_ = list(zip(cuts, cuts[1:]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part[cuts[:-1]]), pa.array(np.full(len(spans_), chunk)), pa.array([coded(key[i:j]) for i, j in spans_], pa.binary()), *(pa.array([x[i:j].tobytes() for i, j in spans_], pa.binary()) for x in (t, b))],
+                [pa.array(part[cuts[:-1]]), pa.array(np.full(len(spans_), chunk)), pa.array([coded(key[i:j]) for i, j in spans_], pa.binary()), *(pa.array([_packed(x[i:j]) for i, j in spans_], pa.binary()) for x in (t, b))],
                 names=["part", "chunk", "keys", "t", "b"],
             )
 
@@ -127,7 +141,7 @@ def _add(least: int):
     def merge(rows: pa.Table) -> pa.Table:
         chunks, lists = rows["chunk"].to_numpy(), [decoded(x) for x in rows["keys"].to_pylist()]
         key, place = np.unique(np.concatenate(lists), return_inverse=True)
-        t, b = (np.bincount(place, np.frombuffer(b"".join(rows[c].to_pylist()), "<i4"), minlength=len(key)).astype("<i8") for c in "tb")
+        t, b = (np.bincount(place, _unpacked(rows[c].to_pylist(), list(map(len, lists)), "<i4"), minlength=len(key)).astype("<i8") for c in "tb")
         special = (key == ALL) | (key == START)
         kept = (t + b >= least) | (key == START)
         kept[key == ALL] = False
@@ -135,7 +149,7 @@ def _add(least: int):
         ends = np.cumsum([len(x) for x in lists])
         places = [p[kept[p]] for p in np.split(place, ends[:-1])]
         sums = [int(x[key == ALL].sum()) for x in (t, b)] + [int(x[known].sum()) for x in (t, b)] + [int(known.sum())]
-        columns = [[*chunks.tolist(), None], [*(coded(key[p]) for p in places), None], *([*(x[p].tobytes() for p in places), None] for x in (t, b)), *([*[None] * len(places), x] for x in sums)]
+        columns = [[*chunks.tolist(), None], [*(coded(key[p]) for p in places), None], *([*(_packed(x[p]) for p in places), None] for x in (t, b)), *([*[None] * len(places), x] for x in sums)]
         return pa.table([pa.array(x, pa.int64() if k not in (1, 2, 3) else pa.binary()) for k, x in enumerate(columns)], names=[c.split()[0] for c in FOUND.split(", ")])
 
     return merge
@@ -181,10 +195,9 @@ def _score(sizes: tuple[Size, Size], columns: str):
         lists = [decoded(x) for x in model["keys"].to_pylist()]
         keys, order = np.unique(np.concatenate([np.zeros(0, U64), *lists]), return_index=True)
         keys = np.concatenate([keys, [U64(0)]])  # not empty; no word or bigram is asked for by the last
-        counts = [np.append(np.frombuffer(b"".join(model[c].to_pylist()), "<i8")[order], 0).astype(np.float64) for c in columns]
+        counts = [np.append(_unpacked(model[c].to_pylist(), list(map(len, lists)), "<i8")[order], 0).astype(np.float64) for c in columns]
 
         def place(h: np.ndarray) -> np.ndarray:
-            h = h.view(U64)
             at = np.minimum(np.searchsorted(keys[:-1], h), len(keys) - 1)
             return np.where(keys[at] == h, at, -1)
 
