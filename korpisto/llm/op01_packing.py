@@ -11,13 +11,16 @@ Ranks are made without gathering a length in one task: pieces are counted by
 (length, bucket of the id's hash), and a piece's rank is the sum of the buckets before
 its own plus its row number within its bucket.
 
-Null and empty texts are the end id alone. Rows that share an id are packed each
-on its own. An empty table gives no rows.
+Null and empty texts are the end id alone; very long texts are read whole and cut.
+Ids may be null or repeat: rows are packed each on its own, and buckets come from
+the piece's number, so rows that share an id don't share a bucket. An empty table
+gives no rows. Further columns are not read.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import zlib
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,15 +39,33 @@ from korpisto.llm.common import materialise, shuffle_partitions
 _encoders: dict[str, WordEncoder] = {}
 
 
+#: A pre-tokenizer's pattern whose tokens hold no white space, and part letters, digits and marks. Fixed value.
+PARTING = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _splits(definition: dict) -> bool:
+    """Whether a vocabulary parts words at white space and letters from marks, and folds case, by its own definition.
+
+    Composition and lower case look at no character beyond a space; added tokens
+    are matched before all else and must hold no space.
+    """
+    normal = definition["normalizer"] or {}
+    steps = normal.get("normalizers", [])
+    folds = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": "\\s+"} and steps[1]["content"] == " "
+    cuts = (definition["pre_tokenizer"] or {}).get("pretokenizers", [])
+    parts = [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": PARTING} and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
+    return folds and parts and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"] and not any(re.search(r"\s", x["content"]) or x["lstrip"] or x["rstrip"] or x["content"].isalpha() for x in definition["added_tokens"])
+
+
 class WordEncoder:
     """Token ids of texts, remembered by word and by the letters of a word.
 
-    Spaces and line feeds always end a token of the vocabulary used here, so a
-    text's ids are those of its space-separated parts. Letters and a run of
-    marks behind them are tokens of their own too and case is folded, so most
-    new words are known letters with other marks. Both are checked on a sample
-    when the vocabulary is loaded. Each memory holds up to ``keep`` entries of
-    recent use and as many older ones.
+    Where the vocabulary's own normaliser and pre-tokenizer say so (``_splits``),
+    spaces and line feeds always end a token, so a text's ids are those of its
+    space-separated parts; and letters and a run of marks behind them are tokens of
+    their own with case folded, so most new words are known letters with other
+    marks. Texts of any other vocabulary are encoded whole. Each memory holds up to
+    ``keep`` entries of recent use and as many older ones.
     """
 
     _CORE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
@@ -55,11 +77,8 @@ class WordEncoder:
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         self.words, self.old_words = {"": b""}, {}
         self.cores, self.old_cores = {"": b""}, {}
-        sample = ["Aa", "bÉ,", "c1", "D.$", "it's"]
-        whole = self._ids([" ".join(sample), "\n".join(sample)])
-        self.by_word = whole == [b"".join(self._ids(sample))] * 2
         self.model = self.tokenizer.model
-        self.by_core = self.by_word and self._ids(["bÉ,", "Aac"]) == [b"".join(self._ids(["bé", ","])), self._model_ids("aac")]
+        self.by_word = self.by_core = _splits(json.loads(self.tokenizer.to_str()))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -116,10 +135,11 @@ def encoder(path: str) -> WordEncoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of every piece."""
+    """doc_id, start, length, ids_crc32, doc_tokens and a number of every piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), array("I", [end_id]).tobytes()
+        serial = TaskContext.get().partitionId() << 40
         for b in batches:
             rows: list[tuple] = []
             for doc, ids in zip(b.column(0).to_pylist(), encode(pc.fill_null(b.column(1), "").to_pylist())):
@@ -128,11 +148,13 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, id_col: str,
                 for start in range(0, n, size):
                     part = ids[4 * start : 4 * (start + size)]
                     rows.append((doc, start, len(part) // 4, zlib.crc32(part), n))
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], names=names)
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "serial"]
+            numbers = pa.array(np.arange(serial, serial + len(rows)))
+            serial += len(rows)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)), numbers], names=names)
 
     source = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return source.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return source.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, serial long")
 
 
 def patterns(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -204,13 +226,13 @@ def pack(
     spark = docs.sparkSession
     parts = materialise(pieces(docs, tokenizer, size, end_id, id_col, text_col))
     buckets = max(8, 2 * shuffle_partitions(spark))
-    rest = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
+    rest = parts.withColumn("bucket", F.pmod(F.xxhash64("serial"), F.lit(buckets)).cast("int"))
     counts = rest.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = materialise(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))))
     histogram = {r.length: r.n for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
     table = slots(patterns(histogram, size))
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
+    within = Window.partitionBy("length", "bucket").orderBy("serial")
     ranked = (
         rest.withColumn("row", F.row_number().over(within) - 1)
         .join(bases.select("length", "bucket", "base").hint("merge"), ["length", "bucket"])  # grows with the buckets

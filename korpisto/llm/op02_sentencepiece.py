@@ -14,8 +14,11 @@ lattice whose arcs carry tropical weights; the ids are its shortest path.
 
 No piece continues over a space, so the path of a text is the paths of its
 space-led segments in a row; each worker remembers those of up to ``keep``
-recent segments and as many older ones. Null and empty texts have no ids. Rows that share an id are encoded
-each on its own.
+recent segments and as many older ones.
+
+Null and empty texts have no ids; very long texts are read whole. Ids may be null or
+repeat: rows are encoded each on its own. An empty table gives no rows. Further
+columns are not read.
 """
 
 from __future__ import annotations
@@ -144,7 +147,7 @@ class Transducer:
         self.apart = "\n" not in inner  # a line feed is then a segment of its own
         self.by_space = self.escape and not any(SPACE in p.lstrip(SPACE) for p in self.lexicon)
         self.allowed: dict[tuple[str, str], bool] = {}
-        self.beginnings = {p[:k] for p in self.lexicon for k in range(1, len(p))}
+        self.arcs, self.final = self._compiled()
         self.joined = {p[k : k + 2] for p in self.lexicon for k in range(len(p) - 1)}  # characters that stand together in a piece
         self.keep, self.known, self.older = keep, {}, {}
 
@@ -188,27 +191,47 @@ class Transducer:
                 self.allowed[left, right] = got
         return got
 
+    def _compiled(self) -> tuple[list[dict[str, int]], list[int]]:
+        """The lexicon's machine: the arcs of each state by character, and the piece that ends there or -1. State 0 starts."""
+        arcs: list[dict[str, int]] = [{}]
+        final = [-1]
+        for piece, i in self.lexicon.items():
+            state = 0
+            for c in piece:
+                following = arcs[state].get(c)
+                if following is None:
+                    following = arcs[state][c] = len(arcs)
+                    arcs.append({})
+                    final.append(-1)
+                state = following
+            final[state] = i
+        return arcs, final
+
     def shortest(self, text: str) -> list[str]:
         """The pieces and unknown characters on the shortest path through one stretch.
 
-        Arcs leave each position in order of length, as far as some piece begins
-        with the text read. In a BPE lattice a position has one finite path, so
-        the first one found is kept.
+        The stretch as a chain of characters is composed with the lexicon's machine,
+        which begins anew at each place that has a finite cost, and with byte
+        fallback's, one arc for a character that is no piece. Arcs leave a place in
+        order of length. In a BPE lattice a place has one finite path, so the first
+        one found is kept.
         """
-        n, lexicon, beginnings, scores = len(text), self.lexicon, self.beginnings, self.scores
-        infinite, bpe, allowed = float("inf"), self.bpe, self.allowed
+        n, arcs, final, scores = len(text), self.arcs, self.final, self.scores
+        infinite, bpe, allowed, root = float("inf"), self.bpe, self.allowed, self.arcs[0]
         cost = [0.0] + [infinite] * n
         piece: list[str] = [""] * (n + 1)
         for begin in range(n):
             last, so_far = piece[begin], cost[begin]
             if so_far == infinite:
                 continue
-            for end in range(begin + 1, n + 1):
-                arc = text[begin:end]
-                i = lexicon.get(arc)
-                if i is not None or end == begin + 1:
+            state, end = root.get(text[begin], -1), begin + 1
+            fallback = state < 0 or final[state] < 0
+            while fallback or state >= 0:
+                i = -1 if fallback else final[state]
+                if i >= 0 or fallback:
+                    arc = text[begin:end]
                     if not bpe:
-                        weight = so_far - (scores[i] if i is not None else self.worst)
+                        weight = so_far - (self.worst if fallback else scores[i])
                         if weight < cost[end]:
                             cost[end], piece[end] = weight, arc
                     elif cost[end] == infinite:
@@ -217,8 +240,10 @@ class Transducer:
                             fits = self.follows(last, arc)
                         if fits:
                             cost[end], piece[end] = 0.0, arc
-                if arc not in beginnings:
+                fallback = False
+                if state < 0 or end == n:
                     break
+                state, end = arcs[state].get(text[end], -1), end + 1
         if cost[n] == infinite:
             raise ValueError("no finite path: the model's pieces can't be reached by merges")
         out, at = [], n

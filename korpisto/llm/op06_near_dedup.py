@@ -342,8 +342,13 @@ def near_dedup(docs: DataFrame, *, size: int = 5, percent: int = 75, id_col: str
 
 
 def one_of_each(docs: DataFrame, *, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input without all but the first row of each component."""
+    """The input without all but the row of lowest id of each component; null ids come last."""
     packed = docs.select(F.col(id_col), F.col(text_col), F.struct(*docs.columns).alias("rest"))
-    base, _ = keyed(packed, id_col, text_col, "rest")
-    first = classes(base, size=size, percent=percent).where("key = component").select("key")
+    base, table = keyed(packed, id_col, text_col, "rest")
+    found = classes(base, size=size, percent=percent)
+    if table is None:  # the key is the id
+        first = found.where("key = component").select("key")
+    else:
+        ids = found.join(base.select("key", F.coalesce("id", F.lit((1 << 63) - 1)).alias("id")), "key")
+        first = ids.groupBy("component").agg(F.min(F.struct("id", "key")).alias("first")).select("first.key")
     return base.join(first, "key", "left_semi").select("rest.*")

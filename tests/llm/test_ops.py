@@ -130,6 +130,45 @@ def test_packing(spark, docs, empty):
     assert op1.pack(empty, path).count() == 0
 
 
+def test_packing_of_repeated_ids(spark, odd):
+    """Null and repeated ids: every row is packed whole, no two pieces overlap."""
+    ship(spark)
+    rows = op1.pack(odd, P.path("word_bpe_49k.json"), size=64).collect()
+    assert sum(r.start == 0 for r in rows) == 5 and sum(r.length for r in rows if r.doc_id == 1) == 2 * next(r.doc_tokens for r in rows if r.doc_id == 1)
+    places = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    assert all(a[0] != b[0] and b[1] == 0 or a[0] == b[0] and a[1] + a[2] == b[1] for a, b in zip(places, places[1:]))
+
+
+def test_words_are_parted_by_the_vocabulary_itself():
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    whole, fast = Tokenizer.from_file(path), op1.WordEncoder(path)
+    assert fast.by_word
+    rng, parts = np.random.default_rng(3), [*"aB  .,'\n\té中1-", "'s", "\u3000", "\u0301", "Σ", "İ", "ß", "<|endoftext|>", "\xa0", "don't"]
+    every = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(5000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in fast(every)] == [whole.encode(t, add_special_tokens=False).ids for t in every]
+    other = json.loads(whole.to_str())
+    other["pre_tokenizer"] = {"type": "Whitespace"}
+    assert not op1._splits(other)
+
+
+@pytest.mark.parametrize("run", [
+    lambda f: op2.encode_decode(f, P.path("piece_bpe_32k.model")), lambda f: op5.cross_entropy_difference(f, f.where("doc_id = 1").select("doc_id")),
+    lambda f: op8.detect(f), lambda f: op9.token_counts(f, P.path("piece_bpe_32k.model")), lambda f: op10.judge(f, f.selectExpr("doc_id", "1 as quality")),
+], ids=["op2", "op5", "op8", "op9", "op10"])
+def test_repeated_and_null_ids(spark, odd, run):
+    """A row a row, equal rows alike."""
+    ship(spark)
+    rows = run(odd).collect()
+    ids = collections.Counter(r.doc_id for r in rows)
+    assert ids == {None: 2, 1: 2, 2: 1}
+    one, two = (tuple(r) for r in rows if r.doc_id == 1)
+    assert one == two
+
+
 def test_patterns_hold_the_histogram():
     rng = np.random.default_rng(0)
     histogram = {int(k): int(n) for k, n in zip(rng.choice(np.arange(1, 101), 40, replace=False), rng.integers(1, 50, 40))}
@@ -597,6 +636,62 @@ def test_quality_verdicts_come_from_the_forest(spark):
     assert [r.kept for r in got if r.doc_id in (5000, 5001)] == [False, False]
 
 
+@pytest.fixture(scope="module")
+def stage_rows():
+    t = prose(120, 11)
+    near = t.split()
+    near[5] = "changed"
+    shared = prose(70, 30)
+    return [
+        (0, t, "a", "s", 9), (1, " ".join(near), "a", "s", 9), (2, t, None, "s", None), (3, None, "a", None, 0), (4, "", "a", "s", 0), (5, "few words", "a", "s", 9),
+        (6, prose(90, 31) + "\n" + shared + "\n" + prose(60, 32), "a", "s", 9), (7, shared + "\n" + prose(90, 33) + " mail a.b@c.org", "a", "s", 9), (8, prose(30_000, 34), "a", "s", 9),
+        (None, prose(50, 35), "a", "s", 9), (9, prose(60, 36), "a", "s", 9), (9, prose(60, 37), "a", "s", 9), (10, "### *** %%% " * 40, "a", "s", 9),
+    ]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_stages(spark, stage_rows, tmp_path):
+    """Every stage against the plain version of its operator, on nulls, empty, long and repeated rows, with columns that clash."""
+    import corpus_pipeline
+
+    schema = SCHEMA + ", kept boolean, key long, n_tokens string"
+    rows = [(*r, True, 7, "x") for r in stage_rows]
+    spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, frame: op1.materialise(stages[name](spark, frame, str(tmp_path)))
+
+    kept = run("quality rules", docs)
+    verdicts = {(r.doc_id, r.n_words): r.kept for r in op10.judge(docs, spark.read.parquet(str(tmp_path / "labels.parquet"))).collect()}
+    want = [r for r in rows if verdicts[r[0], len(WORD.findall(r[1] or ""))]]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in kept.collect()) and kept.columns == docs.columns
+    assert not {3, 4, 5, 10} & {r.doc_id for r in kept.collect()} and {6, 7, 8} <= {r.doc_id for r in kept.collect()}
+
+    single = run("near duplicates", docs)
+    got = collections.Counter(r.doc_id for r in single.collect())
+    assert single.columns == docs.columns and got == {0: 1, **{i: 1 for i in range(3, 9)}, None: 1, 9: 2, 10: 1}
+
+    cut = {(r.doc_id, r.n_chars): r for r in run("repeated passages", docs).collect()}
+    words = [(r[0] if r[0] is not None else 1 << 62, (r[1] or "").split()) for r in rows]
+    gone = {(order, len(w), k): sum(g) for k, ((order, w), g) in enumerate(zip(words, plain_windows(words, 50, True)))}
+    assert len(cut) == len({(r.doc_id, r.n_chars) for r in cut.values()}) and all(r.n_chars is None if r.text is None else r.n_chars == len(r.text) for r in cut.values())
+    left = collections.Counter((r.doc_id, len((r.text or "").split())) for r in run("repeated passages", docs).collect())
+    assert left == collections.Counter((rows[k][0], n - g) for (_, n, k), g in gone.items())
+
+    masked = {r.doc_id: r for r in run("personal data", docs).collect() if r.doc_id in (3, 4, 7)}
+    assert masked[3].text is None and masked[4].text == "" and masked[7].text.endswith("mail [EMAIL]") and masked[7].n_chars == len(masked[7].text)
+
+    packed = run("packing", docs).collect()
+    assert collections.Counter(r.doc_id for r in packed if r.start == 0) == collections.Counter(r[0] for r in rows)
+
+    nothing = spark.createDataFrame([], schema)
+    for name in stages:
+        out = run(name, nothing)
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns), name
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
