@@ -2,6 +2,12 @@
 
 Each stage gets what its predecessor kept, as written. All but the last return
 the columns of documents; ``n_chars`` follows the text where a stage changes it.
+
+Nulls may stand in any column. A null or empty text fails the quality rules; in the
+later stages it is no one's duplicate, loses nothing, and packs as its end id. Ids may
+be null or repeat: rows are judged, cut, masked and packed each by its own text.
+Very long texts are read whole. An empty table gives an empty table of the same
+columns. Further columns, whatever their names, pass through all stages but packing.
 """
 
 from __future__ import annotations
