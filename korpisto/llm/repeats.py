@@ -289,14 +289,20 @@ def _known(ids: np.ndarray, answers: list[dict], bits: int) -> np.ndarray:
     return out[place]
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Chunks one by one."""
+    for b in batches:
+        for k in range(len(b)):
+            yield b.slice(k, 1).to_pylist()[0]
+
+
 def _round_one(length: int, bits: int) -> Callable:
     wide = _widths(length)[1]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                ids, room = _first_round(row["data"], row["place"], length)
-                yield _send(row["chunk"], ids[room[: len(ids)] >= wide], bits)
+        for row in _rows(batches):
+            ids, room = _first_round(row["data"], row["place"], length)
+            yield _send(row["chunk"], ids[room[: len(ids)] >= wide], bits)
 
     return scan
 
@@ -319,9 +325,8 @@ def _survivors(row: dict, length: int, bits: int) -> tuple[np.ndarray, np.ndarra
 
 def _round_two(length: int, bits: int) -> Callable:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                yield _send(row["chunk"], _survivors(row, length, bits)[1], bits)
+        for row in _rows(batches):
+            yield _send(row["chunk"], _survivors(row, length, bits)[1], bits)
 
     return scan
 
@@ -330,18 +335,17 @@ def _decided(length: int, bits: int) -> Callable:
     """Runs of suffixes that are repeated: key, first, n."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                at, ids = _survivors(row, length, bits)
-                at = at[_known(ids, row["second_round"] or [], bits)]
-                at = at[np.frombuffer(row["state"], np.uint8)[at] == OPEN]
-                key, lo, hi = np.frombuffer(row["place"], "<i8").reshape(-1, 3).T
-                begin = np.cumsum(hi - lo) - (hi - lo)
-                piece = np.searchsorted(begin, at, "right") - 1
-                first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(piece) != 0)])) if len(at) else np.zeros(0, np.int64)
-                count = np.diff(np.append(first, len(at)))
-                piece = piece[first]
-                yield _batch(["key", "first", "n"], key[piece], (at[first] - begin[piece] + lo[piece]).astype(np.int32), count.astype(np.int32))
+        for row in _rows(batches):
+            at, ids = _survivors(row, length, bits)
+            at = at[_known(ids, row["second_round"] or [], bits)]
+            at = at[np.frombuffer(row["state"], np.uint8)[at] == OPEN]
+            key, lo, hi = np.frombuffer(row["place"], "<i8").reshape(-1, 3).T
+            begin = np.cumsum(hi - lo) - (hi - lo)
+            piece = np.searchsorted(begin, at, "right") - 1
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(piece) != 0)])) if len(at) else np.zeros(0, np.int64)
+            count = np.diff(np.append(first, len(at)))
+            piece = piece[first]
+            yield _batch(["key", "first", "n"], key[piece], (at[first] - begin[piece] + lo[piece]).astype(np.int32), count.astype(np.int32))
 
     return scan
 
@@ -349,7 +353,7 @@ def _decided(length: int, bits: int) -> Callable:
 def _repeated(needed: DataFrame, length: int, chunk_bytes: int) -> DataFrame:
     """(key, list of runs of suffixes) of what refinement finds repeated in open runs."""
     spark = needed.sparkSession
-    pieces = materialise(needed.mapInArrow(_pieces(length, chunk_bytes), PIECES))
+    pieces = materialise(needed.mapInArrow(_pieces(length, chunk_bytes), PIECES).repartition(shuffle_partitions(spark), "chunk"))
     volume = pieces.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     bits = max(4, (max(shuffle_partitions(spark), volume >> 22) - 1).bit_length())
     rounds = {"first_round": _round_one, "second_round": _round_two}
@@ -365,7 +369,7 @@ def _repeated(needed: DataFrame, length: int, chunk_bytes: int) -> DataFrame:
 
 
 # ------------------------------------------------------------------- whole search
-def rewrite(docs: DataFrame, length: int, gram: int, finish: Callable[[bytes, np.ndarray, np.ndarray], tuple], result: str, *, id_col: str, text_col: str, chunk_bytes: int = 1 << 23) -> DataFrame:
+def rewrite(docs: DataFrame, length: int, gram: int, finish: Callable[[bytes, np.ndarray, np.ndarray], tuple], result: str, *, id_col: str, text_col: str, chunk_bytes: int = 1 << 21) -> DataFrame:
     """``finish(text, first suffixes, counts)`` of every text, with its id.
 
     The repeated strings of a text start at ``count`` suffixes from each ``first``;
