@@ -128,6 +128,15 @@ class Engine:
             return spelling.suggest_by_edits(self._unknown(df, word), known.withColumnRenamed("candidate", "word"), k, n, word)
         return spelling.suggest_escalating(df if self.dictionary is None else self._unknown(df, word), self._lexicon(), k, n, word)
 
+    def spell_with_suggestions(self, df: DataFrame, word: str = "word", n: int = 10) -> DataFrame:
+        """The verdict of each word, with suggestions for those that fail: valid near words, or else any near words."""
+        checked = self.spell_check(df, word)
+        failed = checked.where("verdict not in ('Ok', 'CapitalizeFirst')").select(F.col(word).alias("word")).distinct()
+        valid = self._lexicon() if self.dictionary is None else self._lexicon().where(readings.is_valid_word(self.analyze(F.col("word"))))
+        found = spelling.suggest_or_guess(failed, self._lexicon(), valid, n)
+        listed = found.groupBy(F.col("query").alias(word)).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "candidate"))), lambda s: s["candidate"]).alias("suggestions"))
+        return checked.join(listed, word, "left")
+
     def _unknown(self, df: DataFrame, word: str) -> DataFrame:
         """The distinct words without a reading."""
         return df.select(word).distinct().where(~readings.is_valid_word(self.analyze(F.col(word))))

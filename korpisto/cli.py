@@ -60,7 +60,7 @@ def main(args: list[str] | None = None) -> int:
     words = spark.createDataFrame([(t,) for t in a.text], "word string")
     texts = words.withColumnRenamed("word", "text")
     out = {
-        "analyze": lambda: words.withColumn("readings", engine.analyze(F.col("word"))), "spell": lambda: engine.spell_check(words), "compound": lambda: engine.compound_split(words),
+        "analyze": lambda: words.withColumn("readings", engine.analyze(F.col("word"))), "spell": lambda: engine.spell_with_suggestions(words), "compound": lambda: engine.compound_split(words),
         "sentence": lambda: engine.analyze_sentence(texts), "grammar": lambda: engine.grammar_check(texts), "hyphenate": lambda: words.withColumn("hyphenated", engine.hyphenate(F.col("word"))),
         "hyphenate-text": lambda: texts.withColumn("hyphenated", engine.hyphenate_text(F.col("text"))),
         "generate": lambda: words.withColumn("form", engine.generate_form(F.col("word"), a.case, a.number)) if a.case else (engine.generate_verb_paradigm(words) if a.verb else engine.generate_paradigm(words)),

@@ -71,6 +71,14 @@ def bigram_model(counts: DataFrame) -> tuple[DataFrame, Column]:
     return table, F.col("default_weight")
 
 
+def model_from_treebank(gold: DataFrame, classes: dict[str, str] | None = None) -> tuple[DataFrame, Column]:
+    """``bigram_model`` of the tags of (sentence, id, upos); ``classes`` maps tags to the names the model's keys shall have."""
+    rows = gold
+    if classes:
+        rows = gold.replace(classes, subset=["upos"])
+    return bigram_model(tag_bigrams(rows))
+
+
 def emission_priors(tokens: DataFrame) -> DataFrame:
     """(form, upos, p): the share of each tag among a lower-cased form's."""
     counts = tokens.where("upos <> '_'").groupBy(F.lower("form").alias("form"), "upos").agg(F.count("*").alias("n"))

@@ -109,6 +109,16 @@ def suggest_escalating(queries: DataFrame, lexicon: DataFrame, k: int = 1, n: in
     return _top(found.withColumn("level", level).where("distance <= level"), n, F.asc("distance"), _byte_order("candidate")).drop("level")
 
 
+def suggest_or_guess(queries: DataFrame, lexicon: DataFrame, valid: DataFrame, n: int = 10, word: str = "word") -> DataFrame:
+    """For each query the valid words one edit away, or where there are none those two away, or else any words within two."""
+    good = valid.select(F.col("word").alias("candidate")).distinct().withColumn("good", F.lit(True))
+    found = fuzzy_search(queries, lexicon, 2, word).where("distance > 0").join(good, "candidate", "left")
+    level = F.when(F.col("good"), F.col("distance")).otherwise(3)
+    best = F.min("level").over(Window.partitionBy("query"))
+    chosen = found.withColumn("level", level).withColumn("best", best).where("level = best")
+    return _top(chosen, n, F.asc("distance"), _byte_order("candidate")).drop("good", "level", "best")
+
+
 def edits(word: Column) -> Column:
     """All words one deletion, substitution, insertion or transposition away; repeats included."""
     letters = F.array(*[F.lit(c) for c in ALPHABET])

@@ -108,8 +108,10 @@ def repeated_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def token_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = tokens.explode_tokens(table(spark, sf_dir, "documents").select("lang", "text"))
-    return cells.groupBy("lang", "token_type").agg(F.count("*").alias("n"), F.sum(F.length("token")).alias("characters"))
+    """Equal tokens are counted first, so each distinct one is typed once."""
+    texts = table(spark, sf_dir, "documents").select("lang", F.explode(tokens.token_texts(F.coalesce("text", F.lit("")))).alias("token"))
+    kind = tokens.token_type(F.col("token")).alias("token_type")
+    return texts.groupBy("lang", "token").count().groupBy("lang", kind).agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.length("token")).alias("characters"))
 
 
 @query(f"select doc_id, cast(len(regexp_extract_all(text, '[{RE2['space']}]+')) as bigint) as n from documents")

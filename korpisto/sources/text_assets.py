@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 # ----------------------------------------------------------------------- CoNLL-U
@@ -87,6 +88,16 @@ def build_lemmas(sources: list[DataFrame]) -> DataFrame:
     return counts.withColumn("r", F.row_number().over(order)).where("r = 1 and lemma <> form").select("form", "upos", "lemma").orderBy("form", "upos")
 
 
+def _sorted(column: Column, kind: T.DataType) -> Column:
+    """The value with the fields of all its structs by name."""
+    if isinstance(kind, T.StructType):
+        fields = [_sorted(column[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(column.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: _sorted(x, kind.elementType))
+    return column
+
+
 def to_json_sorted(df: DataFrame, column: str, name: str = "json") -> DataFrame:
-    """A struct or array column as JSON; struct fields declared in order give sorted keys, nulls are left out."""
-    return df.withColumn(name, F.to_json(column))
+    """A struct or array column as JSON with sorted keys; keys without a value are left out."""
+    return df.withColumn(name, F.to_json(_sorted(F.col(column), df.schema[column].dataType)))

@@ -226,6 +226,28 @@ def test_treebanks_with_either_line_end(spark, tmp_path):
     assert rows[0] == rows[1]
 
 
+def test_verdicts_with_suggestions(spark, tmp_path):
+    (tmp_path / "words.txt").write_text("talo\nkala\nkalat\n")
+    e = Engine(spark).load_wordlist(str(tmp_path / "words.txt"))
+    got = {r.word: r.suggestions for r in e.spell_with_suggestions(spark.createDataFrame([("talo",), ("kalaa",), ("xyzzyxx",)], "word string")).collect()}
+    assert got == {"talo": None, "kalaa": ["kala", "kalat"], "xyzzyxx": None}
+    lexicon = spark.createDataFrame([("talo",), ("kalat",)], "word string")
+    asked = spark.createDataFrame([("tal",), ("kalatt",)], "word string")
+    found = spelling.suggest_or_guess(asked, lexicon, lexicon.where("word = 'talo'")).collect()
+    assert {(r["query"], r.candidate) for r in found} >= {("tal", "talo"), ("kalatt", "kalat")}
+
+
+def test_json_keys_are_sorted(spark):
+    frame = spark.sql("select array(named_struct('b', 1, 'a', named_struct('d', 'x\"y', 'c', cast(null as string)))) as v")
+    assert text_assets.to_json_sorted(frame, "v").first().json == '[{"a":{"d":"x\\"y"},"b":1}]'
+
+
+def test_model_from_treebank(spark):
+    gold = spark.createDataFrame([(1, 1, "NOUN"), (1, 2, "VERB")], "sentence int, id int, upos string")
+    table, _ = corpus.model_from_treebank(gold, {"NOUN": "nimisana"})
+    assert {(r.prev, r.curr) for r in table.collect()} == {("<BOS>", "nimisana"), ("nimisana", "VERB"), ("VERB", "<EOS>")}
+
+
 def test_reports(spark):
     rows = [("NOUN", "NOUN", "a", "a"), ("VERB", "NOUN", "c", "c"), ("VERB", "NOUN", "c", "c")]
     results = spark.createDataFrame(rows, "gold_upos string, pred_upos string, gold_lemma string, pred_lemma string")
