@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from korpisto.functions import chars, hyphenation, morphology
@@ -423,6 +424,48 @@ def _toy_dictionary() -> bytes:
     return build(symbols, states)
 
 
+#: One rule of each kind, with its condition in SQL: p and q are whether the word before and after has an odd number of letters, bp, b and bq the first letters.
+_RULE_KINDS = (
+    (("remove_after", "teonsana", "laatusana"), "p"), (("remove_unless_after", "teonsana", "laatusana"), "not p"), (("remove_before", "teonsana", "laatusana"), "q"),
+    (("remove_unless_before", "teonsana", "laatusana"), "not q"), (("remove_for", "teonsana", "laatusana", "nimisana"), "p"), (("remove_after_base", "teonsana", ("a", "t")), "bp in ('a', 't')"),
+    (("remove_before_base", "teonsana", ("a", "t")), "bq in ('a', 't')"), (("remove_by_base", "teonsana", ("a", "t")), "b in ('a', 't')"), (("remove_if", "teonsana", "BASEFORM", "t"), "b = 't'"),
+    (("remove_after_if", "teonsana", "laatusana", "BASEFORM", "t"), "p and b = 't'"), (("remove_between", "teonsana", "laatusana", "laatusana"), "p and q"), (("remove_first", "teonsana"), "i = 1"),
+    (("select_after", "teonsana", "laatusana"), "p"), (("select_before", "teonsana", "laatusana"), "q"), (("select_unless_before", "teonsana", "laatusana"), "not q"),
+    (("select_after_base", "teonsana", ("a", "t")), "bp in ('a', 't')"), (("select_before_base", "teonsana", ("a", "t")), "bq in ('a', 't')"), (("select_by_base", "teonsana", ("a", "t")), "b in ('a', 't')"),
+    (("select_if", "teonsana", "BASEFORM", "t"), "b = 't'"), (("select_between", "teonsana", "laatusana", "laatusana"), "p and q"),
+    (("select_after_base_before", "teonsana", ("a", "t"), "laatusana"), "bp in ('a', 't') and q"), (("select_first", "teonsana"), "i = 1"),
+)
+
+
+@query(f"""
+with w as (select string_split(text, ' ') as w from conversations), c as (select w, unnest(w) as word, generate_subscripts(w, 1) as i, len(w) as n from w),
+x as (select word, i, i > 1 and length(w[i - 1]) % 2 = 1 as p, i < n and length(w[i + 1]) % 2 = 1 as q, coalesce(lower(w[i - 1])[1], '') as bp, coalesce(lower(w[i + 1])[1], '') as bq, coalesce(lower(word)[1], '') as b,
+length(word) % 2 = 0 as two from c)
+""" + " union all ".join(
+    f"select '{rule[0]}' as kind, cast(sum(case when two and not ({sql}) then 2 else 1 end) as bigint) as readings, "
+    + (f"count(*) filter (two and not ({sql}))" if rule[0].startswith("remove") else "count(*) filter (two)") + " as verbs from x" for rule, sql in _RULE_KINDS
+))
+def context_rule_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One context rule of each kind over whole conversations: words of an even number of letters are noun or verb, others adjectives, with their first letter as base form."""
+
+    def reading(cls: str, w: Column) -> Column:
+        return F.struct(F.lit(cls).alias("CLASS"), F.substring(F.lower(w), 1, 1).alias("BASEFORM"))
+
+    @F.arrow_udf("array<array<int>>")
+    def left(sets: pa.Array) -> pa.Array:
+        """Readings and verbs that each rule leaves."""
+        out = []
+        for s in sets.to_pylist():
+            done = [[r for word in disambiguation.prune(s or [], (rule,)) for r in word] for rule, _ in _RULE_KINDS]
+            out.append([[len(d), sum(r["CLASS"] == "teonsana" for r in d)] for d in done])
+        return pa.array(out, pa.list_(pa.list_(pa.int32())))
+
+    sets = F.transform(F.split("text", " "), lambda w: F.when(F.length(w) % 2 == 0, F.array(reading("nimisana", w), reading("teonsana", w))).otherwise(F.array(reading("laatusana", w))))
+    counts = table(spark, sf_dir, "conversations").select(F.posexplode(left(sets)).alias("k", "c")).groupBy("k").agg(F.sum(F.get("c", 0)).alias("readings"), F.sum(F.get("c", 1)).alias("verbs"))
+    kinds = F.array(*[F.lit(rule[0]) for rule, _ in _RULE_KINDS])
+    return counts.select(F.get(kinds, F.col("k")).alias("kind"), "readings", "verbs")
+
+
 @query()
 def tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
