@@ -52,6 +52,7 @@ def _shared_folder(spark: SparkSession) -> str:
 
 
 _written: dict[int, tuple] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -62,7 +63,12 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/korpisto-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    kept = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # what this write shuffled is read by no later step
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if kept is None else spark.conf.set(_CLEANUP, kept)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.deleteOnExit(jvm_path)

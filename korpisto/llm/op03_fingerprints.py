@@ -55,10 +55,10 @@ def lexicon(docs: DataFrame, text_col: str, rarest: float, commonest: float) ->
 def _thinned(held: Column, subset: int, level: int) -> Column:
     """A quarter of the terms: those with this subset's value in two bits, others for each group and level.
 
-    Terms are hashes, so their own bits are the random choice.
+    Terms are 32 bits of their hashes, so their own bits are the random choice.
     """
     shift = 2 * ((level - 1) * (SEEDS // 4) + subset // 4)
-    return F.filter(held, lambda t: F.shiftright(t, shift).bitwiseAND(F.lit(3).cast("long")) == subset % 4)
+    return F.filter(held, lambda t: F.shiftright(t, shift).bitwiseAND(F.lit(3)) == subset % 4)
 
 
 def of_all(text: Column) -> Column:
@@ -70,7 +70,7 @@ def of_all(text: Column) -> Column:
 def with_hashes(df: DataFrame, held: str, whole: str, name: str) -> DataFrame:
     """SEEDS * LEVELS hashes, null for empty subsets, of the lexicon terms ``held``, or where there are none of the hash ``whole`` of all terms."""
     keep, mask = df.columns, F.lit((1 << 4 * DIGITS) - 1)
-    df = df.withColumn("t_0", F.array_sort(F.coalesce(held, F.array().cast("array<bigint>"))))
+    df = df.withColumn("t_0", F.array_sort(F.coalesce(held, F.array().cast("array<int>"))))
     for level in range(1, LEVELS + 1):
         given = [F.col("t_0") if level == 1 else F.get(f"t_{level - 1}", k) for k in range(SEEDS)]
         df = df.withColumn(f"t_{level}", F.array(*[_thinned(x, k, level) for k, x in enumerate(given)]))
@@ -84,7 +84,8 @@ def held_terms(rows: DataFrame, texts: dict[str, Column], words: DataFrame) -> D
     """(row, one list ``held_<text>`` for each of ``texts``) of the lexicon terms of the rows that have any."""
     sides = [rows.select("row", F.lit(t).alias("side"), F.explode(terms(text)).alias("term")) for t, text in texts.items()]
     found = reduce(DataFrame.unionByName, sides).join(F.broadcast(words), "term")  # bounded, see above
-    return found.groupBy("row").agg(*[F.collect_list(F.when(F.col("side") == t, F.col("term"))).alias(f"held_{t}") for t in texts])
+    short = (F.col("term").bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int")  # half the bytes to gather
+    return found.groupBy("row").agg(*[F.collect_list(F.when(F.col("side") == t, short)).alias(f"held_{t}") for t in texts])
 
 
 def written(h: str) -> Column:

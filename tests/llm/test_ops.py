@@ -207,7 +207,8 @@ def plain_hashes(text, band):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     words = {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in WORD.findall(text.lower())}
     fold = lambda values, h=42: functools.reduce(lambda h, t: xxhash.xxh64_intdigest(struct.pack("<q", t), h), values, h)
-    limit, held, out = 1 << 4 * op3.DIGITS, sorted(words & band), []
+    limit, held, out = 1 << 4 * op3.DIGITS, sorted(w % (1 << 32) - (1 << 31) for w in words & band), []
+    short = lambda values: functools.reduce(lambda h, t: xxhash.xxh64_intdigest(struct.pack("<i", t), h), values, 42)
     if not held:
         whole = signed(fold(sorted(words)))
         of = lambda k: xxhash.xxh64_intdigest(struct.pack("<i", k), fold([whole]))
@@ -218,7 +219,7 @@ def plain_hashes(text, band):
             for step in range(level):
                 shift = 2 * (step * (op3.SEEDS // 4) + k // 4)
                 kept = [t for t in kept if t >> shift & 3 == k % 4]
-            out.append(fold(kept) % limit if kept else None)
+            out.append(short(kept) % limit if kept else None)
     return out
 
 
