@@ -18,8 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from korpisto.session import ship, shuffle_partitions
 
@@ -107,6 +109,19 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *carry: str) -> tuple[Dat
     return table.select(F.monotonically_increasing_id().alias("key"), "id", "text", *carry), table
 
 
+def chunked(df: DataFrame, text: str, size: int) -> DataFrame:
+    """The input with the number of each row's chunk, of about ``size`` bytes of text in a row."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, done = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            ends = done + np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+            yield b.append_column("chunk", pa.array(task + np.concatenate([[done], ends[:-1]]).astype(np.int64)[: len(b)] // size))
+            done = int(ends[-1]) if len(ends) else done
+
+    return df.mapInArrow(scan, T.StructType([*df.schema.fields, T.StructField("chunk", T.LongType())]))
+
+
 # ------------------------------------------------------------- arrays over text
 U64 = np.uint64
 #: Hashes are polynomials modulo this prime, so no pair of texts collides whatever the base.

@@ -36,12 +36,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpisto.llm.common import BYTE_CODE, U64, coded, decoded, free_shuffles, materialise, mix, prefix, shuffle_partitions, spans, text_chunks, words_of
+from korpisto.llm.common import BYTE_CODE, U64, chunked, coded, decoded, free_shuffles, materialise, mix, prefix, shuffle_partitions, spans, text_chunks, words_of
 
 PRIOR = 0.5
 TARGET, HELD_OUT = 1, 2
@@ -76,19 +74,6 @@ def marked(base: DataFrame, target_ids: DataFrame, held_out_ids: DataFrame | Non
     return keys.join(slim.hint("shuffle_hash"), ["id", "part"], "left").select("doc_id", "text", F.coalesce("mark", F.lit(0)).alias("mark"))
 
 
-def _cut(chunk: int):
-    """Adds the number of each row's chunk."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, done = TaskContext.get().partitionId() << 32, 0
-        for b in batches:
-            ends = done + np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
-            yield b.append_column("chunk", pa.array(task + np.concatenate([[done], ends[:-1]]).astype(np.int64) // chunk))
-            done = int(ends[-1]) if len(ends) else done
-
-    return scan
-
-
 def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(chunk, [word before, word, bigram, mark of the text]) of a batch's part of a chunk."""
     for b in batches:
@@ -234,7 +219,7 @@ def cross_entropy_difference(
     texts that are scored but not counted; all other texts are background.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = materialise(marked(base, target_ids, held_out_ids).mapInArrow(_cut(chunk), "doc_id long, text string, mark int, chunk long"))
+    texts = materialise(chunked(marked(base, target_ids, held_out_ids), "text", chunk))
     free_shuffles(docs.sparkSession)
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, (max(shuffle_partitions(docs.sparkSession), volume // part_bytes) - 1).bit_length())
