@@ -173,10 +173,25 @@ class Size:
         return -np.log((gram + self.prior * unigram) / (before + self.prior))
 
 
+def _rolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A chunk's rows as one compressed value, which is half of what a shuffle makes of them."""
+    for b in batches:
+        chunk, rows = b.column("chunk").to_numpy(zero_copy_only=False), b.select(["doc_id", "text", "mark"])
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1), len(chunk)] if len(chunk) else [0]
+        values = []
+        for lo, hi in zip(cuts, cuts[1:]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(rows.slice(lo, hi - lo))
+            values.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(chunk[cuts[:-1]], pa.int64()), pa.array(values, pa.binary())], names=["chunk", "rows"])
+
+
 def _score(sizes: tuple[Size, Size], columns: str):
     """Texts of a chunk with what the models hold of them; ``columns`` are the counts of the two models."""
 
-    def scan(texts: pa.Table, model: pa.Table) -> pa.Table:
+    def scan(chunk: pa.Table, model: pa.Table) -> pa.Table:
+        texts = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in chunk["rows"].to_pylist()])
         lists = [decoded(x) for x in model["keys"].to_pylist()]
         keys, order = np.unique(np.concatenate([np.zeros(0, U64), *lists]), return_index=True)
         keys = np.concatenate([keys, [U64(0)]])  # not empty; no word or bigram is asked for by the last
@@ -235,5 +250,6 @@ def cross_entropy_difference(
         sizes, columns = (replace(sizes[k], weight=1.0),) * 2, "tb"[k] * 2
 
     answers = found.where("chunk is not null").select("chunk", "keys", "t", "b")
-    pairs = texts.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    rolled = texts.mapInArrow(_rolled, "chunk long, rows binary")
+    pairs = rolled.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return pairs.applyInArrow(_score(sizes, columns), "doc_id long, n_words long, target_loss double, background_loss double, score double")
