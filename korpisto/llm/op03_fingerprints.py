@@ -35,6 +35,7 @@ from korpisto.llm.common import free_shuffles, keyed, materialise, shuffle_parti
 
 SEEDS, LEVELS = 16, 4  # SEEDS * LEVELS / 2 bits of a term are used
 DIGITS = 10  # hexadecimal digits of a subset's hash
+NO_TERMS = 42  # the hash of an empty array
 _WHITE = "[\\x20\\x09-\\x0D]+"
 _NONE = "." * DIGITS
 
@@ -62,9 +63,8 @@ def _thinned(held: Column, subset: int, level: int) -> Column:
 
 
 def of_all(text: Column) -> Column:
-    """One hash of all of a text's terms, null without any."""
-    every = terms(text)
-    return F.when(F.size(every) > 0, F.xxhash64(F.array_sort(every)))
+    """One hash of all of a text's terms, NO_TERMS without any; terms are made once, so no condition asks for them again."""
+    return F.xxhash64(F.array_sort(terms(text)))
 
 
 def with_hashes(df: DataFrame, held: str, whole: str, name: str) -> DataFrame:
@@ -76,7 +76,7 @@ def with_hashes(df: DataFrame, held: str, whole: str, name: str) -> DataFrame:
         df = df.withColumn(f"t_{level}", F.array(*[_thinned(x, k, level) for k, x in enumerate(given)]))
     every = F.concat(*[f"t_{level}" for level in range(1, LEVELS + 1)])
     hashes = F.transform(every, lambda s: F.when(F.size(s) > 0, F.xxhash64(s).bitwiseAND(mask)))
-    rest = F.transform(F.sequence(F.lit(1), F.lit(SEEDS * LEVELS)), lambda k: F.when(F.col(whole).isNotNull(), F.xxhash64(whole, k).bitwiseAND(mask)))
+    rest = F.transform(F.sequence(F.lit(1), F.lit(SEEDS * LEVELS)), lambda k: F.when(F.col(whole) != NO_TERMS, F.xxhash64(whole, k).bitwiseAND(mask)))
     return df.select(*keep, F.when(F.size("t_0") > 0, hashes).otherwise(rest).alias(name))
 
 
