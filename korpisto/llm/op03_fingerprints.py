@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from korpisto.llm.common import free_shuffles, keyed, materialise, shuffle_partitions
+from korpisto.llm.common import drop, free_shuffles, keyed, materialise, shuffle_partitions
 
 SEEDS, LEVELS = 16, 4  # SEEDS * LEVELS / 2 bits of a term are used
 DIGITS = 10  # hexadecimal digits of a subset's hash
@@ -152,7 +152,8 @@ def edited_neighbours(docs: DataFrame, *, rarest: float = 0.0005, commonest: flo
     held = held_terms(paired, {"text": F.col("text"), "edited": edited}, words)
     hashed = paired.drop("text", "tail").join(held, "row", "left")
     hashed = with_hashes(with_hashes(hashed, "held_text", "whole", "h"), "held_edited", "whole_edited", "h_edited")
-    slim = hashed.select("doc_id", "range", "row", "guest", "n_chars", "edited_sha256", "h", "h_edited")
+    slim = materialise(hashed.select("doc_id", "range", "row", "guest", "n_chars", "edited_sha256", "h", "h_edited"))
+    drop(paired)
     out = slim.withColumn("h_next", F.lead("h").over(Window.partitionBy("range").orderBy("row"))).where("guest = 0")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", written("h").alias("fingerprint"), written("h_edited").alias("edited_fingerprint"),
