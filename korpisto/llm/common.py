@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from korpisto.session import ship, shuffle_partitions
 
 __all__ = [
-    "documents", "labels", "materialise", "drop", "shuffle_partitions", "ship",
+    "documents", "labels", "table", "materialise", "drop", "shuffle_partitions", "ship",
     "text_chunks", "prefix", "spans", "mix", "words_of", "keyed", "WHITE", "doc_ids",
 ]
 
@@ -40,6 +40,11 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 # --------------------------------------------------------------- written tables
 def _shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -18,8 +18,9 @@ from korpisto.llm import (
     op08_pii,
     op09_token_counts,
     op10_quality,
+    op12_conversations,
 )
-from korpisto.llm.common import documents, labels
+from korpisto.llm.common import documents, labels, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,11 +65,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_quality.judge(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_conversations.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_packing, op2_sentencepiece, op3_fingerprints, op4_suffix_dedup, op5_lm_scoring,
         op6_near_dedup, op7_substring_dedup, op8_pii, op9_token_counts, op10_quality_rules,
+        op12_conversation_repair,
     )
 }
 _WORDS = "list_filter(regexp_split_to_array({}, '[ \\t-\\r]+'), lambda x: x <> '')"
@@ -95,4 +101,30 @@ c as (select distinct doc_id, i + unnest(range(0, 50)) as k from g join f using
 x as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as k from d),
 k as (select x.doc_id, count(c.k) as n_removed, string_agg(word, ' ' order by x.k) filter (c.k is null) as kept from x left join c on c.doc_id = x.doc_id and c.k = x.k group by 1)
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)""",
+    "op12_conversation_repair": """
+with recursive o as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as id from conversations),
+h as (select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(id) + 1), lambda i: ascii(substr(id, i, 1))::bigint)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: case when x % 2 = 0 then x // 2 else xor(x // 2, 3988292384::bigint) end)), 4294967295::bigint) % 20 as kind from o),
+d as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(range(0, case when kind = 3 then 2 else 1 end)) as again from h where kind <> 0),
+n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as p, regexp_replace(text, '[ \t-\r]+$', '') as body from d),
+f as materialized (select conv_id, turn, role, text, p, left(role, 1) as i, case when body = '' then 'b' when row_number() over (partition by conv_id, role, text order by p) > 1 then 'd' when right(body, 1) not in ('.', '!', '?') then 't' else '' end as fault,
+    lag(left(role, 1)) over (partition by conv_id order by p) as before from n),
+c as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated,
+    count(*) filter (before is not null and before || i not in ('su', 'ua', 'au')) as illegal, max(p) as last from f group by conv_id),
+w(i, s, t) as (values ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('a', 2, 3), ('u', 3, 2)),
+g as (select conv_id, p, s, min(e) as e from (select conv_id, 0::bigint as p, unnest([0, 2, 3]) as s, unnest([{'cost': 0, 'audit': '', 'made': ''}, {'cost': 3, 'audit': 'I', 'made': 'user:' || chr(10)}, {'cost': 6, 'audit': 'II', 'made': 'user:' || chr(10) || 'assistant:' || chr(10)}]) as e from c) group by all
+    union all
+    select conv_id, p, s, min(e) from (
+        select conv_id, p, case when ins = 0 then s when s = 2 or ins = 2 then 3 else 2 end as s, {'cost': e.cost + 3 * ins, 'audit': e.audit || repeat('I', ins),
+            'made': e.made || case ins when 0 then '' when 1 then case when s = 2 then 'assistant:' else 'user:' end || chr(10) else 'user:' || chr(10) || 'assistant:' || chr(10) end} as e
+        from (select g.conv_id, f.p, g.s, {'cost': g.e.cost + 4, 'audit': g.e.audit || 'D', 'made': g.e.made} as e from g join f on f.conv_id is not distinct from g.conv_id and f.p = g.p + 1
+            union all
+            select g.conv_id, f.p, w.t, {'cost': g.e.cost + case fault when 't' then 3 else 0 end, 'audit': g.e.audit || 'K', 'made': g.e.made || f.role || ':' || f.text || chr(10)} from g join f on f.conv_id is not distinct from g.conv_id and f.p = g.p + 1 and fault in ('', 't') join w on w.s = g.s and w.i = f.i
+            union all
+            select g.conv_id, f.p, case g.s when 2 then 3 else 2 end, {'cost': g.e.cost + 3 + case fault when 't' then 3 else 0 end, 'audit': g.e.audit || 'R', 'made': g.e.made || case g.s when 2 then 'assistant:' else 'user:' end || f.text || chr(10)} from g join f on f.conv_id is not distinct from g.conv_id and f.p = g.p + 1 and fault in ('', 't')),
+        (values (0), (1), (2)) x(ins) where ins < 2 or s in (0, 1)) group by conv_id, p, s),
+e as (select c.conv_id, min({'cost': g.e.cost, 'audit': g.e.audit, 'made': g.e.made}) as e from c join g on g.conv_id is not distinct from c.conv_id and g.p = c.last and g.s in (0, 3) group by c.conv_id),
+a as (select distinct conv_id from conversations)
+select a.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cast(e.e.cost as bigint), 0) as cost, coalesce(e.e.audit, '') as audit,
+    sha256(coalesce(left(e.e.made, greatest(length(e.e.made) - 1, 0)), '')) as repaired_sha256 from a left join c on c.conv_id is not distinct from a.conv_id left join e on e.conv_id is not distinct from a.conv_id""",
 }
