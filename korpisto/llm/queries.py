@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from korpisto.llm import (
     op01_packing,
@@ -19,6 +20,7 @@ from korpisto.llm import (
     op09_token_counts,
     op10_quality,
     op12_conversations,
+    op13_hard_negatives,
 )
 from korpisto.llm.common import documents, labels, table
 
@@ -69,12 +71,18 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_conversations.damage_and_repair(table(spark, sf_dir, "conversations"))
 
 
+def op13_hard_negatives_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id is divisible by 7 are relabelled first; rows whose id is divisible by 100 are the anchors."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return op13_hard_negatives.hard_negatives(rows, is_anchor="id % 100 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__.rstrip("_"): f
     for f in (
         op1_packing, op2_sentencepiece, op3_fingerprints, op4_suffix_dedup, op5_lm_scoring,
         op6_near_dedup, op7_substring_dedup, op8_pii, op9_token_counts, op10_quality_rules,
-        op12_conversation_repair,
+        op12_conversation_repair, op13_hard_negatives_,
     )
 }
 _WORDS = "list_filter(regexp_split_to_array({}, '[ \\t-\\r]+'), lambda x: x <> '')"
@@ -127,4 +135,13 @@ e as (select c.conv_id, min({'cost': g.e.cost, 'audit': g.e.audit, 'made': g.e.m
 a as (select distinct conv_id from conversations)
 select a.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cast(e.e.cost as bigint), 0) as cost, coalesce(e.e.audit, '') as audit,
     sha256(coalesce(left(e.e.made, greatest(length(e.e.made) - 1, 0)), '')) as repaired_sha256 from a left join c on c.conv_id is not distinct from a.conv_id left join e on e.conv_id is not distinct from a.conv_id""",
+    "op13_hard_negatives": """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as q
+    from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as materialized (select a.vec_id as anchor_id, a.label as la, b.vec_id, b.label, coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])), 0)::bigint as score
+    from v a join v b on a.vec_id % 100 = 0 and len(a.q) = len(b.q) and a.vec_id <> b.vec_id),
+p as (select * from (select anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by anchor_id order by score desc, vec_id) as k from s where label = la) where k <= 5),
+n as (select p.anchor_id, positive_id, positive_score, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) as rank
+    from p join s on s.anchor_id = p.anchor_id and s.label <> s.la and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 10""",
 }
