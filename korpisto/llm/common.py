@@ -27,7 +27,7 @@ from korpisto.session import ship, shuffle_partitions
 
 __all__ = [
     "documents", "labels", "table", "materialise", "drop", "shuffle_partitions", "ship",
-    "text_chunks", "prefix", "spans", "mix", "words_of", "keyed", "WHITE", "doc_ids",
+    "text_chunks", "prefix", "spans", "told", "mix", "words_of", "keyed", "WHITE", "doc_ids",
 ]
 
 
@@ -114,6 +114,18 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *carry: str) -> tuple[Dat
     return table.select(F.monotonically_increasing_id().alias("key"), "id", "text", *carry), table
 
 
+def told(rows: DataFrame, answers: DataFrame, on: str, spread: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``answers``, which has each value of ``on`` once at most.
+
+    A value that very many rows hold is dealt by ``spread`` to as many tasks as a
+    shuffle has: the answer first goes to the distinct pairs of value and share.
+    """
+    share = F.pmod(F.xxhash64(spread), F.lit(shuffle_partitions(rows.sparkSession))).cast("int")
+    dealt = rows.withColumn("share", share)
+    known = dealt.select(on, "share").distinct().join(answers.hint("merge"), on)
+    return dealt.join(known.hint("merge"), [on, "share"], how).drop("share")
+
+
 def chunked(df: DataFrame, text: str, size: int) -> DataFrame:
     """The input with the number of each row's chunk, of about ``size`` bytes of text in a row."""
 

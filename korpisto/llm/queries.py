@@ -19,6 +19,7 @@ from korpisto.llm import (
     op08_pii,
     op09_token_counts,
     op10_quality,
+    op11_embedding_dedup,
     op12_conversations,
     op13_hard_negatives,
 )
@@ -67,6 +68,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_quality.judge(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op11_embedding_dedup_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_conversations.damage_and_repair(table(spark, sf_dir, "conversations"))
 
@@ -82,7 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_packing, op2_sentencepiece, op3_fingerprints, op4_suffix_dedup, op5_lm_scoring,
         op6_near_dedup, op7_substring_dedup, op8_pii, op9_token_counts, op10_quality_rules,
-        op12_conversation_repair, op13_hard_negatives_,
+        op11_embedding_dedup_, op12_conversation_repair, op13_hard_negatives_,
     )
 }
 _WORDS = "list_filter(regexp_split_to_array({}, '[ \\t-\\r]+'), lambda x: x <> '')"
@@ -144,4 +149,12 @@ p as (select * from (select anchor_id, vec_id as positive_id, score as positive_
 n as (select p.anchor_id, positive_id, positive_score, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) as rank
     from p join s on s.anchor_id = p.anchor_id and s.label <> s.la and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
 select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 10""",
+    "op11_embedding_dedup": """
+with recursive v as materialized (select vec_id, list_transform(embedding, lambda x: x::double) as q from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.q) = len(b.q) and list_cosine_similarity(a.q, b.q) >= 0.95),
+r as (select vec_id, vec_id as root from v union select l.b, r.root from r join l on l.a = r.vec_id),
+c as (select vec_id, min(root) as root from r group by 1), n as (select a, count(*) as n from l group by 1)
+select e.vec_id, coalesce(n.n, 0) as n_links, coalesce(c.root, e.vec_id) as component_id, e.vec_id = coalesce(c.root, e.vec_id) as kept
+from embeddings e left join n on n.a = e.vec_id left join c on c.vec_id = e.vec_id""",
 }
