@@ -344,7 +344,7 @@ def links_and_components(base: DataFrame, *, least: float, nearest_pivots: int,
         step = merged.select(F.col("key").alias("ball"), F.col("ball").alias("next"), F.col("centre").alias("c"), F.col("wide").alias("w"))
         final = materialise(final.join(step, "ball").select("chunk", F.col("next").alias("ball"), F.col("c").alias("centre"), F.col("w").alias("wide"), "dim"))
         tables += [merged, final]
-        if fewer > 0.9 * count:
+        if fewer >= 0.9 * count:
             break
         count = fewer
 
