@@ -158,10 +158,14 @@ class Engine:
         return compounds.compound_split(df, self._lexicon(), word, name, rebuild=False)
 
     def grammar_check(self, df: DataFrame, text: str = "text", name: str = "findings", **options) -> DataFrame:
-        """Findings of all rules; with a dictionary the words are analysed and decoded first, without one the surface rules remain."""
+        """Findings of all rules; with a dictionary the words are analysed first, without one the surface rules remain.
+
+        Readings are chosen by default bigrams and emission alone: no context rules, no
+        tagger, and if a word is unknown no word of the text has a reading.
+        """
         if self.dictionary is None or "readings" in options:
             return grammar.grammar_check(df, text, name, **options)
-        tagged = self.analyze_sentence(df, text, "_best", oov="fallback")
+        tagged = disambiguation.tag(df, readings.analyzer(self._need()), text, "_best", disambiguation.Tagger(rules=()))
         return grammar.grammar_check(tagged, text, name, readings="_best", **options).drop("_best", "words")
 
     # -------------------------------------------------- without any asset

@@ -207,8 +207,16 @@ def _clean(sentence) -> list[list[Reading]]:
 
 
 def disambiguate(df: DataFrame, words: str, readings: str, name: str = "best", tagger: Tagger | None = None) -> DataFrame:
-    """The input with one reading (or null) a word, from an array of words and an array of their readings."""
+    """The input with one reading (or null) a word, from an array of words and an array of their readings.
+
+    Python is needed only where a tagger's probabilities or priors join the scores.
+    """
     made = tagger or Tagger()
+    if made.extra is None and made.emission is not None and not made.emission.priors:
+        from korpisto.operators import lattices
+
+        e = made.emission
+        return lattices.decoded(df, words, readings, name, rules=made.rules, bigrams=made.bigrams, oov=made.oov, same_base=e.same_base, per_letter=e.per_letter)
 
     @F.arrow_udf(f"array<{READING}>")
     def decode(ws: pa.Array, rs: pa.Array) -> pa.Array:
@@ -221,14 +229,9 @@ def disambiguate(df: DataFrame, words: str, readings: str, name: str = "best", t
 
 def pruned(df: DataFrame, readings: str, name: str = "pruned", rules: tuple = RULES) -> DataFrame:
     """The input with the readings that the context rules leave."""
+    from korpisto.operators import lattices
 
-    @F.arrow_udf(f"array<array<{READING}>>")
-    def cut(rs: pa.Array) -> pa.Array:
-        full = lambda r: {a: r.get(a) for a in ATTRIBUTES}
-        rows = [[[full(r) for r in x] for x in prune(_clean(s), rules)] if s is not None else None for s in rs.to_pylist()]
-        return pa.array(rows, pa.list_(pa.list_(_ARROW_READING)))
-
-    return df.withColumn(name, cut(F.col(readings)))
+    return df.withColumn(name, lattices.pruned(F.col(readings), rules))
 
 
 def tag(df: DataFrame, analyze: Callable[[Column], Column], text: str = "text", name: str = "tags", tagger: Tagger | None = None) -> DataFrame:

@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from korpisto.functions import chars, hyphenation, morphology
-from korpisto.operators import compounds, corpus, disambiguation, evaluation, grammar, readings, spelling, tagger, tokens
-from korpisto.session import ship
-from korpisto.sources.vfst import build
+from korpisto.operators import compounds, corpus, disambiguation, evaluation, grammar, lattices, spelling, tagger, tokens
+from korpisto.session import ship, shuffle_partitions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -403,27 +402,6 @@ def grammar_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ disambiguation
-def _toy_dictionary() -> bytes:
-    letters = sorted(set("koirajuoksenp"))
-    symbols = [*letters, "[Ln]", "[Lt]", "[Sn]", "[Ny]", "[Xp]", "[X]"]
-    states: list[list[tuple]] = [[]]
-    for word, tags in (("koira", ("[Ln]", "[Sn]", "[Ny]")), ("juoksee", ("[Lt]",)), ("juokse", ("[Lt]",)), ("kasa", ("[Ln]",))):
-        at = 0
-        for c in word:
-            if c not in letters:
-                break
-            states.append([])
-            states[at].append((c, c, len(states) - 1, 0))
-            at = len(states) - 1
-        else:
-            for t in tags:
-                states.append([])
-                states[at].append(("", t, len(states) - 1, 0))
-                at = len(states) - 1
-            states[at].append((None, "", 0, 0))
-    return build(symbols, states)
-
-
 #: One rule of each kind, with its condition in SQL: p and q are whether the word before and after has an odd number of letters, bp, b and bq the first letters.
 _RULE_KINDS = (
     (("remove_after", "teonsana", "laatusana"), "p"), (("remove_unless_after", "teonsana", "laatusana"), "not p"), (("remove_before", "teonsana", "laatusana"), "q"),
@@ -466,11 +444,85 @@ def context_rule_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.get(kinds, F.col("k")).alias("kind"), "readings", "verbs")
 
 
-@query()
+#: Readings of a word by the remainder of its letters by four: class, then attributes.
+_MADE = (
+    (("nimisana", {"SIJAMUOTO": "omanto"}), ("teonsana", {"MOOD": "indicative"}), ("seikkasana", {"SIJAMUOTO": "osanto"})),
+    (("seikkasana", {"SIJAMUOTO": "osanto"}), ("laatusana", {"COMPARISON": "comparative"}), ("nimisana", {"POSSIBLE_GEOGRAPHICAL_NAME": "true"})),
+    (("teonsana", {}), ("lukusana", {})),
+    (("suhdesana", {"SIJAMUOTO": "omanto"}), ("etunimi", {}), ("asemosana", {}), ("nimisana_laatusana", {})),
+)
+_FIELDS = ("CLASS", "BASEFORM", "SIJAMUOTO", "COMPARISON", "MOOD", "POSSIBLE_GEOGRAPHICAL_NAME")
+#: Base forms by a word's first letter, so that rules of base forms hold here and there; others are their own.
+_BASES = {"a": "ei", "e": "minä", "s": "joka", "t": "kun", "l": "että"}
+
+
+def _ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations with two to four readings a word."""
+
+    def reading(w: Column, cls: str, more: dict[str, str]) -> Column:
+        first = F.lower(F.substring(w, 1, 1))
+        base = F.coalesce(*[F.when(first == c, F.lit(b)) for c, b in _BASES.items()], w)
+        given = {"CLASS": F.lit(cls), "BASEFORM": base, **{k: F.lit(v) for k, v in more.items()}}
+        return F.struct(*[given.get(a, F.lit(None)).cast("string").alias(a) for a in _FIELDS])
+
+    def of(w: Column) -> Column:
+        sets = [F.array(*[reading(w, *r) for r in rs]) for rs in _MADE]
+        return F.when(F.length(w) % 4 == 0, sets[0]).when(F.length(w) % 4 == 1, sets[1]).when(F.length(w) % 4 == 2, sets[2]).otherwise(sets[3])
+
+    texts = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "").alias("words"))
+    dealt = texts.repartition(shuffle_partitions(spark), "conv_id", "turn")  # a row takes long, and the files may be few
+    return dealt.withColumn("readings", F.transform("words", of))
+
+
+def _made_sql() -> str:
+    base = "case lower(left(w, 1)) " + " ".join(f"when '{c}' then '{b}'" for c, b in _BASES.items()) + " else w end"
+    one = lambda cls, more: f"{{'cls': '{cls}', 'base': {base}, 'facts': ['CLASS={cls}', 'BASEFORM=' || {base}" + "".join(f", '{k}={v}'" for k, v in more.items()) + "]}"
+    return "case length(w) % 4 " + " ".join(f"when {k} then [{', '.join(one(*r) for r in rs)}]" for k, rs in enumerate(_MADE)) + " end"
+
+
+def _rule_sql(k: int, rule: tuple) -> str:
+    c = lattices.conditions(rule)
+    listed = lambda v: "[" + ", ".join(f"'{x}'" for x in v) + "]"
+    facts = lambda rs: f"coalesce(flatten(list_transform({rs}, lambda x: x.facts)), [])"
+    tests = ["len(rs) > 1", *(["i = 1"] if c["first"] else [])]
+    for side, rs in (("left", "l"), ("here", "rs"), ("right", "r")):
+        if c[side]:
+            tests.append(("not " if c.get(f"not_{side}") else "") + f"list_has_any({facts(rs)}, {listed(c[side])})")
+    left = f"list_filter(rs, lambda x: x.cls {'=' if c['keeps'] else '<>'} '{c['cls']}')"
+    return f"s{k + 1} as materialized (select conv_id, turn, i, w, case when {' and '.join(tests)} and len({left}) > 0 then {left} else rs end as rs from (select *, lag(rs) over p as l, lead(rs) over p as r from s{k} window p as (partition by conv_id, turn order by i)))"
+
+
+_RULED_SQL = ",\n".join([
+    "t as (select conv_id, turn, list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '') as ws from conversations)", "u as (select conv_id, turn, unnest(ws) as w, generate_subscripts(ws, 1) as i from t)",
+    f"s0 as materialized (select conv_id, turn, i, w, {_made_sql()} as rs from u)", *(_rule_sql(k, rule) for k, rule in enumerate(disambiguation.RULES)),
+])
+
+
+@query(f"""with {_RULED_SQL},
+k as (select conv_id, turn, string_agg(list_aggregate(list_transform(rs, lambda x: x.cls), 'string_agg', '|'), ' ' order by i) as kept from s{len(disambiguation.RULES)} group by conv_id, turn)
+select conv_id, turn, coalesce(kept, '') as kept from t left join k using (conv_id, turn)""")
+def ruled_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all context rules in their order leave of whole conversations."""
+    kept = _ambiguous(spark, sf_dir).withColumn("kept", lattices.pruned(F.col("readings"), attributes=_FIELDS))
+    return kept.select("conv_id", "turn", F.array_join(F.transform("kept", lambda p: F.array_join(F.transform(p, lambda r: r["CLASS"]), "|")), " ").alias("kept"))
+
+
+@query(f"""
+with recursive {_RULED_SQL},
+b(a, b, w) as (values {", ".join(f"('{a}', '{b}', {w}::double)" for (a, b), w in disambiguation.BIGRAMS.items())}),
+p as materialized (select conv_id, turn, i, k, rs[k].cls as cls, case when rs[k].base = w and w <> '' then 0.5::double else 0.0::double end as own from (select *, unnest(range(1, len(rs) + 1)) as k from s{len(disambiguation.RULES)})),
+v as (select conv_id, turn, i, k, cls, own as score, cls as path from p where i = 1
+    union all
+    select conv_id, turn, i, k, cls, m.s + own, m.path || ' ' || cls from (
+        select p.conv_id, p.turn, p.i, p.k, p.cls, p.own, max({{'s': v.score + coalesce(b.w, {disambiguation.UNSEEN}::double), 'k': -v.k, 'path': v.path}}) as m
+        from v join p on p.conv_id = v.conv_id and p.turn = v.turn and p.i = v.i + 1 left join b on b.a = v.cls and b.b = p.cls group by all)),
+n as (select conv_id, turn, max(i) as n from p group by all),
+e as (select conv_id, turn, max({{'s': score, 'k': -k, 'path': path}}).path as classes from v join n using (conv_id, turn) where i = n group by conv_id, turn)
+select conv_id, turn, coalesce(classes, '') as classes from t left join e using (conv_id, turn)""")
 def tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    tagged = disambiguation.tag(texts, readings.analyzer(_toy_dictionary()))
-    return tagged.select("conv_id", "turn", "text", F.array_join(F.transform("tags", lambda r: F.coalesce(r.CLASS, F.lit("-"))), " ").alias("classes"))
+    """Whole conversations tagged: readings of every word, all context rules, the best path by bigrams and emission."""
+    tagged = lattices.decoded(_ambiguous(spark, sf_dir), fields=_FIELDS)
+    return tagged.select("conv_id", "turn", F.array_join(F.transform("best", lambda r: r["CLASS"]), " ").alias("classes"))
 
 
 _CELLS = "(select lower(word) as w, word, strlen(word) as bytes from (select unnest(string_split(text, ' ')) as word from conversations))"
