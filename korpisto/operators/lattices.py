@@ -48,6 +48,10 @@ def conditions(rule: tuple) -> dict[str, object]:
     return out
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 class Facts:
     """The facts that rules ask for as bits of a few longs, so that asking a place is a bitwise and."""
 
@@ -69,21 +73,22 @@ class Facts:
             for a in attributes:
                 values = [f.split("=", 1)[1] for f in self.bits if f.startswith(f"{a}=") and self.bits[f] // self.WORD == k]
                 if values:
-                    at = F.array_position(F.array(*map(F.lit, values)), r[a]).cast("int") - 1
-                    mask = mask.bitwiseOR(F.coalesce(F.get(F.array(*[F.lit(self.mask([f"{a}={v}"], k)).cast("long") for v in values]), at), F.lit(0)))
+                    at = F.array_position(F.expr(f"array({', '.join(map(_quoted, values))})"), r[a]).cast("int") - 1
+                    bits = F.expr("array(" + ", ".join(f"{self.mask([f'{a}={v}'], k)}L" for v in values) + ")")
+                    mask = mask.bitwiseOR(F.coalesce(F.get(bits, at), F.lit(0)))
             out.append(mask.alias(name))
         return out
 
     def table(self) -> Column:
         """The rules as an array of structs; a side that asks for nothing has ``any_`` set."""
 
-        def row(c: dict[str, object]) -> Column:
-            out = [F.lit(c[n]).alias(n) for n in ("keeps", "cls", "not_left", "not_right", "first")]
+        def row(c: dict[str, object]) -> str:
+            out = [f"'cls', {_quoted(c['cls'])}"] + [f"'{n}', {str(c[n]).lower()}" for n in ("keeps", "not_left", "not_right", "first")]
             for side in ("left", "here", "right"):
-                out += [F.lit(not c[side]).alias(f"any_{side}"), *(F.lit(self.mask(c[side], k)).cast("long").alias(f"{side}_{name}") for k, name in enumerate(self.masks))]
-            return F.struct(*out)
+                out += [f"'any_{side}', {str(not c[side]).lower()}", *(f"'{side}_{name}', {self.mask(c[side], k)}L" for k, name in enumerate(self.masks))]
+            return f"named_struct({', '.join(out)})"
 
-        return F.array(*[row(c) for c in self.rules])
+        return F.expr(f"array({', '.join(map(row, self.rules))})")
 
     def has(self, place: Column, rule: Column, side: str) -> Column:
         held = F.lit(False)
@@ -164,8 +169,8 @@ def best_path(classes: Column, scores: Column, bigrams: Bigrams | None = None) -
     """
     weights, unseen = (bigrams.weights, bigrams.unseen) if bigrams else (BIGRAMS, UNSEEN)
     names = sorted({c for pair in weights for c in pair})
-    matrix = F.array(*[F.array(*[F.lit(float(weights.get((a, b), unseen))) for b in names]) for a in names])
-    rows, known = F.array(*map(F.lit, names)), F.struct(matrix.alias("m"))
+    matrix = F.expr("array(" + ", ".join("array(" + ", ".join(f"{float(weights.get((a, b), unseen))!r}D" for b in names) + ")" for a in names) + ")")
+    rows, known = F.expr(f"array({', '.join(map(_quoted, names))})"), F.struct(matrix.alias("m"))
     ids = F.transform(classes, lambda p: F.transform(p, lambda c: F.array_position(rows, F.coalesce(c, F.lit(""))).cast("int") - 1))
 
     def step_weight(m: Column, a: Column, b: Column) -> Column:
