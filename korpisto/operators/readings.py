@@ -166,11 +166,14 @@ def valid(parts: list[Item]) -> bool:
 # -------------------------------------------------------------------- structure
 @dataclass
 class Stretch:
-    """Letters up to a boundary, a hyphen or a colon."""
+    """A run of items up to a joint of the word, which is the last item: a boundary, a bare hyphen, or a colon behind an abbreviation."""
 
-    letters: int = 0
-    given: str = ""  # structure that the dictionary states
-    short: bool = False  # an abbreviation or a numeral in digits
+    items: list[Item]
+    joint: str  # "B", "-", ":", or "" at the word's end
+    short: bool  # an abbreviation or a numeral in digits, at its end
+
+    def body(self) -> list[Item]:
+        return self.items[:-1] if self.joint else self.items
 
 
 def _shape(n: int, name: bool, short: bool) -> str:
@@ -179,63 +182,79 @@ def _shape(n: int, name: bool, short: bool) -> str:
     return (first + other * (n - 1) if name else other * n) if n > 0 else ""
 
 
-def _shortens(p: Item, parts: list[Item], total: int) -> bool:
+def _is_short(tag: Item, parts: list[Item], total: int) -> bool:
     """Whether a class tag begins an abbreviation, or a numeral written in digits."""
-    if _tag(p, "La"):
+    if _tag(tag, "La"):
         return True
-    digits = p.value == "Lu" and any(q.kind == "char" and q.at == p.at + 4 and q.value in "0123456789" for q in parts)
-    return (digits or p.value == "Lur") and p.at + 5 < total
+    digits = tag.value == "Lu" and any(q.kind == "char" and q.at == tag.at + 4 and q.value in "0123456789" for q in parts)
+    return (digits or tag.value == "Lur") and tag.at + 5 < total
+
+
+def _stated(some: list[Item]) -> str:
+    """The structure that the dictionary states in these items."""
+    return "".join(p.inner for p in some if p.kind == "mark" and p.value == "r")
+
+
+def _bare(some: list[Item]) -> int:
+    """Letters of the items beyond those whose structure is stated; below 0 where more is stated than has come."""
+    open_, taken = len(_stated(some).replace("=", "")), 0
+    for k, p in enumerate(some):
+        if p.kind == "char" and p.value not in "-:":
+            taken += 1
+        elif _is(p, "-") and p.at and taken < len(_stated(some[:k]).replace("=", "")):
+            taken += 1  # a hyphen of the stated structure
+    return taken - open_
+
+
+def stretches(parts: list[Item], total: int) -> list[Stretch]:
+    """The word cut at its joints."""
+    out, first, short = [], 0, False
+    for k, p in enumerate(parts):
+        if _tag(p, "L"):
+            short = _is_short(p, parts, total)
+        joint = "B" if _tag(p, "B") and len(p.value) == 2 and p.value != "Bh" else p.value if p.kind == "char" and p.value in "-:" and _bare(parts[first:k]) > 0 else ""
+        if joint == ":" and not short:
+            joint = ""
+        if joint:
+            out.append(Stretch(parts[first : k + 1], joint, short))
+            first, short = k + 1, short and joint != ":"
+        elif _is(p, ":"):
+            short = False
+    return [*out, Stretch(parts[first:], "", short)]
 
 
 def structure(parts: list[Item], size: int, total: int) -> str:
     """The expected case of each letter of a word of ``size`` letters, = at boundaries; ``total`` is the output's length."""
-    out, room, name = "=", size, False
-    here = Stretch()
-
-    def told() -> str:
-        """The rest of the stretch; a name's capital is for the first letter that is told."""
-        nonlocal name, room
-        n = here.letters - len(here.given.replace("=", ""))
-        text = _shape(n, name, here.short)
+    out, name, hyphens = "=", False, 0  # hyphens: those of the word so far, whether the structure states them or not
+
+    def room() -> int:
+        return max(0, size - len(re.sub("[=-]", "", out)) - hyphens)
+
+    for s in stretches(parts, total):
+        for k, p in enumerate(s.body()):
+            hyphens += _is(p, "-")
+            if p.kind == "mark" and p.value == "r":
+                name = False
+                fits = next((n for n in range(len(p.inner) + 1) if len(re.sub("[=-]", "", p.inner[:n])) >= room()), len(p.inner))
+                out += p.inner[:fits]
+            elif _tag(p, "Le"):
+                name = True
+            elif _is(p, ":"):
+                out += ":"
+            elif _is(p, "-") and p.at and not _bare(s.items[:k]):
+                out += "-"
+            elif _is(p, "-") and out == "=":
+                out = "-"
+        joint = s.items[-1] if s.joint else None
+        text = _shape(_bare(s.body()) if joint else room(), name, s.short)
         name &= not text
-        room = max(0, room - max(n, 0))
-        return text
-
-    for p in parts:
-        covers = len(here.given.replace("=", "")) - here.letters  # letters that the stated structure has still to cover
-        if p.kind == "mark" and p.value == "r":
-            name, taken = False, ""
-            for c in p.inner:
-                if room <= 0:
-                    break
-                taken, room = taken + c, room - (c not in "=-")
-            out, here.given = out + taken, here.given + taken
-        elif _tag(p, "B") and len(p.value) == 2 and p.value != "Bh":
-            out += "=" * (p.at == 1) + told()
-            out += "=" * (p.at != 1 and p.at + 5 < total and not out.endswith("="))
-            here = Stretch(short=here.short)
-        elif _tag(p, "L"):
-            name |= _tag(p, "Le")
-            here.short = _shortens(p, parts, total)
-        elif _is(p, "-"):
-            if covers < 0:
-                out += told() + "-"
-                here = Stretch(short=here.short)
-            elif p.at:
-                out += "-" * (covers == 0)
-                here.letters += covers > 0
-            room = max(0, room - 1)
-            out = "-" if len(out) == 1 else out
-        elif _is(p, ":"):
-            if here.short:
-                if covers < 0:
-                    out += told()
-                    here = Stretch()
-                here.short = False
-            out, room = out + ":", max(0, room - 1)
-        elif p.kind == "char":
-            here.letters += 1
-    return out + _shape(room, name, here.short)
+        if s.joint == "B":
+            out += "=" * (joint.at == 1) + text
+            out += "=" * (joint.at != 1 and joint.at + 5 < total and not out.endswith("="))
+        else:
+            out += text + s.joint
+            hyphens += s.joint == "-"
+    return out
 
 
 def mend_structure(text: str, parts: list[Item]) -> str:
@@ -324,116 +343,132 @@ def _based(some: list[Item], parts: list[Item], chars: dict[int, str], whole: bo
     return out[:at] + base.replace("=", "") if whole and base is not None else out
 
 
-@dataclass
-class Word:
-    """One part of a compound: what is written, the base and the identifier that the dictionary gives."""
+_MARK = re.compile(r"\[X([a-z])\]([^\[]*)\[X\]")
+_ENDS = re.compile(r"(-)(?=\[B)|\[L[^\[\]]*\]")
 
-    text: str = ""
-    base: str = ""
-    ident: str = ""
+
+@dataclass(frozen=True)
+class Word:
+    """One part of a compound, or a suffix joined to it: what is written, the base and the identifier that the dictionary gives."""
+
+    lead: str
+    text: str
+    base: str
+    ident: str
+
+    @staticmethod
+    def of(piece: str, lead: str) -> Word:
+        marks = _MARK.findall(piece)
+        based = [("+" if m == "j" and inner else "") + inner for m, inner in marks if m in "pj"]
+        text = re.sub(r"\[[^\[\]]*\]", "", _MARK.sub("", piece))
+        return Word(lead if text else "", text, based[-1] if based else "", next((inner for m, inner in reversed(marks) if m == "s"), ""))
+
+    def written(self, named: str) -> str:
+        return self.lead + self.text + named
+
+    def as_base(self) -> str:
+        """The last word of a compound is written as its base."""
+        lead = "" if self.base.startswith("+") else self.lead
+        return lead + self.base.replace("=", "") if self.base else self.lead + self.text
+
+
+def _words(output: str) -> list[Word]:
+    """Parts end at class tags and at hyphens before a boundary; a suffix behind letters is a word joined without a sign."""
+    out: list[Word] = []
+    ends = [*((m.start(), m.end(), m[1]) for m in _ENDS.finditer(output)), (len(output), len(output), None)]
+    first = 0
+    for start, end, hyphen in ends:
+        part, at = output[first:start], 0
+        for m in _MARK.finditer(part):
+            if m[1] == "j" and re.sub(r"\[[^\[\]]*\]", "", _MARK.sub("", part[: m.start()])):
+                out.append(Word.of(part[at : m.start()], "+" if not at else ""))
+                at = m.start()
+        out.append(Word.of(part[at:], "+" if not at else ""))
+        if hyphen:
+            out.append(Word("+-", "", "", ""))
+        first = end
+    return out
 
 
 def word_bases(parts: list[Item]) -> tuple[str, str | None]:
     """(WORDBASES, WORDIDS): parts joined by +, each with its base and its identifier in brackets."""
-    bases = ids = ""
-    cut = 0, 0  # where the last word begins that letters or a suffix opened
-    word, opened = Word(), False
+    output = "".join(f"[X{p.value}]{p.inner}[X]" if p.kind == "mark" else f"[{p.value}]" if p.kind == "tag" else p.value for p in parts)
+    *others, last = _words(output)
+    ident = lambda w: f"(w{w.ident})" * bool(w.ident)
+    base = lambda w: f"({w.base})" * bool(w.base)
+    bases = "".join(w.written(base(w)) for w in others) + last.as_base() + base(last)
+    ids = "".join(w.written(ident(w)) for w in others) + last.as_base() + ident(last)
+    return bases, ids if "[Xs]" in output else None
 
-    def closed() -> None:
-        nonlocal bases, ids, word
-        bases, ids, word = bases + f"({word.base})" * bool(word.base), ids + f"(w{word.ident})" * bool(word.ident), Word()
 
-    for k, p in enumerate(parts):
-        hyphen = _is(p, "-") and k + 1 < len(parts) and _tag(parts[k + 1], "B")
-        if hyphen or _tag(p, "L"):
-            closed()
-            opened = False
-            bases, ids = bases + "+-" * hyphen, ids + "+-" * hyphen
-        elif p.kind == "mark" and p.value == "s":
-            word.ident = p.inner
-        elif p.kind == "mark" and p.value == "p":
-            word.base = p.inner
-        elif p.kind == "mark" and p.value == "j":
-            if opened:
-                closed()
-                cut = len(bases), len(ids)
-            word.base = p.inner and "+" + p.inner
-        elif p.kind == "char":
-            if not opened:
-                bases, ids, opened = bases + "+", ids + "+", True
-                cut = len(bases), len(ids)
-            bases, ids = bases + p.value, ids + p.value
-    if word.base:  # the last word is written as its base
-        bases, ids = bases[: cut[0]], ids[: cut[1]]
-        if word.base.startswith("+"):
-            bases, ids = (bases[:-1], ids[:-1]) if bases.endswith("+") else (bases, ids)
-        plain = word.base.replace("=", "")
-        bases, ids = bases + plain + f"({word.base})", ids + plain
-    ids += f"(w{word.ident})" * bool(word.ident)
-    return bases, ids if any(p.kind == "mark" and p.value == "s" for p in parts) else None
+# ------------------------------------------------------------------- attributes
+@dataclass(frozen=True)
+class Seen:
+    """A tag with what the tags behind it say."""
+
+    letter: str
+    code: str
+    at: int
+    cls: str | None  # the word's class, if it is told behind this tag
+    mood: str | None
+    joined: bool  # whether a compound's boundary lies behind
+
+
+def _inflects(t: Seen, output: str) -> bool:
+    return t.cls not in ("etuliite", "seikkasana")
+
+
+def _classless(t: Seen, output: str) -> bool:
+    return t.cls is None
+
+
+def _participle(t: Seen, output: str) -> bool:
+    return not t.joined and (t.cls in (None, "laatusana") or output.endswith("[Ln]"))
+
+
+def _place(t: Seen, output: str) -> bool:
+    return t.cls in (None, "nimisana") and not re.search(r"\[Bc\]|\[Ll\]", output[t.at :])
+
+
+def _verb_follows(t: Seen, output: str) -> bool:
+    return t.cls in (None, "teonsana") and t.mood not in ("E-infinitive", "MINEN-infinitive", "MA-infinitive")
+
+
+#: Attribute, the letter of its tags, its values by code, and when a tag counts. Of the tags that count the last one wins, of _FIRST the first.
+_ATTRIBUTES = (
+    ("NUMBER", "N", NUMBER, _inflects), ("SIJAMUOTO", "S", CASE, _inflects), ("PERSON", "P", PERSON, None), ("MOOD", "T", MOOD, _classless), ("TENSE", "A", TENSE, None),
+    ("KYSYMYSLIITE", "F", {"ko": "true"}, None), ("FOCUS", "F", FOCUS, None), ("POSSESSIVE", "O", POSSESSIVE, None), ("COMPARISON", "C", COMPARISON, _classless),
+    ("NEGATIVE", "E", NEGATIVE, None), ("PARTICIPLE", "R", PARTICIPLE, _participle), ("MALAGA_VAPAA_JALKIOSA", "I", {"vj": "true"}, lambda t, output: not output.startswith("-")),
+    ("POSSIBLE_GEOGRAPHICAL_NAME", "I", {"ca": "true"}, _place), ("REQUIRE_FOLLOWING_VERB", "I", {"ra": "A-infinitive", "rm": "MA-infinitive"}, _verb_follows),
+)
+_FIRST = ("REQUIRE_FOLLOWING_VERB",)
+
+
+def _class_tag(tags: list[Item], output: str) -> int:
+    """The tag that tells the word's class: the last class tag, or a boundary behind a hyphen, which makes a prefix; -1 if there is none."""
+    prefix = lambda p: _tag(p, "Bc") and p.at >= 5 and output[: p.at].endswith(("-", "-[Bh]"))
+    return max((k for k, p in enumerate(tags) if _tag(p, "L") or prefix(p)), default=-1)
 
 
-# ------------------------------------------------------------------- attributes
 def attributes(parts: list[Item], output: str) -> dict[str, str]:
-    """Attributes from the tags, the last one first: later tags of a word win."""
-    out: dict[str, str] = {}
-    classed = adverbial = passed = False
-
-    def once(name: str, table: dict[str, str], code: str) -> None:
-        if name not in out and code in table:
-            out[name] = table[code]
-
-    for p in reversed([p for p in parts if p.kind == "tag" and len(p.value) > 0]):
-        letter, code = p.value[0], p.value[1:]
-        cls = out.get("CLASS")
-        apart = cls in ("etuliite", "seikkasana")
-        infinitive = out.get("MOOD") in ("E-infinitive", "MINEN-infinitive", "MA-infinitive")
-        if letter == "L":
-            if not classed or not code:
-                if code == "nl":
-                    adjective = adverbial or "COMPARISON" in out or output.startswith("[Lu]")
-                    out["CLASS"] = "laatusana" if adjective else "nimisana_laatusana"
-                elif code in CLASS:
-                    out["CLASS"] = CLASS[code]
-                classed = True
-        elif letter == "N" and not apart:
-            once("NUMBER", NUMBER, code)
-        elif letter == "P":
-            once("PERSON", PERSON, code)
-        elif letter == "S" and not apart:
-            if "SIJAMUOTO" not in out:
-                once("SIJAMUOTO", CASE, code)
-                adverbial |= code == "sti"
-        elif letter == "T" and cls is None:
-            once("MOOD", MOOD, code)
-        elif letter == "A":
-            once("TENSE", TENSE, code)
-        elif letter == "F":
-            if code == "ko":
-                out["KYSYMYSLIITE"] = "true"
-            else:
-                once("FOCUS", FOCUS, code)
-        elif letter == "O":
-            once("POSSESSIVE", POSSESSIVE, code)
-        elif letter == "C" and cls is None:
-            once("COMPARISON", COMPARISON, code)
-        elif letter == "E":
-            once("NEGATIVE", NEGATIVE, code)
-        elif letter == "R" and not passed and (cls in (None, "laatusana") or output.endswith("[Ln]")):
-            once("PARTICIPLE", PARTICIPLE, code)
-        elif letter == "I":
-            if code == "vj" and not output.startswith("-"):
-                out["MALAGA_VAPAA_JALKIOSA"] = "true"
-            elif code == "ca" and "[Bc]" not in output[p.at :] and "[Ll]" not in output[p.at :] and cls in (None, "nimisana"):
-                out["POSSIBLE_GEOGRAPHICAL_NAME"] = "true"
-            elif code in ("ra", "rm") and not infinitive and cls in (None, "teonsana"):
-                out["REQUIRE_FOLLOWING_VERB"] = "A-infinitive" if code == "ra" else "MA-infinitive"
-        elif letter == "B" and p.at >= 5 and code.startswith("c"):
-            if not classed and cls is None and (output[p.at - 1] == "-" or output[: p.at].endswith("-[Bh]")):
-                out["CLASS"], classed = "etuliite", True
-            passed = True
-        if p.at < 3:
-            break
+    """Attributes from the tags; what a tag may say depends on those behind it."""
+    tags = [p for p in parts if p.kind == "tag" and p.value]
+    decides = _class_tag(tags, output)
+    behind = {p.value for p in tags[decides + 1 :]}
+    cls = None
+    if decides >= 0:
+        code = tags[decides].value[1:]
+        cls = "etuliite" if _tag(tags[decides], "B") else CLASS.get(code)
+        if code == "nl" and cls and ("Ssti" in [p.value for p in tags[decides + 1 :] if _tag(p, "S") and p.value[1:] in CASE][-1:] or behind & {f"C{c}" for c in COMPARISON} or output.startswith("[Lu]")):
+            cls = "laatusana"
+    joints = [k for k, p in enumerate(tags) if _tag(p, "Bc") and p.at >= 5]
+    moods = [k for k, p in enumerate(tags) if _tag(p, "T") and p.value[1:] in MOOD and (k > decides or cls is None)]
+    seen = [Seen(p.value[0], p.value[1:], p.at, cls if k < decides else None, MOOD[tags[moods[-1]].value[1:]] if moods and moods[-1] > k else None, bool(joints) and joints[-1] > k) for k, p in enumerate(tags)]
+    out = {"CLASS": cls} if cls else {}
+    for name, letter, values, counts in _ATTRIBUTES:
+        found = [values[t.code] for t in seen if t.letter == letter and t.code in values and (counts is None or counts(t, output))]
+        if found:
+            out[name] = found[0 if name in _FIRST else -1]
     return out
 
 
