@@ -382,7 +382,22 @@ def two_part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compounds.two_part_compounds(words(table(spark, sf_dir, "documents")).distinct(), lexicon(spark, sf_dir))
 
 
-@query()
+@query(f"""
+with recursive x as materialized (select word from {LEXICON_SQL}), w as (select distinct word, length(word) as n from ({SQL_WORDS.format('documents')}) where word <> ''),
+f as materialized (select word, n, i, j, substr(word, i + 1, j - i) as piece from (select word, n, i, unnest(range(i + 1, n + 1)) as j from (select word, n, unnest(range(0, n)) as i from w where not contains(word, '-')))
+    where strlen(substr(word, i + 1, j - i)) >= 3),
+h as materialized (select f.*, piece in (select word from x) as own from f where piece in (select word from x) or (piece like '%s' and substr(word, j + 1, 2) = 'en' and left(piece, length(piece) - 1) || 'nen' in (select word from x))),
+l(link) as (values ('en'), ('n'), ('s'), ('i'), ('o'), ('u')),
+s as materialized (select word, n, i, j as next, piece as shown, 10 as cost from h where own
+    union all select word, n, i, j + length(link), piece || '+' || link, 15 from h, l where own and substr(word, j + 1, length(link)) = link and strlen(substr(word, j + length(link) + 1)) >= 3
+    union all select word, n, i, j + length(link), piece || '+' || link, 15 from h, l where (own or link = 'en') and substr(word, j + 1, length(link)) = link and j + length(link) < n),
+t as materialized (select *, cost + case when length(string_split(shown, '+')[1]) < 3 then 20 else 0 end as whole from s),
+r as (select word, n, next as place, shown as parts, 1 as k, whole as penalty from t where i = 0
+    union all select r.word, r.n, t.next, r.parts || '+' || t.shown, r.k + 1, r.penalty + t.whole from r join t on t.word = r.word and t.i = r.place where r.k < 5),
+y as (select word, string_split(word, '-') as ps from w where contains(word, '-')),
+z as (select word, ps from y where len(ps) between 2 and 5 and word not in (select word from (select word, unnest(ps) as p from y) where p not in (select word from x)))
+select word, parts, cast(penalty as int) as penalty from r where place = n and k >= 2
+union all select word, array_to_string(ps, '+-+') as parts, cast(5 * (len(ps) - 1) + list_sum(list_transform(ps, lambda p: case when length(p) < 3 then 30 else 10 end)) as int) as penalty from z""")
 def compound_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = compounds.compound_split(words(table(spark, sf_dir, "documents")).distinct(), lexicon(spark, sf_dir)).select("word", F.explode("splits").alias("s"))
     return made.select("word", F.array_join(F.transform("s.parts", lambda p: p.surface), "+").alias("parts"), F.col("s.penalty").alias("penalty"))
