@@ -1,7 +1,7 @@
 """Spelling verdicts, suggestions and edit candidates as joins and windows.
 
-Distances count UTF-8 bytes. Near words are found by an equi-join on deletion
-keys: two words within k edits share a variant with at most k bytes deleted.
+Distances count UTF-8 bytes. Near words are found by an equi-join on stretches: k edits
+leave one of k + 1 stretches of a word untouched, near its place.
 Verdicts on distinct words are joined back, so no cache is needed.
 """
 
@@ -28,21 +28,43 @@ def check(words: DataFrame, lexicon: DataFrame, user: DataFrame | None = None, s
     return words.join(marks, word, "left").withColumn(name, F.when(F.col("_known"), "Ok").otherwise("Failed")).drop("_known")
 
 
-def _deletions(word: Column, k: int) -> Column:
-    """All forms of the word's bytes with up to k of them deleted."""
-    forms = F.array(as_bytes(word))
-    for _ in range(k):
-        shorter = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
-        forms = let(forms, lambda fs: F.array_distinct(F.concat(fs, F.flatten(F.transform(fs, lambda w: F.when(F.length(w) > 0, shorter(w)).otherwise(F.array().cast("array<string>")))))))
-    return forms
+def _segments(size: Column, k: int) -> list[tuple[Column, Column]]:
+    """(start, length) of the k + 1 stretches of about equal length of a word of ``size`` bytes."""
+    cut = lambda n: F.floor(size * n / (k + 1)).cast("int")
+    return [(cut(n), cut(n + 1) - cut(n)) for n in range(k + 1)]
+
+
+def _own_segments(word: Column, k: int) -> Column:
+    """A lexicon word's stretches with their number."""
+    return F.array(*[F.struct(F.lit(n).alias("n"), F.substring(word, start + 1, size).alias("part")) for n, (start, size) in enumerate(_segments(F.length(word), k))])
+
+
+def _asked_segments(word: Column, k: int) -> Column:
+    """What a query has at the places where a word within k edits may have its stretches: (length of that word, number, part)."""
+    size, found = F.length(word), []
+    for longer in range(-k, k + 1):  # how many bytes more the other word has
+        for n, (start, length) in enumerate(_segments(size + longer, k)):
+            for shift in range(-k, k + 1):
+                if abs(shift) + abs(-longer - shift) <= k:  # edits before the stretch, and behind it
+                    at = start + shift
+                    fits = (size + longer >= 0) & (at >= 0) & (at + length <= size)
+                    found.append(F.when(fits, F.struct((size + longer).alias("size"), F.lit(n).alias("n"), F.substring(word, at + 1, length).alias("part"))))
+    return F.array_distinct(F.filter(F.array(*found), lambda s: s.isNotNull()))
 
 
 def fuzzy_search(queries: DataFrame, lexicon: DataFrame, k: int, word: str = "word") -> DataFrame:
-    """(query, candidate, distance) of all lexicon words within k byte edits of each distinct query."""
+    """(query, candidate, distance) of all lexicon words within k byte edits of each distinct query.
+
+    k edits leave one of k + 1 stretches of a word as it is, at most k bytes from its
+    place. So a word is filed under its stretches with its length, k + 1 rows, and a query
+    asks for those that it holds nearby. Only words of at most k bytes have empty stretches,
+    and such a word is near every other one of its length.
+    """
     q = queries.select(F.col(word).alias("query")).where("query is not null").distinct()
-    keyed_q = q.select("query", F.explode(_deletions(F.col("query"), k)).alias("key"))
-    keyed_w = lexicon.select(F.col("word").alias("candidate")).distinct().select("candidate", F.explode(_deletions(F.col("candidate"), k)).alias("key"))
-    pairs = keyed_q.join(keyed_w, "key").where(F.abs(F.octet_length("query") - F.octet_length("candidate")) <= k).select("query", "candidate").distinct()
+    w = lexicon.select(F.col("word").alias("candidate")).where("candidate is not null").distinct().withColumn("bytes", as_bytes(F.col("candidate")))
+    filed = w.select("candidate", F.length("bytes").alias("size"), F.explode(_own_segments(F.col("bytes"), k)).alias("s")).select("candidate", "size", "s.n", "s.part")
+    asked = q.withColumn("bytes", as_bytes(F.col("query"))).select("query", F.explode(_asked_segments(F.col("bytes"), k)).alias("s")).select("query", "s.size", "s.n", "s.part")
+    pairs = asked.join(filed, ["size", "n", "part"]).select("query", "candidate").distinct()
     return pairs.withColumn("distance", byte_levenshtein(F.col("query"), F.col("candidate"), k)).where("distance >= 0")
 
 

@@ -352,23 +352,33 @@ def valid_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query", "candidate", F.col("rank").cast("long").alias("rank"))
 
 
+_ALL_MISSPELLED = f"(select distinct substr(word, 1, 2) || substr(word, 4) as word from ({SQL_WORDS.format('benchmark')}) where word <> '')"
+_ALL_NEAR = f"(select q.word as query, l.word as candidate, levenshtein(q.word, l.word) as d from {_ALL_MISSPELLED} q join {LEXICON_SQL} l on abs(strlen(q.word) - strlen(l.word)) <= 2 and levenshtein(q.word, l.word) <= 2)"
+
+
 def _all_misspelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(table(spark, sf_dir, "benchmark")).select(F.expr("concat(substring(word, 1, 2), substring(word, 4))").alias("word")).distinct()
 
 
-@query()
+@query(f"select query, candidate, cast(d as bigint) as distance from {_ALL_NEAR}")
 def fuzzy_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``fuzzy_words`` for words of every length."""
     return spelling.fuzzy_search(_all_misspelled(spark, sf_dir), lexicon(spark, sf_dir), 2).select("query", "candidate", F.col("distance").cast("long").alias("distance"))
 
 
-@query()
+@query(f"select query, candidate, cast(rank as bigint) as rank from (select *, row_number() over (partition by query order by d, encode(candidate)) as rank from {_ALL_NEAR}) where rank <= 5")
 def all_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``suggestions`` for words of every length."""
     return spelling.suggest_unfiltered(_all_misspelled(spark, sf_dir), lexicon(spark, sf_dir), 2, 5).select("query", "candidate", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(f"""
+with w as (select word, length(word) as n from {_ALL_MISSPELLED}), a as (select unnest(string_split('abcdefghijklmnopqrstuvwxyzäö', '')) as c), i as (select word, n, unnest(range(0, n + 1)) as i from w),
+e as (select word, substr(word, 1, i) || substr(word, i + 2) as x from i where i < n
+union select word, substr(word, 1, i) || c || substr(word, i + 2) from i, a where i < n
+union select word, substr(word, 1, i) || c || substr(word, i + 1) from i, a
+union select word, substr(word, 1, i) || substr(word, i + 2, 1) || substr(word, i + 1, 1) || substr(word, i + 3) from i where i < n - 1)
+select word as query, count(distinct x) as n from e where x <> word and x <> '' group by 1""")
 def all_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``edit_counts`` for words of every length."""
     return spelling.edit_candidates(_all_misspelled(spark, sf_dir), 1).groupBy("query").agg(F.count("*").alias("n"))
