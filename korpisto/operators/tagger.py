@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korpisto.sources.codecs import TaggerModel
@@ -138,6 +138,38 @@ def feature_rows(df: DataFrame, words: str = "words") -> DataFrame:
     return cells.select(*df.columns, "position", F.explode("_fs").alias("feature"))
 
 
+def weight_table(spark: SparkSession, model: TaggerModel) -> DataFrame:
+    """(feature, weights): one row a feature, its weights in the order of the model's classes."""
+    rows = [(f, [int(w) for w in model.weights[:, k]]) for f, k in model.features.items()]
+    return spark.createDataFrame(rows, "feature string, weights array<int>")
+
+
+def classes_by_weights(cells: DataFrame, weights: DataFrame, classes: list[str], intercepts: list[float], scale: float, keys: list[str], name: str = "class") -> DataFrame:
+    """(keys, class): the best class of each key, the last of equals, from its features joined to a table of weights.
+
+    ``cells`` is (keys, feature), a feature as often as it counts; ``weights`` is (feature,
+    weights). The model is a table and may be of any size; unknown features count nothing. A
+    key's weights are summed as whole numbers before the shuffle and after it.
+    """
+    found = cells.select(*keys, "feature").join(weights, "feature", "left")
+    summed = found.groupBy(*keys).agg(*[F.sum(F.coalesce(F.get("weights", F.lit(k)), F.lit(0))).alias(f"_{k}") for k in range(len(classes))])
+    scores = F.array(*[F.struct((F.lit(float(b)) + F.lit(float(scale)) * F.col(f"_{k}")).alias("score"), F.lit(k).alias("k"), F.lit(c).alias("class")) for k, (c, b) in enumerate(zip(classes, intercepts))])
+    return summed.select(*keys, F.array_max(scores)["class"].alias(name))
+
+
+def tag_words_by_join(df: DataFrame, model: TaggerModel, keys: list[str], words: str = "words", name: str = "class") -> DataFrame:
+    """(keys, position, class): as ``tag_sentences``, a row a word, by joins with the model's table."""
+    cells = feature_rows(df.select(*keys, words), words)
+    return classes_by_weights(cells, weight_table(df.sparkSession, model), model.classes, list(model.intercepts), model.scale, [*keys, "position"], name)
+
+
+def surface_features(word: Column) -> Column:
+    """The features of a word that need no context: its ends to three letters, and its length in bytes; all built in."""
+    low, size = F.lower(word), F.length(word)
+    ends = [F.when(size >= k, F.concat(F.lit(f"suf{k}="), F.right(low, F.lit(k)))) for k in (1, 2, 3)] + [F.when(size >= k, F.concat(F.lit(f"pre{k}="), F.left(low, F.lit(k)))) for k in (1, 2, 3)]
+    return F.filter(F.array(*ends, F.concat(F.lit("len="), F.least(F.octet_length(word), F.lit(20)))), lambda f: f.isNotNull())
+
+
 def feature_counts(df: DataFrame, words: str = "words") -> DataFrame:
     """(feature, n): how often each feature occurs, as ``feature_rows`` would count it.
 

@@ -596,3 +596,22 @@ def tagger_context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tagger_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "conversations").select(F.split("text", " ").alias("words"))
     return tagger.feature_counts(texts)
+
+
+@query("""
+with t as (select conv_id, turn, role, list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '') as ws from conversations),
+c as (select conv_id, turn, role, unnest(ws) as word, generate_subscripts(ws, 1) - 1 as position from t),
+f as materialized (select conv_id, turn, role, position, unnest(list_filter(list_concat(list_transform(range(1, 4), lambda k: case when length(word) >= k then 'suf' || k || '=' || right(lower(word), k::int) end),
+    list_transform(range(1, 4), lambda k: case when length(word) >= k then 'pre' || k || '=' || left(lower(word), k::int) end), ['len=' || least(strlen(word), 20)]), lambda x: x is not null)) as feature from c),
+n as (select feature, count(*) as n, count(*) filter (role = 'assistant') as a, count(*) filter (role = 'system') as s, count(*) filter (role = 'user') as u from f group by 1),
+s as (select conv_id, turn, position, sum(100 * a // n) as a, sum(100 * s // n) as s, sum(100 * u // n) as u from f join n using (feature) group by all)
+select conv_id, turn, cast(position as bigint) as position, max([{'score': 0.5 + 0.125 * a, 'k': 0, 'class': 'assistant'}, {'score': 1.5 + 0.125 * s, 'k': 1, 'class': 'system'}, {'score': 0.0 + 0.125 * u, 'k': 2, 'class': 'user'}].list_max())['class'] as class
+from s group by all""")
+def role_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A linear model trained on the table as a table of weights, and the class that it gives every word: a feature's weight for a role is its share there, in percent."""
+    roles = ("assistant", "system", "user")
+    texts = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "").alias("ws"))
+    cells = texts.select("conv_id", "turn", "role", F.posexplode("ws").alias("position", "word")).select("conv_id", "turn", "role", F.col("position").cast("long").alias("position"), F.explode(tagger.surface_features(F.col("word"))).alias("feature"))
+    share = [F.floor(100 * F.sum((F.col("role") == r).cast("long")) / F.count("*")).cast("int") for r in roles]
+    weights = cells.groupBy("feature").agg(F.array(*share).alias("weights"))
+    return tagger.classes_by_weights(cells, weights, list(roles), [0.5, 1.5, 0.0], 0.125, ["conv_id", "turn", "position"])

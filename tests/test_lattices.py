@@ -72,3 +72,17 @@ def test_full_readings_go_the_same_way(spark):
     df = spark.sql(f"select array('x', 'y') as words, array(array(struct({full})), array(struct({full}))) as readings")
     assert [r.CLASS for r in d.disambiguate(df, "words", "readings").first().best] == ["teonsana"] * 2
     assert [[r.CLASS for r in p] for p in d.pruned(df, "readings").first().pruned] == [["teonsana"]] * 2
+
+
+def test_a_model_as_a_table_tags_as_the_matrix_does(spark):
+    import numpy as np
+
+    from korpisto.operators import tagger
+    from korpisto.sources.codecs import TaggerModel
+
+    rng = np.random.default_rng(2)
+    sentences = [(n, ["Koira", "juoksee", "nopeasti", "koira", ".", "ja", "A-1"][: 1 + n % 7]) for n in range(20)] + [(20, [])]
+    known = sorted({f for _, ws in sentences for i in range(len(ws)) for f in tagger.features(ws, i)})[::2]
+    model = TaggerModel(["A", "B", "C"], {f: k for k, f in enumerate(known)}, np.array([0.0, 0.5, 0.0], np.float32), 0.25, rng.integers(-2, 3, (3, len(known))).astype(np.int8))
+    got = tagger.tag_words_by_join(spark.createDataFrame(sentences, "n int, words array<string>"), model, ["n"]).collect()
+    assert {(r.n, r.position): r["class"] for r in got} == {(n, i): c for n, ws in sentences for i, c in enumerate(tagger.best_classes(model, ws) if ws else [])}
