@@ -13,6 +13,9 @@ holding at least CLASS, NUMBER, SIJAMUOTO, PERSON, POSSESSIVE and COMPARISON.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,10 +112,12 @@ def _word_rules(words: Column, rules: set[str], has_readings: bool, cases: dict[
         starts_sentence = w.first | w.gap.rlike("[.!?]")
         upper_first = F.substring(w.text, 1, 1).rlike("^\\p{IsUppercase}")
         out: list[Column] = []
+        hits: list[Column] = []
 
         def add(code: str, condition: Column, finding: Column) -> None:
             if code in rules:
-                out.append(_pick(F.coalesce(condition, F.lit(False)), finding))
+                hits.append(F.coalesce(condition, F.lit(False)))
+                out.append(_pick(hits[-1], finding))
 
         add("REPEATED_WORD", (w.low == p.low) & (F.length(w.text) > 1) & ~w.low.isin(*REPEATS_ALLOWED), _finding(w.start, w.end, "REPEATED_WORD", _say("Repeated word: \"", w.text, "\""), F.lit("")))
         add("CAPITALIZATION_ERROR", starts_sentence & ~upper_first, _finding(w.start, w.end, "CAPITALIZATION_ERROR", _say("Sentence should start with a capital letter: \"", w.text, "\""), _capital(w.text)))
@@ -147,7 +152,8 @@ def _word_rules(words: Column, rules: set[str], has_readings: bool, cases: dict[
             add("POSTPOSITION_CASE", w.low.isin(*POSTPOSITIONS) & rp.CLASS.isin(*NOUNS) & ~rp.SIJAMUOTO.isin(*cases["genitive"]), _finding(p.start, w.end, "POSTPOSITION_CASE", _say("Postposition \"", w.text, "\" requires genitive case, but \"", p.text, "\" appears to be in a different case")))
             add("COMPARATIVE_PARTITIVE", (rp.CLASS == "laatusana") & (rp.COMPARISON == "comparative") & r.CLASS.isin(*NOUNS) & r.SIJAMUOTO.isin(*cases["partitive"]), _finding(p.start, w.end, "COMPARATIVE_PARTITIVE", _say("Comparative \"", p.text, "\" followed by partitive \"", w.text, "\"")))
             add("POSSESSIVE_REDUNDANCY", p.low.isin(*POSSESSIVES) & r.CLASS.isin(*NOUNS, "laatusana") & r.POSSESSIVE.isNotNull(), _finding(p.start, w.end, "POSSESSIVE_REDUNDANCY", _say("Possessive pronoun \"", p.text, "\" is redundant when \"", w.text, "\" already has a possessive suffix"), w.text))
-        return F.concat(*out) if out else _none()
+        # most words break no rule, and for those nothing is built
+        return F.when(reduce(or_, hits), F.concat(*out)).otherwise(_none()) if out else _none()
 
     return F.flatten(F.transform(words, one))
 
@@ -256,7 +262,7 @@ def grammar_check(
     known = F.col(readings) if readings else None
     place = F.create_map(*[x for i, r in enumerate(RULES) for x in (F.lit(r), F.lit(i))])
 
-    def found(token_array: Column, words: Column) -> Column:
+    def found(body: Column, token_array: Column, words: Column) -> Column:
         parts = [_word_rules(words, chosen, readings is not None, cases), _token_rules(token_array, chosen)]
         if "DOUBLE_NEGATION" in chosen:
             parts.append(_double_negation(words))
@@ -267,5 +273,9 @@ def grammar_check(
         order = F.transform(F.concat(*parts), lambda f: F.struct(f.start.alias("start"), f.end.alias("end"), F.element_at(place, f.code).alias("rule"), f.alias("finding")))
         return F.transform(F.array_sort(order), lambda o: o.finding)
 
-    # Tokens and words are bound within the expression: a column of their own could be drawn into every use.
-    return df.withColumn(name, let(tokens(body), lambda t: let(words_with_context(t, body, known), lambda w: found(t, w))))
+    def bound(given: Column) -> Column:
+        text_, readings_ = given["text"], given["readings"] if readings else None
+        return let(tokens(text_), lambda t: let(words_with_context(t, text_, readings_), lambda w: found(text_, t, w)))
+
+    # Text, tokens and words are bound within the expression: columns of their own could be drawn into every use.
+    return df.withColumn(name, let(F.struct(body.alias("text"), *([known.alias("readings")] if readings else [])), bound))

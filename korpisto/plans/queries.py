@@ -422,10 +422,72 @@ def double_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def grammar_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = grammar.grammar_check(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+    texts = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    found = grammar.grammar_check(texts.repartition(shuffle_partitions(spark), "conv_id", "turn"))  # rules take long, and the files may be few
     return found.select(F.explode("findings").alias("f")).groupBy(F.col("f.code").alias("code")).agg(F.count("*").alias("n"))
 
 
+#: A word by the remainder of its letters and place by 16: what the reading rules look for; others stay as they are.
+_CUES = {0: "kaksi", 1: "ei", 2: "minä", 3: "he", 4: "kanssa", 5: "minun", 6: "sata", 7: "en"}
+_CASES = ("ospitkasija", "npitkasija", "ompitkasija", "partitiivi")
+_CLASSES = ("nimisana", "teonsana", "laatusana", "etunimi", "asemosana", "seikkasana", "kieltosana")
+_CUED_SQL = """
+t as (select conv_id, turn, list_filter(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g'), ' '), lambda x: x <> '') as ws from conversations),
+c as (select conv_id, turn, unnest(ws) as o, generate_subscripts(ws, 1) as i, len(ws) as n from t), d as (select *, length(o) as z from c),
+x as materialized (select conv_id, turn, i, n, z, case (z + i) % 16 {cues} else o end as w, list_extract([{classes}], 1 + z % 7) as cls, case when z % 3 = 0 then 'plural' when z % 3 = 1 then 'singular' end as number,
+    list_extract([{cases}], 1 + (z + i) % 4) as sijamuoto, cast(1 + z % 4 as varchar) as person, case when z % 2 = 0 then 'comparative' end as comparison, case when z % 4 = 1 then '1s' end as possessive from d)""".format(
+    cues=" ".join(f"when {k} then '{w}'" for k, w in _CUES.items()), classes=", ".join(f"'{c}'" for c in _CLASSES), cases=", ".join(f"'{c}'" for c in _CASES)
+)
+
+
+def _in(column: str, words_: tuple[str, ...]) -> str:
+    return f"{column} in ({', '.join(repr(w) for w in words_)})"
+
+
+def _reading_rules_sql() -> str:
+    g = grammar
+    subjects, cases = (*g.NOUNS, "asemosana"), g.CASE_NAMES
+    person = lambda w: f"case {w} " + " ".join(f"when '{k}' then '{v[2]}'" for k, v in g.PRONOUNS.items()) + " end"
+    return " union all ".join(f"select conv_id, turn, '{code}' as code from y where {test}" for code, test in (
+        ("CAPITALIZATION_ERROR", "i = 1 and not regexp_matches(w, '^[A-Z]')"), ("CAPITALIZATION_ERROR", f"i > 1 and {_in('cls', g.PROPER_NOUNS)} and not regexp_matches(w, '^[A-Z]')"),
+        ("AGREEMENT_ERROR", f"(({_in('p.cls', subjects)} and {_in('cls', g.VERBS)}) or ({_in('p.cls', g.VERBS)} and {_in('cls', subjects)})) and p.number <> number"),
+        ("NUMBER_AGREEMENT", f"{_in('lower(p.w)', g.NUMERALS)} and {_in('cls', g.NOUNS)} and (coalesce(number = 'plural', false) or not {_in('sijamuoto', cases['partitive'])})"),
+        ("PARTITIVE_OBJECT", f"{_in('lower(q.w)', g.NEGATIONS)} and p.cls = 'teonsana' and {_in('cls', g.NOUNS)} and {_in('sijamuoto', cases['not_partitive'])}"),
+        ("SUBJECT_VERB_PERSON", f"cls = 'teonsana' and {person('lower(p.w)')} <> person"), ("SUBJECT_VERB_PERSON", f"p.cls = 'teonsana' and {person('lower(w)')} <> p.person"),
+        ("POSTPOSITION_CASE", f"{_in('lower(w)', g.POSTPOSITIONS)} and {_in('p.cls', g.NOUNS)} and not {_in('p.sijamuoto', cases['genitive'])}"),
+        ("COMPARATIVE_PARTITIVE", f"p.cls = 'laatusana' and p.comparison = 'comparative' and {_in('cls', g.NOUNS)} and {_in('sijamuoto', cases['partitive'])}"),
+        ("POSSESSIVE_REDUNDANCY", f"{_in('lower(p.w)', g.POSSESSIVES)} and {_in('cls', (*g.NOUNS, 'laatusana'))} and possessive is not null"),
+        ("MISSING_MAIN_VERB", f"i = n and n >= 3 and not list_has_any(list(cls) over (partition by conv_id, turn), {list(g.VERBS)})"),
+    ))
+
+
+@query(f"""
+with {_CUED_SQL}, y0 as (select conv_id, turn, i, n, w, cls, number, sijamuoto, person, comparison, possessive,
+    lag({{'w': w, 'cls': cls, 'number': number, 'sijamuoto': sijamuoto, 'person': person, 'comparison': comparison}}) over o as p, lag({{'w': w}}, 2) over o as q, list(cls) over (partition by conv_id, turn) as all_cls from x window o as (partition by conv_id, turn order by i)),
+y as materialized (select * from y0)
+select conv_id, turn, code, count(*) as n from ({_reading_rules_sql().replace("list(cls) over (partition by conv_id, turn)", "all_cls")}) group by all""")
+def reading_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the rules that ask for readings, over whole conversations of plain words: the words they look for stand at places that letters and position tell, and readings follow from the letters."""
+    texts = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", ""), " "), lambda w: w != "").alias("ws"))
+    listed = lambda vs, at: F.get(F.array(*map(F.lit, vs)), at)
+
+    def cued(w: Column, i: Column) -> Column:
+        cue = (F.length(w) + i + 1) % 16
+        return F.coalesce(*[F.when(cue == k, F.lit(c)) for k, c in _CUES.items()], w)
+
+    def reading(w: Column, i: Column) -> Column:
+        z = F.length(w)
+        return F.struct(
+            listed(_CLASSES, z % 7).alias("CLASS"), F.when(z % 3 == 0, "plural").when(z % 3 == 1, "singular").alias("NUMBER"), listed(_CASES, (z + i + 1) % 4).alias("SIJAMUOTO"),
+            (1 + z % 4).cast("string").alias("PERSON"), F.when(z % 2 == 0, "comparative").alias("COMPARISON"), F.when(z % 4 == 1, "1s").alias("POSSESSIVE"),
+        )
+
+    rows = texts.repartition(shuffle_partitions(spark), "conv_id", "turn").select("conv_id", "turn", F.array_join(F.transform("ws", cued), " ").alias("text"), F.transform("ws", reading).alias("readings"))
+    codes = ("CAPITALIZATION_ERROR", "AGREEMENT_ERROR", "NUMBER_AGREEMENT", "PARTITIVE_OBJECT", "SUBJECT_VERB_PERSON", "POSTPOSITION_CASE", "COMPARATIVE_PARTITIVE", "POSSESSIVE_REDUNDANCY", "MISSING_MAIN_VERB")
+    found = grammar.grammar_check(rows, readings="readings", rules=codes)
+    return found.select("conv_id", "turn", F.explode("findings.code").alias("code")).groupBy("conv_id", "turn", "code").agg(F.count("*").alias("n"))
+
+
 # ------------------------------------------------------------------ disambiguation
 #: One rule of each kind, with its condition in SQL: p and q are whether the word before and after has an odd number of letters, bp, b and bq the first letters.
 _RULE_KINDS = (
