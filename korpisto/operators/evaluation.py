@@ -108,6 +108,17 @@ def confusions(results: DataFrame, n: int | None = None) -> DataFrame:
     return out if n is None else out.orderBy(F.desc("count"), "gold_upos", "pred_upos").limit(n)
 
 
+def rollup(results: DataFrame, *by: str) -> DataFrame:
+    """(by, level, total, hits, rate): how many tags are right, for each group, each group of the columns before, and all.
+
+    ``level`` has a bit for each column that is rolled up, the last one lowest, so a
+    null of the data and one of the rollup differ.
+    """
+    hit = F.coalesce((F.col("gold_upos") == F.col("pred_upos")).cast("long"), F.lit(0))
+    out = results.rollup(*by).agg(F.grouping_id().alias("level"), F.count("*").alias("total"), F.sum(hit).alias("hits"))
+    return out.withColumn("rate", F.col("hits") / F.col("total"))
+
+
 def align_greedy(predicted: Column, gold: Column) -> Column:
     """For each gold form the index of the predicted word it takes, null for none.
 

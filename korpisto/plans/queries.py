@@ -273,6 +273,15 @@ def label_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.confusions(_results(spark, sf_dir)).withColumnRenamed("count", "n")
 
 
+@query("""
+select lang, source, quality::varchar as quality, cast(grouping_id(lang, source, quality) as bigint) as level, count(*) as total, cast(sum(case when quality = toxic then 1 else 0 end) as bigint) as hits,
+    round(sum(case when quality = toxic then 1 else 0 end) / count(*), 12) as rate from labels join documents using (doc_id) group by rollup (lang, source, quality)""")
+def label_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"), F.col("quality").cast("string").alias("gold_upos"), F.col("toxic").cast("string").alias("pred_upos"))
+    known = marks.join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
+    return evaluation.rollup(known, "lang", "source", "quality").withColumn("rate", F.round("rate", 12))
+
+
 def _strip_sql(suffixes: tuple[str, ...]) -> str:
     cases = " ".join(f"when ends_with(w, '{s}') and length(w) >= {len(s) + 2} then substr(w, 1, length(w) - {len(s)})" for s in suffixes)
     return f"case {cases} else w end"

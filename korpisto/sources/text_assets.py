@@ -10,10 +10,10 @@ from pyspark.sql import types as T
 # ----------------------------------------------------------------------- CoNLL-U
 def _blocks(spark: SparkSession, path: str) -> DataFrame:
     """(block, lines): one row a sentence, numbered in reading order; blank lines part sentences, with either line end."""
-    text = spark.read.option("lineSep", "\n\n").text(path).withColumn("at", F.monotonically_increasing_id())
-    parts = text.select("at", F.posexplode(F.split("value", "\r?\n[ \t]*\r\n")).alias("k", "value"))
+    text = spark.read.option("lineSep", "\n\n").text(path)
+    parts = text.select(F.explode(F.split("value", "\r?\n[ \t]*\r\n")).alias("value")).withColumn("block", F.monotonically_increasing_id())
     lines = F.filter(F.split("value", "\r?\n"), lambda line: F.trim(line) != "")
-    return parts.select((F.col("at") * (1 << 20) + F.col("k")).alias("block"), lines.alias("lines")).where("size(lines) > 0")
+    return parts.select("block", lines.alias("lines")).where("size(lines) > 0")
 
 
 def _comment(name: str) -> Column:
