@@ -21,7 +21,9 @@ two sets about as often as the sets' likeness.
 3. The joint likelihood of two sketches, given the exact sizes, estimates the
    likeness; pairs far below the threshold end there.
 4. The rest is verified on the full sets of both texts.
-5. Components of the verified links come from minimum labels and pointer jumps.
+5. Components of the verified links come from minimum labels and pointer jumps. A label
+   that very many rows ask for, of a hub, a component or a set of equal texts, is first
+   told to their distinct pairs with a share, so that no task gets all of them.
 
 Pairs at the threshold itself are missed by all bands with a chance below one
 in a million; likelier pairs far more rarely. Rows that share an id are rows of
@@ -41,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from korpisto.llm.common import BYTE_CODE, U64, drop, keyed, materialise, mix, prefix, shuffle_partitions, spans, text_chunks, words_of
+from korpisto.llm.common import BYTE_CODE, U64, drop, keyed, materialise, mix, prefix, shuffle_partitions, spans, text_chunks, told, words_of
 
 BANDS, ROWS = 52, 5
 REGISTERS = BANDS * ROWS
@@ -225,10 +227,10 @@ def components(links: DataFrame) -> DataFrame:
     both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("label")))
     while True:
-        near = both.join(labels.withColumnRenamed("key", "b"), "b").groupBy("a").agg(F.min("label").alias("m")).withColumnRenamed("a", "key")
+        near = told(both, labels.withColumnRenamed("key", "b"), "b", "a").groupBy("a").agg(F.min("label").alias("m")).withColumnRenamed("a", "key")
         lower = labels.join(near, "key").select("key", "label", F.least("label", "m").alias("next"))
         jump = labels.select(F.col("key").alias("next"), F.col("label").alias("beyond"))
-        moved = materialise(lower.join(jump, "next").select("key", "label", F.least("next", "beyond").alias("next")))
+        moved = materialise(told(lower, jump, "next", "key").select("key", "label", F.least("next", "beyond").alias("next")))
         changed = moved.where("next < label").limit(1).count()
         drop(labels)
         labels = materialise(moved.select("key", F.col("next").alias("label")))
@@ -266,8 +268,8 @@ def classes(base: DataFrame, *, size: int = 5, percent: int = 75) -> DataFrame:
     filled = sketches.where("n > 0")
     by_block = filled.groupBy("low", "high", "block").agg(F.min("key").alias("first"))
     whole = by_block.groupBy("low", "high").agg(F.min("first").alias("rep"))
-    told = by_block.join(whole.hint("merge"), ["low", "high"]).select("low", "high", "block", "rep")
-    equal = filled.select("key", "n", "low", "high", "block").join(told.hint("merge"), ["low", "high", "block"]).select("key", "n", "rep")
+    by_rep = by_block.join(whole.hint("merge"), ["low", "high"]).select("low", "high", "block", "rep")
+    equal = filled.select("key", "n", "low", "high", "block").join(by_rep.hint("merge"), ["low", "high", "block"]).select("key", "n", "rep")
     members = materialise(equal.unionByName(sketches.where("n = 0").select("key", "n", F.col("key").alias("rep"))))
     chosen = members.where("n > 0 and key = rep").select("key")
     reps = materialise(filled.select("key", "n", "regs").join(chosen.hint("merge"), "key", "left_semi"))
@@ -325,7 +327,7 @@ def classes(base: DataFrame, *, size: int = 5, percent: int = 75) -> DataFrame:
     labels = components(reduce(DataFrame.union, found))
     for table in (open_, rare, texts, reps, *found):
         drop(table)
-    return members.join(labels.withColumnRenamed("key", "rep"), "rep", "left").select("key", "n", F.coalesce("label", "rep").alias("component"))
+    return told(members, labels.withColumnRenamed("key", "rep"), "rep", "key", "left").select("key", "n", F.coalesce("label", "rep").alias("component"))
 
 
 def near_dedup(docs: DataFrame, *, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,7 +339,7 @@ def near_dedup(docs: DataFrame, *, size: int = 5, percent: int = 75, id_col: str
     else:
         ids = found.join(base.select("key", "id"), "key")
         lowest = ids.groupBy("component").agg(F.min("id").alias("component_id"))
-        rows = ids.join(lowest, "component").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+        rows = told(ids, lowest, "component", "key").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
