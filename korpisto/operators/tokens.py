@@ -157,6 +157,30 @@ def sentences(text: Column, abbreviations: Column | None = None) -> Column:
     return let(token_texts(F.coalesce(text, F.lit(""))), lambda ts: F.aggregate(typed(ts), start, step, close))
 
 
+def dotted_words(text: Column) -> Column:
+    """The distinct words of a text that a dot follows, with it."""
+    def of(ts: Column) -> Column:
+        pairs = F.zip_with(ts, F.slice(ts, F.lit(2), F.size(ts)), lambda t, n: F.when((n == ".") & (token_type(t) == "WORD"), F.concat(t, n)))
+        return F.array_distinct(F.filter(pairs, lambda w: w.isNotNull()))
+
+    return let(token_texts(F.coalesce(text, F.lit(""))), of)
+
+
+def with_abbreviations(df: DataFrame, lexicon: DataFrame, key: list[str], text: str = "text", name: str = "abbreviations", shares: int = 16) -> DataFrame:
+    """The input with the array of its text's words that ``lexicon`` (column ``word``, with the dot) holds, for ``sentences``.
+
+    The lexicon may be of any size. A word that many texts have is met in ``shares``
+    places, dealt by the key. Rows that share a key share their words, which changes
+    nothing: a sentence asks only for words of its own text. Null texts have none.
+    """
+    keys = [F.col(k).alias(f"_{i}") for i, k in enumerate(key)]
+    asked = df.select(*keys, F.explode(dotted_words(F.col(text))).alias("word")).withColumn("share", F.pmod(F.xxhash64(*(f"_{i}" for i in range(len(key)))), F.lit(shares)))
+    known = lexicon.select("word").distinct().withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    found = asked.join(known, ["word", "share"], "left_semi").groupBy(*(f"_{i}" for i in range(len(key)))).agg(F.collect_set("word").alias("_found"))
+    same = [F.col(f"_.{k}").eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(key)]
+    return df.alias("_").join(found, same, "left").select("_.*", F.coalesce("_found", F.array().cast("array<string>")).alias(name))
+
+
 def explode_sentences(df: DataFrame, text: str = "text", abbreviations: Column | None = None) -> DataFrame:
     """One row a sentence: the input's columns with sentence_index, sentence_type and sentence."""
     parts = sentences(F.col(text), abbreviations)

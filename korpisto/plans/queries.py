@@ -135,6 +135,26 @@ def sentence_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", total.cast("long").alias("characters"))
 
 
+_L = RE2["letter"]
+
+
+@query(f"""
+with t as (select conv_id, turn, regexp_replace(regexp_replace(coalesce(text, ''), '([{_L}])\\.([{_L}])', '\\1{{}}\\2', 'g'), '([{_L}])\\.([{_L}])', '\\1{{}}\\2', 'g') as x from conversations),
+s as (select *, unnest(ss) as s, generate_subscripts(ss, 1) as i, len(ss) as n from (select conv_id, turn, regexp_extract_all(x, '[^.]*\\.[ \n]*|[^.]+$') as ss from t)),
+w as (select *, regexp_extract(s, '(?:^|[^{_L}])([{_L}]+)\\.[ \n]*$', 1) as w, coalesce(lead(s) over (partition by conv_id, turn order by i), '') as nxt from s),
+a as (select w from w where length(w) between 2 and 3 group by w having count(*) >= 3)
+select conv_id, turn, cast(i - 1 as bigint) as sentence_index,
+    case when i = n then 'NONE' when (length(w) = 1 and w <> lower(w)) or w in (from a) or (not regexp_matches(s, '[ \n]$') and regexp_matches(nxt, '^[{_L}0-9]')) then 'POSSIBLE' else 'PROBABLE' end as sentence_type,
+    replace(s, '{{}}', '.') as sentence from w""".replace("{}", "\x01"))
+def abbreviated_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of whole conversations, with words of two or three letters that stand before a dot three times as abbreviations."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    known = turns.select(F.explode(F.regexp_extract_all("text", F.lit(f"(?<![{chars.LETTER}])[{chars.LETTER}]{{2,3}}\\.(?![{chars.LETTER}])"), F.lit(0))).alias("word")).groupBy("word").count().where("count >= 3")
+    marked = tokens.with_abbreviations(turns, known, ["conv_id", "turn"])
+    parts = tokens.explode_sentences(marked, abbreviations=F.col("abbreviations"))
+    return parts.select("conv_id", "turn", F.col("sentence_index").cast("long").alias("sentence_index"), "sentence_type", "sentence")
+
+
 @query()
 def sentence_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = tokens.explode_sentences(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))

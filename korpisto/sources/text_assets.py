@@ -2,18 +2,79 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from korpisto.session import ship
 
 
 # ----------------------------------------------------------------------- CoNLL-U
+_FILE_BITS = 42  # of a sentence's number belong to its place in the file, the others to the file
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, start, k, edge, lines) of each range of a file: sentence k lies behind its k-th blank line.
+
+    Sentences that may go on in a neighbouring range are edges: the lines before the
+    first blank line (k = 0) and those behind the last one.
+    """
+    def rows() -> Iterator[tuple]:
+        place, k, lines = None, 0, []
+        for b in batches:
+            for value, file, start in zip(*(c.to_pylist() for c in b.columns)):
+                if (file, start) != place:
+                    if place:
+                        yield *place, k, True, lines
+                    place, k, lines = (file, start), 0, []
+                if value.strip(" \t\r"):
+                    lines.append(value.rstrip("\r"))
+                    continue
+                if lines or not k:
+                    yield *place, k, not k, lines
+                k, lines = k + 1, []
+        if place:
+            yield *place, k, True, lines
+
+    schema, made = to_arrow_schema(_RANGES), rows()
+    while part := list(islice(made, 2048)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
+
+
+_RANGES = T.StructType().add("file", "string").add("start", "long").add("k", "long").add("edge", "boolean").add("lines", T.ArrayType(T.StringType()))
+
+
+def _location(path: str) -> Column:
+    """A file's address with one slash behind its scheme, where Spark writes one or three."""
+    return F.regexp_replace(path, "^([^:/]+):/+", "$1:/")
+
+
 def _blocks(spark: SparkSession, path: str) -> DataFrame:
-    """(block, lines): one row a sentence, numbered in reading order; blank lines part sentences, with either line end."""
-    text = spark.read.option("lineSep", "\n\n").text(path)
-    parts = text.select(F.explode(F.split("value", "\r?\n[ \t]*\r\n")).alias("value")).withColumn("block", F.monotonically_increasing_id())
-    lines = F.filter(F.split("value", "\r?\n"), lambda line: F.trim(line) != "")
-    return parts.select("block", lines.alias("lines")).where("size(lines) > 0")
+    """(block, lines): one row a sentence; blank lines part sentences, with either line end.
+
+    Spark deals byte ranges of the files to tasks, whatever the line ends. Only the
+    edges of ranges are shuffled and put together, for which the files are read once
+    more. ``block`` orders sentences by file and place and needs no count of what
+    lies before: it is the file's number and the range's first byte plus the blank
+    lines since, of which each takes a byte.
+    """
+    ship(spark)
+    text = spark.read.text(path)
+    ranges = text.select("value", _location("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).mapInArrow(_cut, _RANGES)
+    order = Window.partitionBy("file").orderBy("start", "k")  # two rows a range
+    edges = ranges.where("edge").withColumn("chain", F.sum((F.col("k") > 0).cast("long")).over(order))
+    parts = F.array_sort(F.collect_list(F.when(F.size("lines") > 0, F.struct("start", "k", "lines"))))
+    joined = edges.groupBy("file", "chain").agg(parts.alias("parts")).where("size(parts) > 0")
+    joined = joined.select("file", (F.col("parts")[0]["start"] + F.col("parts")[0]["k"]).alias("at"), F.flatten(F.transform("parts", lambda p: p["lines"])).alias("lines"))
+    whole = ranges.where("not edge").select("file", (F.col("start") + F.col("k")).alias("at"), "lines")
+    files = spark.createDataFrame([(f, k) for k, f in enumerate(sorted(set(text.inputFiles())))], "file string, number long").withColumn("file", _location("file"))
+    room = F.when(F.col("at") < 1 << _FILE_BITS, F.col("at")).otherwise(F.raise_error(F.lit("a treebank file of four terabytes or more")))
+    return whole.union(joined).join(files, "file").select((F.shiftleft("number", _FILE_BITS) + room).alias("block"), "lines")
 
 
 def _comment(name: str) -> Column:
