@@ -138,14 +138,15 @@ def sentence_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 _L = RE2["letter"]
 
 
-@query(f"""
-with t as (select conv_id, turn, regexp_replace(regexp_replace(coalesce(text, ''), '([{_L}])\\.([{_L}])', '\\1{{}}\\2', 'g'), '([{_L}])\\.([{_L}])', '\\1{{}}\\2', 'g') as x from conversations),
+# Conversations hold letters, digits, spaces, line ends, commas and dots; a dot inside a word ends nothing.
+_SENTENCES = f"""t as (select conv_id, turn, regexp_replace(regexp_replace(coalesce(text, ''), '([{_L}])\\.([{_L}])', '\\1\x01\\2', 'g'), '([{_L}])\\.([{_L}])', '\\1\x01\\2', 'g') as x from conversations),
 s as (select *, unnest(ss) as s, generate_subscripts(ss, 1) as i, len(ss) as n from (select conv_id, turn, regexp_extract_all(x, '[^.]*\\.[ \n]*|[^.]+$') as ss from t)),
 w as (select *, regexp_extract(s, '(?:^|[^{_L}])([{_L}]+)\\.[ \n]*$', 1) as w, coalesce(lead(s) over (partition by conv_id, turn order by i), '') as nxt from s),
-a as (select w from w where length(w) between 2 and 3 group by w having count(*) >= 3)
-select conv_id, turn, cast(i - 1 as bigint) as sentence_index,
-    case when i = n then 'NONE' when (length(w) = 1 and w <> lower(w)) or w in (from a) or (not regexp_matches(s, '[ \n]$') and regexp_matches(nxt, '^[{_L}0-9]')) then 'POSSIBLE' else 'PROBABLE' end as sentence_type,
-    replace(s, '{{}}', '.') as sentence from w""".replace("{}", "\x01"))
+a as (select w from w where length(w) between 2 and 3 group by w having count(*) >= 3)"""
+_SENTENCE_TYPE = f"case when i = n then 'NONE' when (length(w) = 1 and w <> lower(w)) or known or (not regexp_matches(s, '[ \n]$') and regexp_matches(nxt, '^[{_L}0-9]')) then 'POSSIBLE' else 'PROBABLE' end"
+
+
+@query(f"with {_SENTENCES} select conv_id, turn, cast(i - 1 as bigint) as sentence_index, {_SENTENCE_TYPE.replace("known", "w in (from a)")} as sentence_type, replace(s, '\x01', '.') as sentence from w")
 def abbreviated_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of whole conversations, with words of two or three letters that stand before a dot three times as abbreviations."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
@@ -155,7 +156,7 @@ def abbreviated_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("conv_id", "turn", F.col("sentence_index").cast("long").alias("sentence_index"), "sentence_type", "sentence")
 
 
-@query()
+@query(f"with {_SENTENCES} select {_SENTENCE_TYPE.replace("known", "false")} as sentence_type, count(*) as n, cast(sum(length(s)) as bigint) as characters from w group by 1")
 def sentence_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = tokens.explode_sentences(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
     return cells.groupBy("sentence_type").agg(F.count("*").alias("n"), F.sum(F.length("sentence")).alias("characters"))
@@ -170,7 +171,16 @@ def hyphenation_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(back.alias("word")).agg(F.count("*").alias("n"))
 
 
-@query()
+def _hyphens_sql() -> str:
+    """A mark behind every nucleus, moved to the last consonant before the next one; none at the end or beside a lone letter."""
+    v, nuclei = chars.VOWELS, "|".join((*hyphenation.LONG, *hyphenation.DIPHTHONGS))
+    marked = f"regexp_replace(word, '(?i)({nuclei}|[{v}])', '\\1\x01', 'g')"
+    moved = f"regexp_replace({marked}, '(?i)\x01([^{v}\x01]*)([^{v}\x01][{v}])', '\\1\x01\\2', 'g')"
+    inner = f"regexp_replace(regexp_replace(regexp_replace({moved}, '(?i)\x01([^{v}\x01]*)$', '\\1'), '^([^\x01])\x01', '\\1'), '\x01([^\x01])$', '\\1')"
+    return f"select distinct word, replace({inner}, '\x01', '-') as hyphenated from ({SQL_WORDS.format('documents')}) where word <> ''"
+
+
+@query(_hyphens_sql())
 def hyphenated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     distinct = words(table(spark, sf_dir, "documents")).distinct()
     return distinct.select("word", hyphenation.hyphenate(F.col("word")).alias("hyphenated"))
@@ -210,7 +220,57 @@ def weak_gradation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct.select("word", morphology.gradate(F.col("word"), morphology.WEAK).alias("weak"))
 
 
-@query()
+def _is_vowel(c: str) -> str:
+    return f"({c} <> '' and contains('{chars.VOWELS}', {c}))"
+
+
+# Of kinds of stems (word, k, s): the same with what weak and strong grade make of each behind its last site.
+_GRADES = f"""c as (select *, coalesce(list_max(list_filter(range(1, length(s)), lambda i: substr(s, i, 2) in ('pp', 'tt', 'kk', 'mp', 'nt', 'nk', 'lt', 'rt')
+    or {_is_vowel('substr(s, i, 1)')} and contains('ptk', substr(s, i + 1, 1)) and substr(s, i + 2, 1) <> substr(s, i + 1, 1))), 0) as site from k),
+t as (select word, k, s, left(s, h::int) as head, substr(s, h + 1) as tail from (select *, case when site = 0 then 0 when {_is_vowel('substr(s, site, 1)')} then site - 1 else greatest(site - 2, 0) end as h from c)),
+z as (select *, list_transform(range(1, length(tail) + 1), lambda i: {{'f': substr(tail, i, 1), 'l': case when i = 1 then '' else substr(tail, i - 1, 1) end, 'r': substr(tail, i + 1, 1)}}) as zs from t),
+g as (select word, k, s, head || coalesce(array_to_string(list_transform(zs, lambda z: case
+    when z.f in ('p', 't', 'k') and z.l = z.f then '' when z.l || z.f = 'mp' then 'm' when z.l || z.f = 'nt' then 'n' when z.l || z.f = 'nk' then 'g' when z.l || z.f = 'lt' then 'l' when z.l || z.f = 'rt' then 'r'
+    when z.f in ('p', 't', 'k') and {_is_vowel('z.l')} and z.r <> z.f then case z.f when 'p' then 'v' when 't' then 'd' else '' end else z.f end), ''), '') as weak,
+head || coalesce(array_to_string(list_transform(zs, lambda z: case z.l || z.f when 'mm' then 'p' when 'nn' then 't' when 'ng' then 'k' when 'll' then 't' when 'rr' then 't'
+    else case when z.f = 'v' and {_is_vowel('z.l')} then 'p' when z.f = 'd' and {_is_vowel('z.l')} then 't' else z.f end end), ''), '') as strong from z)"""
+
+
+def _voiced_sql(source: str, copied: bool) -> str:
+    """Forms with their archiphonemes told, where ``open`` says so."""
+    harmony = "case when substr(form, i, 1) not in ('A', 'O', 'U') then substr(form, i, 1) when regexp_extract(left(form, (i - 1)::int), '(?s).*([aouäöy])', 1) in ('a', 'o', 'u') then lower(substr(form, i, 1)) else translate(substr(form, i, 1), 'AOU', 'äöy') end"
+    near = f"regexp_extract(left(form, (i - 1)::int), '(?s).*([{chars.VOWELS}])', 1)"
+    copy = f"case when substr(form, i, 1) = 'V' and {near} <> '' then {near} else substr(form, i, 1) end"
+    told = lambda cell: f"case when open then coalesce(array_to_string(list_transform(range(1, length(form) + 1), lambda i: {cell}), ''), '') else form end"
+    first = f"select * replace ({told(harmony)} as form) from {source}"
+    return f"select * replace ({told(copy)} as form) from ({first})" if copied else first
+
+
+def _noun_sql() -> str:
+    plural_stem = "case when regexp_matches(word, '[aä]$') then left(word, -1) || 'i' when word like '%i' then left(word, -1) || 'ei' else word || 'i' end"
+    cells = []
+    for place, (_, case, suffix, grade, _, _) in enumerate(morphology.CASES):
+        cells.append((place, f"{case} sg", f"{grade} || '{suffix}'" if suffix else "word", bool(suffix), 0))
+    special = {
+        "nominative": "weak || 't'",
+        "genitive": "case when regexp_matches(word, '[oöuye]$') then strong || case marker when 'ä' then 'jän' else 'jen' end when word like '%i' then cut_strong || 'ien' else plural_strong || 'en' end",
+        "partitive": "case when regexp_matches(word, '[aä]$') then plural_strong || marker when word like '%i' then strong || marker else strong || 'j' || marker end",
+        "illative": "plural_strong || case when regexp_matches(word, '[aä]$') then 'in' else 'hin' end",
+    }
+    for place, (_, case, _, _, suffix, grade) in enumerate(morphology.CASES):
+        form = special.get(case, f"plural_{grade} || '{suffix}' || marker")
+        cells.append((len(morphology.CASES) + place, f"{case} pl", form, case not in special, int(case not in special)))
+    rows = ", ".join(f"{{'position': {p}, 'label': '{label}', 'form': {form}, 'open': {o}, 'less': {n}}}" for p, label, form, o, n in cells)
+    return f"""with w as (select distinct word from ({SQL_WORDS.format('documents')}) where word <> ''),
+    k as (select word, 'own' as k, word as s from w union all select word, 'plural', {plural_stem} from w union all select word, 'cut', left(word, -1) from w), {_GRADES},
+    p as (select word, max(weak) filter (k = 'own') as weak, max(strong) filter (k = 'own') as strong, max(weak) filter (k = 'plural') as plural_weak, max(strong) filter (k = 'plural') as plural_strong, max(strong) filter (k = 'cut') as cut_strong,
+        case when regexp_extract(word, '([aouäöy])', 1) in ('ä', 'ö', 'y') then 'ä' else 'a' end as marker from g group by word),
+    f as (select word, unnest([{rows}], recursive := true) from p)
+    select word, cast(position as integer) as position, label, left(form, length(form)::int - less) as form from (
+        select * from ({_voiced_sql("(select * from f where less = 0)", True)}) union all select * from ({_voiced_sql("(select * from f where less = 1)", False)}))"""
+
+
+@query(_noun_sql())
 def noun_paradigms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return morphology.noun_paradigm(words(table(spark, sf_dir, "documents")).distinct())
 
