@@ -275,7 +275,35 @@ def noun_paradigms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return morphology.noun_paradigm(words(table(spark, sf_dir, "documents")).distinct())
 
 
-@query()
+def _verb_sql() -> str:
+    v = chars.VOWELS
+    pair = f"'(?s)^((?:.*[{v}])?)(mm|nn)'"
+    lone = f"list_max(list_filter(range(1, length(two)), lambda i: {_is_vowel('substr(two, i, 1)')} and contains('ptk', substr(two, i + 1, 1)) and substr(two, i + 2, 1) <> substr(two, i + 1, 1)))"
+    endings = {"present": morphology.PRESENT_ENDINGS, "past": morphology.PAST_ENDINGS, "conditional": morphology.CONDITIONAL_ENDINGS}
+    cells = []
+    for tense in endings:
+        for person, ending in zip(morphology.PERSONS, endings[tense]):
+            stem = "conditional" if tense == "conditional" else f"{tense}_{'strong' if person == '3sg' else 'weak'}"
+            cells.append((f"{tense} {person}", f"{stem} || " + (f"'{ending}'" if ending else f"regexp_extract({stem}, '(?s).*([{v}])', 1)"), True))
+    cells += [(f"neg present {person}", f"'{helper.replace('A', 'ä')} ' || present_weak", False) for person, helper in zip(morphology.PERSONS, morphology.NEGATIVE_VERB)]
+    rows = ", ".join(f"{{'position': {n}, 'label': '{label}', 'form': {form}, 'open': {o}}}" for n, (label, form, o) in enumerate(cells))
+    return f"""with w as (select distinct word, left(word, -1) as one, left(word, -2) as two, case when regexp_matches(lower(word), '(ll|nn|rr|st)[aä]$') then 3 when regexp_matches(lower(word), '[{v}]d[aä]$') then 2
+        when regexp_matches(lower(word), '[{v}]t[aä]$') then 4 when regexp_matches(lower(word), '[{v}][aä]$') then 1 end as kind from ({SQL_WORDS.format('documents')}) where word <> ''),
+    u as (select *, length(regexp_extract(two, {pair}, 1)) as n, {lone} as m from w where kind is not null),
+    v as (select *, case when regexp_matches(lower(word), 'st[aä]$') then two when regexp_matches(two, {pair}) then left(two, n::int + 1) || case when substr(two, n + 1, 1) = 'm' then 'p' else 't' end || substr(two, n + 3)
+        when m is not null then left(two, m::int + 1) || substr(two, m + 1) else two end as third from u),
+    k as (select word, 'one' as k, one as s from v union all select word, 'two', two from v union all select word, 'past', case when regexp_matches(one, '[eä]$') then two when one like '%a' then two || 'o' else one end from v), {_GRADES},
+    q as (select word, max(weak) filter (k = 'one') as one_weak, max(strong) filter (k = 'one') as one_strong, max(strong) filter (k = 'two') as two_strong, max(weak) filter (k = 'past') as past_weak, max(strong) filter (k = 'past') as past_strong from g group by word),
+    r as (select word, kind, one, two, unnest([{{'grade': 'weak', 'first': one_weak, 'fast': past_weak}}, {{'grade': 'strong', 'first': one_strong, 'fast': past_strong}}], recursive := true), third, two_strong from v join q using (word)),
+    x as (select *, case kind when 1 then first when 2 then two when 3 then third || 'e' else two_strong || right(word, 1) end as present,
+        case kind when 1 then fast when 2 then case when two like '%i' then left(word, -3) else two end when 3 then third else two || 's' end as past from r),
+    y as (select word, max(present) filter (grade = 'weak') as present_weak, max(present) filter (grade = 'strong') as present_strong, max(past) filter (grade = 'weak') as past_weak, max(past) filter (grade = 'strong') as past_strong,
+        max(case kind when 1 then case when one like '%e' then two else one end when 4 then two else past end) as conditional from x group by word),
+    f as (select word, unnest([{rows}], recursive := true) from y)
+    select word, cast(position as integer) as position, label, form from ({_voiced_sql("f", False)})"""
+
+
+@query(_verb_sql())
 def verb_paradigms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return morphology.verb_paradigm(words(table(spark, sf_dir, "documents")).distinct())
 
