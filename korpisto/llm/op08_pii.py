@@ -111,8 +111,8 @@ def account_number(cue: str, marked: bool, number: str, after: str) -> bool:
 
 
 def is_secret(mark: str, value: str) -> bool:
-    """Whether a value after a cue is more than a phrase: words alone count only right behind ``=``."""
-    return mark == "=" or not _PROSE.fullmatch(value.strip("\"'"))
+    """Whether a value after a cue is more than a phrase: letters alone count right behind ``=``, and one word of them right behind ``:``, without a blank."""
+    return mark.rstrip() == "=" or (mark == ":" and not any(c.isspace() for c in value)) or not _PROSE.fullmatch(value.strip("\"'"))
 
 
 def email_at(text: str, at: int, least: int) -> tuple[int, int] | None:
@@ -156,7 +156,7 @@ def find(text: str) -> list[tuple[int, int, str, int]]:
                 if end:
                     account_end = end
                     out.append((m.start(2), 5, "account", end))
-        elif begin >= secret_end and (m := _SECRET.match(text, last + 1)) and is_secret(m[1], m[2]):
+        elif begin >= secret_end and (m := _SECRET.match(text, last + 1)) and is_secret(text[last + 1 : m.start(2)], m[2]):
             secret_end = m.end()
             out.append((m.start(2), 6, "secret", secret_end))
     if _DIGIT.search(text):

@@ -496,12 +496,12 @@ def test_pii_ibans_of_other_countries():
     assert op8.find(text)[0] == (5, 5, "account", text.index(","))
 
 
-@pytest.mark.parametrize("text", ["The secret: everything changes here.", "my account 2024 05 01 was", "account: 2024-05-01", "account 12 34 56 78 90", "passport 123", "ssn 000-12-3456", "Token: \"all the same\"", "account 123456789.55", "my account 12345678x"])
+@pytest.mark.parametrize("text", ["The secret: everything changes here.", "my account 2024 05 01 was", "account: 2024-05-01", "account 12 34 56 78 90", "passport 123", "ssn 000-12-3456", "Token: \"all the same\"", "Password: required", "token:\"all the same\"", "account 123456789.55", "my account 12345678x"])
 def test_pii_leaves_prose_alone(text):
     assert not [s for s in op8.find(text) if s[1] > 3]
 
 
-@pytest.mark.parametrize("cue, value", [("ssn ", "123-45-6789"), ("account no. ", "1234 5678 9012"), ("acct ", "0012345678"), ("passport: ", "C1234567"[1:]), ("password=", "hunter"), ("secret: ", "h4nter-two"), ("token : ", '"a1b2c3d4"')])
+@pytest.mark.parametrize("cue, value", [("ssn ", "123-45-6789"), ("account no. ", "1234 5678 9012"), ("acct ", "0012345678"), ("passport: ", "C1234567"[1:]), ("password=", "hunter"), ("secret: ", "h4nter-two"), ("password:", "correcthorse"), ("api_key:", "'abcdefgh'"), ("token : ", '"a1b2c3d4"')])
 def test_pii_added_kinds(cue, value):
     found = [s for s in op8.find(f"x {cue}{value} y") if s[1] > 3]
     assert [(s[0], s[3]) for s in found] == [(2 + len(cue), 2 + len(cue) + len(value))]
