@@ -114,6 +114,16 @@ def token_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.groupBy("lang", "token").count().groupBy("lang", kind).agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.length("token")).alias("characters"))
 
 
+@query(f"""
+with t as (select unnest(regexp_extract_all(text, '[{RE2['letter']}][{RE2['letter']}0-9]*(?:\\.[{RE2['letter']}][{RE2['letter']}0-9]*)*|[0-9]+(?:[.,][0-9]+)*|[{RE2['space']}]+|\\.\\.\\.|(?s:.)')) as token from conversations)
+select case when regexp_matches(token, '^[{RE2['letter']}0-9]') then 'WORD' when regexp_matches(token, '^[{RE2['space']}]') then 'WHITESPACE' when regexp_matches(token, '^[{RE2['punctuation']}]') then 'PUNCTUATION' else 'UNKNOWN' end as token_type, token, count(*) as n
+from t group by all""")
+def conversation_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token of whole conversations with its type; these texts hold nothing that asks for what follows a token but dots inside words."""
+    counts = tokens.explode_tokens(table(spark, sf_dir, "conversations").select("text")).groupBy("token").agg(F.count("*").alias("n"))
+    return counts.select(tokens.token_type(F.col("token")).alias("token_type"), "token", "n")
+
+
 @query(f"select doc_id, cast(len(regexp_extract_all(text, '[{RE2['space']}]+')) as bigint) as n from documents")
 def whitespace_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.filter(tokens.token_texts(F.col("text")), lambda t: tokens.token_type(t) == "WHITESPACE")
