@@ -23,6 +23,7 @@ CLOSING_QUOTES = "\"»”"
 
 _NOT_DOT = PUNCTUATION.replace(".", "", 1)
 _BLOCK = PUNCTUATION.replace("\"", "").replace("»", "").replace("”", "").replace(",", "", 1)
+_ENDS = f"(?=[.,;:!?\"')]?(?:[ \\n]|[{SPACE}]|\\z))"
 
 
 def token_pattern() -> str:
@@ -32,6 +33,8 @@ def token_pattern() -> str:
     number takes dots and commas until its first letter; words take inner
     apostrophes, colons and dots before letters, and a hyphen at the end unless
     a blocking mark follows. A hyphen in front belongs to the word behind it.
+    Most words are told by what follows, white space with at most one mark before:
+    no address, number or hyphen goes on there, so they need no other alternative.
     """
     after_dot = f"\\.(?![{SPACE}]|\\z)"
     url = f"(?=[\\s\\S]{{12}})https?://(?:[{LETTER}{DIGIT}{URL_UNKNOWN}{_NOT_DOT}]|{after_dot})*+"
@@ -42,10 +45,13 @@ def token_pattern() -> str:
     number = f"(?:[{DIGIT}]|{comma}|\\.(?=[{LETTER}{DIGIT}])|{inner_hyphen})*+"
     rest = f"(?:[{LETTER}{DIGIT}]|['’:](?=[{LETTER}])|{inner_hyphen}|{comma}|\\.(?=[{LETTER}]))*+"
     body = f"(?:{url}|{mail}|{number}{rest}(?:[{HYPHEN}](?![{_BLOCK}]))?+)"
-    return f"[\\-‐‑](?=[\\s\\S]){body}|(?=[{LETTER}{DIGIT}]){body}|[{SPACE}]+|\\.\\.\\.|[\\s\\S]"
+    plain = f"[a-zA-Z0-9]++{_ENDS}|[{SPACE}]++|[{LETTER}{DIGIT}]++{_ENDS}"
+    return f"{plain}|[\\-‐‑](?=[\\s\\S]){body}|(?=[{LETTER}{DIGIT}]){body}|\\.\\.\\.|[\\s\\S]"
 
 
 TOKEN = token_pattern()
+#: The same, with words that white space parts, commas and semicolons behind them included, as one match.
+STRETCH = f"(?:[{LETTER}{DIGIT}]++[,;]?[{SPACE}]++)++|{TOKEN}"
 
 
 def token_texts(text: Column) -> Column:
@@ -54,8 +60,9 @@ def token_texts(text: Column) -> Column:
 
 def token_type(token: Column) -> Column:
     """WORD, WHITESPACE, PUNCTUATION or UNKNOWN by the first character."""
+    plain = token.between("a", "zz") | token.between("A", "ZZ") | token.between("0", "99")  # by bytes, so the first one is a letter or digit
     return (
-        F.when(token.rlike(f"^[{LETTER}{DIGIT}]"), "WORD").when(token.rlike(f"^[{SPACE}]"), "WHITESPACE")
+        F.when(token == " ", "WHITESPACE").when(plain, "WORD").when(token.rlike(f"^[{LETTER}{DIGIT}]"), "WORD").when(token.rlike(f"^[{SPACE}]"), "WHITESPACE")
         .when(token.rlike("^[\\-‐‑]") & (F.length(token) > 1), "WORD").when(token.rlike(f"^[{PUNCTUATION}]"), "PUNCTUATION").otherwise("UNKNOWN")
     )
 
@@ -87,6 +94,12 @@ def tokens(text: Column) -> Column:
     return let(token_texts(F.coalesce(text, F.lit(""))), build)
 
 
+def end_of_tokens(text: Column) -> Column:
+    """(characters, bytes): the end of the last token, without the places of those before."""
+    start = F.struct(F.lit(0).alias("characters"), F.lit(0).alias("bytes"))
+    return F.aggregate(token_texts(F.coalesce(text, F.lit(""))), start, lambda s, t: F.struct((s.characters + F.length(t)).alias("characters"), (s["bytes"] + F.octet_length(t)).alias("bytes")))
+
+
 def without_whitespace(token_array: Column) -> Column:
     return F.filter(token_array, lambda t: t["type"] != "WHITESPACE")
 
@@ -120,7 +133,7 @@ def sentences(text: Column, abbreviations: Column | None = None) -> Column:
 
     def typed(texts: Column) -> Column:
         nexts = F.concat(F.slice(texts, F.lit(2), F.size(texts)), F.array(F.lit("")))
-        return F.zip_with(texts, nexts, lambda t, n: F.struct(t.alias("t"), F.substring(n, 1, 1).alias("n"), token_type(t).alias("k")))
+        return F.zip_with(texts, nexts, lambda t, n: F.struct(t.alias("t"), F.substring(n, 1, 1).alias("n"), token_type(t).alias("k"), t.rlike(f"[{LETTER}{DIGIT}][,;]?[{SPACE}]").alias("stretch")))
 
     no = F.lit(False)
     start = F.struct(
@@ -145,7 +158,7 @@ def sentences(text: Column, abbreviations: Column | None = None) -> Column:
         cancel = quote & ~quoted & (z.n == ",")
         return F.struct(
             F.when(boundary, F.array_append(s.out, F.struct(kind.alias("type"), s.len.alias("len")))).otherwise(s.out).alias("out"),
-            (F.when(boundary, 0).otherwise(s.len) + F.length(z.t)).alias("len"), z.t.alias("prev"), z.k.alias("prev_type"),
+            (F.when(boundary, 0).otherwise(s.len) + F.length(z.t)).alias("len"), z.t.alias("prev"), F.when(z.stretch, "WHITESPACE").otherwise(z.k).alias("prev_type"),
             ((end0 | shout | ellipsis | dot | colon) & ~cancel).alias("end"), quoted.alias("quoted"),
             (dot0 | (dot & (prev_type == "WORD") & _dot_word(s.prev, abbreviations))).alias("dotword"),
             ((possible0 | (shout & quoted0) | ellipsis | colon) & ~cancel).alias("possible"),
@@ -154,7 +167,8 @@ def sentences(text: Column, abbreviations: Column | None = None) -> Column:
     def close(s: Column) -> Column:
         return F.when(s.len > 0, F.array_append(s.out, F.struct(F.lit("NONE").alias("type"), s.len.alias("len")))).otherwise(s.out)
 
-    return let(token_texts(F.coalesce(text, F.lit(""))), lambda ts: F.aggregate(typed(ts), start, step, close))
+    stretches = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(STRETCH), F.lit(0))  # nothing begins or ends inside one
+    return let(stretches, lambda ts: F.aggregate(typed(ts), start, step, close))
 
 
 def dotted_words(text: Column) -> Column:
