@@ -19,8 +19,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korpisto.functions.chars import let
-from korpisto.operators.tokens import tokens
+from korpisto.functions.chars import SPACE, let
+from korpisto.operators.tokens import running_starts, tokens
 
 # Words and classes of the rules.
 REPEATS_ALLOWED = ("no", "niin", "joo", "ai", "hei", "nyt", "tule")
@@ -61,6 +61,8 @@ VERBS = ("teonsana", "kieltosana")
 #: Case names the rules ask for; analysers may write others, so they are a parameter.
 CASE_NAMES = {"partitive": ("ospitkasija", "partitiivi"), "genitive": ("ompitkasija",), "not_partitive": ("npitkasija", "ompitkasija")}
 FINDING = "array<struct<start:int,end:int,code:string,message:string,suggestions:array<string>>>"
+#: White space of several spaces and nothing else, or all that lies between two of them.
+_WIDE = f"(?:[^{SPACE}]++| (?![{SPACE}])|(?! ++(?![{SPACE}]))[{SPACE}]++)++| ++"
 _TERMINATOR = "\\.\\.\\.|[.!?]"
 
 
@@ -222,11 +224,21 @@ def _main_verbs(words: Column, text: Column) -> Column:
     return F.aggregate(words, state, step, close)
 
 
+def _double_spaces(text: Column) -> Column:
+    """A token of white space is a run of it, so this rule asks for no other token."""
+
+    def of(parts: Column) -> Column:
+        def one(t: Column, at: Column) -> Column:
+            found = _finding(at, at + F.length(t), "DOUBLE_SPACE", _say("Multiple spaces (", F.length(t).cast("string"), ") between words — use a single space"), F.lit(" "))
+            return F.when(t.startswith("  ") & (F.replace(t, F.lit(" "), F.lit("")) == ""), found)
+
+        return F.filter(F.zip_with(parts, running_starts(F.transform(parts, lambda t: F.octet_length(t))), one), lambda f: f.isNotNull())
+
+    return let(F.regexp_extract_all(text, F.lit(_WIDE), F.lit(0)), of)
+
+
 def _token_rules(token_array: Column, rules: set[str]) -> Column:
     out = []
-    if "DOUBLE_SPACE" in rules:
-        spaces = F.filter(token_array, lambda t: t.text.rlike("^ {2,}\\z"))
-        out.append(F.transform(spaces, lambda t: _finding(t.byte_start, t.byte_end, "DOUBLE_SPACE", _say("Multiple spaces (", t.len.cast("string"), ") between words — use a single space"), F.lit(" "))))
     if "EXTRA_SPACE_BEFORE_PUNCT" in rules:
         def spaced(t: Column, i: Column) -> Column:
             a, b = F.get(token_array, i - 2), F.get(token_array, i - 1)
@@ -262,19 +274,24 @@ def grammar_check(
     known = F.col(readings) if readings else None
     place = F.create_map(*[x for i, r in enumerate(RULES) for x in (F.lit(r), F.lit(i))])
 
+    def ordered(*parts: Column) -> Column:
+        order = F.transform(F.concat(*parts), lambda f: F.struct(f.start.alias("start"), f.end.alias("end"), F.element_at(place, f.code).alias("rule"), f.alias("finding")))
+        return F.transform(F.array_sort(order), lambda o: o.finding)
+
     def found(body: Column, token_array: Column, words: Column) -> Column:
-        parts = [_word_rules(words, chosen, readings is not None, cases), _token_rules(token_array, chosen)]
+        parts = [_word_rules(words, chosen, readings is not None, cases), *([_double_spaces(body)] if "DOUBLE_SPACE" in chosen else []), _token_rules(token_array, chosen)]
         if "DOUBLE_NEGATION" in chosen:
             parts.append(_double_negation(words))
         if "QUOTATION_MARK_ERROR" in chosen:
             parts.append(_quotes(token_array))
         if "MISSING_MAIN_VERB" in chosen and readings:
             parts.append(_main_verbs(words, body))
-        order = F.transform(F.concat(*parts), lambda f: F.struct(f.start.alias("start"), f.end.alias("end"), F.element_at(place, f.code).alias("rule"), f.alias("finding")))
-        return F.transform(F.array_sort(order), lambda o: o.finding)
+        return ordered(*parts)
 
     def bound(given: Column) -> Column:
         text_, readings_ = given["text"], given["readings"] if readings else None
+        if chosen <= {"DOUBLE_SPACE"}:
+            return ordered(_double_spaces(text_) if chosen else _none())
         return let(tokens(text_), lambda t: let(words_with_context(t, text_, readings_), lambda w: found(text_, t, w)))
 
     # Text, tokens and words are bound within the expression: columns of their own could be drawn into every use.
