@@ -43,6 +43,11 @@ _encoders: dict[str, WordEncoder] = {}
 PARTING = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
+#: The characters that stand for bytes that no letter of one byte stands for, in the order of the bytes.
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(_OTHERS)}
+
+
 def _splits(definition: dict) -> bool:
     """Whether a vocabulary parts words at white space and letters from marks, and folds case, by its own definition.
 
@@ -84,23 +89,24 @@ class WordEncoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _model_ids(self, word: str) -> bytes:
-        """Ids of a word of a-z, which the normaliser and the pre-tokenizer leave as it is."""
+        """Ids of a word of lower-case letters of ``_CORE``, which are composed: the normaliser leaves it, the pre-tokenizer writes its bytes as characters."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _core(self, core: str) -> bytes:
-        got = self.cores.get(core)
+        """Ids of a core that ``cores`` does not hold."""
+        got = self.old_cores.get(core)
         if got is None:
-            got = self.old_cores.get(core)
-            if got is None:
-                got = self._model_ids(core) if core.isascii() and core.isalpha() else self._ids([core])[0]
-            self.cores[core] = got
+            got = self._model_ids(core) if core.isalpha() else self._ids([core])[0]
+        self.cores[core] = got
         return got
 
     def _learn(self, words: set[str]) -> None:
         """Put words that are not remembered into the memory."""
         if len(self.cores) > self.keep:
             self.cores, self.old_cores = {"": b""}, self.cores
-        known, old, match, core = self.words, self.old_words, self._CORE.fullmatch, self._core
+        known, old, match, core, cores = self.words, self.old_words, self._CORE.fullmatch, self._core, self.cores
         whole = []
         for w in words:
             got = old.get(w)
@@ -110,7 +116,13 @@ class WordEncoder:
                     whole.append(w)
                     continue
                 letters, marks = m.groups()
-                got = core(letters.lower()) + core(marks) if marks else core(letters.lower())
+                letters = letters.lower()
+                got = cores.get(letters)
+                if got is None:
+                    got = core(letters)
+                if marks:
+                    end = cores.get(marks)
+                    got += core(marks) if end is None else end
             known[w] = got
         if whole:
             known.update(zip(whole, self._ids(whole)))
