@@ -47,6 +47,7 @@ from korpisto.llm.common import BYTE_CODE, U64, drop, keyed, materialise, mix, p
 
 BANDS, ROWS = 52, 5
 REGISTERS = BANDS * ROWS
+LEADS = 2  # pairs of a member that are verified first
 BASE, RATE, TOP = 1.001, 20.0, 65534
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -177,6 +178,20 @@ def _stars(percent: int):
     return scan
 
 
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """The distinct pairs, with the place of each among its member's: those whose sizes allow a link and that share the most buckets come first."""
+    counted = pairs.groupBy("a", "b", "fits").agg(F.count("*").alias("shared"))
+    nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("fits"), F.desc("shared"), "a"))  # two pairs a band at most
+    return counted.select("a", "b", "fits", nth.alias("nth"))
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs that no links join yet."""
+    known = told(pairs.select("a", "b"), labels.select(F.col("key").alias("a"), F.col("label").alias("la")), "a", "b", "left")
+    known = known.join(labels.select(F.col("key").alias("b"), F.col("label").alias("lb")).hint("merge"), "b", "left")
+    return known.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
 def _shingle_rows(size: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -278,7 +293,8 @@ def classes(base: DataFrame, *, size: int = 5, percent: int = 75) -> DataFrame:
     # Pairs with the lowest member of each bucket, and the texts of all who share one.
     band_type = "band long, key long, n long, label long"
     rows = reps.select("key", "n", "regs").mapInArrow(_own_stars, "band long, key long, n long, a long, na long")
-    stars = materialise(rows.repartition(parts, "band").sortWithinPartitions("band", "key").mapInArrow(_stars(percent), "a long, b long, fits boolean").distinct())
+    made = rows.repartition(parts, "band").sortWithinPartitions("band", "key").mapInArrow(_stars(percent), "a long, b long, fits boolean")
+    stars = materialise(_likeliest(made))
     sharing = stars.select(F.col("a").alias("key")).union(stars.select("b")).distinct()
     texts = materialise(base.select("key", "text").join(sharing.hint("merge"), "key", "left_semi"))  # keys grow with the corpus
     least = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
@@ -292,9 +308,8 @@ def classes(base: DataFrame, *, size: int = 5, percent: int = 75) -> DataFrame:
         with_both = with_b.hint("merge").join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
         return materialise(with_both.mapInArrow(_verify(size, percent), "a long, b long"))
 
-    found = [verified(stars.where("fits").select("a", "b"))]
+    found = [verified(stars.where(F.col("fits") & (F.col("nth") <= LEADS)).select("a", "b"))]
     labels = components(found[0])
-    drop(stars)
 
     # The most usual member of each open bucket, then all pairs that share a rare shingle.
     def opened() -> DataFrame:
@@ -312,7 +327,9 @@ def classes(base: DataFrame, *, size: int = 5, percent: int = 75) -> DataFrame:
     rare = materialise(ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).withColumn("usual", F.col("usual") / F.col("n")))
     usual = rare.where("place = 1").select("key", "usual")
     best = open_.join(usual, "key").groupBy("band").agg(F.max_by("key", F.struct("usual", -F.col("key"))).alias("key"))
-    found.append(verified(_across(open_, open_.join(best, ["band", "key"], "left_semi"), "band", percent)))
+    across = _across(open_, open_.join(best, ["band", "key"], "left_semi"), "band", percent)
+    found.append(verified(across.union(_apart(stars.where(F.col("fits") & (F.col("nth") > LEADS)), labels))))
+    drop(stars)
     drop(labels)
     labels = components(reduce(DataFrame.union, found))
     drop(open_)
