@@ -1,17 +1,20 @@
 """Operator 10: quality rules with an isolation forest.
 
 Rule statistics of every document come from one pass over its text. A forest of
-random splits holds labelled rows of good quality; a split falls anywhere in its
-node's box, and the first box spans the good and the bad rows alike. Where no
+random splits counts all labelled rows of good quality; a split falls anywhere in
+its node's box, and the first box spans the good and the bad rows alike. A node
+that holds no more than one in ``points`` of the good rows is not split. Where no
 good row lies, a box is soon empty and its path ends: the shorter a document's
 mean path, the odder its statistics, and that alone makes the score. The score
-above which a document goes is calibrated on labelled rows that the forest has
-not seen, good and bad: of the thresholds that cost at most ``spare`` of the
-good ones, the one that parts good from bad the best.
+above which a document goes is calibrated on all labelled rows, the good ones
+without their own count: of the thresholds that cost at most ``spare`` of the good
+ones, the one that parts good from bad the best.
 
-Forest and threshold come from at most ``sample`` labelled rows, chosen by a hash
-of the id; only their texts are read for it. With fewer than 8 good labelled rows
-the base rules decide alone; without bad ones the threshold follows ``spare``.
+Splits depend on the box alone, so trees are drawn whole, and counts of their
+leaves and of the scores, which have 16 bits, are Spark's sums over all labelled
+rows. What reaches the driver is bounded by trees and points. With fewer than 8
+good labelled rows the base rules decide alone; without bad ones the threshold
+follows ``spare``.
 
 Null and empty texts have no words and fail the base rule of 20 words. Very long
 texts are read whole. Ids may be null or repeat: each row is judged by its own
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpisto.llm.common import BYTE_CODE, U64, WHITE, mix, prefix, spans, text_chunks, words_of
+from korpisto.llm.common import BYTE_CODE, U64, WHITE, drop, materialise, mix, prefix, spans, text_chunks, words_of
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks")
 FEATURES = 6
@@ -38,6 +41,7 @@ _SYMBOL = np.isin(_BYTES, list(b"#*$%&|<>"))
 _MARK = (_BYTES > 32) & (_BYTES < 127) & ~np.isin(_BYTES, list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
 _POINT = (_BYTES & 0xC0) != 0x80
 WINDOW = 8
+GRID = 1 << 16
 
 
 def _per_doc(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -116,32 +120,70 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def grow(x: np.ndarray, box: tuple[np.ndarray, np.ndarray], trees: int, points: int, seed: int) -> dict[str, np.ndarray]:
-    """Trees as arrays: feature (-1 at leaves), split, left child (right = left + 1), path length at leaves."""
+def drawn(box: tuple[np.ndarray, np.ndarray], trees: int, deepest: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features (-1 where a box has no width) and splits of whole trees, node k before 2k + 1 and 2k + 2. trees x (2 ** deepest - 1)"""
     rng = np.random.default_rng(seed)
-    deepest = int(np.ceil(np.log2(max(2, min(points, len(x)))))) + 4
-    feature, split, left, path, roots = [], [], [], [], []
-    for _ in range(trees):
-        chosen = x[rng.permutation(len(x))[:points]]
-        roots.append(len(feature))
-        queue = [(roots[-1], chosen, 0, *box)]
-        for column in (feature, split, left, path):
-            column.append(0)
-        while queue:
-            node, rows, depth, low, high = queue.pop()
-            wide = np.flatnonzero(high > low)
-            if depth >= deepest or len(rows) <= 1 or not len(wide):
-                feature[node], path[node] = -1, depth + float(average_path(len(rows)))
-                continue
-            f = int(rng.choice(wide))
-            at = rng.uniform(low[f], high[f])
-            feature[node], split[node], left[node] = f, at, len(feature)
-            for column in (feature, split, left, path):
-                column += [0, 0]
-            below, above, under = high.copy(), low.copy(), rows[:, f] <= at
-            below[f] = above[f] = at
-            queue += [(left[node], rows[under], depth + 1, low, below), (left[node] + 1, rows[~under], depth + 1, above, high)]
-    return {"feature": np.array(feature), "split": np.array(split, float), "left": np.array(left), "path": np.array(path, float), "roots": np.array(roots), "norm": average_path(min(points, len(x)))}
+    feature, split = np.full((trees, (1 << deepest) - 1), -1, np.int8), np.zeros((trees, (1 << deepest) - 1))
+    for tree in range(trees):
+        low, high = box[0][None, :], box[1][None, :]
+        for d in range(deepest):
+            here = slice((1 << d) - 1, (2 << d) - 1)
+            pick = np.argmax(np.where(high > low, rng.random(low.shape), -1.0), 1)
+            rows = np.arange(1 << d)
+            at = low[rows, pick] + rng.random(1 << d) * (high[rows, pick] - low[rows, pick])
+            feature[tree, here], split[tree, here] = np.where(high[rows, pick] > low[rows, pick], pick, -1), at
+            low, high = np.repeat(low, 2, 0), np.repeat(high, 2, 0)
+            high[2 * rows, pick] = low[2 * rows + 1, pick] = at
+    return feature, split
+
+
+def leaf_counts(trees: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """How many rows fall into each leaf of the whole trees. trees x 2 ** deepest"""
+    feature, split = trees
+    leaves = feature.shape[1] + 1
+    out, every = np.zeros((len(feature), leaves), np.int64), np.arange(len(x))
+    for tree in range(len(feature)):
+        node = np.zeros(len(x), np.int64)
+        for _ in range(leaves.bit_length() - 1):
+            f = feature[tree, node]
+            node = 2 * node + 1 + ((f >= 0) & (x[every, np.maximum(f, 0)] > split[tree, node]))
+        out[tree] = np.bincount(node - leaves + 1, minlength=leaves)
+    return out
+
+
+def deepest_of(points: int, rows: int) -> int:
+    return int(np.ceil(np.log2(max(2, min(points, rows))))) + 4
+
+
+def built(trees: tuple[np.ndarray, np.ndarray], counts: np.ndarray, points: int, less: int = 0) -> dict[str, np.ndarray]:
+    """Trees as arrays: feature (-1 at leaves), split, left child (right = left + 1), path length at leaves.
+
+    ``counts`` are those of the leaves; a node with at most one in ``points`` of the rows is a
+    leaf, and what a leaf holds counts as among ``points`` rows. With ``less``, each node is
+    taken to hold so many fewer: how the trees judge a row that they have counted themselves.
+    """
+    levels = [counts]
+    while levels[-1].shape[1] > 1:
+        levels.append(levels[-1][:, ::2] + levels[-1][:, 1::2])
+    rows = max(1, int(levels[-1][0, 0]) - less)
+    share, scale = max(1.0, rows / points), min(1.0, points / rows)
+    tree, place, columns, total = np.arange(len(counts)), np.zeros(len(counts), np.int64), [], 0
+    for depth, level in enumerate(reversed(levels)):
+        held, node = np.maximum(level[tree, place] - less, 0), np.minimum((1 << depth) - 1 + place, trees[0].shape[1] - 1)
+        inner = (held > share) & (trees[0][tree, node] >= 0) & (depth < len(levels) - 1)
+        total += len(tree)
+        left = np.where(inner, total + 2 * (np.cumsum(inner) - 1), 0)
+        columns.append((np.where(inner, trees[0][tree, node], -1), np.where(inner, trees[1][tree, node], 0.0), left, np.where(inner, 0.0, depth + average_path(held * scale))))
+        tree, place = np.repeat(tree[inner], 2), np.repeat(2 * place[inner], 2)
+        place[1::2] += 1
+    feature, split, left, path = map(np.concatenate, zip(*columns))
+    return {"feature": feature.astype(np.int64), "split": split, "left": left, "path": path, "roots": np.arange(len(counts)), "norm": average_path(min(points, rows))}
+
+
+def grow(x: np.ndarray, box: tuple[np.ndarray, np.ndarray], trees: int, points: int, seed: int) -> dict[str, np.ndarray]:
+    """The forest of rows at hand, as ``fit`` has it from sums over a table."""
+    whole = drawn(box, trees, deepest_of(points, len(x)), seed)
+    return built(whole, leaf_counts(whole, x), points)
 
 
 def anomaly(forest: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
@@ -161,41 +203,85 @@ def anomaly(forest: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     return 2.0 ** (-total / len(forest["roots"]) / max(float(forest["norm"]), 1e-9))
 
 
+def scores(forest: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """``anomaly`` in whole steps of 1 / GRID."""
+    return np.rint(anomaly(forest, x) * GRID).astype(np.int64)
+
+
+def threshold_of_counts(values: np.ndarray, good: np.ndarray, bad: np.ndarray, spare: float) -> float:
+    """``threshold_of`` from the ascending distinct scores and how many good and bad rows have each."""
+    below_good, below_bad = np.cumsum(good), np.cumsum(bad)
+    rows = int(below_good[-1])
+    least = int(np.searchsorted(below_good, int(np.ceil((1 - spare) * (rows - 1) - 1e-9)), "right"))
+    caught, lost = 1 - below_bad / max(int(below_bad[-1]), 1), 1 - below_good / rows
+    return float(values[least + (int(np.argmax((caught - lost / spare * 0.1)[least:])) if below_bad[-1] else 0)])
+
+
 def threshold_of(good: np.ndarray, bad: np.ndarray, spare: float) -> float:
     """The score that at most ``spare`` of the good ones exceed and that parts good from bad the best."""
-    least = float(np.quantile(good, 1 - spare, method="higher"))
-    tried = np.unique(np.concatenate([[least], good[good > least], bad[bad > least]]))
-    caught = 1 - np.searchsorted(np.sort(bad), tried, "right") / max(len(bad), 1)
-    lost = 1 - np.searchsorted(np.sort(good), tried, "right") / len(good)
-    return float(tried[np.argmax(caught - lost / spare * 0.1)]) if len(bad) else least
+    values, place = np.unique(np.concatenate([good, bad]), return_inverse=True)
+    return threshold_of_counts(values, np.bincount(place[: len(good)], minlength=len(values)), np.bincount(place[len(good) :], minlength=len(values)), spare)
 
 
-def fit(docs: DataFrame, labelled: DataFrame, *, sample: int, trees: int, points: int, spare: float, seed: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict | None, float]:
-    """The forest and the threshold. Grown on one half of at most ``sample`` labelled rows, calibrated on the other.
+def _columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {s: b.column(b.schema.get_field_index(s)).to_numpy(zero_copy_only=False) for s in STATS}
 
-    Which rows, a hash of the id says: about one and a half times ``sample`` ids
-    pass a hash limit, and the lowest ``sample`` rows of them are taken.
-    """
-    marks = labelled.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    total = max(1, marks.count())
-    rank = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
-    marks = marks.where(rank < int(min(1.0, 1.5 * sample / total + 0.01) * (1 << 30)))
-    marks = marks.orderBy(rank, "doc_id").limit(sample).select(F.col("doc_id").cast("long").alias("id"), "quality")
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marks), "id")  # ``sample`` ids at most
-    stats = rule_statistics(chosen, id_col="id").join(F.broadcast(marks.withColumnRenamed("id", "doc_id")), "doc_id")
-    rows = stats.orderBy(rank, *STATS).limit(sample).toPandas()
-    passed = rows[(rows.n_words >= 20) & (100 * rows.n_repeat_words <= 30 * rows.n_words)]
-    x, good = features({s: passed[s].to_numpy() for s in STATS}), passed.quality.to_numpy() > 0
-    if good.sum() < 8:
+
+def _fit(stats: DataFrame, labelled: DataFrame, *, trees: int, points: int, spare: float, seed: int) -> tuple[dict | None, float]:
+    """``fit`` from ``rule_statistics``."""
+    marks = labelled.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") > 0).alias("good"))
+    rows = materialise(stats.join(marks, "doc_id").where("n_words >= 20 and 100 * n_repeat_words <= 30 * n_words").select(*STATS, "good"))
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                x = features(_columns(b))
+                good = int(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).sum())
+                yield pa.RecordBatch.from_arrays([pa.array([float(v)]) for v in (*x.min(0), *x.max(0))] + [pa.array([good], pa.int64())], names=[*names, "n"])
+
+    names = [f"{e}{k}" for e in ("low", "high") for k in range(FEATURES)]
+    box = rows.mapInArrow(edges, ", ".join(f"{c} double" for c in names) + ", n long").agg(*[F.min(c) for c in names[:FEATURES]], *[F.max(c) for c in names[FEATURES:]], F.sum("n")).first()
+    total = box[-1] or 0
+    if total < 8:
+        drop(rows)
         return None, float("inf")
-    forest = grow(x[good][::2], (x.min(0), x.max(0)), trees, points, seed)
-    return forest, threshold_of(anomaly(forest, x[good][1::2]), anomaly(forest, x[~good]), spare)
+    whole = drawn((np.array(box[:FEATURES]), np.array(box[FEATURES:-1])), trees, deepest_of(points, total), seed)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((trees, whole[0].shape[1] + 1), np.int64)
+        for b in batches:
+            held += leaf_counts(whole, features(_columns(b))[b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)])
+        cell = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(held.ravel()[cell])], names=["cell", "n"])
+
+    found = rows.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # as many rows as leaves, at most
+    counts = np.zeros((trees, whole[0].shape[1] + 1), np.int64)
+    counts.ravel()[found.cell.to_numpy()] = found.n.to_numpy()
+    forest, others = built(whole, counts, points), built(whole, counts, points, 1)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, good = features(_columns(b)), b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
+            told = np.where(good, scores(others, x), scores(forest, x)) if len(b) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(told), pa.array(good)], names=["score", "good"])
+
+    one = lambda good: F.sum(F.when(F.col("good") == good, 1).otherwise(0))
+    told = rows.mapInArrow(score, "score long, good boolean").groupBy("score").agg(one(True).alias("good"), one(False).alias("bad")).toPandas().sort_values("score")  # GRID rows at most
+    drop(rows)
+    return forest, threshold_of_counts(told.score.to_numpy() / GRID, told.good.to_numpy(), told.bad.to_numpy(), spare)
+
+
+def fit(docs: DataFrame, labelled: DataFrame, *, sample: int | None = None, trees: int, points: int, spare: float, seed: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict | None, float]:
+    """The forest and the threshold, from all labelled rows; ``sample`` is for trials, which may do with so many ids."""
+    if sample is not None:
+        labelled = labelled.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
+    return _fit(rule_statistics(docs, id_col=id_col, text_col=text_col), labelled, trees=trees, points=points, spare=spare, seed=seed)
 
 
 def _judged(s: dict[str, np.ndarray], forest: dict | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anomaly, base_failed, kept) from statistics."""
     failed = (s["n_words"] < 20) | (100 * s["n_repeat_words"] > 30 * s["n_words"])
-    odd = anomaly(forest, features(s)) if forest and len(failed) else np.zeros(len(failed))
+    odd = scores(forest, features(s)) / GRID if forest and len(failed) else np.zeros(len(failed))
     return odd, failed, ~failed & (odd <= threshold)
 
 
@@ -203,7 +289,6 @@ def judge(
     docs: DataFrame,
     labelled: DataFrame,
     *,
-    sample: int = 8192,
     trees: int = 128,
     points: int = 256,
     spare: float = 0.005,
@@ -215,24 +300,22 @@ def judge(
 
     ``labelled`` has doc_id and quality (1 good, 0 bad).
     """
-    forest, threshold = fit(docs, labelled, sample=sample, trees=trees, points=points, spare=spare, seed=seed, id_col=id_col, text_col=text_col)
+    stats = materialise(rule_statistics(docs, id_col=id_col, text_col=text_col))  # texts are read once
+    forest, threshold = _fit(stats, labelled, trees=trees, points=points, spare=spare, seed=seed)
     columns = ["doc_id", *STATS[:5], "anomaly", "base_failed", "kept"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, last, data, offsets in text_chunks(b.column(1)):
-                s = dict(zip(STATS, (np.asarray(c, np.int64) for c in statistics(data, offsets))))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), *(pa.array(s[k]) for k in STATS[:5]), *map(pa.array, _judged(s, forest, threshold))], names=columns)
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], *map(pa.array, _judged(_columns(b), forest, threshold))], names=columns)
 
     schema = "doc_id long, " + ", ".join(f"{s} long" for s in STATS[:5]) + ", anomaly double, base_failed boolean, kept boolean"
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(score, schema)
+    return stats.mapInArrow(score, schema)
 
 
 def keep(
     docs: DataFrame,
     labelled: DataFrame,
     *,
-    sample: int = 8192,
     trees: int = 128,
     points: int = 256,
     spare: float = 0.005,
@@ -241,7 +324,7 @@ def keep(
     text_col: str = "text",
 ) -> DataFrame:
     """The rows that ``judge`` keeps, all columns as they are."""
-    forest, threshold = fit(docs, labelled, sample=sample, trees=trees, points=points, spare=spare, seed=seed, id_col=id_col, text_col=text_col)
+    forest, threshold = fit(docs, labelled, trees=trees, points=points, spare=spare, seed=seed, id_col=id_col, text_col=text_col)
     where = docs.columns.index(text_col)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
