@@ -43,7 +43,7 @@ def shape(word: str) -> str:
     return out
 
 
-@lru_cache(200_000)
+@lru_cache(20_000)
 def _context(side: str, word: str | None, edge: str) -> tuple[str, ...]:
     """The features that a word gives the one beside it."""
     if word is None:
@@ -56,7 +56,7 @@ def _context(side: str, word: str | None, edge: str) -> tuple[str, ...]:
     return (*out, *[f"{side}_form={low}"] * (len(low) <= SHORT_CONTEXT))
 
 
-@lru_cache(100_000)
+@lru_cache(20_000)
 def _own(word: str) -> tuple[str, ...]:
     """The features of a word wherever it stands, repeated pairs included."""
     low, size = word.lower(), len(word.encode())
@@ -82,7 +82,7 @@ def _own(word: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-@lru_cache(100_000)
+@lru_cache(20_000)
 def _place(i: int, n: int) -> tuple[str, ...]:
     """The features of place i among n words."""
     share = Decimal(str(i / (n - 1) * 100)).quantize(Decimal(1), ROUND_HALF_UP) / 100 if n > 1 else Decimal(0)
@@ -170,6 +170,54 @@ def surface_features(word: Column) -> Column:
     return F.filter(F.array(*ends, F.concat(F.lit("len="), F.least(F.octet_length(word), F.lit(20)))), lambda f: f.isNotNull())
 
 
+#: Rows of which Python objects are made at a time.
+_AT_ONCE = 512
+
+
+def _added(rows: Iterator[tuple[tuple[str, ...], int]]) -> pa.RecordBatch:
+    """(feature, n) of features and what each of them counts."""
+    out: dict[str, int] = {}
+    for found, count in rows:
+        for f in found:
+            out[f] = out.get(f, 0) + count
+    return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["feature", "n"])
+
+
+def _by_row(b: pa.RecordBatch) -> Iterator[zip]:
+    for first in range(0, len(b), _AT_ONCE):
+        yield zip(*(c.to_pylist() for c in b.slice(first, _AT_ONCE).columns))
+
+
+def word_feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, n) of (word, own, one count a side). Each word comes once, so nothing is remembered."""
+    own_of, context_of = _own.__wrapped__, _context.__wrapped__
+
+    def found(rows: zip) -> Iterator[tuple[tuple[str, ...], int]]:
+        for word, own, *counts in rows:
+            yield own_of(word), own
+            for (side, _, edge), count in zip(SIDES, counts):
+                if count:
+                    yield context_of(side, word, edge), count
+
+    for b in batches:
+        yield from map(_added, map(found, _by_row(b)))
+
+
+def place_feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, n) of (place, words of the sentence, count)."""
+    place_of = _place.__wrapped__
+
+    def found(rows: zip) -> Iterator[tuple[tuple[str, ...], int]]:
+        for i, n, count in rows:
+            yield place_of(i, n), count
+            for side, step, edge in SIDES:
+                if not 0 <= i + step < n:
+                    yield _context(side, None, edge), count
+
+    for b in batches:
+        yield from map(_added, map(found, _by_row(b)))
+
+
 def feature_counts(df: DataFrame, words: str = "words") -> DataFrame:
     """(feature, n): how often each feature occurs, as ``feature_rows`` would count it.
 
@@ -182,27 +230,7 @@ def feature_counts(df: DataFrame, words: str = "words") -> DataFrame:
     each = cells.groupBy("word").agg(F.count("*").alias("own"), *beside.values())
     places = cells.groupBy("i", "n").agg(F.count("*").alias("count"))
 
-    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: dict[str, int] = {}
-            for word, own, *counts in zip(*(c.to_pylist() for c in b.columns)):
-                for f in _own(word):
-                    out[f] = out.get(f, 0) + own
-                for (side, _, edge), count in zip(SIDES, counts):
-                    for f in _context(side, word, edge) if count else ():
-                        out[f] = out.get(f, 0) + count
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["feature", "n"])
-
-    def of_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: dict[str, int] = {}
-            for i, n, count in zip(*(c.to_pylist() for c in b.columns)):
-                edges = [f for side, step, edge in SIDES if not 0 <= i + step < n for f in _context(side, None, edge)]
-                for f in (*_place(i, n), *edges):
-                    out[f] = out.get(f, 0) + count
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["feature", "n"])
-
-    made = each.mapInArrow(of_words, "feature string, n long").unionByName(places.mapInArrow(of_places, "feature string, n long"))
+    made = each.mapInArrow(word_feature_counts, "feature string, n long").unionByName(places.mapInArrow(place_feature_counts, "feature string, n long"))
     return made.groupBy("feature").agg(F.sum("n").alias("n"))
 
 
