@@ -64,9 +64,15 @@ def _graded(focus: Column, left: Column, right: Column, grade: str) -> Column:
     return out
 
 
+def _touched(grade: str) -> str:
+    """What a word holds wherever gradation changes it."""
+    return "|".join(t.replace("V", f"[{VOWELS}]") for t in ((p if grade == WEAK else q) for p, q in GRADATION) if len(t) == 2)
+
+
 def gradate(word: Column, grade: str) -> Column:
     """Gradation at every site of the word."""
-    return let(characters(word), lambda a: F.array_join(F.transform(a, lambda c, i: _graded(c, F.coalesce(F.get(a, i - 1), F.lit("")), F.get(a, i + 1), grade)), ""))
+    graded = let(characters(word), lambda a: F.array_join(F.transform(a, lambda c, i: _graded(c, F.coalesce(F.get(a, i - 1), F.lit("")), F.get(a, i + 1), grade)), ""))
+    return F.when(word.rlike(_touched(grade)), graded).otherwise(word)
 
 
 _SITE = "(?s)^(.*)((?:" + "|".join(p for p, _ in GRADATION if p[0] != "V") + ")|" + "|".join(f"[{VOWELS}]{c}(?!{c})" for c in "ptk") + ")"
@@ -74,12 +80,13 @@ _SITE = "(?s)^(.*)((?:" + "|".join(p for p, _ in GRADATION if p[0] != "V") + ")|
 
 def gradate_stem(word: Column, grade: str) -> Column:
     """Gradation at the last site only; a word without one is graded whole."""
-    def at(start: Column) -> Column:
-        single = F.substring(word, start + 1, F.lit(1)).rlike(f"^[{VOWELS}]$")
-        keep = F.when(single, start).otherwise(F.greatest(start - 1, F.lit(0)))
-        return F.concat(F.substring(word, F.lit(1), keep), gradate(F.substring(word, keep + 1, F.length(word)), grade))
+    def at(found: Column) -> Column:  # as far as the last site's two characters
+        start = F.length(found) - 2
+        single = F.substring(found, start + 1, F.lit(1)).rlike(f"^[{VOWELS}]$")
+        keep = F.when(found == "", 0).when(single, start).otherwise(F.greatest(start - 1, F.lit(0)))
+        return let(keep, lambda k: F.concat(F.substring(word, F.lit(1), k), let(F.substring(word, k + 1, F.length(word)), lambda tail: gradate(tail, grade))))
 
-    return F.when(word.rlike(_SITE), let(F.length(F.regexp_extract(word, _SITE, 1)), at)).otherwise(gradate(word, grade))
+    return let(F.regexp_extract(word, _SITE, 0), at)
 
 
 def harmonize(word: Column) -> Column:
@@ -157,10 +164,38 @@ def noun_form(word: Column, case: str, number: str = "singular") -> Column:
     return F.lit(None).cast("string")
 
 
+def _nearest(word: Column, vowels: str) -> Column:
+    return F.regexp_extract(word, f"(?s).*([{vowels}])", 1)
+
+
 def noun_paradigm(df: DataFrame, word: str = "word") -> DataFrame:
-    """22 rows a word: position, label (``genitive pl``) and form, beside the input's columns."""
-    cells = [F.struct(F.lit(f"{c[1]} {label}").alias("label"), noun_form(F.col(word), c[1], n).alias("form")) for n, label in (("singular", "sg"), ("plural", "pl")) for c in CASES]
-    return df.select("*", F.posexplode(F.array(*cells)).alias("position", "cell")).select(*df.columns, "position", "cell.label", "cell.form")
+    """22 rows a word: position, label (``genitive pl``) and form, beside the input's columns.
+
+    The forms are those of ``noun_form``. What a suffix's archiphonemes become depends on what
+    stands before them, so each stem of a word is graded and harmonised once for all its forms.
+    """
+    w, made = F.col(word), {}
+    stems = {"_weak": (w, WEAK), "_strong": (w, STRONG), "_plural_weak": (F.col("_plural"), WEAK), "_plural_strong": (F.col("_plural"), STRONG)}
+    graded = df.withColumn("_plural", plural_stem(w)).withColumns({name: gradate_stem(*of) for name, of in stems.items()})
+    own = graded.withColumns({f"{name}_own": harmonize(F.col(name)) for name in stems})
+    own = own.withColumns({f"{name}_low": F.when(_nearest(F.col(name), "aouäöy").isin("a", "o", "u"), "a").otherwise("ä") for name in stems} | {"_marker": harmony_marker(w), "_vowel": _nearest(F.col("_strong_own"), VOWELS)})
+    own = own.withColumns({f"{name}_own": copy_vowel(F.col(f"{name}_own")) for name in ("_weak", "_strong")} | {"_vowel": F.when(F.col("_vowel") == "", "V").otherwise(F.col("_vowel"))})
+
+    def joined(stem: str, suffix: str) -> Column:
+        tail = [F.col("_vowel"), F.lit(suffix[1:])] if suffix.startswith("V") else [F.lit(suffix[:-1]), F.col(f"{stem}_low")] if suffix.endswith("A") else [F.lit(suffix)]
+        return F.concat(F.col(f"{stem}_own"), *tail)
+
+    weak, strong, plural, marker = F.col("_weak"), F.col("_strong"), F.col("_plural_strong"), F.col("_marker")
+    on_a, on_i = w.rlike("[aä]$"), w.rlike("i$")
+    cut = F.concat(let(_without(w, 1), lambda s: gradate_stem(s, STRONG)), F.lit("ien"))
+    made["nominative"] = F.concat(weak, F.lit("t"))
+    made["genitive"] = F.when(w == "", "").when(w.rlike("[oöuye]$"), F.concat(strong, F.when(marker == "ä", "jän").otherwise("jen"))).when(on_i, cut).otherwise(F.concat(plural, F.lit("en")))
+    made["partitive"] = F.when(w == "", "").when(on_a, F.concat(plural, marker)).when(on_i, F.concat(strong, marker)).otherwise(F.concat(strong, F.lit("j"), marker))
+    made["illative"] = F.concat(plural, F.when(on_a, "in").otherwise("hin"))
+    forms = [(f"{c[1]} sg", joined(f"_{c[3]}", c[2]) if c[2] else w) for c in CASES]
+    forms += [(f"{c[1]} pl", made[c[1]] if c[1] in made else joined(f"_plural_{c[5]}", c[4])) for c in CASES]
+    cells = [F.struct(F.lit(label).alias("label"), form.alias("form")) for label, form in forms]
+    return own.select(*df.columns, F.posexplode(F.array(*cells)).alias("position", "cell")).select(*df.columns, "position", "cell.label", "cell.form")
 
 
 # ------------------------------------------------------------------------- verbs
