@@ -107,11 +107,13 @@ def _part(start: Column, end: Column, linking: bool) -> Column:
 
 
 def _hits(words: DataFrame, lexicon: DataFrame, min_part: int, rebuild: bool) -> DataFrame:
-    """(word, i, j, own): the stretches of each word that the lexicon holds (own), or whose rebuilt stem it holds."""
+    """(word, i, j, own): the stretches of each word that the lexicon holds (own), or whose rebuilt stem it holds, as far as a split of two parts or more has room for them."""
     parts = shuffle_partitions(words.sparkSession)  # words are few bytes and long work, which AQE would put into one task
-    starts = words.repartition(parts, "word").select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("i"))
-    cuts = starts.select("word", "i", F.explode(F.sequence(F.col("i") + 1, F.length("word"))).alias("j")).withColumn("piece", F.substring("word", F.col("i") + 1, F.col("j") - F.col("i")))
-    cuts = cuts.where(F.octet_length("piece") >= min_part)
+    size, left, right = F.octet_length("word"), F.octet_length(F.substring("word", F.lit(1), F.col("i"))), F.octet_length(F.substring("word", F.col("j") + 1, F.length("word")))
+    starts = words.where(size >= 2 * min_part).repartition(parts, "word").select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("i"))
+    starts = starts.where(((F.col("i") == 0) | (left >= min_part)) & (size - left >= min_part))  # another part fits before it, or none is needed
+    cuts = starts.select("word", "i", F.explode(F.sequence(F.col("i") + 1, F.length("word"))).alias("j")).where((F.col("j") == F.length("word")) & (F.col("i") > 0) | (right >= min_part))
+    cuts = cuts.withColumn("piece", F.substring("word", F.col("i") + 1, F.col("j") - F.col("i"))).where(F.octet_length("piece") >= min_part)
     asked = cuts.withColumn("own", F.lit(1))
     if rebuild:  # as ``nen_stem``
         stems = cuts.where(F.endswith("piece", F.lit("s")) & (F.substring("word", F.col("j") + 1, F.lit(2)) == "en"))
