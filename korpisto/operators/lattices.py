@@ -1,14 +1,17 @@
-"""Context rules and decoding of sentences as built-in column expressions.
+"""Context rules and decoding of sentences.
 
 A sentence is an array of words with an array of readings for each, so a rule that
 asks for neighbours reads the places beside it, and nothing is shuffled. Rules are data:
-one array of conditions, folded over the sentence in order, from which those that
-cannot hold anywhere in a sentence are filtered out first. Decoding is a max-sum fold
+a table of conditions on bits of the readings, which one Arrow function puts to all places
+of many sentences at once, rule by rule. Decoding is a max-sum fold of built-in expressions
 with back pointers; the first of equals wins.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +63,8 @@ class Facts:
     def __init__(self, rules: tuple) -> None:
         found = [conditions(r) for r in rules]
         self.rules = found
-        self.bits = {f: k for k, f in enumerate(dict.fromkeys(f for c in found for side in ("left", "here", "right") for f in c[side]))}
+        asked = (f for c in found for f in (f"CLASS={c['cls']}", *c["left"], *c["here"], *c["right"]))
+        self.bits = {f: k for k, f in enumerate(dict.fromkeys(asked))}
         self.masks = [f"m{k}" for k in range(-(-len(self.bits) // self.WORD) or 1)]
 
     def mask(self, wanted, k: int) -> int:
@@ -70,7 +74,7 @@ class Facts:
         out = []
         for k, name in enumerate(self.masks):
             mask = F.lit(0).cast("long")
-            for a in attributes:
+            for a in dict.fromkeys(("CLASS", *attributes)):
                 values = [f.split("=", 1)[1] for f in self.bits if f.startswith(f"{a}=") and self.bits[f] // self.WORD == k]
                 if values:
                     at = F.array_position(F.expr(f"array({', '.join(map(_quoted, values))})"), r[a]).cast("int") - 1
@@ -79,73 +83,100 @@ class Facts:
             out.append(mask.alias(name))
         return out
 
-    def table(self) -> Column:
-        """The rules as an array of structs; a side that asks for nothing has ``any_`` set."""
+    def table(self) -> list[tuple]:
+        """The rules as (mask of the class: its number and bit, keeps, first, here, left, right); a side is its masks and what asking it must give, None if nothing is asked."""
 
-        def row(c: dict[str, object]) -> str:
-            out = [f"'cls', {_quoted(c['cls'])}"] + [f"'{n}', {str(c[n]).lower()}" for n in ("keeps", "not_left", "not_right", "first")]
-            for side in ("left", "here", "right"):
-                out += [f"'any_{side}', {str(not c[side]).lower()}", *(f"'{side}_{name}', {self.mask(c[side], k)}L" for k, name in enumerate(self.masks))]
-            return f"named_struct({', '.join(out)})"
+        def side(c: dict[str, object], name: str) -> tuple | None:
+            return ([self.mask(c[name], k) for k in range(len(self.masks))], not c.get(f"not_{name}", False)) if c[name] else None
 
-        return F.expr(f"array({', '.join(map(row, self.rules))})")
+        def cls(c: dict[str, object]) -> tuple[int, int]:
+            k = self.bits[f"CLASS={c['cls']}"] // self.WORD
+            return k, self.mask([f"CLASS={c['cls']}"], k)
 
-    def has(self, place: Column, rule: Column, side: str) -> Column:
-        held = F.lit(False)
-        for name in self.masks:
-            held |= place[name].bitwiseAND(rule[f"{side}_{name}"]) != 0
-        return F.coalesce(held, F.lit(False))
+        return [(*cls(c), c["keeps"], c["first"], side(c, "here"), side(c, "left"), side(c, "right")) for c in self.rules]
 
-    def place(self, readings: Column) -> Column:
-        return F.struct(readings.alias("rs"), *self.together(readings))
 
-    def together(self, rows: Column) -> list[Column]:
-        """The masks of all rows."""
+def _kept(table: list[tuple], rows: int = 1024):
+    """Function of sentences, each reading as its masks, to the numbers of the readings that the rules leave.
 
-        def joined(name: str) -> Column:
-            return F.aggregate(rows, F.lit(0).cast("long"), lambda m, r: m.bitwiseOR(r[name])).alias(name)
+    The places of ``rows`` sentences are one array, so a rule is a few array operations over all of
+    them, and only the places that it may change are looked at further. Nothing here is imported by workers.
+    """
 
-        return [joined(name) for name in self.masks]
+    @F.arrow_udf("array<array<int>>")
+    def kept(sets: pa.Array) -> pa.Array:
+        def lengths(a: pa.Array) -> np.ndarray:
+            return pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+        def of(part: pa.Array) -> pa.Array:
+            per_sentence, places = lengths(part), part.flatten()
+            sizes = lengths(places)
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+            masks = [m.to_numpy(zero_copy_only=False) for m in places.flatten().flatten()]
+            n, alive, filled = sizes.copy(), np.ones(len(masks[0]), bool), np.flatnonzero(sizes)
+            facts = [np.zeros(len(sizes), np.int64) for _ in masks]  # of a place: those of all its readings left
+            if filled.size:
+                for f, m in zip(facts, masks):
+                    f[filled] = np.bitwise_or.reduceat(m, starts[filled])
+            sentence = np.repeat(np.arange(len(per_sentence)), per_sentence)
+            begins = np.ones(len(sizes), bool)
+            begins[1:] = sentence[1:] != sentence[:-1]
+            last = np.roll(begins, -1)  # the first place begins a sentence, so the last one ends one
+
+            def asked(at: np.ndarray, side: tuple, step: int) -> np.ndarray:
+                wanted, answer = side
+                to = np.clip(at + step, 0, len(sizes) - 1)
+                held = np.zeros(len(at), bool)
+                for f, w in zip(facts, wanted):
+                    if w:
+                        held |= (f[to] & w) != 0
+                if step:
+                    held &= ~(begins if step < 0 else last)[at]
+                return held == answer
+
+            for k, bit, keeps, first, here, left, right in table:
+                at = np.flatnonzero(((facts[k] & bit) != 0) & (n > 1) & (begins if first else True))
+                for side, step in ((here, 0), (left, -1), (right, 1)):
+                    if side is not None and at.size:
+                        at = at[asked(at, side, step)]
+                if not at.size:
+                    continue
+                many = sizes[at]
+                froms = np.cumsum(many) - many
+                cells = np.arange(many.sum()) - np.repeat(froms - starts[at], many)
+                was = alive[cells]
+                stays = was & (((masks[k][cells] & bit) != 0) == keeps)
+                some = np.add.reduceat(stays, froms, dtype=np.int64)
+                stays |= was & np.repeat(some == 0, many)  # no place loses its last reading
+                alive[cells] = stays
+                n[at] = np.where(some > 0, some, n[at])
+                for f, m in zip(facts, masks):
+                    f[at] = np.bitwise_or.reduceat(np.where(stays, m[cells], 0), froms)
+
+            def listed(sizes_: np.ndarray, values: pa.Array, **more) -> pa.Array:
+                return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes_))), pa.int32()), values, **more)
+
+            numbers = np.arange(len(alive)) - np.repeat(starts, sizes)
+            return listed(per_sentence, listed(n, pa.array(numbers[alive], pa.int32())), mask=part.is_null())
+
+        return pa.concat_arrays([of(sets.slice(i, rows)) for i in range(0, len(sets), rows)] or [pa.array([], pa.list_(pa.list_(pa.int32())))])
+
+    return kept
 
 
 def pruned(sentence: Column, rules: tuple = RULES, attributes: tuple[str, ...] = ATTRIBUTES) -> Column:
     """The readings that the rules leave: each rule in turn, at all places at once; no place loses its last reading.
 
-    ``attributes`` are the fields of a reading that rules may ask for.
+    ``attributes`` are the fields of a reading that rules may ask for, beside CLASS. Readings go
+    to Python as their masks alone. ``sentence`` stands here twice, so it is best a plain column.
     """
     if not rules:
         return sentence
     facts = Facts(rules)
-
-    def reading(r: Column, at: Column) -> Column:
-        return F.struct(at.alias("at"), r["CLASS"].alias("cls"), *facts.of_reading(r, attributes))
-
-    def applied(s: Column, rule: Column) -> Column:
-        def at(place: Column, i: Column) -> Column:
-            ok = F.exists(place["rs"], lambda r: r["cls"] == rule["cls"]) & (~rule["first"] | (i == 0)) & (rule["any_here"] | facts.has(place, rule, "here"))
-            for side, other in (("left", F.get(s, i - 1)), ("right", F.get(s, i + 1))):
-                ok &= rule[f"any_{side}"] | (facts.has(other, rule, side) != rule[f"not_{side}"])
-            keep = lambda r: F.coalesce(r["cls"] == rule["cls"], F.lit(False)) == rule["keeps"]
-            stays = F.exists(place["rs"], keep)
-            return F.when((F.size(place["rs"]) > 1) & F.coalesce(ok, F.lit(False)) & stays, facts.place(F.filter(place["rs"], keep))).otherwise(place)
-
-        return F.transform(s, at)
-
-    def possible(rule: Column, known: Column) -> Column:
-        """A rule touches only places of several readings that hold its class; what it asks for must occur."""
-        ok = F.array_contains(known["classes"], rule["cls"]) & (rule["any_here"] | facts.has(known, rule, "here"))
-        for side in ("left", "right"):
-            ok &= rule[f"any_{side}"] | rule[f"not_{side}"] | facts.has(known, rule, side)
-        return F.coalesce(ok, F.lit(False))
-
-    def fold(places: Column) -> Column:
-        several = F.filter(places, lambda p: F.size(p["rs"]) > 1)
-        classes = F.array_distinct(F.flatten(F.transform(several, lambda p: F.transform(p["rs"], lambda r: r["cls"]))))
-        return let(F.struct(classes.alias("classes"), *facts.together(places)), lambda known: F.aggregate(F.filter(facts.table(), lambda rule: possible(rule, known)), places, applied))
-
-    none = F.array().cast("array<struct<at:int,cls:string," + ",".join(f"{n}:bigint" for n in facts.masks) + ">>")
-    slim = F.transform(sentence, lambda readings: let(F.coalesce(F.transform(readings, reading), none), facts.place))
-    return let(let(slim, fold), lambda k: F.transform(sentence, lambda readings, i: F.transform(F.get(k, i)["rs"], lambda r: F.get(readings, r["at"]))))
+    none = F.array().cast("array<struct<" + ",".join(f"{n}:bigint" for n in facts.masks) + ">>")
+    masked = F.transform(sentence, lambda readings: F.coalesce(F.transform(readings, lambda r: F.struct(*facts.of_reading(r, attributes))), none))
+    return F.zip_with(sentence, _kept(facts.table())(masked), lambda readings, numbers: F.transform(numbers, lambda k: F.get(readings, k)))
 
 
 def emission(words: Column, sentence: Column, *, same_base: float = 0.5, per_letter: float = 0.1, fields: tuple[str, ...] = ATTRIBUTES) -> Column:
@@ -204,7 +235,7 @@ def decoded(
     df: DataFrame, words: str = "words", readings: str = "readings", name: str = "best", *, rules: tuple = RULES, bigrams: Bigrams | None = None, oov: str = "null_all", fields: tuple[str, ...] = ATTRIBUTES,
     same_base: float = 0.5, per_letter: float = 0.1,
 ) -> DataFrame:
-    """The input with one reading a word: rules, then the best path; no Python and no shuffle.
+    """The input with one reading a word: rules, then the best path; no shuffle, and Python only for the rules.
 
     If a word has no reading, all words get null, or with ``oov="fallback"`` it is taken for a
     name or noun first. An empty sentence gives an empty array.
