@@ -2,10 +2,12 @@
 
 Each word carries the word before it and the text between them, from which the
 surface rules follow without state: marks between two words are tokens of one
-character, so a search in the gap is a search among its tokens. Rules with
+character, so a search in the gap is a search among its tokens. Without readings
+no surface rule finds a word that stands behind one space after another one and is
+neither the same nor of a rule's words, so only the others get that far. Rules with
 memory (quotes, double negation, main verbs) fold over the few tokens concerned.
-Places are byte offsets. Findings are sorted by start and end; equal ones keep
-the order of the rules.
+Places are byte offsets, told from a token's number for what is found alone.
+Findings are sorted by start and end; equal ones keep the order of the rules.
 
 ``readings`` is an optional array column with one struct (or null) a word token,
 holding at least CLASS, NUMBER, SIJAMUOTO, PERSON, POSSESSIVE and COMPARISON.
@@ -13,6 +15,7 @@ holding at least CLASS, NUMBER, SIJAMUOTO, PERSON, POSSESSIVE and COMPARISON.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korpisto.functions.chars import SPACE, let
-from korpisto.operators.tokens import running_starts, tokens
+from korpisto.operators.tokens import is_word, running_starts, token_texts
 
 # Words and classes of the rules.
 REPEATS_ALLOWED = ("no", "niin", "joo", "ai", "hei", "nyt", "tule")
@@ -64,6 +67,9 @@ FINDING = "array<struct<start:int,end:int,code:string,message:string,suggestions
 #: White space of several spaces and nothing else, or all that lies between two of them.
 _WIDE = f"(?:[^{SPACE}]++| (?![{SPACE}])|(?! ++(?![{SPACE}]))[{SPACE}]++)++| ++"
 _TERMINATOR = "\\.\\.\\.|[.!?]"
+_QUOTES = "[\"“”»«]"
+#: Words that a rule may find behind a single space, beside pronouns after a negation.
+_LOOKED_AT = tuple(dict.fromkeys((*CONJUNCTIONS, *RELATIVES, *NEGATIONS, *(c.split(" ")[1] for c in COMPOUNDS))))
 
 
 def _finding(start: Column, end: Column, code: str, message: Column, *suggestions: Column) -> Column:
@@ -87,31 +93,83 @@ def _pick(condition: Column, finding: Column) -> Column:
     return F.when(condition, F.array(finding)).otherwise(_none())
 
 
-def words_with_context(token_array: Column, text: Column, readings: Column | None) -> Column:
-    """Word tokens: text, low, start, end, gap (text since the word before), first, reading."""
-    words = F.filter(token_array, lambda t: t["type"] == "WORD")
+class Places:
+    """Byte offsets of tokens by their numbers: sums before every 64th one, and the tokens since then."""
+
+    SHIFT = 6
+
+    def __init__(self, texts: Column, sums: Column) -> None:
+        self.texts, self.sums = texts, sums
+
+    @classmethod
+    def within(cls, texts: Column, body: Callable[[Places], Column]) -> Column:
+        def octets(k: Column) -> Column:
+            return F.octet_length(F.array_join(F.slice(texts, F.shiftleft(k, cls.SHIFT) + 1, F.lit(1 << cls.SHIFT)), ""))
+
+        parts = F.sequence(F.lit(0), F.shiftright(F.size(texts), cls.SHIFT))
+        return let(running_starts(F.transform(parts, octets)), lambda sums: body(cls(texts, sums)))
+
+    def start(self, k: Column) -> Column:
+        """Where token k starts, which is where the one before it ends."""
+        since = k.bitwiseAND(F.lit((1 << self.SHIFT) - 1))
+        return F.get(self.sums, F.shiftright(k, self.SHIFT)) + F.octet_length(F.array_join(F.slice(self.texts, k - since + 1, since), ""))
+
+    def found(self, condition: Callable[[Column, Column], Column], finding: Callable[[Column, Column], Column]) -> Column:
+        """One finding for each token (with its number) for which the condition holds."""
+        return F.filter(F.transform(self.texts, lambda t, k: F.when(condition(t, k), finding(t, k))), lambda f: f.isNotNull())
+
+
+def words_with_context(texts: Column, readings: Column | None) -> Column:
+    """Word tokens that a rule may find, of all tokens' texts: text, low, k (the token's number), gap (text since the word before), first, ended (whether a sentence ended in the gap), p and pp (the words before), reading."""
+    words = F.filter(F.transform(texts, lambda t, k: F.when(is_word(t), F.struct(t.alias("text"), F.lower(t).alias("low"), k.alias("k")))), lambda w: w.isNotNull())
 
     def build(ws: Column) -> Column:
+        def at(i: Column) -> Column:
+            w = F.get(ws, i)
+            return w if readings is None else F.struct(w.text.alias("text"), w.low.alias("low"), w.k.alias("k"), F.get(readings, i).alias("reading"))
+
         def one(w: Column, i: Column) -> Column:
             p = F.get(ws, i - 1)
-            from_ = F.coalesce(p.pos + p.len, F.lit(0))
-            fields = [
-                w.text.alias("text"), F.lower(w.text).alias("low"), w.byte_start.alias("start"), w.byte_end.alias("end"),
-                F.substring(text, from_ + 1, w.pos - from_).alias("gap"), (i == 0).alias("first"),
-            ]
-            return F.struct(*fields, *([F.get(readings, i).alias("reading")] if readings is not None else []))
-
-        return F.transform(ws, one)
+            from_ = F.coalesce(p.k + 1, F.lit(0))
+            gap = F.array_join(F.slice(texts, from_ + 1, w.k - from_), "")
+            more = [] if readings is None else [F.get(readings, i).alias("reading"), at(i - 2).alias("pp")]
+            made = let(gap, lambda g: F.struct(w.text.alias("text"), w.low.alias("low"), w.k.alias("k"), g.alias("gap"), (i == 0).alias("first"), g.rlike("[.!?]").alias("ended"), at(i - 1).alias("p"), *more))
+            if readings is not None:
+                return made
+            looked_at = w.low.isin(*_LOOKED_AT) | (w.low.isin(*PRONOUNS) & p.low.isin(*NEGATIONS))
+            plain = (w.k == p.k + 2) & (F.get(texts, w.k - 1) == " ") & ~looked_at & (w.low != p.low)
+            return F.when(plain, F.lit(None)).otherwise(made)
+
+        made = F.transform(ws, one)
+        return made if readings is not None else F.filter(made, lambda w: w.isNotNull())
 
     return let(words, build)
 
 
-def _word_rules(words: Column, rules: set[str], has_readings: bool, cases: dict[str, tuple[str, ...]]) -> Column:
+class _At:
+    """A word with its place."""
+
+    def __init__(self, w: Column, start: Column) -> None:
+        self.text, self.low, self.start, self.end = w["text"], w["low"], start, start + F.octet_length(w["text"])
+        self.word = w
+
+    def __getattr__(self, name: str) -> Column:
+        return self.word[name]
+
+
+def _word_rules(words: Column, places: Places, rules: set[str], has_readings: bool, cases: dict[str, tuple[str, ...]]) -> Column:
     """Findings of the rules that look at a word, the one or two before it and the gaps."""
 
-    def one(w: Column, i: Column) -> Column:
-        p, pp = F.get(words, i - 1), F.get(words, i - 2)
-        starts_sentence = w.first | w.gap.rlike("[.!?]")
+    def one(word: Column) -> Column:
+        hits, _ = told(word, F.lit(None).cast("struct<w:int,p:int>"))
+        # most words break no rule, and for those nothing is built
+        made = lambda: let(F.struct(places.start(word.k).alias("w"), places.start(word.p.k).alias("p")), lambda at: F.concat(*told(word, at)[1]))
+        return F.when(reduce(or_, hits), made()).otherwise(_none()) if hits else _none()
+
+    def told(word: Column, at: Column) -> tuple[list[Column], list[Column]]:
+        """What the rules ask, and their findings where that holds."""
+        w, p, pp = _At(word, at.w), _At(word.p, at.p), word.pp if has_readings else None
+        starts_sentence = w.first | w.ended
         upper_first = F.substring(w.text, 1, 1).rlike("^\\p{IsUppercase}")
         out: list[Column] = []
         hits: list[Column] = []
@@ -139,7 +197,7 @@ def _word_rules(words: Column, rules: set[str], has_readings: bool, cases: dict[
             _say("Missing space after '", F.substring(w.gap, -1, 1), "' before \"", w.text, "\""), _say(F.when(w.gap.rlike("(?<!\\.)(\\.{3})+\\z"), "...").otherwise(F.substring(w.gap, -1, 1)), " ", w.text)))
         add("SENTENCE_INITIAL_LOWERCASE", w.gap.rlike("(?s)[:;][^.!?]*\\z") & F.substring(w.text, 1, 1).rlike("^\\p{IsLowercase}"), _finding(w.start, w.end, "SENTENCE_INITIAL_LOWERCASE", _say("Consider capitalizing \"", w.text, "\" after colon/semicolon"), _capital(w.text)))
         if has_readings:
-            r, rp, rpp = w.reading, p.reading, pp.reading
+            r, rp = w.reading, p.reading
             add("CAPITALIZATION_ERROR", ~starts_sentence & r.CLASS.isin(*PROPER_NOUNS) & ~upper_first, _finding(w.start, w.end, "CAPITALIZATION_ERROR", _say("Proper noun should be capitalized: \"", w.text, "\""), _capital(w.text)))
             subjects, verbs = (*NOUNS, "asemosana"), VERBS
             match = (rp.CLASS.isin(*subjects) & r.CLASS.isin(*verbs)) | (rp.CLASS.isin(*verbs) & r.CLASS.isin(*subjects))
@@ -154,31 +212,30 @@ def _word_rules(words: Column, rules: set[str], has_readings: bool, cases: dict[
             add("POSTPOSITION_CASE", w.low.isin(*POSTPOSITIONS) & rp.CLASS.isin(*NOUNS) & ~rp.SIJAMUOTO.isin(*cases["genitive"]), _finding(p.start, w.end, "POSTPOSITION_CASE", _say("Postposition \"", w.text, "\" requires genitive case, but \"", p.text, "\" appears to be in a different case")))
             add("COMPARATIVE_PARTITIVE", (rp.CLASS == "laatusana") & (rp.COMPARISON == "comparative") & r.CLASS.isin(*NOUNS) & r.SIJAMUOTO.isin(*cases["partitive"]), _finding(p.start, w.end, "COMPARATIVE_PARTITIVE", _say("Comparative \"", p.text, "\" followed by partitive \"", w.text, "\"")))
             add("POSSESSIVE_REDUNDANCY", p.low.isin(*POSSESSIVES) & r.CLASS.isin(*NOUNS, "laatusana") & r.POSSESSIVE.isNotNull(), _finding(p.start, w.end, "POSSESSIVE_REDUNDANCY", _say("Possessive pronoun \"", p.text, "\" is redundant when \"", w.text, "\" already has a possessive suffix"), w.text))
-        # most words break no rule, and for those nothing is built
-        return F.when(reduce(or_, hits), F.concat(*out)).otherwise(_none()) if out else _none()
+        return hits, out
 
     return F.flatten(F.transform(words, one))
 
 
-def _double_negation(words: Column) -> Column:
-    state = F.struct(F.lit(None).cast("struct<text:string,start:int>").alias("held"), _none().alias("out"))
+def _double_negation(words: Column, places: Places) -> Column:
+    state = F.struct(F.lit(None).cast("struct<text:string,k:int>").alias("held"), _none().alias("out"))
 
     def step(s: Column, w: Column) -> Column:
-        held = F.when(w.first | w.gap.rlike("[.!?]"), F.lit(None)).otherwise(s.held)
+        held = F.when(w.first | w.ended, F.lit(None)).otherwise(s.held)
         here = w.low.isin(*NEGATIONS)
-        found = _finding(held.start, w.end, "DOUBLE_NEGATION", _say("Double negation: \"", held.text, "\" ... \"", w.text, "\" — standard Finnish uses single negation"))
+        found = _finding(places.start(held.k), places.start(w.k + 1), "DOUBLE_NEGATION", _say("Double negation: \"", held.text, "\" ... \"", w.text, "\" — standard Finnish uses single negation"))
         return F.struct(
-            F.when(here & held.isNull(), F.struct(w.text.alias("text"), w.start.alias("start"))).otherwise(held).alias("held"),
+            F.when(here & held.isNull(), F.struct(w.text.alias("text"), w.k.alias("k"))).otherwise(held).alias("held"),
             F.when(here & held.isNotNull(), F.array_append(s.out, found)).otherwise(s.out).alias("out"),
         )
 
     return F.aggregate(words, state, step, lambda s: s.out)
 
 
-def _quotes(token_array: Column) -> Column:
+def _quotes(places: Places) -> Column:
     """Pairs of each kind; a close without an open, and opens left at the end."""
-    marks = F.flatten(F.transform(F.filter(token_array, lambda t: t.text.rlike("[\"“”»«]")), lambda t: F.transform(F.regexp_extract_all(t.text, F.lit("[\"“”»«]"), F.lit(0)), lambda c: F.struct(c.alias("c"), t.byte_start.alias("start"), t.byte_end.alias("end")))))
-    state = F.struct(F.array().cast("array<struct<kind:string,start:int>>").alias("open"), _none().alias("out"))
+    marks = F.flatten(places.found(lambda t, k: t.rlike(_QUOTES), lambda t, k: F.transform(F.regexp_extract_all(t, F.lit(_QUOTES), F.lit(0)), lambda c: F.struct(c.alias("c"), k.alias("k")))))
+    state = F.struct(F.array().cast("array<struct<kind:string,k:int>>").alias("open"), _none().alias("out"))
 
     def step(s: Column, m: Column) -> Column:
         kind = F.when(m.c == "\"", "\"").when(m.c.isin("“", "”"), "“").otherwise("»")
@@ -186,40 +243,41 @@ def _quotes(token_array: Column) -> Column:
         last = F.array_max(F.transform(s.open, lambda o, i: F.when(o.kind == kind, i).otherwise(-1)))
         known = F.coalesce(last >= 0, F.lit(False))
         return F.struct(
-            F.when(opens, F.array_append(s.open, F.struct(kind.alias("kind"), m.start.alias("start")))).when(known, F.filter(s.open, lambda o, i: i != last)).otherwise(s.open).alias("open"),
-            F.when(~opens & ~known, F.array_append(s.out, _finding(m.start, m.end, "QUOTATION_MARK_ERROR", _say("Closing ", m.c, " without matching opening ", kind)))).otherwise(s.out).alias("out"),
+            F.when(opens, F.array_append(s.open, F.struct(kind.alias("kind"), m.k.alias("k")))).when(known, F.filter(s.open, lambda o, i: i != last)).otherwise(s.open).alias("open"),
+            F.when(~opens & ~known, F.array_append(s.out, _finding(places.start(m.k), places.start(m.k + 1), "QUOTATION_MARK_ERROR", _say("Closing ", m.c, " without matching opening ", kind)))).otherwise(s.out).alias("out"),
         )
 
     def close(s: Column) -> Column:
-        return F.concat(s.out, F.transform(s.open, lambda o: _finding(o.start, o.start + F.octet_length(o.kind), "QUOTATION_MARK_ERROR", _say("Unmatched opening quotation mark: ", o.kind))))
+        return F.concat(s.out, F.transform(s.open, lambda o: _finding(places.start(o.k), places.start(o.k) + F.octet_length(o.kind), "QUOTATION_MARK_ERROR", _say("Unmatched opening quotation mark: ", o.kind))))
 
     return F.aggregate(marks, state, step, close)
 
 
-def _main_verbs(words: Column, text: Column) -> Column:
-    state = F.struct(F.lit(None).cast("int").alias("start"), F.lit(0).alias("n"), F.lit(False).alias("known"), F.lit(False).alias("verb"), F.lit(0).alias("end"), _none().alias("out"))
+def _main_verbs(words: Column, places: Places) -> Column:
+    nowhere = F.lit(None).cast("int")
+    state = F.struct(nowhere.alias("from"), F.lit(0).alias("n"), F.lit(False).alias("known"), F.lit(False).alias("verb"), nowhere.alias("last"), _none().alias("out"))
     code = "MISSING_MAIN_VERB"
 
     def told(s: Column, end: Column) -> Column:
-        return F.when(s.known & (s.n >= 3) & ~s.verb, F.array_append(s.out, _finding(s.start, end, code, F.lit("Sentence appears to be missing a finite verb")))).otherwise(s.out)
+        return F.when(s.known & (s.n >= 3) & ~s.verb, F.array_append(s.out, _finding(places.start(s["from"]), end, code, F.lit("Sentence appears to be missing a finite verb")))).otherwise(s.out)
 
     def stop(gap: Column) -> Column:
         """Bytes from the gap's start to the end of its first sentence end."""
         return F.octet_length(F.regexp_extract(gap, f"(?s)^(.*?(?:{_TERMINATOR}))", 1))
 
     def step(s: Column, w: Column) -> Column:
-        ended = w.gap.rlike("[.!?]")
-        fresh = ended | s.start.isNull()
+        ended = w.ended
+        fresh = ended | s["from"].isNull()
         r = w.reading
         return F.struct(
-            F.when(fresh, w.start).otherwise(s.start).alias("start"), (F.when(ended, 0).otherwise(s.n) + 1).alias("n"),
+            F.when(fresh, w.k).otherwise(s["from"]).alias("from"), (F.when(ended, 0).otherwise(s.n) + 1).alias("n"),
             ((s.known & ~ended) | r.isNotNull()).alias("known"), ((s.verb & ~ended) | F.coalesce(r.CLASS.isin(*VERBS), F.lit(False))).alias("verb"),
-            w.end.alias("end"), F.when(ended, told(s, s.end + stop(w.gap))).otherwise(s.out).alias("out"),
+            w.k.alias("last"), F.when(ended, told(s, places.start(s["last"] + 1) + stop(w.gap))).otherwise(s.out).alias("out"),
         )
 
     def close(s: Column) -> Column:
-        tail = F.decode(F.substring(F.encode(text, "UTF-8"), s.end + 1, F.octet_length(text)), "UTF-8")
-        return told(s, F.when(tail.rlike("[.!?]"), s.end + stop(tail)).otherwise(s.end))
+        end, tail = places.start(s["last"] + 1), F.array_join(F.slice(places.texts, s["last"] + 2, F.size(places.texts)), "")
+        return told(s, F.when(tail.rlike("[.!?]"), end + stop(tail)).otherwise(end))
 
     return F.aggregate(words, state, step, close)
 
@@ -234,20 +292,25 @@ def _double_spaces(text: Column) -> Column:
 
         return F.filter(F.zip_with(parts, running_starts(F.transform(parts, lambda t: F.octet_length(t))), one), lambda f: f.isNotNull())
 
-    return let(F.regexp_extract_all(text, F.lit(_WIDE), F.lit(0)), of)
+    return F.when(text.contains("  "), let(F.regexp_extract_all(text, F.lit(_WIDE), F.lit(0)), of)).otherwise(_none())
 
 
-def _token_rules(token_array: Column, rules: set[str]) -> Column:
+def _token_rules(text: Column, places: Places, rules: set[str]) -> Column:
+    """Rules that look at tokens of any kind, which are walked through only if the text has what they look for."""
     out = []
+
+    def add(pattern: str, found: Column) -> None:
+        out.append(F.when(text.rlike(pattern), found).otherwise(_none()))
+
     if "EXTRA_SPACE_BEFORE_PUNCT" in rules:
-        def spaced(t: Column, i: Column) -> Column:
-            a, b = F.get(token_array, i - 2), F.get(token_array, i - 1)
-            hit = (a["type"] == "WORD") & (b["type"] == "WHITESPACE") & t.text.rlike("^[.,;:!?]") & (t["type"] != "WORD")
-            return _pick(F.coalesce(hit, F.lit(False)), _finding(b.byte_start, t.byte_end, "EXTRA_SPACE_BEFORE_PUNCT", _say("Unexpected space before '", F.substring(t.text, 1, 1), "'"), t.text))
-        out.append(F.flatten(F.transform(token_array, spaced)))
+        def spaced(t: Column, k: Column) -> Column:
+            return F.substring(t, 1, 1).isin(*".,;:!?") & F.get(places.texts, k - 1).rlike(f"^[{SPACE}]") & is_word(F.get(places.texts, k - 2))
+        add(f"[{SPACE}][.,;:!?]", places.found(spaced, lambda t, k: _finding(places.start(k - 1), places.start(k + 1), "EXTRA_SPACE_BEFORE_PUNCT", _say("Unexpected space before '", F.substring(t, 1, 1), "'"), t)))
     if "EXCESSIVE_EXCLAMATION" in rules:  # tokens of this tokenizer hold one mark, so this needs tokens of another
-        many = F.filter(token_array, lambda t: t.text.rlike("^[!?]{3,}\\z"))
-        out.append(F.transform(many, lambda t: _finding(t.byte_start, t.byte_end, "EXCESSIVE_EXCLAMATION", _say("Excessive punctuation: \"", t.text, "\" — use a single mark in formal writing"), F.when(t.text.contains("?"), "?").otherwise("!"))))
+        many = lambda t, k: _finding(places.start(k), places.start(k + 1), "EXCESSIVE_EXCLAMATION", _say("Excessive punctuation: \"", t, "\" — use a single mark in formal writing"), F.when(t.contains("?"), "?").otherwise("!"))
+        add("[!?]{3}", places.found(lambda t, k: t.rlike("^[!?]{3,}\\z"), many))
+    if "QUOTATION_MARK_ERROR" in rules:
+        add(_QUOTES, _quotes(places))
     return F.concat(*out) if out else _none()
 
 
@@ -278,21 +341,19 @@ def grammar_check(
         order = F.transform(F.concat(*parts), lambda f: F.struct(f.start.alias("start"), f.end.alias("end"), F.element_at(place, f.code).alias("rule"), f.alias("finding")))
         return F.transform(F.array_sort(order), lambda o: o.finding)
 
-    def found(body: Column, token_array: Column, words: Column) -> Column:
-        parts = [_word_rules(words, chosen, readings is not None, cases), *([_double_spaces(body)] if "DOUBLE_SPACE" in chosen else []), _token_rules(token_array, chosen)]
+    def found(body: Column, places: Places, words: Column) -> Column:
+        parts = [_word_rules(words, places, chosen, readings is not None, cases), *([_double_spaces(body)] if "DOUBLE_SPACE" in chosen else []), _token_rules(body, places, chosen)]
         if "DOUBLE_NEGATION" in chosen:
-            parts.append(_double_negation(words))
-        if "QUOTATION_MARK_ERROR" in chosen:
-            parts.append(_quotes(token_array))
+            parts.append(_double_negation(words, places))
         if "MISSING_MAIN_VERB" in chosen and readings:
-            parts.append(_main_verbs(words, body))
+            parts.append(_main_verbs(words, places))
         return ordered(*parts)
 
     def bound(given: Column) -> Column:
         text_, readings_ = given["text"], given["readings"] if readings else None
         if chosen <= {"DOUBLE_SPACE"}:
             return ordered(_double_spaces(text_) if chosen else _none())
-        return let(tokens(text_), lambda t: let(words_with_context(t, text_, readings_), lambda w: found(text_, t, w)))
+        return let(token_texts(text_), lambda t: Places.within(t, lambda places: let(words_with_context(t, readings_), lambda w: found(text_, places, w))))
 
     # Text, tokens and words are bound within the expression: columns of their own could be drawn into every use.
     return df.withColumn(name, let(F.struct(body.alias("text"), *([known.alias("readings")] if readings else [])), bound))

@@ -67,6 +67,12 @@ def token_type(token: Column) -> Column:
     )
 
 
+def is_word(token: Column) -> Column:
+    """Whether ``token_type`` gives WORD, with the commonest of the others told first."""
+    plain = token.between("a", "zz") | token.between("A", "ZZ") | token.between("0", "99")
+    return ~token.isin(" ", ",", ".", "\n") & (plain | token.rlike(f"^[{LETTER}{DIGIT}]") | (token.rlike("^[\\-‐‑]") & (F.length(token) > 1)))
+
+
 def running_starts(lengths: Column, chunk: int = 128) -> Column:
     """The sum of all lengths before each, in chunks so that long arrays stay cheap."""
     def add(a: Column, n: Column) -> Column:
